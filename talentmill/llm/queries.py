@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentmill.llm import decontaminate, media, packing, pii, quality, sharding, tokens, urlfilter
+from talentmill.llm import decontaminate, jaccard, media, packing, pii, quality, sharding, tokens, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op4_shards, op6_pii, op7_quality, op8_url_filter, op9_media, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_near_duplicates, op4_shards, op6_pii, op7_quality, op8_url_filter, op9_media, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
