@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentmill.llm import decontaminate, jaccard, media, packing, pii, quality, sharding, tokens, urlfilter
+from talentmill.llm import decontaminate, jaccard, media, packing, pii, quality, sharding, suffixes, tokens, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_near_duplicates, op4_shards, op6_pii, op7_quality, op8_url_filter, op9_media, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_near_duplicates, op4_shards, op5_suffix_dedup, op6_pii, op7_quality, op8_url_filter, op9_media, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
