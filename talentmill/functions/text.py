@@ -128,6 +128,20 @@ def matches_query(text: Column, query: Column) -> Column:
     return F.contains(t, F.lower(query)) | ((F.size(tokens) > 0) & (hits == F.size(tokens))) | ((F.size(tokens) >= 2) & (hits / F.nullif(F.size(tokens), F.lit(0)) >= 0.66))
 
 
+def first_match(text: Column, phrases: list[str]) -> Column:
+    """First phrase, by place in the list, that stands in the text."""
+    t = F.lower(text)
+    out = F.lit(None).cast("string")
+    for p in reversed(phrases):
+        out = F.when(F.contains(t, F.lit(p.lower())), p).otherwise(out)
+    return out
+
+
+def effective_date(published: Column, parsed: Column, as_of: str) -> Column:
+    """Published, else parsed, else a stated day, so that results repeat."""
+    return F.coalesce(published.cast("date"), parsed.cast("date"), F.lit(as_of).cast("date"))
+
+
 def salary_text(low: Column, high: Column, currency: Column, raw: Column, nothing: str = "нет данных") -> Column:
     month = F.lit(" per month")
     both = F.concat(low.cast("long").cast("string"), F.lit(" - "), high.cast("long").cast("string"), F.lit(" "), currency, month)

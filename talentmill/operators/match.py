@@ -21,6 +21,28 @@ def analytics_base(jobs: DataFrame) -> DataFrame:
     return jobs.where("is_active AND trim(title) <> ''")
 
 
+def salary_filter(df: DataFrame, desired: float) -> DataFrame:
+    """Jobs whose upper bound reaches the wish, or is not known."""
+    return df.where((F.col("salary_to") >= desired) | F.col("salary_to").isNull())
+
+
+def geo_filter(df: DataFrame, relocation: bool, city: str | None, country: str | None) -> DataFrame:
+    """Nothing for candidates who relocate; else by city, unless it says remote; else by country. Case does not matter."""
+    if relocation:
+        return df
+    for column, value in (("city", city if city and city.lower() != "remote" else None), ("country", country)):
+        if value:
+            return df.where(F.lower(column) == value.lower())
+    return df
+
+
+def capped_queries(queries: DataFrame, cap: int) -> DataFrame:
+    """source, q, place: distinct queries of each source in order of first use, up to the cap."""
+    first = queries.groupBy("source", F.lower("q").alias("_l")).agg(F.min_by("q", "at").alias("q"), F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("at"))
+    return first.withColumn("place", place).where(F.col("place") <= cap).select("source", "q", "place")
+
+
 def skill_ids(dictionary: DataFrame, names: list[str]) -> DataFrame:
     return dictionary.where(F.lower("canonical_name").isin([n.lower() for n in names])).select("skill_id", "canonical_name")
 

@@ -31,6 +31,11 @@ def keep_one(df: DataFrame, keys: list[str | Column], order: list[Column]) -> Da
     return df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_at = 1").drop("_at")
 
 
+def keep_rank(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
+    """First k rows of each key."""
+    return df.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_at") <= k).drop("_at")
+
+
 def dedupe(df: DataFrame, order: str) -> DataFrame:
     """Keep-first by the cascading key; ``order`` is the column that says which comes first."""
     return keep_one(df, [dedupe_key()], [F.col(order).asc_nulls_last()])

@@ -27,8 +27,8 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return part.select(by, F.explode("b").alias("e")).select(by, "e.r.*").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(items: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, places: int = 4) -> DataFrame:
-    """query_id, vec_id, score, rank: nearest items of each query by cosine.
+def search(items: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, places: int = 4, with_columns: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, vec_id, score, rank: nearest items of each query by cosine, with further columns of either side.
 
     ``queries`` (query_id, unit) is a stated set, sent to all items in blocks of bounded size; ``keep`` may
     compare columns of both sides and drops pairs before ranking."""
@@ -37,7 +37,7 @@ def search(items: DataFrame, queries: DataFrame, k: int, keep: Column | None = N
     for b in range(-(-n // QUERY_BLOCK) or 1):
         block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK) or 1)) == b)
         pairs = items.join(F.broadcast(block), keep if keep is not None else F.lit(True))
-        scored = pairs.withColumn("score", F.round(dot(F.col("unit"), F.col("q_unit")), places)).drop("unit", "q_unit", "embedding")
+        scored = pairs.withColumn("score", F.round(dot(F.col("unit"), F.col("q_unit")), places)).select("query_id", "vec_id", "score", *with_columns)
         one = top_k(scored, k)
         out = one if out is None else out.unionByName(one)
     return out

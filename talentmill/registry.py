@@ -714,6 +714,194 @@ def cls13_intent(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.intent(F.col("text"), {"resume": ["the"]}).alias("intent"))
 
 
+# ---- filters, further joins and aggregates --------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents WHERE lower(trim(source)) IN ('src0', 'src1')")
+def flt01_valid_source(spark, d):
+    return table(spark, d, "documents").where(F.lower(F.trim("source")).isin("src0", "src1")).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE trim(text) <> '' AND lower(trim(text)) NOT IN ('nan', 'none', 'null')")
+def flt02_require_text(spark, d):
+    return table(spark, d, "documents").where(~X.is_missing(F.col("text"))).select("doc_id")
+
+
+@query("SELECT job_id FROM v_jobs WHERE is_active AND trim(title) <> ''")
+def flt03_analytics_base(spark, d):
+    return match.analytics_base(views.jobs(spark, d)).select("job_id")
+
+
+@query("SELECT job_id FROM v_jobs WHERE country = '{c}' AND remote")
+def flt04_market_filter(spark, d):
+    return match.market_filter(views.jobs(spark, d), country=COUNTRY, remote_only=True).select("job_id")
+
+
+@query("SELECT job_id, title, country FROM v_jobs WHERE seniority = '1-URGENT' ORDER BY published_at DESC NULLS LAST, job_id LIMIT 40")
+def flt05_list_jobs(spark, d):
+    rows = match.market_filter(views.jobs(spark, d), seniority="1-URGENT")
+    return rows.orderBy(F.col("published_at").desc_nulls_last(), "job_id").limit(40).select("job_id", "title", "country")
+
+
+@query(SKILL_V2.format(n=LEAST) + " SELECT skill_id, role, seniority, is_remote, share_pct FROM skill2 WHERE country = '{c}' ORDER BY share_pct DESC, skill_id, role, seniority, is_remote LIMIT 25")
+def flt06_skills_mart(spark, d):
+    out = match.market_filter(marts.skill_stats_v2(base(spark, d), views.job_skills(spark, d), LEAST), country=COUNTRY)
+    return out.select("skill_id", "role", "seniority", "is_remote", "share_pct").orderBy(F.desc("share_pct"), "skill_id", "role", "seniority", "is_remote").limit(25)
+
+
+@query("SELECT doc_id, contains(lower(text), 'the and') OR (contains(lower(text), 'sthe') AND contains(lower(text), 'rdand')) AS hit FROM documents")
+def flt07_matches_query(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", (F.lower(t).contains("the and") | X.matches_query(t, F.lit("sthe rdand"))).alias("hit"))
+
+
+PHRASES = ["deep", "sthe", "the"]
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'deep') THEN 'deep' WHEN contains(lower(text), 'sthe') THEN 'sthe' ELSE 'the' END AS q FROM documents WHERE contains(lower(text), 'deep') OR contains(lower(text), 'sthe') OR contains(lower(text), 'the')")
+def flt08_first_matching_query(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.first_match(F.col("text"), PHRASES).alias("q")).where("q is not null")
+
+
+@query("SELECT source, lang AS q, CAST(k AS INT) AS place FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY first) AS k FROM (SELECT source, lang, min(doc_id) AS first FROM documents GROUP BY 1, 2)) WHERE k <= 2")
+def flt09_queries_for(spark, d):
+    return match.capped_queries(table(spark, d, "documents").select("source", F.col("lang").alias("q"), F.col("doc_id").alias("at")), 2)
+
+
+@query("SELECT p_partkey, length(trim(p_name)) < 3 OR regexp_matches(lower(p_name), '\\bprogram\\b|\\bsummit\\b') AS suspicious FROM part")
+def flt10_suspicious_title(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.suspicious_title(F.col("p_name")).alias("suspicious"))
+
+
+@query("SELECT job_id FROM v_jobs WHERE salary_to >= 100000 OR salary_to IS NULL")
+def flt12_salary_filter(spark, d):
+    return match.salary_filter(views.jobs(spark, d), 100000).select("job_id")
+
+
+@query("SELECT DISTINCT job_id FROM v_jobs j WHERE EXISTS (SELECT 1 FROM v_job_skills s WHERE s.job_id = j.job_id AND s.skill_id = 12)")
+def jon09_semi(spark, d):
+    return views.jobs(spark, d).join(views.job_skills(spark, d).where("skill_id = 12"), "job_id", "left_semi").select("job_id")
+
+
+@query("SELECT job_id, job_id IN (SELECT job_id FROM v_job_skills WHERE skill_id = 3) AS has_skill FROM v_jobs")
+def jon13_coverage_flag(spark, d):
+    flag = views.job_skills(spark, d).where("skill_id = 3").select("job_id").distinct().withColumn("f", F.lit(True))
+    return views.jobs(spark, d).join(flag, "job_id", "left").select("job_id", F.col("f").isNotNull().alias("has_skill"))
+
+
+@query("SELECT canonical_name, category FROM v_skills WHERE lower(canonical_name) NOT IN ('brand#3', 'brand#12', 'brand#25')")
+def jon08_missing_skills(spark, d):
+    own = match.skill_ids(views.skills(spark, d), USER).select("skill_id")
+    return views.skills(spark, d).join(own, "skill_id", "left_anti").select("canonical_name", "category")
+
+
+@query("SELECT job_id, upper(s) AS skill FROM (SELECT job_id, unnest([currency, country]) AS s FROM v_jobs WHERE remote)")
+def jon06_explode(spark, d):
+    return views.jobs(spark, d).where("remote").select("job_id", F.explode(F.array("currency", "country")).alias("s")).select("job_id", F.upper("s").alias("skill"))
+
+
+@query(ROLE_V2.format(n=LEAST) + SAL_V2.format(n=LEAST) + " SELECT r.role, r.country, r.seniority, r.is_remote, jobs_count, p50 FROM role2 r JOIN sal2 s USING (role, country, seniority, is_remote)")
+def jon02_join_slices(spark, d):
+    b = base(spark, d)
+    return marts.role_stats_v2(b, LEAST).join(marts.salary_agg_v2(b, LEAST), marts.SLICE).select(*marts.SLICE, "jobs_count", "p50")
+
+
+@query(SAL_V2.format(n=LEAST) + " SELECT country, round(sum(p50 * sample_size) / sum(sample_size), 0) AS median FROM sal2 GROUP BY 1")
+def agg17_weighted_rollup(spark, d):
+    return marts.salary_agg_v2(base(spark, d), LEAST).groupBy("country").agg(match.weighted("p50", "sample_size").alias("median"))
+
+
+@query(SCORES + " SELECT role_family, count(*) AS n, round(quantile_cont(salary_mid, 0.5), 2) AS median, round(max(salary_mid), 2) AS top, round(min(salary_mid), 2) AS low, round(max(salary_mid), 2) AS high FROM v_mid JOIN sc USING (job_id) WHERE salary_mid IS NOT NULL AND score > 0 GROUP BY 1")
+def agg22_market_context_of_matches(spark, d):
+    rows = fx.with_mid(views.jobs(spark, d), views.rates(spark, d), "RUB").join(scores(spark, d).where("score > 0"), "job_id")
+    return match.market_context(rows, F.col("salary_mid"), ["role_family"])
+
+
+@query(OLD_NEW + "SELECT action, count(*) AS n FROM (SELECT CASE WHEN o.job_id IS NULL THEN 'inserted' WHEN n.salary_from IS NOT DISTINCT FROM o.salary_from AND n.salary_to IS NOT DISTINCT FROM o.salary_to THEN 'unchanged' ELSE 'updated' END AS action FROM new n LEFT JOIN old o ON o.job_id = n.job_id) GROUP BY 1")
+def agg29_load_metrics(spark, d):
+    return QUERIES["mrg02_audit"](spark, d).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query(OLD_NEW + "SELECT source, count(*) AS clean_rows, count(*) FILTER (WHERE salary_from IS NOT NULL) AS loaded_rows FROM new GROUP BY 1")
+def agg30_manifest(spark, d):
+    return quality.counts_where(snapshots(spark, d)[1], {"loaded_rows": F.col("salary_from").isNotNull()}, ["source"]).withColumnRenamed("total", "clean_rows")
+
+
+@query("SELECT country, count(*) AS jobs_count FROM v_jobs WHERE is_active GROUP BY 1")
+def agg16_available_countries(spark, d):
+    return match.analytics_base(views.jobs(spark, d)).groupBy("country").agg(F.count("*").alias("jobs_count"))
+
+
+@query("SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY source")
+def snk05_merge_sources(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", (-F.col("doc_id")).alias("newest"))
+    return merge.merge_sources([rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")], "source", "newest").select("doc_id", "source")
+
+
+@query("SELECT base_currency, target_currency, rate_date, CAST(CASE WHEN month(rate_date) = 7 THEN rate + 1 ELSE rate END AS DOUBLE) AS rate FROM v_rates")
+def snk06_upsert_rates(spark, d):
+    rates = views.rates(spark, d)
+    new = rates.where("month(rate_date) = 7").withColumn("rate", (F.col("rate") + 1).cast("decimal(18,6)"))
+    return merge.upsert(rates, new, ["rate_date", "base_currency", "target_currency"]).select("base_currency", "target_currency", "rate_date", F.col("rate").cast("double").alias("rate"))
+
+
+@query("SELECT job_id, CASE WHEN job_id % 3 = 0 THEN 'too_many' ELSE 'company_history' END AS reason FROM v_jobs WHERE job_id % 3 < 2")
+def dq03_suspicious_experience(spark, d):
+    k = F.col("job_id") % 3
+    rows = views.jobs(spark, d).select("job_id", F.when(k == 0, 30).when(k == 1, 5).alias("years_min"), F.when(k == 1, "Our company was founded long ago").otherwise("x").alias("description"))
+    return quality.suspicious_experience(rows).select("job_id", "reason")
+
+
+@query("SELECT p_partkey, lower(p_name) AS title FROM part WHERE regexp_matches(p_name, '^[A-Za-z0-9 ]+$')")
+def str04_normalize_title(spark, d):
+    return table(spark, d, "part").where("p_name RLIKE '^[A-Za-z0-9 ]+$'").select("p_partkey", X.normalize_title(F.col("p_name"), F.lit("Acme")).alias("title"))
+
+
+@query("SELECT page_id, 'a,' || CAST(page_id AS VARCHAR) AS items FROM pages")
+def str05_parse_array(spark, d):
+    text = F.concat(F.lit("{ a , '"), F.col("page_id").cast("string"), F.lit("'}"))
+    return table(spark, d, "pages").select("page_id", F.array_join(X.parse_array(text), ",").alias("items"))
+
+
+@query("SELECT o_orderkey, floor(o_totalprice) * 1000 AS v FROM orders WHERE o_totalprice < 1000 UNION ALL SELECT o_orderkey, floor(o_totalprice) FROM orders WHERE o_totalprice >= 1000")
+def str07_parse_number(spark, d):
+    text = F.concat(F.lit("$ "), F.floor("o_totalprice").cast("long").cast("string"), F.lit("k"))
+    return table(spark, d, "orders").select("o_orderkey", X.parse_number(text).alias("v"))
+
+
+@query("SELECT job_id, CAST(CASE WHEN salary_from IS NOT NULL AND salary_to IS NOT NULL THEN CAST(salary_from AS VARCHAR) || ' - ' || CAST(salary_to AS VARCHAR) || ' ' || currency || ' per month' WHEN coalesce(salary_from, salary_to) IS NOT NULL THEN CAST(coalesce(salary_from, salary_to) AS VARCHAR) || ' ' || currency || ' per month' ELSE 'нет данных' END AS VARCHAR) AS t FROM v_jobs")
+def str08_salary_text(spark, d):
+    return views.jobs(spark, d).select("job_id", X.salary_text(F.col("salary_from"), F.col("salary_to"), F.col("currency"), F.lit(None).cast("string")).alias("t"))
+
+
+@query("SELECT job_id, coalesce((salary_from + salary_to) / 2.0, salary_from, salary_to) AS mid FROM v_jobs")
+def sal10_midpoint(spark, d):
+    return views.jobs(spark, d).select("job_id", fx.midpoint(F.col("salary_from").cast("double"), F.col("salary_to").cast("double")).alias("mid"))
+
+
+@query("SELECT job_id, round_even(salary_to * CASE currency WHEN 'USD' THEN 82.1314 WHEN 'EUR' THEN 95.0038 WHEN 'GBP' THEN 109.8261 WHEN 'PLN' THEN 22.2289 ELSE 1.0 END, 0) AS rub FROM v_jobs")
+def sal11_to_rub_fallback(spark, d):
+    return views.jobs(spark, d).select("job_id", S.to_rub_fallback(F.col("salary_to").cast("double"), F.col("currency")).alias("rub"))
+
+
+@query("SELECT job_id, sha1(coalesce(CAST(salary_from AS VARCHAR), '') || chr(30) || coalesce(CAST(salary_to AS VARCHAR), '')) AS h FROM v_jobs")
+def hsh02_content_hash(spark, d):
+    return views.jobs(spark, d).select("job_id", merge.content_hash(["salary_to", "salary_from"]).alias("h"))
+
+
+@query("SELECT job_id, CASE WHEN job_id % 2 = 0 THEN published_at ELSE DATE '2000-01-01' END AS d FROM v_jobs")
+def dat01_effective_date(spark, d):
+    published = F.when(F.col("job_id") % 2 == 0, F.col("published_at"))
+    return views.jobs(spark, d).select("job_id", X.effective_date(published, F.lit(None), "2000-01-01").alias("d"))
+
+
+@query(f"SELECT query_id, vec_id, total FROM (SELECT query_id, vec_id, total, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, vec_id) AS k FROM (SELECT q AS query_id, v AS vec_id, round(score + 0.15 * CASE WHEN same THEN 1 ELSE 0 END, 4) AS total FROM (SELECT a.vec_id AS q, b.vec_id AS v, a.label = b.label AS same, {DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0))) WHERE k <= 3")
+def vec04_rerank_skill(spark, d):
+    items, queries = vec_sides(spark, d)
+    scored = vector.search(items, queries, 1_000_000, with_columns=("label", "q_label")).withColumn("total", F.round(vector.rerank_skill(F.col("score"), (F.col("label") == F.col("q_label")).cast("int")), 4))
+    return merge.keep_rank(scored, "query_id", [F.desc("total"), F.col("vec_id")], 3).select("query_id", "vec_id", "total")
+
+
 #: Country of the market questions.
 COUNTRY = "NATION_3"
 

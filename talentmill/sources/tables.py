@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Raw record, in order. Lists are JSON text.
-RAW = T.StructType.fromDDL(
-    "job_id string, source_job_id string, title string, description string, company_name string, department string, salary_from double, salary_to double, currency string, salary_period string, "
-    "location string, country string, remote boolean, remote_type string, employment_type string, published_at string, source string, url string, search_query string, parsed_at string, requirements string, "
-    "responsibilities string, nice_to_have string, experience_level string, seniority_normalized string, years_experience_min double, years_experience_max double, key_skills string, skills_extracted string, "
-    "skills_normalized string, tech_stack_tags string, tools string, methodologies string, visa_sponsorship boolean, relocation boolean, benefits string, industry string, company_size string, education string, "
-    "certifications string, spoken_languages string, equity_bonus string, security_clearance string"
-)
+_TYPES = {"double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
+_NUMBERS = ("salary_from", "salary_to", "years_experience_min", "years_experience_max")
+_FLAGS = ("remote", "visa_sponsorship", "relocation")
+_NAMES = """job_id source_job_id title description company_name department salary_from salary_to currency salary_period location country remote remote_type
+employment_type published_at source url search_query parsed_at requirements responsibilities nice_to_have experience_level seniority_normalized years_experience_min
+years_experience_max key_skills skills_extracted skills_normalized tech_stack_tags tools methodologies visa_sponsorship relocation benefits industry company_size
+education certifications spoken_languages equity_bonus security_clearance"""
+RAW = T.StructType([T.StructField(n, _TYPES["double" if n in _NUMBERS else "boolean" if n in _FLAGS else "string"]) for n in _NAMES.split()])
 JUNK = ["experience_level", "industry", "company_size", "education", "certifications", "benefits", "equity_bonus", "security_clearance", "search_query"]
 
 

@@ -32,12 +32,12 @@ def stream_ingest(source: DataFrame, target: str, checkpoint: str, keys: list[st
 
 def stream_dedupe(source: DataFrame, key: str, ts: str, lateness: str = "1 day") -> DataFrame:
     """One row an id within bounded lateness."""
-    return source.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
+    return source.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
 
 
 def stream_daily(source: DataFrame, ts: str, lateness: str = "1 day") -> DataFrame:
     """Counts per day; a day is given out once its watermark has passed."""
-    return source.withWatermark(ts, lateness).groupBy(F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "n")
+    return source.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness).groupBy(F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "n")
 
 
 class HealthState(StatefulProcessor):
@@ -63,4 +63,4 @@ class HealthState(StatefulProcessor):
 def stream_health(source: DataFrame, limits: dict[str, int] | None = None, default: int = 3) -> DataFrame:
     """Health of each source after every batch (needs the RocksDB state store). ``source``: source, ts, seq, ok, reason."""
     processor = HealthState(limits or {"permanent": 2, "temporary": 5}, default)
-    return source.groupBy("source").transformWithStateInPandas(processor, "source string, fail_count long, last_reason string, is_active boolean", "Update", "None")
+    return source.groupBy("source").transformWithStateInPandas(processor, f"source {source.schema['source'].dataType.simpleString()}, fail_count long, last_reason string, is_active boolean", "Update", "None")
