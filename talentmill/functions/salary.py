@@ -121,7 +121,7 @@ def sanitize_bounds(low: Column, high: Column, currency: Column) -> Column:
     a, b = F.when(low > 0, F.bround(low)), F.when(high > 0, F.bround(high))
     a, b = F.when(a > b, b).otherwise(a), F.when(a > b, a).otherwise(b)
     absurd = F.greatest(a, b) > F.greatest(most * 20, F.lit(1_000_000.0))
-    spread = F.coalesce(b / F.greatest(a, F.lit(1.0)) > 20, F.lit(False))
+    spread = F.coalesce(a.isNotNull() & (b / F.greatest(a, F.lit(1.0)) > 20), F.lit(False))
     bad = F.coalesce(absurd, F.lit(False)) | spread
     a, b = F.when(~bad & (a >= least), a), F.when(~bad & (b >= least), b)
     return F.struct(F.coalesce(a, b).alias("low"), F.coalesce(b, a).alias("high"))
