@@ -11,10 +11,13 @@ scanning the lists of a prefix; list lengths come from a frequency sketch of fix
 documents, which also orders the elements.
 
 Lists of at most ``near`` + 1 sets give all pairs that pass the size and position filters. Longer
-lists first give each set's pairs with the list's head and its next two neighbours; once these are
-verified, only pairs whose ends are in different classes so far are taken, in blocks of bounded
-size. So large groups of copies give few pairs, and no link between classes is lost.
-Pairs are verified exactly on the whole sets. Shingles and sets are 64-bit hashes.
+lists are taken in blocks of bounded size, twice: first they give a forest, pairs that join the
+classes found so far as far as the filters can tell; once these are verified, all pairs that pass
+the filters and whose ends are still in different classes. So large groups of copies give few
+pairs, and no link between classes is lost. Before any set is moved, a parity sketch of ODD bits
+drops pairs: each element that only one of two sets has flips one bit, so the sketches' distance
+never exceeds the sets'. What is left is verified exactly on the whole sets.
+Shingles and sets are 64-bit hashes.
 
 Edge cases: a null or wordless text has an empty set, no links and its own id as class; null ids
 take part (their class is null if no id is reachable); repeated rows are one set; an empty table
@@ -41,6 +44,7 @@ from talentmill.llm.components import components
 U64 = np.uint64
 MOST_LIGHT = 40
 BLOCK = 1024
+ODD = 1024
 
 
 class WordHashes(dict):
@@ -115,16 +119,11 @@ def rarity(docs: DataFrame, k: int, width: int) -> np.ndarray:
     schema = pa.schema([("block", pa.int32()), ("part", pa.int64()), ("v", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
+        total = np.zeros(width, np.uint32)
         for b in batches:
-            held = []
-            for t in strings(b.column(0)):
-                held.append(shingles(t, k) >> shift)
-                if sum(map(len, held[-64:])) > 1 << 20 or len(held) >= 2048:
-                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=width)
-                    held = []
-            if held:
-                total += np.bincount(np.concatenate(held).astype(np.int64), minlength=width)
+            for at in range(0, b.num_rows, 1024):
+                held = [shingles(t, k) >> shift for t in strings(b.column(0).slice(at, 1024))]
+                np.add.at(total, np.concatenate(held).astype(np.int64), 1)
         parts = total.astype("<u4").reshape(-1, min(per, width))
         yield batch(schema, np.arange(len(parts)), [TaskContext.get().partitionId()] * len(parts), [p.tobytes() for p in parts])
 
@@ -153,7 +152,7 @@ def signatures(docs: DataFrame, k: int, bounds: Bounds, sketch: np.ndarray, ligh
     """doc_id, n, sid and, as packed longs, subset keys of light sets and prefix elements of the others."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed width
     shift = U64(64 - len(sketch).bit_length() + 1)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("subsets", pa.binary()), ("prefix", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("subsets", pa.binary()), ("prefix", pa.binary()), ("odd", pa.binary())])
     listed = bounds.least_overlap(light + 1)
 
     def subset_keys(h: np.ndarray) -> bytes:
@@ -167,13 +166,14 @@ def signatures(docs: DataFrame, k: int, bounds: Bounds, sketch: np.ndarray, ligh
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = shared.value
-        for b in batches:
-            sizes, keys, subsets, prefixes = [], [], [], []
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+            sizes, keys, subsets, prefixes, odd = [], [], [], [], []
             for t in strings(b.column(1)):
                 h = shingles(t, k)
                 n = len(h)
                 sizes.append(n)
                 keys.append(set_key(h))
+                odd.append(np.packbits((np.bincount((h & U64(ODD - 1)).astype(np.int64), minlength=ODD) & 1).astype(bool)).tobytes())
                 subsets.append(subset_keys(h) if 0 < n <= light else b"")
                 if n >= listed and n:
                     rare = seen[h >> shift]
@@ -184,10 +184,10 @@ def signatures(docs: DataFrame, k: int, bounds: Bounds, sketch: np.ndarray, ligh
                     prefixes.append(h[np.lexsort((h, rare))[:p]].astype(np.int64).tobytes())
                 else:
                     prefixes.append(b"")
-            yield batch(schema, b.column(0), sizes, keys, subsets, prefixes)
+            yield batch(schema, b.column(0), sizes, keys, subsets, prefixes, odd)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n int, sid long, subsets binary, prefix binary")
+    return rows.mapInArrow(sign, "doc_id long, n int, sid long, subsets binary, prefix binary, odd binary")
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -217,62 +217,105 @@ def possible(bounds: Bounds, light: int, n1, p1, n2, p2):
     return fits & ((p1 < 0) | (np.maximum(n1, n2) > light))  # two light sets meet by subsets
 
 
+NONE = np.zeros(0, np.int64)
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
 
 def scan_lists(entries: DataFrame, bounds: Bounds, light: int, near: int) -> DataFrame:
-    """Candidate pairs (a, b) of sets in a list; for each list longer than near + 1, also a row with its key."""
+    """Candidate pairs (a, b) of lists of at most near + 1 sets; of each longer one only a row with its key."""
     order = Window.partitionBy("key").orderBy("n", "sid")
-    ranked = entries.select("key", "sid", "n", "pos", (F.row_number().over(order) - 1).cast("long").alias("at"), F.first(F.struct("sid", "n", "pos")).over(order).alias("h")).select("key", "sid", "n", "pos", "at", F.col("h.sid").alias("hs"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hp"))
+    ranked = entries.select("key", "sid", "n", "pos", (F.row_number().over(order) - 1).cast("long").alias("at"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 8  # the last rows of the batch before
+        held = [np.zeros(0, np.int64)] * 5  # the last rows of the batch before
         for b in batches:
             old = len(held[0])
-            key, sid, n, pos, at, hs, hn, hp = rows = [np.concatenate([x, c.to_numpy()]) for x, c in zip(held, b.columns, strict=True)]
-            found = []
+            key, sid, n, pos, at = rows = [np.concatenate([x, c.to_numpy()]) for x, c in zip(held, b.columns, strict=True)]
+            first, second = [NONE], [NONE]
             for d in range(1, near + 1):
-                second = np.flatnonzero(key[d:] == key[:-d]) + d if len(key) > d else np.zeros(0, np.int64)
-                if not len(second):
+                two = np.flatnonzero(key[d:] == key[:-d]) + d if len(key) > d else NONE
+                if not len(two):
                     break
-                second = second[(second >= old) & ((at[second] <= near) | (d <= 2))]
-                second = second[possible(bounds, light, n[second - d], pos[second - d], n[second], pos[second])]
-                found.append((sid[second - d], sid[second]))
-            far = np.flatnonzero(at > near)
-            far = far[far >= old]
-            headed = far[possible(bounds, light, hn[far], hp[far], n[far], pos[far])]
-            found.append((hs[headed], sid[headed]))
-            first, second = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            yield batch(PAIR, np.minimum(first, second), np.maximum(first, second), pa.nulls(len(first), pa.int64()))
-            long = key[far[at[far] == near + 1]]
+                two = two[(two >= old) & (at[two] <= near)]
+                two = two[possible(bounds, light, n[two - d], pos[two - d], n[two], pos[two])]
+                first.append(sid[two - d])
+                second.append(sid[two])
+            x, y = np.concatenate(first), np.concatenate(second)
+            yield batch(PAIR, np.minimum(x, y), np.maximum(x, y), pa.nulls(len(x), pa.int64()))
+            long = np.flatnonzero(at == near + 1)
+            long = key[long[long >= old]]
             yield batch(PAIR, pa.nulls(len(long), pa.int64()), pa.nulls(len(long), pa.int64()), long)
             held = [x[-near:] for x in rows]
 
     return ranked.mapInArrow(scan, "a long, b long, key long")
 
 
-def scan_blocks(entries: DataFrame, roots: DataFrame, bounds: Bounds, light: int) -> DataFrame:
-    """Candidate pairs of long lists whose ends are in different classes, in pairs of blocks of bounded size."""
+def close(bounds: Bounds, n1, odd1, n2, odd2) -> np.ndarray:
+    """May sets of these sizes match, by their parity sketches (rows of longs)?"""
+    apart = np.bitwise_count(odd1 ^ odd2).sum(1, dtype=np.int64)
+    return apart * (bounds.num + bounds.den) <= (bounds.den - bounds.num) * (n1.astype(np.int64) + n2)
+
+
+def longs(column: pa.Array) -> np.ndarray:
+    """Binary values of ODD bits as rows of longs."""
+    return np.frombuffer(b"".join(x.as_py() for x in column), U64).reshape(-1, ODD // 64)
+
+
+def prune(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
+    """Pairs (a, b) that the sketches allow."""
+    side = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = close(bounds, b.column(2).to_numpy(), longs(b.column(3)), b.column(4).to_numpy(), longs(b.column(5)))
+            yield b.select([0, 1]).filter(pa.array(ok))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "odd_a", "n_b", "odd_b").mapInArrow(keep, "a long, b long")
+
+
+def scan_blocks(entries: DataFrame, roots: DataFrame, sets: DataFrame, bounds: Bounds, light: int, forest: bool) -> DataFrame:
+    """Pairs of long lists that pass the filters and whose ends are in different classes, in pairs of blocks
+    of bounded size. ``forest``: only as many as join those classes, were all of them links."""
     own = entries.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed_lists = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
+    lists = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("length")).where("x <> y").select("key", "length")
     order = Window.partitionBy("key").orderBy("n", "sid")
-    placed = own.join(mixed_lists, "key").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK)))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "n", "sid", "pos", "root")
+    placed = own.join(lists, "key").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / BLOCK)))).join(sets.select("sid", "odd"), "sid")
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "n", "sid", "pos", "root", "odd")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 8
+        held = [*[NONE] * 8, np.zeros((0, ODD // 64), U64)]
+        joined: dict[int, int] = {}  # of classes of this task, for the forest
+
+        def find(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
         for b in batches:
             old = len(held[0])
-            key, lo, hi, block, n, sid, pos, root = rows = [np.concatenate([x, c.to_numpy()]) for x, c in zip(held, b.columns, strict=True)]
+            now = [*(c.to_numpy() for c in b.columns[:8]), longs(b.column(8))]
+            key, lo, hi, block, n, sid, pos, root, odd = rows = [np.concatenate([x, c]) for x, c in zip(held, now, strict=True)]
+            label = np.array([find(x) for x in root.tolist()], np.int64) if joined else root.copy()
             for d in range(1, 2 * BLOCK):
                 if len(key) <= d:
                     break
                 same = (key[d:] == key[:-d]) & (lo[d:] == lo[:-d]) & (hi[d:] == hi[:-d])
                 if not same.any():
                     break
-                second = np.flatnonzero(same & (root[d:] != root[:-d]) & ((block[d:] != block[:-d]) | (lo[d:] == hi[d:]))) + d
+                second = np.flatnonzero(same & (label[d:] != label[:-d]) & ((block[d:] != block[:-d]) | (lo[d:] == hi[d:]))) + d
                 second = second[second >= old]
                 second = second[possible(bounds, light, n[second - d], pos[second - d], n[second], pos[second])]
+                second = second[close(bounds, n[second - d], odd[second - d], n[second], odd[second])]
+                if forest and len(second):
+                    chosen = []
+                    for i in second.tolist():
+                        x, y = find(int(label[i - d])), find(int(label[i]))
+                        if x != y:
+                            joined[max(x, y)] = min(x, y)
+                            chosen.append(i)
+                    second = np.array(chosen, np.int64)
+                    label = np.array([find(x) for x in label.tolist()], np.int64) if chosen else label
                 if len(second):
                     x, y = sid[second - d], sid[second]
                     yield batch(PAIR, np.minimum(x, y), np.maximum(x, y), pa.nulls(len(x), pa.int64()))
@@ -293,41 +336,27 @@ def bit_table(keys: DataFrame, most_bits: int = 1 << 24) -> np.ndarray:
     return out
 
 
-def row_key(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return (mixed(sid.astype(U64) ^ mixed(doc.astype(U64))) >> U64(1)).astype(np.int64)
-
-
-def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, bounds: Bounds) -> DataFrame:
-    """Pairs whose whole sets are similar enough. Sets are made again from the texts of one document each."""
-    pairs = materialise(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "doc"), "sid")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield batch(pa.schema([("k", pa.int64())]), row_key(b.column(0).to_numpy(), b.column(1).to_numpy()))
-
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_table(needed.select("sid", F.coalesce("doc", F.lit(-1)).alias("doc")).mapInArrow(keyed, "k long")))
+def whole_sets(needed: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """(sid, h): the sets that are needed, made again from the texts of one document each."""
+    ids = needed.join(sets.select("sid", "doc"), "sid").select(F.xxhash64("doc").alias("k")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_table(ids))  # of bounded size; lets others through, never fewer
     schema = pa.schema([("sid", pa.int64()), ("h", pa.binary())])
 
     def remake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for b in batches:
-            doc = b.column(0).fill_null(-1).to_numpy()
-            keys, parts = [], []
-            for d, t in zip(doc, strings(b.column(1)), strict=True):
-                h = shingles(t, k)
-                sid = set_key(h)
-                at = int(row_key(np.array([sid]), np.array([d]))[0]) % (32 * len(bits))
-                if bits[at // 32] >> (at % 32) & 1:
-                    keys.append(sid)
-                    parts.append(h.tobytes())
-                if len(keys) >= 1024:
-                    yield batch(schema, keys, parts)
-                    keys, parts = [], []
-            yield batch(schema, keys, parts)
-
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(remake, "sid long, h binary").dropDuplicates(["sid"])
-    whole = materialise(whole)
+            at = b.column(0).to_numpy() % (32 * len(bits))
+            b = b.filter(pa.array((bits[at // 32] >> (at % 32)) & 1 == 1))
+            for some in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
+                h = [shingles(t, k) for t in strings(some.column(1))]
+                yield batch(schema, [set_key(x) for x in h], [x.tobytes() for x in h])
+
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("at"), text_or_empty().alias("text")).mapInArrow(remake, "sid long, h binary")
+    return materialise(rows.join(needed, "sid", "left_semi").dropDuplicates(["sid"]))
+
+
+def verify(pairs: DataFrame, whole: DataFrame, bounds: Bounds) -> DataFrame:
+    """Pairs whose whole sets are similar enough, with overlap and union size."""
     both = pairs.join(whole.select(F.col("sid").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("sid").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
     link = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64()), ("total", pa.int64())])
 
@@ -344,22 +373,27 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, bounds: B
     return materialise(both.mapInArrow(compare, "a long, b long, overlap long, total long"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, width: int = 1 << 19, near: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, width: int = 1 << 22, near: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the least id reachable over pairs of similarity num / den or more."""
     bounds = Bounds(num, den)
     sketch = rarity(docs, k, width)
     light = bounds.light(list_length(sketch))
     signed = materialise(signatures(docs, k, bounds, sketch, light))
-    sets = materialise(signed.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("subsets").alias("subsets"), F.first("prefix").alias("prefix")))
+    sets = materialise(signed.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("subsets").alias("subsets"), F.first("prefix").alias("prefix"), F.first("odd").alias("odd")))
     entries = postings(sets)
     scanned = materialise(scan_lists(entries, bounds, light, near))
-    links = verify(scanned.where("a is not null").select("a", "b").distinct(), docs, sets, k, bounds)
-    long = scanned.where("a is null").select("key").distinct()
+    pairs = materialise(prune(scanned.where("a is not null").select("a", "b").distinct(), sets, bounds))
+    long = materialise(entries.join(scanned.where("a is null").select("key").distinct(), "key", "left_semi"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(long.select("sid")).distinct()
+    whole = whole_sets(needed, docs, sets, k)
+    links = verify(pairs, whole, bounds)
     roots = components(links)
     if not long.isEmpty():
-        more = verify(scan_blocks(entries.join(long, "key", "left_semi"), roots, bounds, light), docs, sets, k, bounds)
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+        for forest in (True, False):
+            more = verify(scan_blocks(long, roots, sets, bounds, light, forest), whole, bounds)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                roots = components(links)
     classes = sets.select("sid", "doc").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = classes.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = classes.join(least, "root").select("sid", "component_id")
