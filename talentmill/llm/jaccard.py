@@ -373,6 +373,13 @@ def verify(pairs: DataFrame, whole: DataFrame, bounds: Bounds) -> DataFrame:
     return materialise(both.mapInArrow(compare, "a long, b long, overlap long, total long"))
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different classes so far."""
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, width: int = 1 << 22, near: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the least id reachable over pairs of similarity num / den or more."""
     bounds = Bounds(num, den)
@@ -386,8 +393,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, wid
     long = materialise(entries.join(scanned.where("a is null").select("key").distinct(), "key", "left_semi"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(long.select("sid")).distinct()
     whole = whole_sets(needed, docs, sets, k)
-    links = verify(pairs, whole, bounds)
+    links = verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), whole, bounds)  # a pair for each set first
     roots = components(links)
+    more = verify(apart(pairs, roots), whole, bounds)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
     if not long.isEmpty():
         for forest in (True, False):
             more = verify(scan_blocks(long, roots, sets, bounds, light, forest), whole, bounds)
