@@ -26,37 +26,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentmill.llm._common import batch, materialise, strings, text_or_empty
-from talentmill.llm.tokens import SPACE
 
-_CHUNKS = re.compile(f"[^{SPACE}]+")
-_CACHES: dict[tuple, ChunkIds] = {}
+#: Texts for which lower-casing and the pattern below do what the tokenizer would: no letters beyond Latin, no marks that combine, no odd digits.
+_PLAIN = re.compile(r"[\x09-\x0d\x20-\x7f\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u012f\u0132-\u0148\u014a-\u017e\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
+#: Pre-tokens of such lower-cased texts.
+_PIECES = re.compile(r"[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9\xdf-\xf6\xf8-\u017e]+").findall
+_CACHES: dict[str, PieceIds] = {}
 K1, B = 1.2, 0.75
 
 
-class ChunkIds(dict):
-    """Chunk between white space -> its ids as bytes. For tokenizers that drop white space, a text's ids are those of its chunks in turn."""
+class PieceIds(dict):
+    """Pre-token -> its ids as bytes. Those not yet known are encoded many at a time; each ends with a token
+    that closes a word, which tells them apart again. The table starts anew at ``room`` entries."""
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 1_000_000, closing: str = "</w>"):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(self) < self.room:
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str, end_id: int) -> bytes:
-        chunks = text.split() if text.isascii() and not re.search("[\x1c-\x1f]", text) else _CHUNKS.findall(text)
-        return b"".join([*map(self.__getitem__, chunks), np.array([end_id], self.kind).tobytes()])
-
-
-def chunk_ids(path: str) -> ChunkIds:
-    if (path,) not in _CACHES:
-        _CACHES[path,] = ChunkIds(path)
-    return _CACHES[path,]
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(closing)]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 2000):
+            some = pieces[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids)):
+                raw, size = ids.tobytes(), self.kind.itemsize
+                self.update(zip(some, (raw[i * size : j * size] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
+            else:
+                self.update((p, self.whole(p)) for p in some)
+
+    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        """Ids of each text and the end id; texts that are not plain go to the tokenizer whole."""
+        if len(self) > self.room:
+            self.clear()
+        plain = [_PLAIN(t) is not None and not any(x in t for x in self.special) for t in texts]
+        pieces = [_PIECES(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
+        self.learn([*set().union(*pieces).difference(self)])
+        end = np.array([end_id], self.kind).tobytes()
+        return [(b"".join(map(self.__getitem__, x)) if p else self.whole(t)) + end for t, p, x in zip(texts, plain, pieces, strict=True)]
+
+
+def piece_ids(path: str) -> PieceIds:
+    if path not in _CACHES:
+        _CACHES[path] = PieceIds(path)
+    return _CACHES[path]
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -64,12 +84,12 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("low", pa.int64()), ("next", pa.int64())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = chunk_ids(tokenizer_path)
+        own = piece_ids(tokenizer_path)
         order = np.random.default_rng(7).permutation(own.tokenizer.get_vocab_size()).astype(np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                ids = [own.encode(t, end_id) for t in strings(b.column(1))]
+                ids = own.encode(strings(b.column(1)), end_id)
                 lows = [np.partition(np.append(np.unique(order[np.frombuffer(x, own.kind)]), [1 << 40] * 2), 1)[:2] for x in ids]
                 yield batch(schema, b.column(0), [len(x) // own.kind.itemsize for x in ids], ids, [int(x[0]) for x in lows], [int(x[1]) for x in lows])
 
@@ -164,11 +184,11 @@ class Packer:
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, shard_tokens: int = 4_000_000, block_tokens: int = 2_000_000, block_docs: int = 1024, n_terms: int = 24, most_shards: int = 100_000) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, 4 bytes each)."""
     spark = docs.sparkSession
-    kind = chunk_ids(tokenizer_path).kind
+    kind = piece_ids(tokenizer_path).kind
     tokens = materialise(tokenised(docs, tokenizer_path, end_id))
     stats = {r.term: r.df for r in document_frequencies(tokens, kind).collect()}  # at most one row a vocabulary id
     n_docs, total = stats.pop(-1, 0), stats.pop(-2, 0)
-    idf = np.zeros(chunk_ids(tokenizer_path).tokenizer.get_vocab_size(), np.float32)
+    idf = np.zeros(piece_ids(tokenizer_path).tokenizer.get_vocab_size(), np.float32)
     for t, n in stats.items():
         idf[t] = np.log1p((n_docs - n + 0.5) / (n + 0.5))
     shared = spark.sparkContext.broadcast(idf)
