@@ -105,29 +105,29 @@ def filtered(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     return rows.mapInArrow(keep, rows.schema)
 
 
-def shared_anchors(rows: DataFrame, least: int, buckets: int, chunk: int = 1_000_000) -> DataFrame:
+def shared_anchors(rows: DataFrame, least: int, buckets: int, chunk: int = 500_000) -> DataFrame:
     """(rid, pos) of the anchors whose gram occurs in two texts or more."""
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("rids", pa.binary()), ("pos", pa.binary())])
     kind = "bucket int, keys binary, rids binary, pos binary"
 
     def groups(keys: np.ndarray, rids: np.ndarray, pos: np.ndarray):
-        """Sorted by key: the rows, their groups' starts, and which groups span texts."""
+        """Order by key; in that order, the groups' starts, and which groups span texts."""
         order = np.argsort(keys, kind="stable")
         keys, rids, pos = keys[order], rids[order], pos[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         several = (np.minimum.reduceat(rids, first) != np.maximum.reduceat(rids, first)) | (np.minimum.reduceat(pos, first) < 0)
-        return keys, rids, pos, first, several
+        return order, first, np.repeat(several, np.diff(np.append(first, len(order)))), several
 
     def pack(bucket: int, keys, rids, pos) -> pa.RecordBatch:
         return batch(schema, [bucket], [keys.tobytes()], [rids.tobytes()], [pos.astype(np.int32).tobytes()])
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        keys, rids, pos, first, several = groups(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
-        known = np.repeat(several, np.diff(np.append(first, len(keys))))
-        for at in range(0, int(known.sum()), chunk):  # in several texts already: only a marker for each gram is sent
-            yield pack(-1 - int(rids[known][at] % 1024), NONE, rids[known][at : at + chunk], pos[known][at : at + chunk])
-        mark = first[several]
-        keys, rids, pos = np.append(keys[~known], keys[mark]), np.append(rids[~known], rids[mark]), np.append(pos[~known], np.full(len(mark), -1))
+        keys, rids, pos = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order, first, known, several = groups(keys, rids, pos)
+        shared, other, mark = np.sort(order[known]), np.sort(order[~known]), order[first[several]]  # in the texts' order, which packs well
+        if len(shared):  # in several texts already: only a marker for each gram is sent
+            yield pack(-1 - int(rids[shared[0]] % 1024), NONE, rids[shared], pos[shared])
+        keys, rids, pos = np.append(keys[other], keys[mark]), np.append(rids[other], rids[mark]), np.append(pos[other], np.full(len(mark), -1))
         bucket = (keys.astype(U64) % U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -156,8 +156,9 @@ def shared_anchors(rows: DataFrame, least: int, buckets: int, chunk: int = 1_000
 
         def done():
             if parts:
-                _, rids, pos, first, several = groups(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
-                keep = np.repeat(several, np.diff(np.append(first, len(rids)))) & (pos >= 0)
+                keys, rids, pos = (np.concatenate([p[i] for p in parts]) for i in range(3))
+                order, _, known, _ = groups(keys, rids, pos)
+                keep = np.sort(order[known & (pos[order] >= 0)])
                 yield batch(out_schema, rids[keep], pos[keep])
 
         for b in batches:
@@ -183,11 +184,15 @@ class Suffixes:
         self.right, self.left = least, least - GRAM
         self.width = self.right + self.left
 
-    def cut(self, raw: bytes, m: np.ndarray) -> np.ndarray:
+    def cut(self, raw: bytes, m: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Keys of suffixes at m whose windows start lo to hi bytes before it; bytes outside all of these are blank."""
         pad = np.zeros(len(raw) + self.width, np.uint8)
         pad[self.left : self.left + len(raw)] = np.frombuffer(raw, np.uint8)
         at = m[:, None] + self.left
-        return np.hstack([pad[at + np.arange(self.right)], pad[at - 1 - np.arange(self.left)]])
+        keys = np.hstack([pad[at + np.arange(self.right)], pad[at - 1 - np.arange(self.left)]])
+        place = np.arange(self.width)
+        keys[((place >= self.right - lo[:, None]) & (place < self.right)) | (place >= self.right + hi[:, None])] = 0
+        return keys
 
     def front_code(self, keys: np.ndarray) -> tuple[np.ndarray, bytes]:
         """Of sorted keys: shared prefix with the key before, and the rests in one string."""
@@ -298,7 +303,7 @@ def repeated_windows(texts: DataFrame, least: int, total: int, range_rows: int)
         _, m, a, b = anchors(raw, least)
         own = np.isin(m, pos)
         m, a, b = m[own], a[own], b[own]
-        return cut.cut(raw, m), np.full(len(m), rid), np.full(len(m), doc), m, m - b, m - a
+        return cut.cut(raw, m, m - b, m - a), np.full(len(m), rid), np.full(len(m), doc), m, m - b, m - a
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("gram", pa.binary())])
@@ -351,7 +356,7 @@ def repeated_windows(texts: DataFrame, least: int, total: int, range_rows: int)
             for doc, rid, text, pos in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 parts.append(suffixes(doc, rid, text.as_py(), pos.values.to_numpy()))
                 size += len(parts[-1][3])
-                if size >= 250_000:
+                if size >= 150_000:
                     yield from send()
                     parts, size = [], 0
         if size:
