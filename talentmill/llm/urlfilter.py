@@ -1,21 +1,28 @@
 """URL filter by path-template trees (operator 8), DataFrame functions only.
 
 Rules (host, path prefix) decide first, the longest that fits. Other URLs are judged by the
-method: each host has a tree of path segments. Counts are aggregated per distinct masked path
-before anything else. Level by level, a segment becomes a wildcard where it looks like an
-identifier, or where its parent has many children for its rows. A branch's labelled purity is
-smoothed towards its parent's; branches whose labelled shares do not differ from the parent's
-beyond ``z`` standard errors are merged into the parent's estimate. A template is rejected when
-its smoothed purity of bad labels reaches ``reject_at``.
+method: each host has a tree of all its path segments. Counts are aggregated per distinct masked
+path before anything else. Level by level, a segment becomes a wildcard where it looks like an
+identifier, or where its parent has many children for its rows; levels are added while a branch
+has enough paths for that. Then, from domains down to templates, labelled branches of one parent
+whose bad shares do not differ beyond ``z`` standard errors are pooled, and a pool's share is
+smoothed towards what its parent hands down. A branch hands its share down only if its labels span
+its children (two of them and a part ``span`` of all; a domain's also the first segments of its
+paths); else it hands down what it got. So a rule's single branch says nothing about its siblings.
+A template is rejected when its smoothed purity of bad labels reaches ``reject_at``.
+
+The start is ``prior``, below ``reject_at``, if rules are the labels, as these are no sample of the
+pages; given labels are one and start from their share.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, fits no rule and takes
-the root's estimate; hosts without labels take the estimate of their parent domain, else of all;
-repeated rows count each; an empty table gives an empty result; other columns are ignored.
+the estimate of its empty template; hosts without labels take what their parent domain hands down;
+repeated rows count each; an empty table gives an empty result; other columns are ignored. Eight
+paths that share a prefix of n segments cost n rounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentmill.llm._common import materialise
@@ -49,9 +56,8 @@ def mask(segment: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, tail)).otherwise(segment)
 
 
-def segments(path: Column, depth: int) -> list[Column]:
-    parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    return [F.when(F.size(parts) > i, mask(F.get(parts, F.lit(i)))).otherwise("") for i in range(depth)]
+def segments(path: Column) -> Column:
+    return F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), mask)
 
 
 def domain_of(host: Column) -> Column:
@@ -66,50 +72,91 @@ def smoothed(bad: Column, n: Column, parent: Column, strength: float, z: float)
     return F.when(differs, raw).otherwise(parent)
 
 
-def templates(paths: DataFrame, depth: int, least_children: int, variety: float) -> DataFrame:
-    """``paths`` (host, s0.., n, ...) with columns t0.. in which variable segments are wildcards.
+def joined(parts: Column) -> Column:
+    return F.concat(F.lit("/"), F.array_join(parts, "/"))
+
+
+def templates(paths: DataFrame, least_children: int, variety: float) -> DataFrame:
+    """``paths`` (host, s, n, ...) with the array t, in which variable segments of s are wildcards.
 
     Input rows are distinct masked paths with counts, not pages, so that hot hosts stay small."""
-    out = paths
-    for i in range(depth):
-        above = ["host", *(f"t{j}" for j in range(i))]
-        branch = out.where(F.col(f"s{i}") != "").groupBy(*above, f"s{i}").agg(F.sum("n").alias("n"))
-        wide = branch.groupBy(*above).agg(F.count("*").alias("children"), F.sum("n").alias("rows")).where((F.col("children") >= least_children) & (F.col("children") >= variety * F.col("rows"))).select(*above, F.lit(True).alias("wide"))
-        out = materialise(out.join(wide, above, "left").withColumn(f"t{i}", F.when(F.col("wide") & (F.col(f"s{i}") != ""), "*").otherwise(F.col(f"s{i}"))).drop("wide"))
-    return out
-
-
-def purity(found: DataFrame, depth: int, strength: float, z: float) -> DataFrame:
-    """(domain, host, t0.., purity) of every template: each level's estimate is smoothed towards the one above."""
-    keys = ["domain", "host", *(f"t{i}" for i in range(depth))]
-    leaves = materialise(found.groupBy(*keys).agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")))
-    base = leaves.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled")).first()
-    out = None
-    for i in range(len(keys)):
-        sums = leaves.groupBy(*keys[: i + 1]).agg(F.sum("bad").cast("double").alias("b"), F.sum("labelled").cast("double").alias("k"))
-        above = sums.withColumn("p", F.lit((base.bad + 0.5) / (base.labelled + 1.0))) if out is None else sums.join(out, keys[:i])
-        out = above.select(*keys[: i + 1], smoothed(F.col("b"), F.col("k"), F.col("p"), strength, z).alias("p"))
-    return out.withColumnRenamed("p", "purity")
-
-
-def judge(pages: DataFrame, rules=RULES, depth: int = 3, least_children: int = 8, variety: float = 0.5, strength: float = 4.0, z: float = 2.0, reject_at: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
+    out, level = materialise(paths.withColumn("t", F.array().cast("array<string>"))), 0
+    while True:
+        longer, segment = F.size("s") > level, F.get("s", F.lit(level))
+        if out.where(longer).groupBy("host", "t").count().where(F.col("count") >= least_children).isEmpty():  # too few paths for a wildcard
+            return out.withColumn("t", F.when(longer, F.concat("t", F.slice("s", level + 1, 1 << 30))).otherwise(F.col("t")))
+        branch = out.where(longer).groupBy("host", "t", segment.alias("segment")).agg(F.sum("n").alias("n"))
+        wide = branch.groupBy("host", "t").agg(F.count("*").alias("children"), F.sum("n").alias("rows")).where((F.col("children") >= least_children) & (F.col("children") >= variety * F.col("rows"))).select("host", "t", F.lit(True).alias("wide"))
+        grown = F.concat("t", F.array(F.when(F.col("wide"), "*").otherwise(segment)))
+        out = materialise(out.join(wide, ["host", "t"], "left").withColumn("t", F.when(longer, grown).otherwise(F.col("t"))).drop("wide"))
+        level += 1
+
+
+def pooled(nodes: DataFrame, z: float, bins: int = 16) -> DataFrame:
+    """``nodes`` (up, b, k, ...) with the labels ``pb`` of ``pk`` of their pool: siblings of like share, then neighbouring
+    shares that do not differ. A parent's shares are at most ``bins`` + 1 rows, however many its children."""
+    nodes = nodes.withColumn("bin", F.floor(bins * F.try_divide("b", "k")))
+    by_share = nodes.where("k > 0").groupBy("up", "bin").agg(F.sum("b").alias("b"), F.sum("k").alias("k"))
+    order = Window.partitionBy("up").orderBy("bin")
+    b, k = F.lag("b").over(order), F.lag("k").over(order)
+    both = (b + F.col("b")) / (k + F.col("k"))
+    error = F.sqrt(F.greatest(both * (1 - both), F.lit(0.05)) * (1 / k + 1 / F.col("k")))
+    apart = F.coalesce((F.abs(F.col("b") / F.col("k") - b / k) > z * error).cast("int"), F.lit(0))
+    pools = by_share.withColumn("apart", apart).withColumn("pool", F.sum("apart").over(order))
+    whole = Window.partitionBy("up", "pool")
+    return nodes.join(pools.select("up", "bin", F.sum("b").over(whole).alias("pb"), F.sum("k").over(whole).alias("pk")), ["up", "bin"], "left").drop("bin")
+
+
+def purity(found: DataFrame, strength: float, z: float, prior: float, span: float) -> DataFrame:
+    """(host, t, purity) of every template, from domains down until each branch is one template."""
+    leaves = found.groupBy("domain", "host", "t").agg(F.sum("bad").cast("double").alias("bad"), F.sum("labelled").cast("double").alias("labelled"))
+    state = materialise(leaves.select("*", F.lit(float(prior)).alias("given"), F.lit(None).cast("double").alias("purity")))
+
+    def spans(child: Column) -> Column:
+        known = F.count_distinct(F.when(F.col("labelled") > 0, child))
+        return (known >= 2) & (known >= span * F.count_distinct(child))
+
+    level = 0
+    while True:
+        first = F.coalesce(F.get("t", F.lit(0)), F.lit(""))
+        if level == 0:
+            node, up, reaches = F.col("domain"), F.lit(""), spans(F.col("host")) & spans(first)
+        elif level == 1:
+            node, up, reaches = F.col("host"), F.col("domain"), spans(first)
+        else:
+            node, up = (F.concat("host", joined(F.slice("t", 1, i))) for i in (level - 1, level - 2))
+            up, reaches = F.col("host") if level == 2 else up, spans(F.coalesce(F.get("t", F.lit(level - 1)), F.lit("")))
+        named = state.where("purity is null").withColumn("node", node).withColumn("up", up)
+        nodes = named.groupBy("up", "node").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("k"), F.first("given").alias("g"), F.count("*").alias("leaves"), reaches.alias("reaches"))
+        nodes = pooled(nodes, z).withColumn("p", F.when(F.col("k") > 0, smoothed(F.col("pb"), F.col("pk"), F.col("g"), strength, z)).otherwise(F.col("g")))
+        handed = nodes.select("up", "node", F.when(F.col("reaches"), F.col("p")).otherwise(F.col("g")).alias("handed"), F.when(F.col("leaves") == 1, F.col("p")).alias("own"))
+        moved = named.join(handed, ["up", "node"]).select("domain", "host", "t", "bad", "labelled", F.col("handed").alias("given"), F.col("own").alias("purity"))
+        state = materialise(state.where("purity is not null").unionByName(moved))
+        level += 1
+        if state.where("purity is null").isEmpty():
+            return state.select("host", "t", "purity")
+
+
+def judge(pages: DataFrame, rules=RULES, least_children: int = 8, variety: float = 0.5, strength: float = 4.0, z: float = 2.0, reject_at: float = 0.5, prior: float = 0.25, span: float = 0.5, labelled: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every page.
 
     Labels of the tree are the pages that rules decide, or ``labelled`` (url, bad 0/1)."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    keys = ["host", *(f"s{i}" for i in range(depth))]
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), *(c.alias(f"s{i}") for i, c in enumerate(segments(F.col("path"), depth))))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), joined(segments(F.col("path"))).alias("masked"))
+    zero = F.lit(0).cast("long")
     if labelled is None:
-        votes = rows.select(*keys, F.col("ruled").isNotNull().cast("long").alias("labelled"), (F.coalesce("ruled", F.lit("")) == "block").cast("long").alias("bad"), F.lit(1).alias("n"))
+        votes = rows.select("host", "masked", F.col("ruled").isNotNull().cast("long").alias("labelled"), (F.coalesce("ruled", F.lit("")) == "block").cast("long").alias("bad"), F.lit(1).alias("n"))
     else:
-        known = labelled.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("bad").cast("long").alias("bad"))
-        known = known.select("host", *(c.alias(f"s{i}") for i, c in enumerate(segments(F.col("path"), depth))), F.lit(1).cast("long").alias("labelled"), "bad", F.lit(0).alias("n"))
-        votes = rows.select(*keys, F.lit(0).cast("long").alias("labelled"), F.lit(0).cast("long").alias("bad"), F.lit(1).alias("n")).unionByName(known)
-    counted = votes.groupBy(*keys).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum("n").alias("n")).withColumn("domain", domain_of(F.col("host")))
-    found = templates(counted, depth, least_children, variety)
-    table = found.join(purity(found, depth, strength, z), ["domain", "host", *(f"t{i}" for i in range(depth))])
-    named = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*(F.col(f"t{i}") for i in range(depth))), lambda t: t != ""), "/"))
+        known = labelled.select(host_of(F.col("url")).alias("host"), joined(segments(path_of(F.col("url")))).alias("masked"), F.lit(1).cast("long").alias("labelled"), F.col("bad").cast("long").alias("bad"), F.lit(0).alias("n"))
+        votes = rows.select("host", "masked", zero.alias("labelled"), zero.alias("bad"), F.lit(1).alias("n")).unionByName(known)
+        base = labelled.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("*").alias("n")).first()
+        prior = (base.bad + 0.5) / (base.n + 1.0)
+    counted = votes.groupBy("host", "masked").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    counted = counted.withColumn("domain", domain_of(F.col("host"))).withColumn("s", F.filter(F.split("masked", "/", -1), lambda x: x != ""))
+    found = templates(counted, least_children, variety)
+    table = found.join(purity(found, strength, z, prior, span), ["host", "t"])
     by_tree = F.when(F.col("purity") >= reject_at, "block").otherwise("allow")
-    return rows.join(table.select(*keys, named.alias("template"), "purity"), keys, "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_tree).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+    table = table.select("host", "masked", joined(F.col("t")).alias("template"), "purity")
+    return rows.join(table, ["host", "masked"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_tree).alias("verdict"), "template", F.round("purity", 6).alias("purity"))

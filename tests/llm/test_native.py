@@ -114,6 +114,21 @@ def test_url_templates_learn(spark):
     assert got[0].template == "/spam/{n}" and got[100].template == "/news/*"
 
 
+def test_url_rule_of_one_branch_does_not_reach_its_siblings(spark):
+    paths = [f"http://{h}example.com/{lang}/{i}{end}" for h in ("", "m.shop.", "www.") for lang in ("de", "en", "fr", "es") for i in range(20) for end in ("", ".html")]
+    got = urlfilter.judge(spark.createDataFrame([*enumerate(paths)], "page_id long, url string")).collect()
+    assert {(r.path[1:3], r.verdict) for r in got} == {("de", "block"), ("en", "allow"), ("fr", "allow"), ("es", "allow")}
+
+
+def test_url_tree_has_all_segments_and_pools_siblings(spark):
+    deep = [(f"http://h.test/a/b/c/d/{kind}/{i}", int(kind == "spam")) for kind in ("spam", "news") for i in range(40)]
+    pool = [(f"http://p.test/{kind}/{i}", bad) for kind, n, bad in (("x", 30, 1), ("y", 1, 1), ("z", 90, 0)) for i in range(n)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(deep + pool)], "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.judge(pages, rules=(), labelled=spark.createDataFrame(deep + pool, "url string, bad int")).collect()}
+    assert [got[i].verdict for i in range(len(deep + pool))] == ["block" if bad else "allow" for _, bad in deep + pool]
+    assert got[0].template == "/a/b/c/d/spam/{n}"
+
+
 @pytest.mark.parametrize("url,mask", [("http://h/2024-01/a.html", "/{d}/a.html"), ("http://h/12.html", "/{n}.html")])
 def test_masks(spark, url, mask):
     assert urlfilter.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).first().template == mask
