@@ -2,11 +2,12 @@
 
 Documents are tokenised once. Shards are ranges of a lexical key (two minima of hashed token
 ids, then the id), so that documents with common words meet in one shard and no key, however
-hot, overfills one. A shard is read in blocks; each block has a BM25 inverted index over its
-token ids, whose document frequencies come from all documents (one entry a vocabulary id, a
-fixed bound). A seed document opens a window; the index returns its unused neighbours by score,
-and they fill the window greedily; the document that overflows is cut and seeds the next window.
-What is left at a shard's end is dealt into windows of powers of two, which need no padding.
+hot, overfills one; a range of more than ``shard_tokens`` ids is cut into runs of at most that and
+at least half of it. Each shard has one BM25 inverted index over its token ids, whose document
+frequencies come from all documents (one entry a vocabulary id, a fixed bound). A seed document
+opens a window; the index scores all unused documents of the shard by all of the seed's terms, and
+the best fill the window greedily; the document that overflows is cut and seeds the next window.
+What is left at a range's end is dealt into windows of powers of two, which need no padding.
 
 Edge cases: a null or empty text is its end id alone; a document longer than the window spans
 several; repeated rows are packed one by one; an empty table gives an empty result; other
@@ -116,34 +117,57 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype) -> DataFrame:
 
 
 class Index:
-    """BM25 inverted index of a block."""
-
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        found = [np.unique(d, return_counts=True) for d in docs]
-        sizes = np.array([len(t) for t, _ in found])
-        term = np.concatenate([t for t, _ in found]).astype(np.int64)
-        tf = np.concatenate([c for _, c in found]).astype(np.float32)
-        doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
-        long = np.array([len(d) for d in docs], np.float32) / mean
+    """BM25 inverted index of a shard. Terms in an eighth of its documents or more have a row of all weights instead of a list."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray, idf: np.ndarray, mean: float):
+        n, terms = len(ends) - 1, len(idf)
+        key = np.repeat(np.arange(n, dtype=np.int64) * terms, np.diff(ends)) + flat
+        key.sort()
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        tf = np.diff(np.append(at, len(key))).astype(np.float32)
+        key = key[at]
+        doc = (key // terms).astype(np.int32)
+        self.terms = term = (key % terms).astype(np.int32)
+        self.ends = np.searchsorted(doc, np.arange(n + 1))
+        long = np.diff(ends).astype(np.float32) / np.float32(mean)
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * long[doc]))).astype(np.float32)
-        self.terms, self.weights, self.ends = term, weight, np.append(0, np.cumsum(sizes))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.begins = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.n = len(docs)
-
-    def neighbours(self, seed: int, unused: np.ndarray, n_terms: int) -> np.ndarray:
-        """Unused documents that share words with the seed, best first; ties by place in the block."""
-        a, b = self.ends[seed], self.ends[seed + 1]
-        terms = self.terms[a:b]
-        if b - a > n_terms:
-            terms = terms[np.argpartition(-self.weights[a:b], n_terms)[:n_terms]]
-        scores = np.zeros(self.n, np.float32)
-        for t in terms:
+        self.begins = np.append(0, np.cumsum(np.bincount(term, minlength=terms)))
+        self.place = np.arange(n)  # documents still held, in order
+        self.rows: dict[int, np.ndarray] = {}
+        for t in np.flatnonzero(8 * np.diff(self.begins) >= max(n, 64)).tolist():
             i, j = self.begins[t], self.begins[t + 1]
-            scores[self.doc[i:j]] += self.weight[i:j]
-        near = np.flatnonzero((scores > 0) & unused)
-        return near[np.argsort(-scores[near], kind="stable")]
+            self.rows[t] = np.zeros(n, np.float32)
+            self.rows[t][self.doc[i:j]] = self.weight[i:j]
+
+    def drop_used(self, unused: np.ndarray) -> None:
+        alive = unused[self.place]
+        local = np.cumsum(alive, dtype=np.int32) - 1
+        kept = alive[self.doc]
+        self.begins = np.append(0, np.cumsum(kept))[self.begins]
+        self.doc, self.weight, self.place = local[self.doc[kept]], self.weight[kept], self.place[alive]
+        for t, row in self.rows.items():
+            self.rows[t] = row[alive]
+
+    def neighbours(self, seed: int, unused: np.ndarray, most: int) -> np.ndarray:
+        """The best ``most`` unused documents that share words with the seed, best first; ties by place in the shard."""
+        scores = np.zeros(len(self.place), np.float32)
+        for t in self.terms[self.ends[seed] : self.ends[seed + 1]].tolist():
+            row = self.rows.get(t)
+            if row is not None:
+                scores += row
+                continue
+            i, j = self.begins[t], self.begins[t + 1]
+            if j > i:
+                scores[self.doc[i:j]] += self.weight[i:j]
+        near = np.flatnonzero((scores > 0) & unused[self.place])
+        if len(near) > most:
+            own = scores[near]
+            least = np.partition(own, len(near) - most)[len(near) - most]
+            above = near[own > least]
+            near = np.sort(np.append(above, near[own == least][: most - len(above)]))
+        return self.place[near[np.argsort(-scores[near], kind="stable")]]
 
 
 class Packer:
@@ -181,8 +205,10 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, shard_tokens: int = 4_000_000, block_tokens: int = 2_000_000, block_docs: int = 1024, n_terms: int = 24, most_shards: int = 100_000) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, 4 bytes each)."""
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, shard_tokens: int = 4_000_000, block_docs: int | None = None, most_shards: int = 100_000) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, 4 bytes each).
+
+    ``block_docs``, if given, bounds a shard's documents too."""
     spark = docs.sparkSession
     kind = piece_ids(tokenizer_path).kind
     tokens = materialise(tokenised(docs, tokenizer_path, end_id))
@@ -195,57 +221,81 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     mean = max(1.0, total / max(1, n_docs))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
-    def block_rows(packer: Packer, ids: list[np.ndarray], carry: list) -> list[tuple]:
-        """Pack a block; its documents count from len(carry)."""
-        index, unused = Index(ids, shared.value, mean), np.ones(len(ids), bool)
-        base, nearest = len(carry), iter(())
-        todo = 0
-        while True:
-            doc = next((int(d) for d in nearest if unused[d]), -1)
+    def fill(packer: Packer, flat: np.ndarray, ends: np.ndarray, base: int) -> Iterator[None]:
+        """Pack a shard, whose documents count from ``base``; stops now and then for full windows to be taken."""
+        sizes = np.diff(ends)
+        index, unused = Index(flat, ends, shared.value, mean), np.ones(len(sizes), bool)
+        n_unused, nearest, todo = len(sizes), iter(()), 0
+        while n_unused:
+            doc = next((d for d in nearest if unused[d]), -1)
             fresh = doc < 0
             if fresh:
-                while todo < len(ids) and not unused[todo]:
+                while not unused[todo]:
                     todo += 1
-                if todo == len(ids):
-                    return packer.rows
                 doc = todo
             before = packer.sequence
             unused[doc] = False
-            packer.put(base + doc, len(ids[doc]))
+            n_unused -= 1
+            packer.put(base + doc, int(sizes[doc]))
             if packer.sequence != before or fresh:  # a new window, or no neighbours left: this document is the seed
-                nearest = iter(index.neighbours(doc, unused, n_terms))
+                if 2 * n_unused < len(index.place):
+                    index.drop_used(unused)
+                nearest = iter(index.neighbours(doc, unused, window).tolist())  # a window has no room for more: each has an id at least
+                if len(packer.rows) >= 4096:
+                    yield
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         open_docs: list[tuple] = []  # (doc_id, ids) of the window not yet full
-        open_rows: list[tuple] = []
-
-        def flush(held: list[tuple], last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal open_docs, open_rows
-            known = [*open_docs, *held]
-            packer.rows = list(open_rows)
-            if held:
-                block_rows(packer, [x for _, x in held], open_docs)
-            rows = packer.rows
-            done = [r for r in rows if r[3] < packer.sequence]
-            left = [r for r in rows if r[3] == packer.sequence]
+        names: list[int | None] = []  # documents read and not yet packed
+        held: list[bytes] = []
+
+        def taken(rows: list[tuple], known) -> pa.RecordBatch:
+            found = [known(r[0]) for r in rows]
+            parts = [ids[s : s + n].astype("<u4").tobytes() for (_, ids), (_, s, n, *_) in zip(found, rows, strict=True)]
+            return batch(schema, [x[0] for x in found], [r[1] for r in rows], [r[2] for r in rows], [zlib.crc32(x) for x in parts], [len(x[1]) for x in found], [r[3] for r in rows], [r[4] for r in rows], parts)
+
+        def flush(n: int, last: bool) -> Iterator[pa.RecordBatch]:
+            """Pack the first ``n`` documents read."""
+            nonlocal open_docs
+            own, flat = names[:n], np.frombuffer(b"".join(held[:n]), kind)
+            ends = np.append(0, np.cumsum([len(x) // kind.itemsize for x in held[:n]], dtype=np.int64))
+            del names[:n], held[:n]
+            base = len(open_docs)
+
+            def known(d: int) -> tuple:
+                return open_docs[d] if d < base else (own[d - base], flat[ends[d - base] : ends[d - base + 1]])
+
+            for _ in fill(packer, flat, ends, base) if n else ():
+                yield taken([r for r in packer.rows if r[3] < packer.sequence], known)
+                packer.rows = [r for r in packer.rows if r[3] == packer.sequence]
+            done, left = ([r for r in packer.rows if (r[3] < packer.sequence) == full] for full in (True, False))
             if last:
                 done, left = done + packer.close(left), []
-            parts = [known[d][1][s : s + n].astype("<u4").tobytes() for d, s, n, *_ in done]
-            yield batch(schema, [known[r[0]][0] for r in done], [r[1] for r in done], [r[2] for r in done], [zlib.crc32(p) for p in parts], [len(known[r[0]][1]) for r in done], [r[3] for r in done], [r[4] for r in done], parts)
+            yield taken(done, known)
             keep = sorted({r[0] for r in left})
             place = {d: i for i, d in enumerate(keep)}
-            open_docs, open_rows = [known[d] for d in keep], [(place[r[0]], *r[1:]) for r in left]
+            open_docs, packer.rows = [(known(d)[0], known(d)[1].copy()) for d in keep], [(place[r[0]], *r[1:]) for r in left]
+
+        def reach(most: int) -> int:
+            """The number of first documents that have ``most`` ids together at most; one at least."""
+            sizes = np.cumsum([len(x) // kind.itemsize for x in held])
+            return max(1, int(np.searchsorted(sizes, most, "right")))
 
-        held, size = [], 0
+        size = 0
         for b in batches:
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.append((doc_id, np.frombuffer(raw.as_py(), kind)))
-                size += len(held[-1][1])
-                if len(held) >= block_docs or size >= block_tokens:
-                    yield from flush(held, False)
-                    held, size = [], 0
-        yield from flush(held, True)
+                names.append(doc_id)
+                held.append(raw.as_py())
+                size += len(held[-1]) // kind.itemsize
+                if size >= 2 * shard_tokens or block_docs and len(held) >= block_docs:
+                    yield from flush(reach(shard_tokens), False)
+                    size = sum(map(len, held)) // kind.itemsize
+        if size > shard_tokens:
+            yield from flush(reach(size // 2), False)
+            while sum(map(len, held)) > shard_tokens * kind.itemsize:
+                yield from flush(reach(shard_tokens), False)
+        yield from flush(len(held), True)
 
     shards = max(1, min(most_shards, -(-total // shard_tokens)))
     dealt = tokens.repartitionByRange(shards, "low", "next", "doc_id").sortWithinPartitions("low", "next", "doc_id", "n") if n_docs else tokens

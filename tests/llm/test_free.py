@@ -70,6 +70,42 @@ def test_packing_puts_like_with_like(spark):
     assert sum(len(s) for s in near.values()) / len(near) < 3
 
 
+def test_packing_finds_neighbours_in_the_whole_shard(spark):
+    from tests.llm.fixture import SCHEMA
+
+    words = [f"q{a}{b}" for a in "bcdfghjk" for b in "aeiou"]
+    # 75 documents a topic among 3000: more than a block of 1024 would hold together
+    docs = [(i, " ".join([f"rare{i % 40}x{j}" for j in range(40)] + [words[i % 40], f"own{i}"] + [f"u{(i * 31 + j) % 5000}" for j in range(60)]), "en", "s", 0, "") for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(docs, SCHEMA), WORD).collect()
+    near = defaultdict(list)
+    for r in got:
+        near[r.sequence_id].append(r.doc_id % 40)
+    alike = sum(Counter(x).most_common(1)[0][1] for x in near.values()) / sum(map(len, near.values()))
+    assert alike >= 0.9, alike
+
+
+def test_packing_scores_every_term():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 400, rng.integers(1, 300)) for _ in range(300)]
+    idf = rng.random(500).astype(np.float32) + 0.1
+    index = packing.Index(np.concatenate(docs), np.append(0, np.cumsum([len(d) for d in docs])), idf, 100.0)
+    unused = rng.random(300) < 0.7
+    for shrunk in (False, True):
+        if shrunk:
+            unused &= rng.random(300) < 0.4
+            index.drop_used(unused)
+        for seed in (0, 5, 77):
+            terms, want = set(docs[seed].tolist()), {}
+            for i in np.flatnonzero(unused):
+                tf = Counter(docs[i].tolist())
+                want[int(i)] = sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(docs[i]) / 100)) for t in terms if t in tf)
+            best = index.neighbours(seed, unused, 20).tolist()
+            scores = sorted((x for x in want.values() if x > 0), reverse=True)[:20]
+            assert len(best) == len(set(best)) == len(scores) and all(abs(want[d] - x) < 1e-3 * x for d, x in zip(best, scores, strict=True))
+
+
 def test_shards(spark):
     got = sharding.assign_shards(corpus(spark), n_shards=6, n_slots=256).collect()
     want = Counter((d, len((x or "").encode()) + 8, zlib.crc32((x or "").encode())) for d, x, *_ in rows())
