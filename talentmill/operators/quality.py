@@ -65,6 +65,13 @@ def coverage(jobs: DataFrame, job_skills: DataFrame, by: list[str] = ()) -> Data
     return out.select(*by, "total", "with_salary", "with_skills", "with_both", pct("with_salary"), pct("with_skills"), pct("with_both"))
 
 
+def available_skills(skills: DataFrame, job_skills: DataFrame, base: DataFrame) -> DataFrame:
+    """Skills with their numbers of jobs in ``base``: those no job has count 0, those only other jobs have are left out."""
+    used = job_skills.groupBy("skill_id", "job_id").agg(F.lit(True).alias("_u")).join(base.select("job_id", F.lit(True).alias("_b")), "job_id", "left")
+    counts = used.groupBy("skill_id").agg(F.count_if("_b").alias("_n"))
+    return skills.join(counts, "skill_id", "left").where("_n is null or _n > 0").select(*skills.columns, F.coalesce("_n", F.lit(0).cast("long")).alias("n"))
+
+
 def bridge_reconcile(jobs: DataFrame, job_skills: DataFrame, array: str) -> DataFrame:
     """Jobs whose skill array and bridge disagree on the number of skills."""
     bridged = job_skills.groupBy("job_id").agg(F.countDistinct("skill_id").alias("n_bridge"))

@@ -260,6 +260,25 @@ def agg16_available_skills(spark, d):
     return views.skills(spark, d).join(some, "skill_id", "left").groupBy("skill_id", "canonical_name").agg(F.countDistinct("job_id").alias("n"))
 
 
+ALL_COVER = COVER.replace(" WHERE skill_id < 9)", ")").replace("FROM v_jobs)", "FROM v_jobs WHERE is_active AND trim(title) <> '')")
+
+
+@query(f"SELECT {ALL_COVER}")
+def agg14_coverage_all(spark, d):
+    return quality.coverage(match.analytics_base(views.jobs(spark, d)), views.job_skills(spark, d))
+
+
+@query(f"SELECT role_family, {ALL_COVER} GROUP BY 1")
+def agg14_coverage_by_source_all(spark, d):
+    return quality.coverage(match.analytics_base(views.jobs(spark, d)), views.job_skills(spark, d), ["role_family"])
+
+
+@query("SELECT s.skill_id, s.canonical_name, count(DISTINCT j.job_id) AS n FROM v_skills s LEFT JOIN v_job_skills x ON x.skill_id = s.skill_id LEFT JOIN (SELECT job_id FROM v_jobs WHERE is_active AND trim(title) <> '') j ON j.job_id = x.job_id WHERE j.job_id IS NOT NULL OR x.job_id IS NULL GROUP BY 1, 2")
+def agg16_available_skills_all(spark, d):
+    known = views.skills(spark, d).select("skill_id", "canonical_name")
+    return quality.available_skills(known, views.job_skills(spark, d), match.analytics_base(views.jobs(spark, d)))
+
+
 @query("SELECT 'currency' AS field, currency AS value, count(*) AS n FROM v_jobs GROUP BY currency UNION ALL SELECT 'country', country, count(*) FROM v_jobs GROUP BY country UNION ALL SELECT 'remote', CAST(remote AS VARCHAR), count(*) FROM v_jobs GROUP BY remote UNION ALL SELECT 'role_family', role_family, count(*) FROM v_jobs GROUP BY role_family")
 def agg18_distributions(spark, d):
     return quality.distributions(views.jobs(spark, d), ["currency", "country", "remote", "role_family"])

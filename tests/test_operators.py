@@ -137,3 +137,24 @@ def test_clean_plan(spark, tmp_path):
     assert (r.salary_from, r.salary_to, r.currency, r.salary_mid_monthly) == (8000.0, 10000.0, "USD", 9000.0)
     assert (r.remote_type, r.city, r.country, r.skills, r.posting_language) == ("remote", None, "GERMANY", ["python", "sql"], "English")
     assert project(clean(raw)).columns[0] == "job_id"
+
+
+def test_coverage_counts_all_skills_and_active_jobs(spark, sf_dir):
+    import duckdb
+
+    from talentmill.operators import match
+
+    jobs = spark.createDataFrame([(1, 10, None, True, "a"), (2, None, None, True, "b"), (3, 5, 6, False, "c"), (4, 7, 8, True, " ")], "job_id long, salary_from long, salary_to long, is_active boolean, title string")
+    own = spark.createDataFrame([(1, 20, "x"), (1, 20, "y"), (1, 3, "x"), (3, 21, "x"), (4, 22, "x")], "job_id long, skill_id int, source_type string")
+    known = spark.createDataFrame([(3, "c"), (20, "t"), (21, "u"), (22, "v"), (23, "w")], "skill_id int, canonical_name string")
+    base = match.analytics_base(jobs)
+    assert sorted(map(tuple, quality.available_skills(known, own, base).collect())) == [(3, "c", 1), (20, "t", 1), (23, "w", 0)]
+    assert tuple(quality.coverage(base, own).first()) == (2, 1, 1, 1, 50.0, 50.0, 50.0)
+    db = duckdb.connect()
+    for name in ("orders", "customer", "nation", "lineitem", "part"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    for name in ("agg14_coverage_all", "agg14_coverage_by_source_all", "agg16_available_skills_all"):
+        got, sql = registry.QUERIES[name](spark, sf_dir), registry.ORACLE_SQL[name]
+        want = db.execute(sql)
+        assert got.columns == [c[0] for c in want.description]
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()), name
