@@ -10,6 +10,7 @@ from talentmill.functions import hashing as H
 from talentmill.functions import location as L
 from talentmill.functions import salary as S
 from talentmill.functions import text as X
+from talentmill.functions import values as V
 
 
 def each(spark, expression, values, kind="string"):
@@ -104,3 +105,36 @@ def test_ids(spark, name):
 def test_documents(spark):
     got = spark.range(1).select(H.vacancy_document(F.lit("senior"), F.lit("Dev"), F.lit("Acme"), F.lit("Spain"), F.lit("Vigo"), F.lit("remote"), F.array(F.lit("sql")), F.lit("Text")).alias("d"), H.query_text(F.lit("Dev"), F.lit("Senior"), F.array(F.lit("sql")), F.lit("Spain"), F.lit(5)).alias("q")).first()
     assert got.d == "passage: Senior Dev at Acme in Spain (Vigo). Format: Remote. Skills: sql. Text" and got.q == "query: Dev Senior Skills: sql in Spain 5 years experience"
+
+
+def monthly(low, high, currency, period):
+    """SAL-06 by brute force: month, year, week, day and hour in this order after the hint."""
+    months = {"month": 1.0, "year": 1.0 / 12.0, "week": 4.33, "day": 21.0, "hour": 160.0}
+    hint = {"annual": "year", "yearly": "year", "monthly": "month", "hourly": "hour", "daily": "day"}.get(period, period)
+    known = [float(v) for v in (low, high) if v is not None]
+    if not known:
+        return None, None
+    least, most = V.MONTHLY_BOUNDS.get(currency or "USD", V.DEFAULT_BOUNDS)
+    best, best_score = "month", float("inf")
+    for p in [hint] * (hint in months) + [p for p in months if p != hint]:
+        v = max(known) * months[p]
+        score = ((least - v) / least if v < least else (v - most) / most if v > most else 0.0) - 0.05 * (p == hint)
+        if score < best_score:
+            best, best_score = p, score
+    return tuple(None if v is None else float(round(v * months[best])) for v in (low, high))
+
+
+def test_to_monthly_of_all_amounts(spark, sf_dir):
+    amounts = [None, 0.0, 0.5, 7.0, 15.5, 40.0, 120.0, 333.3, 799.0, 800.0, 2500.0, 29_999.0, 30_001.0, 51_000.0, 360_001.0, 700_000.0, 5e6, 4e8]
+    rows = [(i, a, b, c, p) for i, (a, b, c, p) in enumerate((a, b, c, p) for a in amounts for b in amounts for c in (None, "USD", "RUB", "EUR") for p in (None, "hourly", "daily", "week", "monthly", "yearly", "other"))]
+    df = spark.createDataFrame(rows, "i long, a double, b double, c string, p string")
+    got = {r.i: tuple(r.m) for r in df.select("i", S.to_monthly(F.col("a"), F.col("b"), F.col("c"), F.col("p")).alias("m")).collect()}
+    assert [(r, got[r[0]], monthly(*r[1:])) for r in rows if got[r[0]] != monthly(*r[1:])][:5] == []
+
+
+def test_to_monthly_of_every_order(spark, sf_dir):
+    from talentmill import registry
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice").collect()
+    got = {r.o_orderkey: r.monthly for r in registry.QUERIES["sal06_to_monthly_all"](spark, sf_dir).collect()}
+    assert got == {r.o_orderkey: monthly(r.o_totalprice, r.o_totalprice, "USD", "yearly")[1] for r in orders}
