@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_WORKER: dict[tuple, Any] = {}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -40,3 +43,37 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def worker_cache(operator: str, key: object, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps for an operator: one value, made on first use. Workers are reused, so the value of
+    the operator or the parameters before is given back first."""
+    if (operator, key) not in _WORKER:
+        release()
+        _WORKER[operator, key] = make()
+    return _WORKER[operator, key]
+
+
+def release() -> None:
+    """Give back what this worker keeps."""
+    if _WORKER:
+        _WORKER.clear()
+        pa.default_memory_pool().release_unused()
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores added as no other column, in any case of letters, has."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once all that is made of them is written itself."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            spark = df.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.getName().startswith("talentmill-"):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,25 +11,33 @@ scanning the lists of a prefix; list lengths come from a frequency sketch of fix
 documents, which also orders the elements.
 
 Lists of at most ``near`` + 1 sets give all pairs that pass the size and position filters. Longer
-lists are taken in blocks of bounded size, twice: first they give a forest, pairs that join the
-classes found so far as far as the filters can tell; once these are verified, all pairs that pass
-the filters and whose ends are still in different classes. So large groups of copies give few
-pairs, and no link between classes is lost. Before any set is moved, a parity sketch of ODD bits
-drops pairs: each element that only one of two sets has flips one bit, so the sketches' distance
-never exceeds the sets'. What is left is verified exactly on the whole sets.
-Shingles and sets are 64-bit hashes.
-
-Edge cases: a null or wordless text has an empty set, no links and its own id as class; null ids
-take part (their class is null if no id is reachable); repeated rows are one set; an empty table
-gives an empty result; other columns are kept by ``one_of_each`` and ignored elsewhere.
+lists take three steps, each of which is verified before the next. In stars, every set of a list meets
+one of it, another one in each of a few turns. Then blocks meet blocks: a list is dealt by size and
+hash into blocks of about BLOCK sets, and those of like sizes are compared. The first time they give
+a forest, pairs that join the classes found so far as far as the filters can tell; the second time,
+all pairs that pass the filters and whose ends are still in different classes. So large groups of
+copies give few pairs, and no link between classes is lost. Lists that hold a great part of all
+entries are known from counts of each task and take these steps at once; no list, however long, is
+sorted or counted in one task.
+
+Before any set is moved, a parity sketch of ODD bits drops pairs: each element that only one of two
+sets has flips one bit, so the sketches' distance never exceeds the sets'. What is left is verified
+exactly on the whole sets. Shingles and sets are 64-bit hashes.
+
+Edge cases: a null or wordless text has an empty set, no links and its own id as class; a very long
+text is one set, held by one task at a time; equal sizes and elements of equal rarity are ordered by
+their hashes, classes are named by the least id; null ids take part (their class is null if no id is
+reachable); repeated rows are one set; an empty table gives an empty result; other columns are kept by
+``one_of_each``, whatever their names, and ignored elsewhere.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentmill.llm._common import batch, materialise, strings, text_or_empty
+from talentmill.llm._common import batch, discard, materialise, strings, text_or_empty, worker_cache
 from talentmill.llm.components import components
 
 U64 = np.uint64
@@ -48,16 +56,17 @@ ODD = 1024
 
 
 class WordHashes(dict):
+    """word -> hash, for the first ``room`` words of at most ``longest`` bytes."""
+
+    room, longest = 250_000, 40
+
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < self.room and len(word) <= self.longest:
             self[word] = h
         return h
 
 
-_WORDS = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(33))) * U64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> U64(29))) * U64(0xC4CEB9FE1A85EC53)
@@ -69,7 +78,7 @@ def shingles(text: str, k: int) -> np.ndarray:
     words = text.encode().lower().split()  # of bytes: A-Z, and blanks 9 to 13 and 32
     if not words:
         return np.zeros(0, U64)
-    ids = np.fromiter(map(_WORDS.__getitem__, words), U64, len(words))
+    ids = np.fromiter(map(worker_cache("jaccard", None, WordHashes).__getitem__, words), U64, len(words))
     k = min(k, len(words))
     n = len(words) - k + 1
     h = np.full(n, k, U64)
@@ -125,19 +134,19 @@ def rarity(docs: DataFrame, k: int, width: int) -> np.ndarray:
                 held = [shingles(t, k) >> shift for t in strings(b.column(0).slice(at, 1024))]
                 np.add.at(total, np.concatenate(held).astype(np.int64), 1)
         parts = total.astype("<u4").reshape(-1, min(per, width))
-        yield batch(schema, np.arange(len(parts)), [TaskContext.get().partitionId()] * len(parts), [p.tobytes() for p in parts])
+        yield batch(schema, np.arange(len(parts)), [TaskContext.get().partitionId()] * len(parts), [zlib.compress(p.tobytes(), 1) for p in parts])  # mostly noughts
 
     def add(t: pa.Table) -> pa.Table:
         v = np.zeros(min(per, width), np.int64)
         for x in t.column("v"):
-            v += np.frombuffer(x.as_py(), "<u4")
-        out = np.minimum(v, (1 << 32) - 1).astype("<u4").tobytes()
+            v += np.frombuffer(zlib.decompress(x.as_py()), "<u4")
+        out = zlib.compress(np.minimum(v, (1 << 32) - 1).astype("<u4").tobytes(), 1)
         return pa.Table.from_batches([batch(schema, [t.column("block")[0].as_py()], [0], [out])])
 
     kind = "block int, part long, v binary"
     parts = docs.select(text_or_empty()).mapInArrow(count, kind).withColumn("part", F.floor(F.col("part") / 256))
     sums = parts.groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind)
-    found = {r.block: np.frombuffer(r.v, "<u4") for r in sums.collect()}  # width numbers
+    found = {r.block: np.frombuffer(zlib.decompress(r.v), "<u4") for r in sums.collect()}  # width numbers
     return np.concatenate([found[i] for i in sorted(found)]) if found else np.zeros(width, "<u4")
 
 
@@ -210,6 +219,33 @@ def postings(sets: DataFrame) -> DataFrame:
     return sets.select("sid", "n", "subsets", "prefix").mapInArrow(spread, "key long, sid long, n int, pos int")
 
 
+def heavy_keys(sets: DataFrame, total: int, part: int = 2000, chunk: int = 500_000) -> DataFrame:
+    """Keys that hold more than one of ``part`` parts of all ``total`` entries, fewer than ``part``: by counts of chunks,
+    of which only those that are great for their chunk are sent. One that is missed costs time, no pair."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+
+        def great() -> pa.RecordBatch:
+            keys, n = np.unique(np.frombuffer(b"".join(rows), np.int64), return_counts=True)
+            many = n > max(16, size // (32 * part))
+            return batch(schema, keys[many], n[many])
+
+        for b in batches:
+            for column in b.columns:
+                for x in column:
+                    rows.append(x.as_py())
+                    size += len(rows[-1])
+                    if size >= 8 * chunk:
+                        yield great()
+                        rows, size = [], 0
+        yield great()
+
+    counts = sets.select("subsets", "prefix").mapInArrow(local, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return materialise(counts.where(F.col("n") * part > total).select("key"))
+
+
 def possible(bounds: Bounds, light: int, n1, p1, n2, p2):
     """May two sets match whose first common element is at these places of their prefixes (arrays)?"""
     left = np.minimum(n1 - np.maximum(p1, 0), n2 - np.maximum(p2, 0)).astype(np.int64)
@@ -218,11 +254,12 @@ def possible(bounds: Bounds, light: int, n1, p1, n2, p2):
 
 
 NONE = np.zeros(0, np.int64)
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
 
 def scan_lists(entries: DataFrame, bounds: Bounds, light: int, near: int) -> DataFrame:
-    """Candidate pairs (a, b) of lists of at most near + 1 sets; of each longer one only a row with its key."""
+    """Candidate pairs (a, b) of lists of at most near + 1 sets, and the entries (key, sid, n, pos) of longer ones."""
     order = Window.partitionBy("key").orderBy("n", "sid")
     ranked = entries.select("key", "sid", "n", "pos", (F.row_number().over(order) - 1).cast("long").alias("at"))
 
@@ -241,13 +278,14 @@ def scan_lists(entries: DataFrame, bounds: Bounds, light: int, near: int) -> Dat
                 first.append(sid[two - d])
                 second.append(sid[two])
             x, y = np.concatenate(first), np.concatenate(second)
-            yield batch(PAIR, np.minimum(x, y), np.maximum(x, y), pa.nulls(len(x), pa.int64()))
-            long = np.flatnonzero(at == near + 1)
-            long = key[long[long >= old]]
-            yield batch(PAIR, pa.nulls(len(long), pa.int64()), pa.nulls(len(long), pa.int64()), long)
-            held = [x[-near:] for x in rows]
+            yield batch(FOUND, np.minimum(x, y), np.maximum(x, y), *[pa.nulls(len(x), f.type) for f in [*FOUND][2:]])
+            fresh = np.arange(old, len(key))
+            turn = fresh[at[fresh] == near + 1]  # here a list turns out to be long: the rows before follow
+            long = np.append((turn[:, None] - np.arange(near + 1, -1, -1)).ravel(), fresh[at[fresh] > near + 1])
+            yield batch(FOUND, *[pa.nulls(len(long), pa.int64())] * 2, key[long], sid[long], n[long].astype(np.int32), pos[long].astype(np.int32))
+            held = [x[-near - 1 :] for x in rows]
 
-    return ranked.mapInArrow(scan, "a long, b long, key long")
+    return ranked.mapInArrow(scan, "a long, b long, key long, sid long, n int, pos int")
 
 
 def close(bounds: Bounds, n1, odd1, n2, odd2) -> np.ndarray:
@@ -273,18 +311,45 @@ def prune(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "odd_a", "n_b", "odd_b").mapInArrow(keep, "a long, b long")
 
 
-def scan_blocks(entries: DataFrame, roots: DataFrame, sets: DataFrame, bounds: Bounds, light: int, forest: bool) -> DataFrame:
-    """Pairs of long lists that pass the filters and whose ends are in different classes, in pairs of blocks
-    of bounded size. ``forest``: only as many as join those classes, were all of them links."""
+def if_few(table: DataFrame, most: int = 500_000) -> DataFrame:
+    """Broadcast hint for a table of at most ``most`` rows, which are counted; so rows of a hot key stay where they are."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of long lists with the classes found so far, but for lists of one class."""
     own = entries.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    lists = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("length")).where("x <> y").select("key", "length")
-    order = Window.partitionBy("key").orderBy("n", "sid")
-    placed = own.join(lists, "key").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / BLOCK)))).join(sets.select("sid", "odd"), "sid")
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "n", "sid", "pos", "root", "odd")
+    several = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return own.join(if_few(several), "key", "left_semi")
+
+
+def stars(own: DataFrame, bounds: Bounds, turn: int) -> DataFrame:
+    """Pairs of one set of each list and every other one of another class and possible size."""
+    centre = own.groupBy("key").agg(F.min_by(F.struct("sid", "n", "root"), F.xxhash64("sid", F.lit(turn))).alias("c"))
+    both = own.join(if_few(centre), "key").where("c.root <> root").where(F.least("n", "c.n") * bounds.den >= F.greatest("n", "c.n") * bounds.num)
+    return both.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
+
+
+def scan_blocks(own: DataFrame, sets: DataFrame, bounds: Bounds, light: int, forest: bool) -> DataFrame:
+    """Pairs of long lists that pass the filters and whose ends are in different classes, in pairs of blocks of
+    like sizes. ``forest``: only as many as join those classes, were all of them links."""
+    step = log(bounds.den / bounds.num * (1 + 1e-6)) if bounds.num < bounds.den else 1e-6  # partners are in the same band or the next
+    banded = own.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step))
+    order = Window.partitionBy("key").orderBy("band")  # of bands, of which a list has a bounded number
+    bands = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    beside = lambda c, k: F.when(c(F.col("band")).over(order) == F.col("band") + k, c(F.col("blocks")).over(order)).otherwise(0)
+    bands = bands.select("key", "band", "blocks", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
+    placed = banded.join(if_few(bands), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    name = lambda k, block: F.struct((F.col("band") + k).alias("band"), block.alias("block"))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    others = F.concat(*(F.transform(numbers(F.col(c)), lambda i, k=k: name(k, i)) for c, k in (("blocks", 0), ("below", -1), ("above", 1))))
+    dealt = placed.withColumn("mine", name(0, F.col("block"))).withColumn("other", F.explode(others)).join(sets.select("sid", "odd"), "sid")
+    meet = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select(meet.alias("meet"), side.alias("side"), "n", "sid", "pos", "root", "odd")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [*[NONE] * 8, np.zeros((0, ODD // 64), U64)]
+        held = [*[NONE] * 6, np.zeros((0, ODD // 64), U64)]  # the last two blocks that meet
         joined: dict[int, int] = {}  # of classes of this task, for the forest
 
         def find(x: int) -> int:
@@ -294,16 +359,14 @@ def scan_blocks(entries: DataFrame, roots: DataFrame, sets: DataFrame, bounds: B
 
         for b in batches:
             old = len(held[0])
-            now = [*(c.to_numpy() for c in b.columns[:8]), longs(b.column(8))]
-            key, lo, hi, block, n, sid, pos, root, odd = rows = [np.concatenate([x, c]) for x, c in zip(held, now, strict=True)]
+            now = [*(c.to_numpy() for c in b.columns[:6]), longs(b.column(6))]
+            meet, side, n, sid, pos, root, odd = rows = [np.concatenate([x, c]) for x, c in zip(held, now, strict=True)]
             label = np.array([find(x) for x in root.tolist()], np.int64) if joined else root.copy()
-            for d in range(1, 2 * BLOCK):
-                if len(key) <= d:
-                    break
-                same = (key[d:] == key[:-d]) & (lo[d:] == lo[:-d]) & (hi[d:] == hi[:-d])
+            for d in range(1, len(meet)):
+                same = meet[d:] == meet[:-d]
                 if not same.any():
                     break
-                second = np.flatnonzero(same & (label[d:] != label[:-d]) & ((block[d:] != block[:-d]) | (lo[d:] == hi[d:]))) + d
+                second = np.flatnonzero(same & (label[d:] != label[:-d]) & ((side[d:] != side[:-d]) | (side[d:] == 0))) + d
                 second = second[second >= old]
                 second = second[possible(bounds, light, n[second - d], pos[second - d], n[second], pos[second])]
                 second = second[close(bounds, n[second - d], odd[second - d], n[second], odd[second])]
@@ -318,36 +381,65 @@ def scan_blocks(entries: DataFrame, roots: DataFrame, sets: DataFrame, bounds: B
                     label = np.array([find(x) for x in label.tolist()], np.int64) if chosen else label
                 if len(second):
                     x, y = sid[second - d], sid[second]
-                    yield batch(PAIR, np.minimum(x, y), np.maximum(x, y), pa.nulls(len(x), pa.int64()))
-            held = [x[-2 * BLOCK :] for x in rows]
+                    yield batch(PAIR, np.minimum(x, y), np.maximum(x, y))
+            held = [x[np.searchsorted(meet, meet[-1]) :] if len(meet) else x for x in rows]
+
+    return dealt.repartition("meet").sortWithinPartitions("meet", "n", "sid").mapInArrow(cross, "a long, b long").distinct()
+
+
+PROBES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
+
+
+def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of each key (long) in a table of so many bits, a power of two."""
+    return [((mixed(keys.astype(U64) * p)) & U64(bits - 1)).astype(np.int64) for p in PROBES]
+
 
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "sid").mapInArrow(cross, "a long, b long, key long").select("a", "b").distinct()
+class MayHold:
+    """Bloom filter of longs: true for all that were put in, and for few others until it is full."""
 
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
-def bit_table(keys: DataFrame, most_bits: int = 1 << 24) -> np.ndarray:
-    """Bits set at the keys' places, at most ``most_bits``: a filter that lets more through when full, never less."""
-    n = keys.count()
-    bits = min(most_bits, max(1 << 12, 1 << (16 * n).bit_length()))
-    at = F.pmod(F.col("k"), F.lit(bits))
-    words = keys.select(F.floor(at / 32).alias("w"), F.pmod(at, F.lit(32)).cast("int").alias("i")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("v")).collect()
-    out = np.zeros(bits // 32, np.int64)
-    for r in words:
-        out[r.w] = r.v
-    return out
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        found = [(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1 for at in places(keys, 8 * len(self.bits))]
+        return found[0] & found[1] & found[2]
+
+    @classmethod
+    def of(cls, keys: DataFrame, most_bits: int = 1 << 28) -> MayHold:
+        """Of the column of longs of ``keys``, with 16 bits a key up to ``most_bits``; made in blocks of 64 KB."""
+        n, per = keys.count(), 1 << 19
+        bits = min(most_bits, max(per, 1 << (16 * n).bit_length()))
+        schema = pa.schema([("block", pa.int32()), ("v", pa.binary())])
+        place = pa.schema([("block", pa.int32()), ("at", pa.int32())])
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = np.concatenate(places(b.column(0).to_numpy(), bits))
+                yield batch(place, (at // per).astype(np.int32), (at % per).astype(np.int32))
+
+        def fill(t: pa.Table) -> pa.Table:
+            v = np.zeros(per, bool)
+            v[t.column("at").to_numpy()] = True
+            return pa.Table.from_batches([batch(schema, [t.column("block")[0].as_py()], [np.packbits(v, bitorder="little").tobytes()])])
+
+        out = np.zeros((bits // per, per // 8), np.uint8)
+        found = keys.mapInArrow(spread, "block int, at int").distinct()
+        for r in found.groupBy("block").applyInArrow(fill, "block int, v binary").collect():  # at most 512 blocks
+            out[r.block] = np.frombuffer(r.v, np.uint8)
+        return cls(out.reshape(-1))
 
 
 def whole_sets(needed: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """(sid, h): the sets that are needed, made again from the texts of one document each."""
     ids = needed.join(sets.select("sid", "doc"), "sid").select(F.xxhash64("doc").alias("k")).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_table(ids))  # of bounded size; lets others through, never fewer
+    wanted = docs.sparkSession.sparkContext.broadcast(MayHold.of(ids))  # of bounded size; lets others through, never fewer
     schema = pa.schema([("sid", pa.int64()), ("h", pa.binary())])
 
     def remake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
         for b in batches:
-            at = b.column(0).to_numpy() % (32 * len(bits))
-            b = b.filter(pa.array((bits[at // 32] >> (at % 32)) & 1 == 1))
-            for some in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
+            b = b.filter(pa.array(wanted.value(b.column(0).to_numpy())))
+            for some in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
                 h = [shingles(t, k) for t in strings(some.column(1))]
                 yield batch(schema, [set_key(x) for x in h], [x.tobytes() for x in h])
 
@@ -356,8 +448,10 @@ def whole_sets(needed: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> D
 
 
 def verify(pairs: DataFrame, whole: DataFrame, bounds: Bounds) -> DataFrame:
-    """Pairs whose whole sets are similar enough, with overlap and union size."""
-    both = pairs.join(whole.select(F.col("sid").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("sid").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
+    """Pairs whose whole sets are similar enough, with overlap and union size. Only sets of pairs are moved."""
+    pairs = materialise(pairs)
+    x, y = (whole.select(F.col("sid").alias(c), F.col("h").alias(h)).join(if_few(pairs.select(c).distinct()), c, "left_semi") for c, h in (("a", "x"), ("b", "y")))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     link = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64()), ("total", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +474,7 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, width: int = 1 << 22, near: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, width: int = 1 << 21, near: int = 8, turns: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the least id reachable over pairs of similarity num / den or more."""
     bounds = Bounds(num, den)
     sketch = rarity(docs, k, width)
@@ -388,23 +482,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, wid
     signed = materialise(signatures(docs, k, bounds, sketch, light))
     sets = materialise(signed.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("subsets").alias("subsets"), F.first("prefix").alias("prefix"), F.first("odd").alias("odd")))
     entries = postings(sets)
-    scanned = materialise(scan_lists(entries, bounds, light, near))
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("subsets") + F.octet_length("prefix")), F.lit(0)) / 8).first()[0]
+    heavy = F.broadcast(heavy_keys(sets, int(total)))  # fewer than 2000 keys
+    scanned = materialise(scan_lists(entries.join(heavy, "key", "left_anti"), bounds, light, near))
     pairs = materialise(prune(scanned.where("a is not null").select("a", "b").distinct(), sets, bounds))
-    long = materialise(entries.join(scanned.where("a is null").select("key").distinct(), "key", "left_semi"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(long.select("sid")).distinct()
+    long = materialise(scanned.where("a is null").select("key", "sid", "n", "pos").unionByName(entries.join(heavy, "key", "left_semi").select("key", "sid", "n", "pos")))
+    discard(scanned)
+    needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(long.select("sid")).distinct())
     whole = whole_sets(needed, docs, sets, k)
     links = verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), whole, bounds)  # a pair for each set first
     roots = components(links)
-    more = verify(apart(pairs, roots), whole, bounds)
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = components(links)
-    if not long.isEmpty():
-        for forest in (True, False):
-            more = verify(scan_blocks(long, roots, sets, bounds, light, forest), whole, bounds)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                roots = components(links)
+
+    def take(found: DataFrame) -> None:
+        """Verify pairs and join the classes of those that hold."""
+        nonlocal links, roots
+        more = verify(found, whole, bounds)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
+
+    take(apart(pairs, roots))
+    for turn in range(turns):
+        if long.isEmpty():
+            break
+        take(prune(stars(with_roots(long, roots), bounds, turn), sets, bounds))
+    for forest in (True, False) if not long.isEmpty() else ():
+        take(scan_blocks(with_roots(long, roots), sets, bounds, light, forest))
+    discard(pairs, long, needed, whole)
     classes = sets.select("sid", "doc").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = classes.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = classes.join(least, "root").select("sid", "component_id")
@@ -413,7 +517,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, wid
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class, that of the least id; rows without an id stay, equal rows become one."""
+    """``docs`` with one document of each class, that of the least id; rows without an id stay, equal rows become one.
+
+    Only rows whose id goes or repeats, as far as a table of bits can tell, are moved for that."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("other_id"))
     found = near_duplicates(docs.select("doc_id", "text"), **options)
-    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("other_id")).distinct()
-    return docs.join(others, docs["doc_id"].cast("long") == others["other_id"], "left_anti").dropDuplicates(["doc_id", "text"])
+    others = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("other_id")).distinct())
+    repeated = ids.groupBy("other_id").count().where("count > 1").select("other_id")
+    doubtful = docs.sparkSession.sparkContext.broadcast(MayHold.of(others.unionByName(repeated).select(F.xxhash64("other_id").alias("k"))))  # of bounded size
+
+    @F.arrow_udf("boolean")
+    def in_doubt(keys: pa.Array) -> pa.Array:
+        return pa.array(doubtful.value(keys.to_numpy()))
+
+    doubt = in_doubt(F.xxhash64(F.col("doc_id").cast("long")))
+    some = docs.where(doubt)
+    settled = some.join(others, some["doc_id"].cast("long") == others["other_id"], "left_anti").dropDuplicates(["doc_id", "text"])
+    return docs.where(~doubt).unionByName(settled)
