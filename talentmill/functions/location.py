@@ -1,4 +1,4 @@
-"""Country, city and URL rules as column expressions. Gazetteers are parameters with small defaults."""
+"""Country, city and URL rules as column expressions. Gazetteers are parameters."""
 
 from __future__ import annotations
 
@@ -7,39 +7,19 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from talentmill.functions import dictionaries as D
 from talentmill.functions.salary import lookup
-from talentmill.functions.text import is_missing
-
-# Place hints -> country, in order.
-COUNTRY_HINTS = {
-    "united states": "UNITED STATES", "usa": "UNITED STATES", "u.s.": "UNITED STATES", "us": "UNITED STATES", "canada": "CANADA",
-    "united kingdom": "UNITED KINGDOM", "uk": "UNITED KINGDOM", "england": "UNITED KINGDOM", "scotland": "UNITED KINGDOM",
-    "great britain": "UNITED KINGDOM", "germany": "GERMANY", "france": "FRANCE", "netherlands": "NETHERLANDS", "poland": "POLAND",
-    "spain": "SPAIN", "italy": "ITALY", "ireland": "IRELAND", "india": "INDIA", "singapore": "SINGAPORE", "australia": "AUSTRALIA",
-    "brazil": "BRAZIL", "japan": "JAPAN", "china": "CHINA", "russia": "RUSSIA", "россия": "RUSSIA", "kazakhstan": "KAZAKHSTAN",
-    "казахстан": "KAZAKHSTAN", "belarus": "BELARUS", "беларусь": "BELARUS", "uzbekistan": "UZBEKISTAN", "узбекистан": "UZBEKISTAN",
-    "ukraine": "UKRAINE", "украина": "UKRAINE", "berlin": "GERMANY", "munich": "GERMANY", "paris": "FRANCE", "london": "UNITED KINGDOM",
-    "new york": "UNITED STATES", "san francisco": "UNITED STATES", "москва": "RUSSIA", "moscow": "RUSSIA", "санкт-петербург": "RUSSIA",
-}
-US_STATES = "alabama alaska arizona arkansas california colorado connecticut delaware florida hawaii idaho illinois indiana iowa kansas kentucky louisiana maine maryland massachusetts michigan minnesota mississippi missouri montana nebraska nevada ohio oklahoma oregon pennsylvania tennessee texas utah vermont virginia washington wisconsin wyoming".split()
-US_ABBR = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split()
-CA_PROVINCES = ["alberta", "british columbia", "manitoba", "ontario", "quebec", "saskatchewan", "nova scotia", "new brunswick"]
-CA_ABBR = "AB BC MB NB NL NS ON PE QC SK".split()
-CITIES = {"москва": "MOSCOW", "moscow": "MOSCOW", "санкт-петербург": "SAINT PETERSBURG", "saint petersburg": "SAINT PETERSBURG", "минск": "MINSK", "алматы": "ALMATY", "ташкент": "TASHKENT", "berlin": "BERLIN", "london": "LONDON", "paris": "PARIS", "new york": "NEW YORK"}
-NOISE = ["remote", "hybrid", "onsite", "on-site", "anywhere", "worldwide", "global", "europe", "emea", "apac", "latam", "north america", "asia", "eu"]
-
+from talentmill.functions.text import first_keyword, is_missing, parse_array
 
 def _words(words: list[str]) -> str:
     return r"(?iU)(?<!\w)(?:" + "|".join(re.escape(w) for w in words) + r")(?!\w)"
 
 
-def country_from_text(c: Column, hints: dict[str, str] = COUNTRY_HINTS, compat: bool = False) -> Column:
-    """Country by hints in order, then states and provinces. Hints are whole words unless ``compat``."""
+def country_from_text(c: Column, hints: dict[str, str] = D.COUNTRY_HINTS, compat: bool = True) -> Column:
+    """Country by hints in order, then states and provinces. Hints stand anywhere, as whole words only without ``compat``."""
     t = F.lower(c)
-    out = F.when(t.rlike(_words(US_STATES)) | t.rlike(_words(US_ABBR)), "UNITED STATES").when(t.rlike("|".join(CA_PROVINCES)) | t.rlike(_words(CA_ABBR)), "CANADA")
-    for hint, country in reversed(hints.items()):
-        out = F.when(F.contains(t, F.lit(hint)) if compat else t.rlike(_words([hint])), country).otherwise(out)
-    return F.when(is_missing(c), None).otherwise(out)
+    other = F.when(t.rlike(_words(D.US_STATES)) | t.rlike(_words(D.US_ABBR)), "UNITED STATES").when(t.rlike("|".join(D.CA_PROVINCES)) | t.rlike(_words(D.CA_ABBR)), "CANADA")
+    return F.when(~is_missing(c), F.coalesce(first_keyword(c, hints, None, bounded=not compat), other))
 
 
 def strip_work_mode(c: Column) -> Column:
@@ -47,30 +27,39 @@ def strip_work_mode(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"(?i)\b(remote|hybrid|onsite|on-site)\b\s*$", ""), r"^[ \-–—,;/|]+|[ \-–—,;/|]+$", "")
 
 
-def city_of(c: Column, cities: dict[str, str] = CITIES, hints: dict[str, str] = COUNTRY_HINTS) -> Column:
+def city_of(c: Column, cities: dict[str, str] = D.CITIES, hints: dict[str, str] = D.COUNTRY_HINTS) -> Column:
     """City by exact part, by a known name inside the text, else the first part that is no noise, country or state and has at most three words."""
     text = strip_work_mode(c)
     parts = F.filter(F.transform(F.split(text, r"[,;|/]"), lambda p: F.regexp_replace(F.trim(p), r"^[ \-–—]+|[ \-–—]+$", "")), lambda p: p != "")
     exact = F.get(F.filter(F.transform(parts, lambda p: lookup(cities, F.lower(p))), lambda x: x.isNotNull()), F.lit(0))
-    inside = F.lit(None).cast("string")
-    for name, city in reversed(cities.items()):
-        inside = F.when(F.lower(text).rlike(_words([name])), city).otherwise(inside)
-    never = [*NOISE, *hints, *US_STATES, *(a.lower() for a in US_ABBR), *CA_PROVINCES, *(a.lower() for a in CA_ABBR)]
-    other = F.get(F.filter(parts, lambda p: ~F.lower(p).isin(*never) & (F.size(F.split(p, r"\s+")) <= 3)), F.lit(0))
+    inside = first_keyword(text, cities, None, bounded=True)
+    never = {*D.NOISE, *D.REGIONS, *hints, *(v.lower() for v in D.COUNTRY_NAMES.values()), "usa", "uk", "us", "uae", *D.US_STATES, *(a.lower() for a in (*D.US_ABBR, *D.CA_ABBR)), *D.CA_PROVINCES}
+    other = F.get(F.filter(parts, lambda p: ~F.lower(p).isin(*sorted(never)) & (F.size(F.split(p, r"\s+")) <= 3)), F.lit(0))
     return F.when(is_missing(c) | (text == ""), None).otherwise(F.coalesce(exact, inside, F.upper(other)))
 
 
-def infer_country(parsed: Column, given: Column, location: Column, description: Column, company: Column, aliases: dict[str, str] | None = None, companies: dict[str, str] | None = None) -> Column:
+def infer_country(parsed: Column, given: Column, location: Column, description: Column, company: Column, aliases: dict[str, str] = D.COUNTRY_NAMES, companies: dict[str, str] = D.COMPANY_COUNTRIES) -> Column:
+    """Parsed, else given country by its canonical name; else by hints in the location, in the description's first 800 characters, or the company."""
     own = F.upper(F.trim(F.coalesce(F.when(~is_missing(parsed), parsed), F.when(~is_missing(given), given))))
-    named = F.coalesce(lookup(aliases, own), own) if aliases else own
     by_company = [lookup(companies, F.lower(F.trim(company)))] if companies else []
-    return F.coalesce(named, country_from_text(location), country_from_text(F.left(description, F.lit(800))), *by_company)
+    return F.coalesce(lookup(aliases, own), own, country_from_text(location), country_from_text(F.left(description, F.lit(800))), *by_company) if aliases else F.coalesce(own, country_from_text(location), country_from_text(F.left(description, F.lit(800))), *by_company)
 
 
-def normalize_city(c: Column, cities: dict[str, str] = CITIES) -> Column:
+def normalize_city(c: Column, cities: dict[str, str] = D.CITIES) -> Column:
     return F.when(is_missing(c) | F.lower(F.trim(c)).isin("n/a", "na"), None).otherwise(F.coalesce(lookup(cities, F.lower(F.trim(c))), F.upper(F.trim(c))))
 
 
+def normalize_country(c: Column, names: dict[str, str] = D.COUNTRY_NAMES) -> Column:
+    return F.when(~is_missing(c), F.coalesce(lookup(names, F.upper(F.trim(c))), F.upper(F.trim(c))))
+
+
+def spoken_languages(own: Column, country: Column, languages: dict[str, list[str]] = D.LANGUAGES) -> Column:
+    """Array of languages: those given, else those of the country, else English."""
+    table = F.create_map(*(x for k, v in languages.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    given = F.when(~is_missing(own) & ~F.trim(own).isin("{}", "[]"), parse_array(own))
+    return F.coalesce(given, F.element_at(table, F.upper(F.trim(country))), F.array(F.lit("English")))
+
+
 def location_mentioned(text: Column, place: Column) -> Column:
     """The place, or its stem without up to two last letters, stands in the text."""
     t, p = F.lower(text), F.lower(F.trim(place))

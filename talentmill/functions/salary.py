@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from talentmill.functions import values as V
 from talentmill.functions.text import is_missing, parse_number
 
-# Number and currency tokens of pay patterns.
+# Number and currency tokens, and the pay patterns in order, as (pattern, groups of low, high and currencies).
 NUMBER = r"\d[\d\s,._]*(?:\.\d+)?(?:\s*[kKmM])?"
 TOKEN = r"(?:c\$|a\$|s\$|hk\$|us\$|£|€|\$|₽|₹|zł|₴|₸|¥|₩|₪|₺|USD|EUR|GBP|CAD|AUD|SGD|HKD|INR|RUB|RUR|PLN|UAH|KZT|JPY|KRW|CNY|RMB|BRL|MXN|ILS|NIS|TRY|AED|CHF|SEK|NOK|DKK|NZD|CZK|RON|HUF|BGN|ZAR)"
 DASH = r"\s*(?:-|–|—|to)\s*"
-#: (pattern, groups of low, high and currencies)
 TIERS = [
     (rf"({TOKEN})\s*({NUMBER}){DASH}({TOKEN})?\s*({NUMBER})", 2, 4, (1, 3)),
     (rf"({NUMBER}){DASH}({NUMBER})\s*({TOKEN})", 1, 2, (3,)),
@@ -51,37 +50,55 @@ def currency_in(c: Column) -> Column:
     return out
 
 
+def any_of(patterns: list[str], flags: str = "") -> str:
+    """One pattern for several."""
+    return flags + "(?:" + "|".join(patterns) + ")"
+
+
 def period_hint(c: Column) -> Column:
-    return reduce(lambda rest, kv: F.when(c.rlike(kv[1]), kv[0]).otherwise(rest), reversed(V.PERIOD_HINTS.items()), F.lit(None).cast("string"))
+    return reduce(lambda rest, kv: F.when(c.rlike(any_of(kv[1], "(?iU)")), kv[0]).otherwise(rest), reversed(V.PERIOD_HINTS.items()), F.lit(None).cast("string"))
 
 
-def _tier(text: Column, tier: tuple, safe: bool) -> Column:
-    """(low, high, currency, raw) of a tier's first match; with ``safe``, of the first match in fitting context."""
+def _read(raw: Column, tier: tuple, *others: Column) -> Column:
+    """Struct of low, high, currency and raw of a tier's match, which is bound once; null without two numbers."""
     pattern, low, high, marks = tier
-    found = rf"(?iu)({pattern})"
-    if not safe:
-        ok = text.rlike(found)
-        part = lambda g: F.regexp_extract(text, found, g + 1)
-        raw = F.regexp_extract(text, found, 1)
-    else:
-        spans = F.regexp_extract_all(text, F.lit(rf"(?isu).{{0,50}}?{pattern}.{{0,50}}"), F.lit(0))
-        yes = "(?iu)" + "|".join(re.escape(w) for w in V.PAY_WORDS)
-        best = F.get(F.filter(spans, lambda s: s.rlike(yes) & ~F.lower(s).rlike(V.NOT_PAY)), F.lit(0))
-        ok, raw = best.isNotNull(), F.regexp_extract(best, found, 1)
-        part = lambda g: F.regexp_extract(best, found, g + 1)
-    code = F.coalesce(*(token_currency(part(g)) for g in marks), currency_in(raw), *([] if safe else [currency_in(text)]))
-    a, b = parse_number(part(low)), parse_number(part(high))
-    return F.when(ok & a.isNotNull() & b.isNotNull(), F.struct(a.alias("low"), b.alias("high"), code.alias("currency"), raw.alias("raw")))
+
+    def fields(r: Column) -> Column:
+        part = lambda g: F.regexp_extract(r, f"(?iu){pattern}", g)
+        code = F.coalesce(*(token_currency(part(g)) for g in marks), currency_in(r), *others)
+        return F.struct(parse_number(part(low)).alias("low"), parse_number(part(high)).alias("high"), code.alias("currency"), r.alias("raw"))
+
+    return F.get(F.filter(F.transform(F.array(raw), fields), lambda s: s["low"].isNotNull() & s["high"].isNotNull()), F.lit(0))
+
+
+def _in_context(text: Column, pattern: str, pay: int = 50, other: int = 40) -> Column:
+    """First match with a pay word at most ``pay`` characters away and no benefit or business word within ``other``."""
+    outside, inside = F.split(text, f"(?iu){pattern}", -1), F.regexp_extract_all(text, F.lit(f"(?iu){pattern}"), F.lit(0))
+    each = F.arrays_zip(F.slice(outside, 1, F.size(inside)).alias("o"), inside.alias("m"))
+    yes, no = any_of([re.escape(w) for w in V.PAY_WORDS]), any_of(V.NOT_PAY)
+
+    def around(start: Column, end: Column, n: int) -> Column:
+        begin = F.greatest(start - n, F.lit(0))
+        return F.lower(F.substring(text, begin + 1, end + n - begin))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["o"])
+        end = start + F.length(x["m"])
+        fits = around(start, end, pay).rlike(yes) & ~around(start, end, other).rlike(no)
+        return F.struct(end.alias("at"), F.when(acc["best"].isNotNull(), acc["best"]).when(fits, x["m"]).alias("best"))
+
+    return F.aggregate(each, F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("best")), step, lambda acc: acc["best"])
 
 
 def salary_from_text(c: Column) -> Column:
     """Struct of low, high, currency and raw text: the first tier with a match."""
-    return F.coalesce(*(_tier(c, t, False) for t in TIERS))
+    return F.coalesce(*(_read(F.nullif(F.regexp_extract(c, f"(?iu){t[0]}", 0), F.lit("")), t, currency_in(c)) for t in TIERS))
 
 
 def salary_from_text_safe(c: Column) -> Column:
-    """The same, only where a pay word stands within 50 characters and no benefit or business word does."""
-    return F.coalesce(*(_tier(c, t, True) for t in (TIERS[0], TIERS[1], TIERS[3], TIERS[4])))
+    """The same, only where a pay word stands within 50 characters and no benefit or business word within 40; of a tier,
+    the first match with such surroundings."""
+    return F.coalesce(*(_read(_in_context(c, t[0]), t) for t in (TIERS[0], TIERS[1], TIERS[3], TIERS[4])))
 
 
 def bounds(currency: Column) -> tuple[Column, Column]:
@@ -155,7 +172,7 @@ def years_safe(c: Column, most: int = 15) -> Column:
         at = F.position(raw, t)
         begin = F.greatest(F.lit(1), at - 150)
         window = F.substring(t, begin, at - begin + F.length(raw) + 150)
-        ok = (raw != "") & a.between(1, most) & b.between(1, most) & ~window.rlike(V.EXPERIENCE_NOT) & window.rlike(V.EXPERIENCE_YES)
+        ok = (raw != "") & a.between(1, most) & b.between(1, most) & ~window.rlike(any_of(V.EXPERIENCE_NOT)) & window.rlike(any_of(V.EXPERIENCE_YES))
         return F.when(ok, F.struct(a.alias("low"), b.alias("high")))
 
     return F.coalesce(*(one(p, 2 if i == 0 else 1) for i, p in enumerate(V.EXPERIENCE)))
@@ -163,7 +180,7 @@ def years_safe(c: Column, most: int = 15) -> Column:
 
 def years_of_row(requirements: Column, nice: Column, description: Column) -> Column:
     """From requirements, then nice-to-have, then a description that has a section of requirements."""
-    return F.coalesce(years_safe(requirements), years_safe(nice), F.when(F.lower(description).rlike(V.EXPERIENCE_SECTIONS), years_safe(description)))
+    return F.coalesce(years_safe(requirements), years_safe(nice), F.when(F.lower(description).rlike(any_of(V.EXPERIENCE_SECTIONS)), years_safe(description)))
 
 
 def years_loose(c: Column, most: int = 25) -> Column:

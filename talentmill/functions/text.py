@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from talentmill.functions import dictionaries as D
 from talentmill.functions import values as V
 
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{1FA00}-\x{1FAFF}\x{2600}-\x{26FF}\x{FE00}-\x{FE0F}\x{200D}\x{23CF}-\x{23F3}\x{1F900}-\x{1F9FF}]+"
@@ -227,7 +228,7 @@ def suspicious_title(c: Column) -> Column:
     return is_missing(c) | (F.length(t) < 3) | t.rlike("|".join(V.SUSPICIOUS))
 
 
-def specialty(title: Column, phrases: list[str], patterns: list[tuple[str, str]] = ()) -> Column:
+def specialty(title: Column, phrases: list[str] = D.SPECIALTY_PHRASES, patterns: list[tuple[str, str]] = D.SPECIALTY_PATTERNS) -> Column:
     """Longest phrase, word-bounded, that stands in the title (by its own spelling), else the first pattern's label."""
     t = norm_query(title)
     ranked = sorted(dict.fromkeys(phrases), key=len, reverse=True)
@@ -240,6 +241,11 @@ def specialty(title: Column, phrases: list[str], patterns: list[tuple[str, str]]
     return F.when(is_missing(title), None).otherwise(out)
 
 
+def analytics_role(title: Column, phrases: list[str] = D.SPECIALTY_PHRASES) -> Column:
+    """Specialty by phrases, else by the narrower patterns without general labels."""
+    return specialty(title, phrases, D.ROLE_PATTERNS)
+
+
 def posting_language(c: Column) -> Column:
     """Russian if over 0.3 of the letters in the first 2000 characters are Cyrillic, else English."""
     t = F.left(c, F.lit(2000))
@@ -267,21 +273,52 @@ def layers(phrases: list[str]) -> list[list[str]]:
     return out
 
 
-def extract_skills(c: Column, skills: list[str], aliases: dict[str, str] | None = None) -> Column:
+def extract_skills(c: Column, skills: list[str] = D.SKILLS, aliases: dict[str, str] | None = None, contexts: dict[str, list[str]] | None = None) -> Column:
     """Dictionary skills that stand in a text, sorted.
 
     Single tokens meet the dictionary by set intersection; phrases are found by one zero-width scan per
-    layer, which keeps overlapping hits; aliases (skill -> pattern) are tested one by one."""
+    layer, which keeps overlapping hits; aliases (skill -> pattern) and ``contexts`` (skill -> patterns of which
+    one must fit) are tested one by one."""
     t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " ")
     single = [s for s in skills if re.fullmatch(rf"[{BOUNDARY}]+", s)]
     found = F.array_intersect(F.regexp_extract_all(t, F.lit(f"[{BOUNDARY}]+"), F.lit(0)), F.array(*(F.lit(s) for s in single)) if single else F.array().cast("array<string>"))
     for layer in layers([s for s in skills if s not in single]):
         pattern = rf"(?<![{BOUNDARY}])(?=({'|'.join(re.escape(p) for p in layer)})(?![{BOUNDARY}]))"
         found = F.array_union(found, F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
-    for skill, pattern in (aliases or {}).items():
-        found = F.array_union(found, F.when(t.rlike(pattern), F.array(F.lit(skill))).otherwise(F.array().cast("array<string>")))
+    tests = {**(aliases or {}), **{k: "|".join(v) for k, v in (contexts or {}).items()}}
+    if tests:
+        found = F.array_union(found, F.array_compact(F.array(*(F.when(t.rlike(rf"(?U){pattern}"), skill) for skill, pattern in tests.items()))))
     return F.array_sort(F.array_distinct(found))
 
 
+def text_skills(c: Column) -> Column:
+    """Skills of the fixed dictionary, its aliases and the language R in context, with those they imply."""
+    return with_implied(extract_skills(c, D.SKILLS, D.SKILL_ALIASES, {"r": D.R_CONTEXTS}))
+
+
+def with_implied(skills: Column, rules: dict[str, list[str]] = D.IMPLIED) -> Column:
+    """Sorted skills and what they imply, one hop."""
+    table = F.create_map(*(x for k, v in rules.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    more = F.flatten(F.transform(skills, lambda s: F.coalesce(F.element_at(table, s), F.array().cast("array<string>"))))
+    return F.array_sort(F.array_union(skills, more))
+
+
+def assistant_skills(skills: Column, synonyms: dict[str, str], rules: dict[str, list[str]] = D.IMPLIED) -> Column:
+    """Canonical names of skills and of those that they imply; names without a synonym in title case."""
+    clean = {k.strip().lower(): v.strip() for k, v in synonyms.items()}
+    table = F.create_map(*(F.lit(x) for kv in clean.items() for x in kv)) if clean else F.create_map().cast("map<string,string>")
+    named = lambda s: F.coalesce(F.element_at(table, F.lower(F.trim(s))), F.initcap(F.lower(F.trim(s))))
+    lower = F.array_distinct(F.transform(F.filter(F.coalesce(skills, F.array().cast("array<string>")), lambda s: F.trim(s) != ""), lambda s: F.lower(named(s))))
+    return F.array_sort(F.array_distinct(F.transform(with_implied(lower, rules), named)))
+
+
+def assistant_text_skills(c: Column, synonyms: dict[str, str], rules: dict[str, list[str]] = D.IMPLIED) -> Column:
+    """Canonical names of the synonyms that stand in a text as whole words, and of what they imply."""
+    clean = {k.strip().lower(): v.strip() for k, v in synonyms.items()}
+    t = F.lower(F.coalesce(c, F.lit("")))
+    hits = [F.when(t.rlike(rf"(?U)\b{re.escape(k)}\b"), v) for k, v in clean.items()]
+    return assistant_skills(F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>"), synonyms, rules)
+
+
 def keyword_set(c: Column, words: list[str]) -> Column:
     return extract_skills(c, [w.lower() for w in words])

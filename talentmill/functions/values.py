@@ -111,11 +111,11 @@ DEFAULT_BOUNDS = (800, 50_000)
 # Pay periods in order of preference, and months in each.
 PERIODS = {"month": 1.0, "year": 1.0 / 12.0, "week": 4.33, "day": 21.0, "hour": 160.0}
 PERIOD_HINTS = {
-    "hour": r"(?iu)(/\s*(hour|hr)\b|\bper\s+hour\b|\bhourly\b|\ban?\s+hour\b|\bhr\b|\bв\s+час\b)",
-    "day": r"(?iu)(/\s*day\b|\bper\s+day\b|\bdaily\b|\bв\s+день\b)",
-    "week": r"(?iu)(/\s*week\b|\bper\s+week\b|\bweekly\b|\bв\s+неделю\b)",
-    "month": r"(?iu)(/\s*(month|mo)\b|\bper\s+month\b|\bmonthly\b|\bв\s+месяц\b)",
-    "year": r"(?iu)(/\s*year\b|\bper\s+(year|annum)\b|\byearly\b|\bannually\b|\bannual\b|\bp\.?a\.?\b|\bв\s+год\b)",
+    "hour": [r"/\s*(hour|hr)\b", r"\bper\s+hour\b", r"\bhourly\b", r"\ban?\s+hour\b", r"\bhr\b", r"\bв\s+час\b"],
+    "day": [r"/\s*day\b", r"\bper\s+day\b", r"\bdaily\b", r"\bв\s+день\b"],
+    "week": [r"/\s*week\b", r"\bper\s+week\b", r"\bweekly\b", r"\bв\s+неделю\b"],
+    "month": [r"/\s*(month|mo)\b", r"\bper\s+month\b", r"\bmonthly\b", r"\bв\s+месяц\b"],
+    "year": [r"/\s*year\b", r"\bper\s+(year|annum)\b", r"\byearly\b", r"\bannually\b", r"\bannual\b", r"\bp\.?a\.?\b", r"\bв\s+год\b"],
 }
 
 # Rates to RUB where no official one is known.
@@ -147,10 +147,25 @@ EXPERIENCE = [
     r"(\d{1,2})\+?\s+years?\s+experience",
     r"experience.{0,25}?(\d{1,2})\+?\s+years?",
 ]
-EXPERIENCE_NOT = r"\bcompany\b|\borganization\b|\bbusiness\b|\bheritage\b|\bhistory\b|\btradition\b|\bfounded\b|\bsince\s+\d{4}\b|\bfor\s+(over|more\s+than)\s+\d+\s+years\b|\bserving\b|\bleading\b|\bglobal leader\b|\byears of innovation\b|\b(has|bringing|team\s+with|we\s+have|over|more\s+than)\s+\d+\s+years\s+of\s+experience\b|\bexperience\s+delivering\b"
-EXPERIENCE_YES = r"\brequirements?\b|\bqualifications?\b|\bwhat you bring\b|\byou have\b|\bmust have\b|\brequired\b|\bminimum\b|\bat least\b|\bhands[- ]on\b|\bcommercial experience\b|\bexperience with\b|\bexperience in\b"
-EXPERIENCE_SECTIONS = r"requirements|qualification|must have|you have|what you bring|minimum|at least|experience with|experience in"
+EXPERIENCE_NOT = [
+    r"\bcompany\b", r"\borganization\b", r"\bbusiness\b", r"\bheritage\b", r"\bhistory\b", r"\btradition\b", r"\bfounded\b", r"\bsince\s+\d{4}\b",
+    r"\bfor\s+(over|more\s+than)\s+\d+\s+years\b", r"\bserving\b", r"\bleading\b", r"\bglobal leader\b", r"\byears of innovation\b",
+    r"\b(has|bringing|team\s+with|we\s+have|over|more\s+than)\s+\d+\s+years\s+of\s+experience\b", r"\bexperience\s+delivering\b",
+]
+EXPERIENCE_YES = [
+    r"\brequirements?\b", r"\bqualifications?\b", r"\bwhat you bring\b", r"\byou have\b", r"\bmust have\b", r"\brequired\b", r"\bminimum\b",
+    r"\bat least\b", r"\bhands[- ]on\b", r"\bcommercial experience\b", r"\bexperience with\b", r"\bexperience in\b",
+]
+EXPERIENCE_SECTIONS = [
+    r"requirements", r"qualification", r"must have", r"you have", r"what you bring", r"minimum", r"at least", r"experience with", r"experience in",
+]
 
 # Words near a salary that speak for or against it.
 PAY_WORDS = ["salary", "compensation", "pay range", "base pay", "hourly rate", "pay rate", "ote", "per year", "per month", "per hour", "per annum", "зарплата", "оклад", "оплата", "компенсация", "доход"]
-NOT_PAY = r"\bgym\b|\bfood\b|\bmeal\b|\bsnack\b|\blunch\b|\ballowance\b|\bstipend\b|\bwellness\b|\bequipment\b|\bhome.?office\b|\bco.?working\b|\breimburs|\bcredit\b|\bperks?\b|\binsurance\b|\bdental\b|\bvision\b|\bsubsid|\bgift\b|\bacv\b|\barr\b|\bmrr\b|\brevenue\b|\bvaluation\b|\bfunding\b|\braised\b|\bcapital\b|\bseries\s+[a-d]\b|\bcustomers?\b|\busers?\b|\bemployees?\b|\bcountries\b|\boffices\b|\bfounded\b|\btransaction|\bcontract.?value\b|\bdeal\s+size\b|\bdiscount\b|\bfee\b"
+NOT_PAY = [
+    r"\bgym\b", r"\bfood\b", r"\bmeal\b", r"\bsnack\b", r"\blunch\b", r"\ballowance\b", r"\bstipend\b", r"\bwellness\b", r"\bequipment\b",
+    r"\bhome.?office\b", r"\bco.?working\b", r"\breimburs", r"\bcredit\b", r"\bperks?\b", r"\binsurance\b", r"\bdental\b", r"\bvision\b", r"\bsubsid",
+    r"\bgift\b", r"\bacv\b", r"\barr\b", r"\bmrr\b", r"\brevenue\b", r"\bvaluation\b", r"\bfunding\b", r"\braised\b", r"\bcapital\b",
+    r"\bseries\s+[a-d]\b", r"\bcustomers?\b", r"\busers?\b", r"\bemployees?\b", r"\bcountries\b", r"\boffices\b", r"\bfounded\b", r"\btransaction",
+    r"\bcontract.?value\b", r"\bdeal\s+size\b", r"\bdiscount\b", r"\bfee\b",
+]

@@ -65,13 +65,23 @@ def test_skills(spark):
     assert all(not a.startswith(b) for layer in X.layers(terms) for a in layer for b in layer if a != b)
 
 
+def test_dictionary_of_skills(spark):
+    from talentmill.functions import dictionaries as D
+
+    assert len(D.SKILLS) == len(set(D.SKILLS)) > 170 and len(D.IMPLIED) == 73 and len(D.LANGUAGES) == 51 and len(D.US_STATES) == 50
+    assert set(D.COUNTRY_HINTS.values()) == set(D.COUNTRY_NAMES.values())
+    cases(spark, X.text_skills, [("PySpark on k8s, with R / SQL.", ["k8s", "kubernetes", "pyspark", "python", "r", "spark"]), ("React Native app", ["javascript", "react", "react native"]), (None, [])])
+    named = {"js": "JavaScript", "javascript": "JavaScript", "python": "Python"}
+    cases(spark, lambda c: X.assistant_skills(F.split(c, ","), named), [("JS, pandas", ["JavaScript", "Pandas", "Python"]), ("", [])])
+
+
 def test_pay(spark):
     def low_high(c, safe=False):
         s = S.salary_from_text_safe(c) if safe else S.salary_from_text(c)
         return F.array(s["low"].cast("string"), s["high"].cast("string"), s["currency"])
 
     cases(spark, low_high, [("$100k - $150k", ["100000.0", "150000.0", "USD"]), ("100 000 - 120 000 RUB", ["100000.0", "120000.0", "RUB"]), ("от 50000 до 70000 руб", ["50000.0", "70000.0", "RUB"]), ("€ 90k", ["90000.0", "90000.0", "EUR"]), ("none", [None, None, None])])
-    cases(spark, lambda c: low_high(c, True), [("gym allowance $500. Salary range: nothing here at all for long enough text to be far away; base salary $90k - $95k", ["90000.0", "95000.0", "USD"]), ("We raised $100 million", [None, None, None])])
+    cases(spark, lambda c: low_high(c, True), [("gym allowance $500. Salary range: nothing here at all for long enough text to be far away; base salary $90k - $95k", ["90000.0", "95000.0", "USD"]), ("We raised $100 million", [None, None, None]), ("Meal $5 - $6 is paid for each day you work. Salary $100k - $120k", ["100000.0", "120000.0", "USD"]), ("salary " + "x" * 44 + "$5k", [None, None, None]), ("salary " + "x" * 43 + "$5k", ["5000.0", "5000.0", "USD"]), ("gym " + "y" * 37 + " pay rate $50", ["50.0", "50.0", "USD"])])
     cases(spark, S.period_hint, [("10 / hr", "hour"), ("per annum", "year"), ("в месяц", "month"), ("x", None)])
     cases(spark, S.currency_in, [("hk$ 5", "HKD"), ("¥ yuan", "CNY"), ("¥5", "JPY"), ("5 usd", "USD"), ("nothing", None)])
     cases(spark, lambda c: S.best_period(c, F.lit("USD"), F.lit(None).cast("string")), [(50.0, "day"), (30.0, "hour"), (5000.0, "month"), (120000.0, "year")], "double")
@@ -89,8 +99,12 @@ def test_experience(spark):
 
 
 def test_places(spark):
-    cases(spark, L.country_from_text, [("Austin, TX", "UNITED STATES"), ("Australia", "AUSTRALIA"), ("Toronto, ON", "CANADA"), ("Москва", "RUSSIA"), ("Nowhere", None)])
-    cases(spark, lambda c: L.country_from_text(c, compat=True), [("Austin", "UNITED STATES")])
+    cases(spark, lambda c: L.country_from_text(c, compat=False), [("Austin, TX", "UNITED STATES"), ("Australia", "AUSTRALIA"), ("Toronto, ON", "CANADA"), ("Москва", "RUSSIA"), ("Nowhere", None)])
+    cases(spark, L.country_from_text, [("Austin", "UNITED STATES"), ("Australia", "UNITED STATES"), ("Lisbon, Portugal", "PORTUGAL"), ("Київ", "UKRAINE"), ("nan", None)])  # hints stand anywhere, the first in order counts
+    nothing = F.lit(None).cast("string")
+    cases(spark, lambda c: L.infer_country(nothing, c, nothing, F.lit("Our office in Yerevan"), F.lit("Lyft")), [("россия", "RUSSIA"), ("Atlantis", "ATLANTIS"), (None, "ARMENIA")])
+    cases(spark, lambda c: L.infer_country(nothing, nothing, nothing, nothing, c), [("Lyft", "UNITED STATES"), ("Nobody", None)])
+    cases(spark, lambda c: L.spoken_languages(nothing, c), [("switzerland", ["German", "French"]), (None, ["English"])])
     cases(spark, L.city_of, [("Remote - Berlin, Germany", "BERLIN"), ("Springfield, Ohio", "SPRINGFIELD"), ("Москва", "MOSCOW"), ("Remote", None), ("Germany", None), (None, None)])
     cases(spark, lambda c: L.fix_url(c, F.lit("lever.co"), F.lit("9")), [("//x.y/z", "https://x.y/z"), ("/jobs/1", "https://lever.co/jobs/1"), ("x.y", "https://x.y"), (None, "https://lever.co/9"), ("http://a", "http://a")])
     cases(spark, lambda c: L.location_mentioned(c, F.lit("Москва")), [("работа в Москве", True), ("работа в Перми", False)])
