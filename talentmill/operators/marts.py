@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentmill.operators.fx import with_mid
@@ -40,33 +40,48 @@ def role_stats_v2(base: DataFrame, least: int = 20) -> DataFrame:
 def skill_stats_v2(base: DataFrame, job_skills: DataFrame, least_slice: int = 20, least_skill: int = 3) -> DataFrame:
     """Medians with and without each skill of a slice.
 
-    Jobs without a skill are not listed: the values of a slice are counted once, those of the jobs with
-    the skill are counted per skill, and the median of the difference of the two histograms is taken.
-    So rows grow with job skills and distinct values, not with jobs times skills."""
-    slices = base.groupBy(*SLICE).agg(F.count("*").alias("jobs_total")).where(F.col("jobs_total") >= least_slice)
+    Jobs without a skill are not listed. A slice's values are ranked once. The k-th value without a skill is the one of
+    rank k + r among all of them, where r values of the skill stand before it: the most for which fewer than k others do.
+    So rows grow with job skills and distinct values, neither with jobs times skills nor with values times skills."""
+    slices = base.groupBy(*SLICE).agg(F.count("*").alias("jobs_total"), F.count("salary_mid").alias("paid")).where(F.col("jobs_total") >= least_slice)
     having = base.join(job_skills.select("job_id", "skill_id").distinct(), "job_id").join(slices, SLICE)
-    with_skill = having.groupBy(*SLICE, "skill_id").agg(F.count("*").alias("jobs_with_skill"), F.first("jobs_total").alias("jobs_total"), F.percentile("salary_mid", F.lit(0.5)).alias("w")).where(F.col("jobs_with_skill") >= least_skill)
-    values = base.where("salary_mid is not null").groupBy(*SLICE, "salary_mid").agg(F.count("*").alias("n"))
-    histogram = values.groupBy(*SLICE).agg(F.map_from_entries(F.collect_list(F.struct("salary_mid", "n"))).alias("all_values"))
-    own = having.where("salary_mid is not null").groupBy(*SLICE, "skill_id", "salary_mid").agg(F.count("*").alias("n"))
-    taken = own.groupBy(*SLICE, "skill_id").agg(F.map_from_entries(F.collect_list(F.struct("salary_mid", "n"))).alias("own_values"))
-    both = with_skill.join(taken, [*SLICE, "skill_id"], "left").join(histogram, SLICE, "left")
-    left = F.array_sort(F.filter(F.transform(F.map_entries("all_values"), lambda e: F.struct(e["key"].alias("v"), (e["value"] - F.coalesce(F.element_at(F.coalesce(F.col("own_values"), F.create_map().cast("map<double,bigint>")), e["key"]), F.lit(0))).alias("n"))), lambda e: e["n"] > 0))
-    median = weighted_median(left)
-    out = both.select(*SLICE, "skill_id", "jobs_with_skill", "jobs_total", "w", median.alias("o"))
-    return out.select(*SLICE, "skill_id", "jobs_with_skill", "jobs_total", F.round(100.0 * F.col("jobs_with_skill") / F.col("jobs_total"), 2).alias("share_pct"), F.round("w", 2).alias("median_with"), F.round("o", 2).alias("median_without"), F.round(F.col("w") - F.col("o"), 2).alias("salary_delta"))
-
-
-def weighted_median(pairs: Column) -> Column:
-    """Interpolated median of an array of (v, n) sorted by v; null when empty."""
-    total = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, e: a + e["n"])
-
-    def at(rank: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
-        return F.aggregate(pairs, start, lambda a, e: F.struct((a["seen"] + e["n"]).alias("seen"), F.when(a["v"].isNull() & (a["seen"] + e["n"] >= rank), e["v"]).otherwise(a["v"]).alias("v")), lambda a: a["v"])
-
-    low, high = at(F.floor((total + 1) / 2)), at(F.floor((total + 2) / 2))
-    return F.when(total > 0, (low + high) / 2)
+    key = [*SLICE, "skill_id"]
+    with_skill = having.groupBy(*key).agg(F.count("*").alias("jobs_with_skill"), F.first("jobs_total").alias("jobs_total"), (F.first("paid") - F.count("salary_mid")).alias("others"), F.percentile("salary_mid", F.lit(0.5)).alias("w")).where(F.col("jobs_with_skill") >= least_skill)
+    values = ranked_values(base.where("salary_mid is not null").groupBy(*SLICE, F.col("salary_mid").alias("v")).agg(F.count("*").alias("n")), SLICE)
+    own = having.where("salary_mid is not null").groupBy(*key, F.col("salary_mid").alias("v")).agg(F.count("*").alias("n"))
+    before = own.join(values.select(*SLICE, "v", "upto"), [*SLICE, "v"]).select(*key, "upto", F.sum("n").over(Window.partitionBy(*key).orderBy("v")).alias("r"))
+    k = {"low": F.floor((F.col("others") + 1) / 2), "high": F.floor((F.col("others") + 2) / 2)}
+    passed = with_skill.where("others > 0").select(*key, "others").join(before, key, "left")
+    ranks = passed.groupBy(*key).agg(*(F.first(v).alias(f"k_{name}") for name, v in k.items()), *(F.coalesce(F.max(F.when(F.col("upto") - F.col("r") < v, F.col("r"))), F.lit(0)).alias(f"r_{name}") for name, v in k.items()))
+    asked = ranks.select(*key, F.explode(F.array(*(F.col(f"k_{name}") + F.col(f"r_{name}") for name in k))).alias("rank"))
+    median = values_at(values, asked.select(*SLICE, "rank").distinct(), SLICE).join(asked, [*SLICE, "rank"]).groupBy(*key).agg(F.avg("v").alias("o"))  # of one or two values
+    out = with_skill.join(median, key, "left")
+    return out.select(*key, "jobs_with_skill", "jobs_total", F.round(100.0 * F.col("jobs_with_skill") / F.col("jobs_total"), 2).alias("share_pct"), F.round("w", 2).alias("median_with"), F.round("o", 2).alias("median_without"), F.round(F.col("w") - F.col("o"), 2).alias("salary_delta"))
+
+
+def ranked_values(histogram: DataFrame, by: list[str]) -> DataFrame:
+    """``histogram`` (by, v, n) with ``part`` of v's scale and ``upto``, how many values of the group are v or less.
+
+    Sums run over parts first, then inside a part, so that no task sorts all values of a large group."""
+    own = histogram.withColumn("part", F.floor(F.log2(F.greatest("v", F.lit(1e-6))) * 64))
+    parts = own.groupBy(*by, "part").agg(F.sum("n").alias("size"))
+    earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("earlier"))
+    inside = F.sum("n").over(Window.partitionBy(*by, "part").orderBy("v"))
+    return own.withColumn("inside", inside).join(parts, [*by, "part"]).select(*by, "part", "v", (F.col("earlier") + F.col("inside")).alias("upto"))
+
+
+def values_at(values: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """``asked`` (by, rank) with the value v of that rank: its part first, then the value in the part."""
+
+    def following(known: DataFrame, queries: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Each query with the first known ``name`` whose ``upto`` reaches its rank."""
+        rows = known.select(*keys, F.col("upto").alias("rank"), name, F.lit(1).alias("late")).unionByName(queries.select(*keys, "rank", F.lit(None).alias(name), F.lit(0).alias("late")), allowMissingColumns=False)
+        ahead = Window.partitionBy(*keys).orderBy("rank", "late").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        return rows.withColumn(name, F.first(name, ignorenulls=True).over(ahead)).where("late = 0").drop("late")
+
+    parts = values.groupBy(*by, "part").agg(F.max("upto").alias("upto"))
+    return following(values, following(parts, asked, by, "part"), [*by, "part"], "v")
 
 
 def salary_agg_v1(jobs: DataFrame, mids: dict[str, str], least: int = 3) -> DataFrame:

@@ -97,9 +97,9 @@ def top_skills_live(base: DataFrame, job_skills: DataFrame, dictionary: DataFram
     return named.select(F.col("canonical_name").alias("skill_name"), "category", "jobs_with_skill", "jobs_total", F.round(100.0 * F.col("jobs_with_skill") / F.nullif(F.col("jobs_total"), F.lit(0)), 1).alias("share_pct"), "salary_median_with", F.lit(None).cast("double").alias("salary_delta")).orderBy(F.desc("share_pct"), F.desc("jobs_with_skill"), "skill_name").limit(n)
 
 
-def top_skills_for_market(role_stats: DataFrame, skill_stats: DataFrame, base: DataFrame, job_skills: DataFrame, dictionary: DataFrame, n: int = 20, **filters) -> DataFrame:
-    """From marts if any slice fits, else live."""
-    if market_filter(role_stats, **filters).isEmpty():
+def top_skills_for_market(role_stats: DataFrame, skill_stats: DataFrame, base: DataFrame, job_skills: DataFrame, dictionary: DataFrame, n: int = 20, slices: DataFrame | None = None, **filters) -> DataFrame:
+    """From marts if any slice fits, else live. Whether one fits is asked of ``slices``, the distinct slices of jobs, if given: cheaper than of marts that are not yet written."""
+    if market_filter(role_stats if slices is None else slices, **filters).isEmpty():
         return top_skills_live(base, job_skills, dictionary, n, **filters)
     return top_skills_from_marts(role_stats, skill_stats, dictionary, n, **filters)
 
@@ -170,12 +170,13 @@ def imputed_mid() -> Column:
 def market_context(results: DataFrame, mid: Column, by: list[str] = (), top: str = "max") -> DataFrame:
     """Median, top and range of pay of a result set; ``top``: the maximum, the 90th percentile, or the value a tenth down the list."""
     rows = results.withColumn("_m", mid).where("_m is not null")
-    best = {"max": F.max("_m"), "p90": F.percentile("_m", F.lit(0.9)), "tenth": F.expr("sort_array(collect_list(_m), false)[count(_m) div 10]")}[top]
+    best = {"max": F.max("_m"), "p90": F.percentile("_m", F.lit(0.9)), "tenth": F.expr("percentile_disc(0.100000000001) WITHIN GROUP (ORDER BY _m DESC)")}[top]
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.percentile("_m", F.lit(0.5)), 2).alias("median"), F.round(best, 2).alias("top"), F.round(F.min("_m"), 2).alias("low"), F.round(F.max("_m"), 2).alias("high"))
 
 
 def upper_median(column: str) -> Column:
-    return F.expr(f"sort_array(collect_list({column}))[count({column}) div 2]")
+    """Median, of two middle values the greater."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
 
 
 def roadmap(result_skills: DataFrame, own: list[str], n: int = 5) -> DataFrame:

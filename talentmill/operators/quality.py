@@ -65,6 +65,30 @@ def coverage(jobs: DataFrame, job_skills: DataFrame, by: list[str] = ()) -> Data
     return out.select(*by, "total", "with_salary", "with_skills", "with_both", pct("with_salary"), pct("with_skills"), pct("with_both"))
 
 
+def company_quality(jobs: DataFrame, company: str, least: int = 1) -> DataFrame:
+    """Companies with at least so many jobs, and the share of these that name pay."""
+    paid = F.col("salary_from").isNotNull() | F.col("salary_to").isNotNull()
+    return fill_rates(jobs, {"with_salary": paid}, [company]).where(F.col("total") >= least).withColumnRenamed("total", "jobs")
+
+
+def available(base: DataFrame, column: str, order: list[str] | None = None) -> DataFrame:
+    """Values with their numbers of jobs; with ``order``, also their places in it (unknown ones last)."""
+    out = base.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    if order is None:
+        return out.orderBy(F.desc("n"), "value")
+    place = F.nullif(F.array_position(F.array(*(F.lit(x) for x in order)), F.col("value")), F.lit(0))
+    return out.withColumn("place", F.coalesce(place, F.lit(len(order) + 1)).cast("int"))
+
+
+def skill_demand(jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Skills with their numbers of jobs and, of all jobs of the group, the share in percent."""
+    own = job_skills.select("job_id", "skill_id").distinct().join(jobs.select("job_id", *by), "job_id").groupBy("skill_id", *by).agg(F.count("*").alias("n"))
+    total = jobs.groupBy(*by).agg(F.count("*").alias("_t"))
+    named = own.join(skills, "skill_id")
+    both = named.join(total, by) if by else named.join(F.broadcast(total))  # one row
+    return both.withColumn("pct", F.round(100.0 * F.col("n") / F.col("_t"), 2)).drop("_t")
+
+
 def available_skills(skills: DataFrame, job_skills: DataFrame, base: DataFrame) -> DataFrame:
     """Skills with their numbers of jobs in ``base``: those no job has count 0, those only other jobs have are left out."""
     used = job_skills.groupBy("skill_id", "job_id").agg(F.lit(True).alias("_u")).join(base.select("job_id", F.lit(True).alias("_b")), "job_id", "left")

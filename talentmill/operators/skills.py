@@ -53,6 +53,22 @@ def without_skill(jobs: DataFrame, job_skills: DataFrame, skill_id: int | None =
     return jobs.join(own.select("job_id"), "job_id", "left_anti")
 
 
+def with_skill(jobs: DataFrame, job_skills: DataFrame, skill_id: int) -> DataFrame:
+    """Jobs that have the skill."""
+    return jobs.join(job_skills.where(F.col("skill_id") == skill_id).select("job_id"), "job_id", "left_semi")
+
+
+def skill_flag(jobs: DataFrame, job_skills: DataFrame, skill_id: int, name: str = "has_skill") -> DataFrame:
+    """``jobs`` with a flag of whether they have the skill."""
+    own = job_skills.where(F.col("skill_id") == skill_id).select("job_id").distinct().withColumn("_f", F.lit(True))
+    return jobs.join(own, "job_id", "left").withColumn(name, F.col("_f").isNotNull()).drop("_f")
+
+
+def explode_values(df: DataFrame, key: str, values: Column, name: str = "skill") -> DataFrame:
+    """A row for each value of an array, in capitals."""
+    return df.select(key, F.explode(values).alias(name)).withColumn(name, F.upper(name))
+
+
 def job_skill_list(job_skills: DataFrame, dictionary: DataFrame) -> DataFrame:
     named = job_skills.select("job_id", "skill_id").distinct().join(small(dictionary.select("skill_id", "canonical_name")), "skill_id")
     return named.groupBy("job_id").agg(F.count("*").alias("n_skills"), F.array_join(F.array_sort(F.collect_list("canonical_name")), ",").alias("skills"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentmill.functions.hashing import FORMATS_ALLOWED, GRADES_ALLOWED
+
 #: Queries joined at a time; more are taken in blocks.
 QUERY_BLOCK = 2_000
 
@@ -20,24 +24,24 @@ def normalised(df: DataFrame, vector: str = "embedding", name: str = "unit") ->
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", key: str = "vec_id") -> DataFrame:
-    """Best k per query. A bounded list per task and query is merged, so that only k rows a task are shuffled."""
-    best = F.slice(F.sort_array(F.collect_list(F.struct(F.col(score).alias("s"), (-F.col(key)).alias("k"), F.struct(*[c for c in scored.columns if c not in (by,)]).alias("r"))), asc=False), 1, k)
-    part = scored.groupBy(by, F.spark_partition_id().alias("_p")).agg(best.alias("b"))
+    """Best k per query, with ``rank``. The rank filter is applied in each task before the shuffle too, so that at most k rows
+    a task and query are moved, and it sorts instead of collecting, so that memory does not grow with the rows."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), key))
-    return part.select(by, F.explode("b").alias("e")).select(by, "e.r.*").withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(items: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, places: int = 4, with_columns: tuple[str, ...] = ()) -> DataFrame:
+def search(items: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, places: int = 4, with_columns: tuple[str, ...] = (), rerank: Callable[[Column], Column] | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: nearest items of each query by cosine, with further columns of either side.
 
     ``queries`` (query_id, unit) is a stated set, sent to all items in blocks of bounded size; ``keep`` may
-    compare columns of both sides and drops pairs before ranking."""
-    n = queries.count()
+    compare columns of both sides and drops pairs before ranking; ``rerank`` changes the score that is ranked."""
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
     out = None
-    for b in range(-(-n // QUERY_BLOCK) or 1):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK) or 1)) == b)
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         pairs = items.join(F.broadcast(block), keep if keep is not None else F.lit(True))
-        scored = pairs.withColumn("score", F.round(dot(F.col("unit"), F.col("q_unit")), places)).select("query_id", "vec_id", "score", *with_columns)
+        score = F.round(dot(F.col("unit"), F.col("q_unit")), places)
+        scored = pairs.withColumn("score", F.round(rerank(score), places) if rerank else score).select("query_id", "vec_id", "score", *with_columns)
         one = top_k(scored, k)
         out = one if out is None else out.unionByName(one)
     return out
@@ -56,6 +60,49 @@ def with_fallback(first: DataFrame, other: DataFrame, by: str = "query_id") -> D
     return first.unionByName(other.join(first.select(by).distinct(), by, "left_anti"))
 
 
+def _allowed(table: dict[str, list[str]], value: Column) -> Column:
+    """What a grade or format allows; an unknown one allows itself."""
+    known = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.coalesce(F.element_at(known, F.lower(value)), F.array(value))
+
+
+def for_candidates(items: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
+    """Vacancies for many candidates at once: filtered by what grade, formats and country allow, nearest first, with the overlap of skills.
+
+    ``items``: vec_id, unit, grade, work_format, country, skills. ``candidates``: query_id, q_unit, q_grade, q_formats, q_country, q_skills;
+    null asks for nothing. Skills are compared without case."""
+    formats = F.flatten(F.transform("q_formats", lambda f: _allowed(FORMATS_ALLOWED, f)))
+    keep = F.col("q_grade").isNull() | F.array_contains(_allowed(GRADES_ALLOWED, F.col("q_grade")), F.col("grade"))
+    keep = keep & (F.coalesce(F.size("q_formats"), F.lit(0)).isin(0, -1) | F.array_contains(formats, F.col("work_format")))
+    keep = keep & (F.col("q_country").isNull() | (F.col("country") == F.upper("q_country")))
+    low = lambda c: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.lower))
+    found = search(items.withColumn("skills", low("skills")), candidates.withColumn("q_skills", low("q_skills")), k, keep, with_columns=("skills", "q_skills")).drop("rank")
+    matched, missing = F.array_sort(F.array_intersect("q_skills", "skills")), F.array_sort(F.array_except("q_skills", "skills"))
+    out = found.select("query_id", "vec_id", "score", F.size(matched).alias("skill_match_count"), F.round(100.0 * F.size(matched) / F.greatest(F.size("q_skills"), F.lit(1)), 1).alias("skill_match_pct"), matched.alias("matched_skills"), missing.alias("missing_skills"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("skill_match_count"), "vec_id"))
+    return out.withColumn("rank", rank)
+
+
+def search_city(items: DataFrame, queries: DataFrame, k: int = 5, times: int = 5, boost: float = 0.15) -> DataFrame:
+    """Nearest ``k`` of ``times`` as many: other cities drop out for those who do not relocate, the own city gains ``boost``;
+    where nothing is left, all count as they are. ``items`` has city, ``queries`` q_city and q_relocation."""
+    found = search(items, queries, k * times, with_columns=("city", "q_city", "q_relocation")).drop("rank")
+    known = F.col("q_city").isNotNull() & F.col("city").isNotNull()
+    own = F.coalesce(known & (F.lower("city") == F.lower("q_city")), F.lit(False))
+    near = found.where(F.col("q_relocation") | ~known | own).withColumn("score", F.round(F.col("score") + F.when(own, boost).otherwise(0.0), 4))
+    return top_k(with_fallback(near, found).select("query_id", "vec_id", "score"), k)
+
+
+def retrieve(items: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.5, or_remote: bool = False, fallback: bool = False) -> DataFrame:
+    """Nearest ``k`` of a score of at least ``threshold`` in the query's city (``or_remote``: or anywhere without office) and with the
+    least pay it asks for; with ``fallback``, queries without a result get those of all items."""
+    place = F.col("q_city").isNull() | (F.col("city") == F.col("q_city"))
+    keep = (place | F.col("remote") if or_remote else place) & (F.col("q_salary_min").isNull() | (F.col("salary_from") >= F.col("q_salary_min")))
+    good = lambda found: found.where(F.col("score") >= threshold)
+    first = good(search(items, queries, k, keep))
+    return with_fallback(first, good(search(items, queries, k))) if fallback else first
+
+
 def ann_join(items: DataFrame, queries: DataFrame, k: int, tables: int = 8, length: float = 1.2) -> DataFrame:
     """Approximate neighbours by random-projection buckets on unit vectors: query_id, vec_id, score, rank."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

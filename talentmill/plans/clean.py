@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talentmill.functions import dictionaries as D
 from talentmill.functions import location as L
 from talentmill.functions import salary as S
 from talentmill.functions import text as X
 from talentmill.functions.values import SOURCES
 from talentmill.operators.merge import dedupe
+from talentmill.operators.skills import normalize_skills
 from talentmill.sources.tables import drop_junk, ensure_columns
 
 # Pay period by source.
@@ -18,8 +20,8 @@ SOURCE_PERIOD = {"adzuna.com": "year", "usajobs.gov": "year", "himalayas.app": "
 PAYLOAD = ["job_id", "source", "url", "title", "title_normalized", "company_name", "seniority", "role_family", "specialty", "skills", "country", "city", "remote_type", "employment_type", "years_min", "years_max", "salary_from", "salary_to", "currency", "salary_from_rub", "salary_to_rub", "posting_language", "visa_sponsorship", "relocation", "description"]
 
 
-def valid_source(df: DataFrame) -> DataFrame:
-    return df.where(F.lower(F.trim("source")).isin(SOURCES))
+def valid_source(df: DataFrame, sources: list[str] = SOURCES) -> DataFrame:
+    return df.where(F.lower(F.trim("source")).isin(sources))
 
 
 def require_title(df: DataFrame) -> DataFrame:
@@ -43,8 +45,8 @@ def fix_salary(df: DataFrame) -> DataFrame:
     return sane.withColumns({"salary_from": F.col("_s.low"), "salary_to": F.col("_s.high")}).drop("_p", "_m", "_s")
 
 
-def clean(raw: DataFrame, order: str = "parsed_at", skills: list[str] | None = None, phrases: list[str] | None = None, exact: bool = False) -> DataFrame:
-    """Clean dataset of a run. ``order`` says which of equal records comes first; dictionaries are parameters."""
+def clean(raw: DataFrame, order: str = "parsed_at", phrases: list[str] = D.SPECIALTY_PHRASES, synonyms: dict[str, str] | None = None, exact: bool = False) -> DataFrame:
+    """Clean dataset of a run. ``order`` says which of equal records comes first; search phrases and synonyms of skills are parameters."""
     df = dedupe(valid_source(drop_junk(ensure_columns(raw))), order)
     df = df.withColumn("title", X.clean_text(F.col("title"), exact=exact)).withColumn("description", X.clean_text(F.col("description"), tags=True, emoji=True, exact=exact))
     df = df.withColumns({c: X.clean_text(F.col(c), exact=exact) for c in ("company_name", "location", "department", "employment_type", "country", "url", "requirements", "responsibilities", "nice_to_have")})
@@ -52,11 +54,12 @@ def clean(raw: DataFrame, order: str = "parsed_at", skills: list[str] | None = N
     title, text = F.col("title"), F.coalesce("description", F.lit(""))
     years = S.years_of_row(F.col("requirements"), F.col("nice_to_have"), F.col("description"))
     df = df.withColumns({
-        "specialty": X.specialty(title, phrases or []),
+        "specialty": X.specialty(title, phrases),
+        "analytics_role": X.analytics_role(title, phrases),
         "role_family": X.role_family(title),
         "seniority": X.seniority(title, text),
         "years_min": years["low"], "years_max": years["high"],
-        "skills_text": X.extract_skills(text, skills or []),
+        "skills_text": X.text_skills(text),
         "key_list": X.parse_array(F.coalesce("key_skills", F.lit(""))),
         "department": X.department(F.col("department"), title, text),
         "analytics_row_ok": ~X.suspicious_title(title),
@@ -75,7 +78,9 @@ def clean(raw: DataFrame, order: str = "parsed_at", skills: list[str] | None = N
         "remote": F.col("remote_type").isin("remote", "hybrid"),
         "city": F.when(F.col("remote_type") != "remote", F.col("city")),
         "country": L.infer_country(F.col("parsed_country"), F.col("country"), F.col("location"), text, F.col("company_name")),
+        "skills_extracted": F.to_json("skills_text"),
     })
+    df = df.withColumns({"skills_normalized": F.to_json(normalize_skills(F.col("skills"), synonyms or {})), "spoken_languages": L.spoken_languages(F.col("spoken_languages"), F.col("country"))})
     paid = F.coalesce("salary_from", "salary_to").isNotNull()
     df = df.withColumn("currency", F.when(paid, F.coalesce("currency", S.default_currency(F.col("country")))))
     df = df.withColumn("_r", S.sanitize_range(F.col("salary_from"), F.col("salary_to"), F.col("currency"))).withColumns({"salary_from": F.col("_r.low"), "salary_to": F.col("_r.high")}).drop("_r")

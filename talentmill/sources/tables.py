@@ -54,19 +54,31 @@ def resolve_inputs(spark: SparkSession, root: str, date: str, keys: list[str] |
 
 
 def read_many(spark: SparkSession, paths: list[str], schema: T.StructType = RAW) -> DataFrame:
-    """Union of the files that can be read; fails only if none can."""
-    found = [p for p in paths if exists(spark, p)]
+    """Union of the files that can be read; fails only if none can. A file that is missing, or whose header does not name
+    the schema's columns, is left out and the others are read."""
+    found = [p for p in paths if exists(spark, p) and _readable(spark, p, schema)]
     if not found:
-        raise FileNotFoundError(f"none of {len(paths)} files is there")
+        raise FileNotFoundError(f"none of {len(paths)} files can be read")
     return read_snapshot(spark, found, schema)
 
 
+def _readable(spark: SparkSession, path: str, schema: T.StructType) -> bool:
+    """Whether a file's first line is a header with the schema's columns, in order."""
+    try:
+        first = spark.read.text(path).limit(1).collect()
+    except Exception:  # noqa: BLE001  (whatever the store says of a file that it cannot give)
+        return False
+    names = [n.strip().strip('"') for n in first[0].value.lstrip("\ufeff").split(",")] if first else []
+    return names == schema.names
+
+
 def resolve_clean(spark: SparkSession, root: str, key: str | None = None) -> str | None:
     """Given snapshot, else the latest pointer, else the newest date and run."""
     if key:
         return f"{root}/{key}"
-    if exists(spark, f"{root}/clean/latest"):
-        return f"{root}/clean/latest"
+    latest = read_pointer(spark, f"{root}/clean/latest")
+    if latest:
+        return f"{root}/clean/{latest}"
     dates = [d for d in children(spark, f"{root}/clean") if d.startswith("run_date=")]
     runs = children(spark, f"{root}/clean/{dates[-1]}") if dates else []
     return f"{root}/clean/{dates[-1]}/{runs[-1]}" if runs else None
@@ -80,15 +92,31 @@ def write_snapshot(df: DataFrame, root: str, date: str, run: str) -> str:
 
 
 def write_latest(df: DataFrame, root: str) -> str:
-    """Write a new version beside the old one, then swap, so that readers never see half a snapshot."""
-    spark, new, path = df.sparkSession, f"{root}/clean/_new-{uuid.uuid4().hex}", f"{root}/clean/latest"
-    df.write.parquet(new)
-    fs, p = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    if fs.exists(p):
-        fs.delete(p, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(new), p)
-    return path
+    """Write a new version beside the others, then point to it. The pointer is the greatest-numbered file of a folder, written
+    whole before it gets its name, so that readers see the version before or the new one, also if the writer dies."""
+    version = f"version={uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/clean/{version}")
+    write_pointer(df.sparkSession, f"{root}/clean/latest", version)
+    return f"{root}/clean/{version}"
+
+
+def read_pointer(spark: SparkSession, folder: str) -> str | None:
+    """Content of the newest pointer of a folder."""
+    names = [n for n in children(spark, folder) if n.isdigit()]
+    return spark.read.text(f"{folder}/{names[-1]}").first()[0] if names else None
+
+
+def write_pointer(spark: SparkSession, folder: str, value: str) -> None:
+    """Add a pointer after the newest one; fails if another writer has taken its number."""
+    names = [n for n in children(spark, folder) if n.isdigit()]
+    number = f"{int(names[-1]) + 1 if names else 0:012d}"
+    fs, hidden = _fs(spark, f"{folder}/.{uuid.uuid4().hex}")
+    out = fs.create(hidden, False)
+    out.write(bytearray(value.encode()))
+    out.close()
+    if not fs.rename(hidden, _fs(spark, f"{folder}/{number}")[1]):
+        fs.delete(hidden, False)
+        raise RuntimeError(f"pointer {number} of {folder} is taken")
 
 
 def append_table(df: DataFrame, name: str) -> None:

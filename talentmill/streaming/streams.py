@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,25 +14,48 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from talentmill.operators.merge import merge_latest
-from talentmill.sources.tables import exists
+from talentmill.sources.tables import read_pointer, write_pointer
 
 
 def read_landing(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet") -> DataFrame:
     return spark.readStream.schema(schema).format(kind).load(path)
 
 
-def stream_ingest(source: DataFrame, target: str, checkpoint: str, keys: list[str], clean: Callable[[DataFrame], DataFrame] = lambda df: df):
-    """Clean each micro-batch and merge it into the newest version of a table; versions are numbered by batch, so a repeated batch overwrites its own."""
+def stream_ingest(source: DataFrame, target: str, checkpoint: str, keys: list[str], clean: Callable[[DataFrame], DataFrame] = lambda df: df, parts: int = 64):
+    """Clean each micro-batch and merge it into a table that is split by a hash of the keys: only parts that the batch touches
+    are written anew, the others are pointed to where they are. A batch is known by its number and the checkpoint, so a repeated
+    one changes nothing; a new checkpoint goes on from the newest version, which ``read_ingested`` finds."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark, new = batch.sparkSession, clean(batch)
-        before = f"{target}/version={number - 1}"
-        merged = merge_latest(spark.read.parquet(before), new, keys) if exists(spark, before) else new.dropDuplicates(keys)
-        merged.write.mode("overwrite").parquet(f"{target}/version={number}")
+        spark, name = batch.sparkSession, f"{hashlib.sha1(checkpoint.encode()).hexdigest()[:8]}-{number:09d}"
+        known = _manifest(spark, target)
+        if name in known["batches"][-1000:]:
+            return
+        new = clean(batch).withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).persist()
+        touched = sorted(r[0] for r in new.select("_part").distinct().collect())  # at most ``parts``
+        before = {p: known["parts"][str(p)] for p in touched if str(p) in known["parts"]}
+        fresh = new.dropDuplicates(keys)
+        merged = merge_latest(spark.read.schema(new.schema).parquet(*before.values()), fresh, keys) if before else fresh
+        run = f"{target}/{name}-{uuid.uuid4().hex[:8]}"
+        merged.withColumn("_folder", F.col("_part")).repartition("_folder").write.partitionBy("_folder").parquet(run)
+        new.unpersist()
+        places = known["parts"] | {str(p): f"{run}/_folder={p}" for p in touched}
+        write_pointer(spark, f"{target}/manifest", json.dumps({"parts": places, "batches": [*known["batches"][-999:], name]}))
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _manifest(spark: SparkSession, target: str) -> dict:
+    found = read_pointer(spark, f"{target}/manifest")
+    return json.loads(found) if found else {"parts": {}, "batches": []}
+
+
+def read_ingested(spark: SparkSession, target: str) -> DataFrame | None:
+    """The newest version of a table that ``stream_ingest`` keeps; None before the first batch."""
+    places = _manifest(spark, target)["parts"]
+    return spark.read.parquet(*places.values()).drop("_part") if places else None
+
+
 def stream_dedupe(source: DataFrame, key: str, ts: str, lateness: str = "1 day") -> DataFrame:
     """One row an id within bounded lateness."""
     return source.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])

@@ -14,6 +14,7 @@ def rows(df):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(registry.QUERIES) <= set(entry.queries())
 
 
 def test_every_query_runs(spark, sf_dir):
@@ -39,8 +40,15 @@ def test_ingest_equals_batch(spark, sf_dir, tmp_path):
     e, landed = events(spark, sf_dir, tmp_path)
     query = streams.stream_ingest(landed.select("user_id", "event_id"), str(tmp_path / "out"), str(tmp_path / "cp"), ["user_id"])
     query.awaitTermination()
-    last = max(tmp_path.glob("out/version=*"), key=lambda p: int(p.name.split("=")[1]))
-    assert sorted(r.user_id for r in spark.read.parquet(str(last)).collect()) == sorted(r.user_id for r in e.select("user_id").distinct().collect())
+    users = sorted(r.user_id for r in e.select("user_id").distinct().collect())
+    kept = lambda: streams.read_ingested(spark, str(tmp_path / "out"))
+    assert sorted(r.user_id for r in kept().collect()) == users
+    more = spark.createDataFrame([(users[0], -1), (10**9, -2)], "user_id long, event_id long").withColumn("user_id", F.col("user_id").cast(e.schema["user_id"].dataType)).withColumn("event_id", F.col("event_id").cast(e.schema["event_id"].dataType))
+    more.coalesce(1).write.parquet(str(tmp_path / "more"))
+    next_ = spark.readStream.schema(more.schema).parquet(str(tmp_path / "more"))
+    streams.stream_ingest(next_, str(tmp_path / "out"), str(tmp_path / "cp2"), ["user_id"]).awaitTermination()  # a new checkpoint keeps what is there
+    assert sorted(r.user_id for r in kept().collect()) == [*users, 10**9]
+    assert kept().where(F.col("user_id") == users[0]).first().event_id == -1
 
 
 def test_dedupe_and_daily(spark, sf_dir, tmp_path):

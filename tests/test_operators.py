@@ -33,11 +33,57 @@ def test_skill_premium_equals_brute_force(spark, sf_dir):
     jobs, has = base.collect(), {(r.job_id, r.skill_id) for r in own.collect()}
     from statistics import median
 
-    for r in got[:20]:
+    assert len(got) > 20
+    for r in got:
         out = [j.salary_mid for j in jobs if (j.role, j.is_remote) == (r.role, r.is_remote) and (j.job_id, r.skill_id) not in has and j.salary_mid is not None]
         assert r.median_without == (pytest.approx(median(out), abs=0.006) if out else None)
 
 
+def test_skill_premium_with_ties_and_empty_rests(spark):
+    from statistics import median
+
+    import random
+
+    r = random.Random(3)
+    pay = {i: r.choice([None, 100.0, 100.0, 200.0, 300.5, 0.5, float(i)]) for i in range(300)}
+    base = spark.createDataFrame([(i, "a" if i % 3 else "b", "x", "y", False, v) for i, v in pay.items()], "job_id long, role string, country string, seniority string, is_remote boolean, salary_mid double")
+    has = {(i, k) for i in pay for k in range(5) if r.random() < (0.1, 0.5, 0.9, 1.0, 0.02)[k]}
+    got = marts.skill_stats_v2(base, spark.createDataFrame(sorted(has) * 2, "job_id long, skill_id int"), 5, 1).collect()
+    assert len(got) >= 8
+    for x in got:
+        out = [v for i, v in pay.items() if (i % 3 != 0) == (x.role == "a") and (i, x.skill_id) not in has and v is not None]
+        assert x.median_without == (pytest.approx(median(out), abs=0.006) if out else None), x
+
+
+def test_candidate_search(spark, sf_dir):
+    unit = [1.0, 0.0]
+    items = spark.createDataFrame([(1, unit, "Senior", "Remote", "GERMANY", ["SQL", "Spark"], "c1", True, 10), (2, [0.8, 0.6], "Lead", "Hybrid", "GERMANY", None, "c2", False, 5), (3, [0.6, 0.8], "Intern", "Remote", "GERMANY", ["sql"], None, False, 9), (4, [0.0, 1.0], "Senior", "Office", "POLAND", ["sql"], "c1", False, 9)], "vec_id long, unit array<double>, grade string, work_format string, country string, skills array<string>, city string, remote boolean, salary_from long")
+    ask = spark.createDataFrame([(1, unit, "Senior", ["hybrid"], "germany", ["sql", "dbt"], "C1", False, 6), (2, unit, None, None, None, None, None, True, None)], "query_id long, q_unit array<double>, q_grade string, q_formats array<string>, q_country string, q_skills array<string>, q_city string, q_relocation boolean, q_salary_min long")
+    got = {(r.query_id, r.vec_id): (r.rank, r.skill_match_count, r.missing_skills) for r in vector.for_candidates(items, ask).collect()}
+    assert got[1, 1] == (1, 1, ["dbt"]) and got[1, 2] == (2, 0, ["dbt", "sql"]) and {v for q, v in got if q == 1} == {1, 2} and {v for q, v in got if q == 2} == {1, 2, 3, 4}
+    near = {(r.query_id, r.vec_id): r.score for r in vector.search_city(items, ask, 4).collect()}
+    assert near == {(1, 1): 1.15, (1, 4): 0.15, (1, 3): 0.6, (2, 1): 1.0, (2, 2): 0.8, (2, 3): 0.6, (2, 4): 0.0}
+    only = lambda **o: {(r.query_id, r.vec_id) for r in vector.retrieve(items, ask, 2, 0.5, **o).collect()}
+    assert only() == {(2, 1), (2, 2)} and only(or_remote=True) == {(1, 1), (2, 1), (2, 2)} and only(fallback=True) == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_sql_functions(spark, sf_dir):
+    from talentmill import rule_queries
+    from talentmill.plans import sql
+
+    rule_queries.registered(spark, sf_dir)
+    rate = {r.base_currency: r.rate for r in registry.QUERIES["jon05_latest_rates"](spark, sf_dir).collect()}
+    got = spark.sql("SELECT convert_salary(10, 'usd', 'RUB'), convert_salary(10, 'RUB', 'rub'), convert_salary(10, 'USD', 'XXX'), convert_salary(10, 'USD', 'RUB', DATE '1990-01-01')").first()
+    assert tuple(got) == (round(10 * rate["USD"], 2), 10.0, None, None)
+    own = "array('Brand#3', 'Brand#12', 'Brand#25')"
+    for call in (f"fn_matching_jobs({own}, _limit => 5)", f"fn_best_countries_for_skills({own})", f"fn_remote_comparison({own}, 1)", "fn_country_market_overview('NATION_3')", f"fn_skill_gap({own})"):
+        assert spark.sql(f"SELECT * FROM {call}").columns
+    top = [r.job_id for r in spark.sql(f"SELECT * FROM fn_matching_jobs({own}, _limit => 5) ORDER BY place").collect()]
+    want = registry.match.matching_jobs(registry.mid_base(spark, sf_dir), views.job_skills(spark, sf_dir), views.skills(spark, sf_dir), registry.USER, n=5)
+    assert top == [r.job_id for r in want.collect()]
+    assert set(sql.FUNCTIONS) >= {"convert_salary", "fn_salary_benchmark"}
+
+
 def test_merge_invariants(spark, sf_dir):
     old, new = registry.snapshots(spark, sf_dir)
     assert rows(merge.merge_latest(old, old, ["job_id"])) == rows(old)
@@ -112,9 +158,15 @@ def test_snapshots(spark, tmp_path):
     assert tables.resolve_clean(spark, root) is None
     path = tables.write_snapshot(found, root, "2026-01-01", "r1")
     assert tables.resolve_clean(spark, root) == path
-    tables.write_latest(found, root)
+    first = tables.write_latest(found, root)
+    assert tables.resolve_clean(spark, root) == first
     tables.write_latest(found.union(found), root)
     assert spark.read.parquet(tables.resolve_clean(spark, root)).count() == 2
+    assert spark.read.parquet(first).count() == 1  # readers of the version before are not disturbed
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "nothing.csv").write_text("")
+    (good,) = tables.resolve_inputs(spark, root, "2026-01-01")
+    assert tables.read_many(spark, [f"{root}/other.csv", good, f"{root}/nothing.csv"]).count() == 1
 
 
 def test_rate_files(spark, tmp_path):
@@ -130,12 +182,13 @@ def test_rate_files(spark, tmp_path):
 def test_clean_plan(spark, tmp_path):
     record = {"source_job_id": "1", "source": "lever.co", "title": "Senior Data Engineer | Acme", "company_name": "Acme", "description": "<p>Requirements: 3-5 years of experience. Salary $96k - $120k per year. python and sql</p>", "location": "Remote - Berlin, Germany", "parsed_at": "1"}
     raw = tables.ensure_columns(spark.createDataFrame([record, record | {"parsed_at": "2"}, record | {"source": "nowhere", "source_job_id": "9"}, record | {"title": None, "source_job_id": "8"}]))
-    got = clean(raw, skills=["python", "sql"], phrases=["Data Engineer"]).collect()
+    got = clean(raw, phrases=["Data Engineer"], synonyms={"sql": "SQL"}).collect()
     assert len(got) == 1
     r = got[0]
     assert (r.title_normalized, r.specialty, r.role_family, r.seniority, r.years_min, r.years_max) == ("senior data engineer", "Data Engineer", "data_engineer", "senior", 3, 5)
     assert (r.salary_from, r.salary_to, r.currency, r.salary_mid_monthly) == (8000.0, 10000.0, "USD", 9000.0)
     assert (r.remote_type, r.city, r.country, r.skills, r.posting_language) == ("remote", None, "GERMANY", ["python", "sql"], "English")
+    assert (r.analytics_role, r.skills_normalized, r.spoken_languages) == ("Data Engineer", '["SQL","python"]', ["German"])
     assert project(clean(raw)).columns[0] == "job_id"
 
 
