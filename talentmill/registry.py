@@ -12,7 +12,7 @@ from talentmill.functions import location as L
 from talentmill.functions import salary as S
 from talentmill.functions import text as X
 from talentmill.operators import fx, marts, match, merge, quality, skills, vector
-from talentmill.plans import views
+from talentmill.plans import clean, views
 from talentmill.plans.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,16 +205,12 @@ def agg08_parsing_stats(spark, d):
 
 @query(", o AS (SELECT DISTINCT job_id, skill_id FROM v_job_skills) SELECT canonical_name AS skill, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM v_jobs), 2) AS pct FROM o JOIN v_skills USING (skill_id) JOIN v_jobs USING (job_id) GROUP BY 1")
 def agg09_top_skills(spark, d):
-    jobs = views.jobs(spark, d)
-    own = views.job_skills(spark, d).select("job_id", "skill_id").distinct().join(jobs.select("job_id"), "job_id").join(skills.small(views.skills(spark, d)), "skill_id")
-    total = jobs.agg(F.count("*").alias("t"))
-    return own.groupBy(F.col("canonical_name").alias("skill")).agg(F.count("*").alias("n")).join(F.broadcast(total)).select("skill", "n", F.round(100.0 * F.col("n") / F.col("t"), 2).alias("pct"))
+    return quality.skill_demand(views.jobs(spark, d), views.job_skills(spark, d), skills.small(views.skills(spark, d))).select(F.col("canonical_name").alias("skill"), "n", "pct")
 
 
 @query("SELECT country, canonical_name AS skill, count(DISTINCT j.job_id) AS n FROM v_jobs j JOIN v_job_skills s ON s.job_id = j.job_id JOIN v_skills USING (skill_id) GROUP BY 1, 2")
 def agg10_top_skills_country(spark, d):
-    own = views.job_skills(spark, d).select("job_id", "skill_id").distinct()
-    return views.jobs(spark, d).join(own, "job_id").join(skills.small(views.skills(spark, d)), "skill_id").groupBy("country", F.col("canonical_name").alias("skill")).agg(F.count("*").alias("n"))
+    return quality.skill_demand(views.jobs(spark, d), views.job_skills(spark, d), skills.small(views.skills(spark, d)), ["country"]).select("country", F.col("canonical_name").alias("skill"), "n")
 
 
 @query("SELECT country, currency, count(*) AS n, round(avg(salary_from), 1) AS avg_from, round(avg(salary_to), 1) AS avg_to, round(quantile_cont(coalesce((salary_from + salary_to) / 2.0, salary_from, salary_to), 0.5), 2) AS median_mid FROM v_jobs WHERE coalesce(salary_from, salary_to) IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3")
@@ -233,34 +229,32 @@ def agg13_seniority_distribution(spark, d):
     return quality.distribution(views.jobs(spark, d), "seniority")
 
 
-COVER = "count(*) AS total, count(*) FILTER (WHERE p) AS with_salary, count(*) FILTER (WHERE s) AS with_skills, count(*) FILTER (WHERE p AND s) AS with_both, round(100.0 * count(*) FILTER (WHERE p) / count(*), 1) AS with_salary_pct, round(100.0 * count(*) FILTER (WHERE s) / count(*), 1) AS with_skills_pct, round(100.0 * count(*) FILTER (WHERE p AND s) / count(*), 1) AS with_both_pct FROM (SELECT role_family, coalesce(salary_from, salary_to) IS NOT NULL AS p, job_id IN (SELECT job_id FROM v_job_skills WHERE skill_id < 9) AS s FROM v_jobs)"
+COVER = "count(*) AS total, count(*) FILTER (WHERE p) AS with_salary, count(*) FILTER (WHERE s) AS with_skills, count(*) FILTER (WHERE p AND s) AS with_both, round(100.0 * count(*) FILTER (WHERE p) / count(*), 1) AS with_salary_pct, round(100.0 * count(*) FILTER (WHERE s) / count(*), 1) AS with_skills_pct, round(100.0 * count(*) FILTER (WHERE p AND s) / count(*), 1) AS with_both_pct FROM (SELECT role_family, coalesce(salary_from, salary_to) IS NOT NULL AS p, job_id IN (SELECT job_id FROM v_job_skills) AS s FROM v_jobs)"
 
 
 @query(f"SELECT {COVER}")
 def agg14_coverage(spark, d):
-    return quality.coverage(views.jobs(spark, d), views.job_skills(spark, d).where("skill_id < 9"))
+    return quality.coverage(views.jobs(spark, d), views.job_skills(spark, d))
 
 
 @query(f"SELECT role_family, {COVER} GROUP BY 1")
 def agg14_coverage_by_source(spark, d):
-    return quality.coverage(views.jobs(spark, d), views.job_skills(spark, d).where("skill_id < 9"), ["role_family"])
+    return quality.coverage(views.jobs(spark, d), views.job_skills(spark, d), ["role_family"])
 
 
 @query("SELECT canonical_name AS skill, category, count(DISTINCT s.job_id) AS n, round(100.0 * count(DISTINCT s.job_id) / (SELECT count(*) FROM v_jobs WHERE is_active), 2) AS pct FROM v_job_skills s JOIN v_skills USING (skill_id) JOIN v_jobs j ON j.job_id = s.job_id WHERE is_active GROUP BY 1, 2")
 def agg15_active_top_skills(spark, d):
     active = match.analytics_base(views.jobs(spark, d))
-    own = views.job_skills(spark, d).select("job_id", "skill_id").distinct().join(active.select("job_id"), "job_id").join(skills.small(views.skills(spark, d)), "skill_id")
-    total = active.agg(F.count("*").alias("t"))
-    return own.groupBy(F.col("canonical_name").alias("skill"), "category").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("skill", "category", "n", F.round(100.0 * F.col("n") / F.col("t"), 2).alias("pct"))
+    return quality.skill_demand(active, views.job_skills(spark, d), skills.small(views.skills(spark, d))).select(F.col("canonical_name").alias("skill"), "category", "n", "pct")
 
 
-@query("SELECT s.skill_id, s.canonical_name, count(DISTINCT b.job_id) AS n FROM v_skills s LEFT JOIN (SELECT skill_id, x.job_id FROM v_job_skills x JOIN v_jobs j ON j.job_id = x.job_id WHERE j.job_id % 100 = 0) b ON b.skill_id = s.skill_id GROUP BY 1, 2")
+@query("SELECT s.skill_id, s.canonical_name, count(DISTINCT b.job_id) AS n FROM v_skills s LEFT JOIN (SELECT skill_id, x.job_id FROM v_job_skills x JOIN v_jobs j ON j.job_id = x.job_id) b ON b.skill_id = s.skill_id GROUP BY 1, 2")
 def agg16_available_skills(spark, d):
-    some = views.job_skills(spark, d).join(views.jobs(spark, d).where("job_id % 100 = 0").select("job_id"), "job_id")
+    some = views.job_skills(spark, d).join(views.jobs(spark, d).select("job_id"), "job_id")
     return views.skills(spark, d).join(some, "skill_id", "left").groupBy("skill_id", "canonical_name").agg(F.countDistinct("job_id").alias("n"))
 
 
-ALL_COVER = COVER.replace(" WHERE skill_id < 9)", ")").replace("FROM v_jobs)", "FROM v_jobs WHERE is_active AND trim(title) <> '')")
+ALL_COVER = COVER.replace("FROM v_jobs)", "FROM v_jobs WHERE is_active AND trim(title) <> '')")
 
 
 @query(f"SELECT {ALL_COVER}")
@@ -558,7 +552,8 @@ FROM skill2 s JOIN sel USING (role, country, seniority, is_remote) JOIN v_skills
 def market(spark, d, n=100, **filters):
     b = base(spark, d)
     own = views.job_skills(spark, d)
-    return match.top_skills_for_market(marts.role_stats_v2(b, LEAST), marts.skill_stats_v2(b, own, LEAST), b, own, views.skills(spark, d), n, **filters)
+    slices = b.groupBy(*marts.SLICE).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    return match.top_skills_for_market(marts.role_stats_v2(b, LEAST), marts.skill_stats_v2(b, own, LEAST), b, own, views.skills(spark, d), n, slices, **filters)
 
 
 @query(TOP.replace("NATION_3", "{c}") + " SELECT skill_name, category, CAST(jobs_with_skill AS BIGINT) AS jobs_with_skill, CAST(jobs_total AS BIGINT) AS jobs_total, share_pct, salary_median_with, salary_delta FROM mk")
@@ -643,9 +638,9 @@ def vec08_ann_join(spark, d):
 # ---- text -----------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, url AS fixed FROM pages WHERE url LIKE 'http%'")
+@query("SELECT page_id, CASE WHEN url IS NULL OR lower(trim(url)) IN ('', 'nan', 'none', 'null') THEN 'https://hh.ru/' || CAST(page_id AS VARCHAR) WHEN trim(url) LIKE '//%' THEN 'https:' || trim(url) WHEN trim(url) LIKE '/%' THEN 'https://hh.ru' || trim(url) WHEN NOT regexp_matches(trim(url), '^https?://', 'i') THEN 'https://' || trim(url) ELSE trim(url) END AS fixed FROM pages")
 def url01_fix_url(spark, d):
-    return table(spark, d, "pages").where("url LIKE 'http%'").select("page_id", L.fix_url(F.col("url"), F.lit("hh.ru"), F.col("page_id").cast("string")).alias("fixed"))
+    return table(spark, d, "pages").select("page_id", L.fix_url(F.col("url"), F.lit("hh.ru"), F.col("page_id").cast("string")).alias("fixed"))
 
 
 @query(r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(replace(replace(replace(replace(replace(replace(
@@ -691,11 +686,12 @@ def sal01_salary_from_text(spark, d):
     return rows.select("o_orderkey", "s.low", "s.high", "s.currency", "period")
 
 
-@query("SELECT o_orderkey, round_even(o_totalprice / 12.0, 0) AS monthly FROM orders WHERE o_totalprice / 12.0 BETWEEN 1000 AND 30000 AND o_totalprice > 30000")
+@query("""WITH p(months, place, bonus) AS (VALUES (CAST(1 AS DOUBLE) / 12, 0, 0.05::DOUBLE), (CAST(1 AS DOUBLE), 1, 0::DOUBLE), (4.33::DOUBLE, 2, 0::DOUBLE), (21::DOUBLE, 3, 0::DOUBLE), (160::DOUBLE, 4, 0::DOUBLE)),
+s AS (SELECT o_orderkey, o_totalprice * months AS v, place, CASE WHEN o_totalprice * months < 1000 THEN (1000 - o_totalprice * months) / 1000 WHEN o_totalprice * months > 30000 THEN (o_totalprice * months - 30000) / 30000 ELSE 0 END - bonus AS score FROM orders CROSS JOIN p)
+SELECT o_orderkey, round_even(v, 0) AS monthly FROM s QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score, place) = 1""")
 def sal06_to_monthly(spark, d):
     p = F.col("o_totalprice")
-    rows = table(spark, d, "orders").where((p / 12.0).between(1000, 30000) & (p > 30000))
-    return rows.select("o_orderkey", S.to_monthly(p, p, F.lit("USD"), F.lit("yearly"))["high"].alias("monthly"))
+    return table(spark, d, "orders").select("o_orderkey", S.to_monthly(p, p, F.lit("USD"), F.lit("yearly"))["high"].alias("monthly"))
 
 
 @query()
@@ -745,7 +741,7 @@ def cls13_intent(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE lower(trim(source)) IN ('src0', 'src1')")
 def flt01_valid_source(spark, d):
-    return table(spark, d, "documents").where(F.lower(F.trim("source")).isin("src0", "src1")).select("doc_id")
+    return clean.valid_source(table(spark, d, "documents"), ["src0", "src1"]).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE trim(text) <> '' AND lower(trim(text)) NOT IN ('nan', 'none', 'null')")
@@ -806,13 +802,12 @@ def flt12_salary_filter(spark, d):
 
 @query("SELECT DISTINCT job_id FROM v_jobs j WHERE EXISTS (SELECT 1 FROM v_job_skills s WHERE s.job_id = j.job_id AND s.skill_id = 12)")
 def jon09_semi(spark, d):
-    return views.jobs(spark, d).join(views.job_skills(spark, d).where("skill_id = 12"), "job_id", "left_semi").select("job_id")
+    return skills.with_skill(views.jobs(spark, d), views.job_skills(spark, d), 12).select("job_id")
 
 
 @query("SELECT job_id, job_id IN (SELECT job_id FROM v_job_skills WHERE skill_id = 3) AS has_skill FROM v_jobs")
 def jon13_coverage_flag(spark, d):
-    flag = views.job_skills(spark, d).where("skill_id = 3").select("job_id").distinct().withColumn("f", F.lit(True))
-    return views.jobs(spark, d).join(flag, "job_id", "left").select("job_id", F.col("f").isNotNull().alias("has_skill"))
+    return skills.skill_flag(views.jobs(spark, d), views.job_skills(spark, d), 3).select("job_id", "has_skill")
 
 
 @query("SELECT canonical_name, category FROM v_skills WHERE lower(canonical_name) NOT IN ('brand#3', 'brand#12', 'brand#25')")
@@ -821,9 +816,9 @@ def jon08_missing_skills(spark, d):
     return views.skills(spark, d).join(own, "skill_id", "left_anti").select("canonical_name", "category")
 
 
-@query("SELECT job_id, upper(s) AS skill FROM (SELECT job_id, unnest([currency, country]) AS s FROM v_jobs WHERE remote)")
+@query("SELECT job_id, upper(s) AS skill FROM (SELECT job_id, unnest([currency, country]) AS s FROM v_jobs)")
 def jon06_explode(spark, d):
-    return views.jobs(spark, d).where("remote").select("job_id", F.explode(F.array("currency", "country")).alias("s")).select("job_id", F.upper("s").alias("skill"))
+    return skills.explode_values(views.jobs(spark, d), "job_id", F.array("currency", "country"))
 
 
 @query(ROLE_V2.format(n=LEAST) + SAL_V2.format(n=LEAST) + " SELECT r.role, r.country, r.seniority, r.is_remote, jobs_count, p50 FROM role2 r JOIN sal2 s USING (role, country, seniority, is_remote)")
@@ -878,9 +873,9 @@ def dq03_suspicious_experience(spark, d):
     return quality.suspicious_experience(rows).select("job_id", "reason")
 
 
-@query("SELECT p_partkey, lower(p_name) AS title FROM part WHERE regexp_matches(p_name, '^[A-Za-z0-9 ]+$')")
+@query("SELECT p_partkey, nullif(trim(regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-zа-яё0-9\\s+#.]', ' ', 'g'), '\\s+', ' ', 'g')), '') AS title FROM part")
 def str04_normalize_title(spark, d):
-    return table(spark, d, "part").where("p_name RLIKE '^[A-Za-z0-9 ]+$'").select("p_partkey", X.normalize_title(F.col("p_name"), F.lit("Acme")).alias("title"))
+    return table(spark, d, "part").select("p_partkey", X.normalize_title(F.col("p_name"), F.lit("Acme")).alias("title"))
 
 
 @query("SELECT page_id, 'a,' || CAST(page_id AS VARCHAR) AS items FROM pages")
@@ -923,9 +918,8 @@ def dat01_effective_date(spark, d):
 
 @query(f"SELECT query_id, vec_id, total FROM (SELECT query_id, vec_id, total, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, vec_id) AS k FROM (SELECT q AS query_id, v AS vec_id, round(score + 0.15 * CASE WHEN same THEN 1 ELSE 0 END, 4) AS total FROM (SELECT a.vec_id AS q, b.vec_id AS v, a.label = b.label AS same, {DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0))) WHERE k <= 3")
 def vec04_rerank_skill(spark, d):
-    items, queries = vec_sides(spark, d)
-    scored = vector.search(items, queries, 1_000_000, with_columns=("label", "q_label")).withColumn("total", F.round(vector.rerank_skill(F.col("score"), (F.col("label") == F.col("q_label")).cast("int")), 4))
-    return merge.keep_rank(scored, "query_id", [F.desc("total"), F.col("vec_id")], 3).select("query_id", "vec_id", "total")
+    by_label = lambda score: vector.rerank_skill(score, (F.col("label") == F.col("q_label")).cast("int"))
+    return vector.search(*vec_sides(spark, d), 3, rerank=by_label).select("query_id", "vec_id", F.col("score").alias("total"))
 
 
 #: Country of the market questions.
