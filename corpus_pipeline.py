@@ -1,4 +1,8 @@
-"""From raw documents to packed training windows, by the operators of talentmill.llm."""
+"""From raw documents to packed training windows, by the operators of talentmill.llm.
+
+Stages take null, empty and very long texts, null ids, repeated rows, empty tables and further columns of any name: what an
+operator says of them in its docstring holds for its stage. All but the last keep the columns of their input. Rows without an id
+pass all filters that go by ids; a null text has no n-grams, benchmark items or personal data, and is scored like an empty one."""
 
 from __future__ import annotations
 
@@ -8,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentmill.llm import decontaminate, jaccard, packing, pii, quality
-from talentmill.llm._common import materialise
+from talentmill.llm._common import free_name, materialise
 from talentmill.llm.queries import table, tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.add_score(docs, model, "_score").where(F.col("_score") >= 0.3).drop("_score")
+    score = free_name("score", docs.columns)
+    scored = quality.add_score(docs, quality.train(docs, table(spark, sf_dir, "labels")), score)
+    return scored.where(F.col(score) >= 0.3).drop(score)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +31,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within its error budget."""
     flagged = decontaminate.flag_contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return flagged.where(F.size("contamination") == 0).drop("contamination")
+    hits = flagged.columns[-1]
+    return flagged.where(F.size(hits) == 0).drop(hits)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

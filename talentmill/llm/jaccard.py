@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentmill.llm._common import batch, discard, materialise, strings, text_or_empty, worker_cache
+from talentmill.llm._common import batch, discard, materialise, strings, text_or_empty, tidy, worker_cache
 from talentmill.llm.components import components
 
 U64 = np.uint64
@@ -144,7 +144,7 @@ def rarity(docs: DataFrame, k: int, width: int) -> np.ndarray:
         return pa.Table.from_batches([batch(schema, [t.column("block")[0].as_py()], [0], [out])])
 
     kind = "block int, part long, v binary"
-    parts = docs.select(text_or_empty()).mapInArrow(count, kind).withColumn("part", F.floor(F.col("part") / 256))
+    parts = docs.select(text_or_empty()).mapInArrow(tidy(count), kind).withColumn("part", F.floor(F.col("part") / 256))
     sums = parts.groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind)
     found = {r.block: np.frombuffer(zlib.decompress(r.v), "<u4") for r in sums.collect()}  # width numbers
     return np.concatenate([found[i] for i in sorted(found)]) if found else np.zeros(width, "<u4")
@@ -196,7 +196,7 @@ def signatures(docs: DataFrame, k: int, bounds: Bounds, sketch: np.ndarray, ligh
             yield batch(schema, b.column(0), sizes, keys, subsets, prefixes, odd)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n int, sid long, subsets binary, prefix binary, odd binary")
+    return rows.mapInArrow(tidy(sign), "doc_id long, n int, sid long, subsets binary, prefix binary, odd binary")
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def postings(sets: DataFrame) -> DataFrame:
                         pos = np.arange(counts.sum()) - begins if first == 0 else np.full(counts.sum(), -1)
                         yield batch(schema, np.frombuffer(b"".join(raw), np.int64), np.repeat(sid, counts), np.repeat(n, counts), pos.astype(np.int32))
 
-    return sets.select("sid", "n", "subsets", "prefix").mapInArrow(spread, "key long, sid long, n int, pos int")
+    return sets.select("sid", "n", "subsets", "prefix").mapInArrow(tidy(spread), "key long, sid long, n int, pos int")
 
 
 def heavy_keys(sets: DataFrame, total: int, part: int = 2000, chunk: int = 500_000) -> DataFrame:
@@ -242,7 +242,7 @@ def heavy_keys(sets: DataFrame, total: int, part: int = 2000, chunk: int = 500_0
                         rows, size = [], 0
         yield great()
 
-    counts = sets.select("subsets", "prefix").mapInArrow(local, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = sets.select("subsets", "prefix").mapInArrow(tidy(local), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return materialise(counts.where(F.col("n") * part > total).select("key"))
 
 
@@ -285,7 +285,7 @@ def scan_lists(entries: DataFrame, bounds: Bounds, light: int, near: int) -> Dat
             yield batch(FOUND, *[pa.nulls(len(long), pa.int64())] * 2, key[long], sid[long], n[long].astype(np.int32), pos[long].astype(np.int32))
             held = [x[-near - 1 :] for x in rows]
 
-    return ranked.mapInArrow(scan, "a long, b long, key long, sid long, n int, pos int")
+    return ranked.mapInArrow(tidy(scan), "a long, b long, key long, sid long, n int, pos int")
 
 
 def close(bounds: Bounds, n1, odd1, n2, odd2) -> np.ndarray:
@@ -308,7 +308,7 @@ def prune(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
             ok = close(bounds, b.column(2).to_numpy(), longs(b.column(3)), b.column(4).to_numpy(), longs(b.column(5)))
             yield b.select([0, 1]).filter(pa.array(ok))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "odd_a", "n_b", "odd_b").mapInArrow(keep, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "odd_a", "n_b", "odd_b").mapInArrow(tidy(keep), "a long, b long")
 
 
 def if_few(table: DataFrame, most: int = 500_000) -> DataFrame:
@@ -384,7 +384,7 @@ def scan_blocks(own: DataFrame, sets: DataFrame, bounds: Bounds, light: int, for
                     yield batch(PAIR, np.minimum(x, y), np.maximum(x, y))
             held = [x[np.searchsorted(meet, meet[-1]) :] if len(meet) else x for x in rows]
 
-    return dealt.repartition("meet").sortWithinPartitions("meet", "n", "sid").mapInArrow(cross, "a long, b long").distinct()
+    return dealt.repartition("meet").sortWithinPartitions("meet", "n", "sid").mapInArrow(tidy(cross), "a long, b long").distinct()
 
 
 PROBES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
@@ -424,7 +424,7 @@ class MayHold:
             return pa.Table.from_batches([batch(schema, [t.column("block")[0].as_py()], [np.packbits(v, bitorder="little").tobytes()])])
 
         out = np.zeros((bits // per, per // 8), np.uint8)
-        found = keys.mapInArrow(spread, "block int, at int").distinct()
+        found = keys.mapInArrow(tidy(spread), "block int, at int").distinct()
         for r in found.groupBy("block").applyInArrow(fill, "block int, v binary").collect():  # at most 512 blocks
             out[r.block] = np.frombuffer(r.v, np.uint8)
         return cls(out.reshape(-1))
@@ -443,7 +443,7 @@ def whole_sets(needed: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> D
                 h = [shingles(t, k) for t in strings(some.column(1))]
                 yield batch(schema, [set_key(x) for x in h], [x.tobytes() for x in h])
 
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("at"), text_or_empty().alias("text")).mapInArrow(remake, "sid long, h binary")
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("at"), text_or_empty().alias("text")).mapInArrow(tidy(remake), "sid long, h binary")
     return materialise(rows.join(needed, "sid", "left_semi").dropDuplicates(["sid"]))
 
 
@@ -464,7 +464,7 @@ def verify(pairs: DataFrame, whole: DataFrame, bounds: Bounds) -> DataFrame:
                     rows.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), common, len(x) + len(y) - common))
             yield batch(link, *(zip(*rows, strict=True) if rows else [[]] * 4))
 
-    return materialise(both.mapInArrow(compare, "a long, b long, overlap long, total long"))
+    return materialise(both.mapInArrow(tidy(compare), "a long, b long, overlap long, total long"))
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ walks the nested boxes, decodes the sample tables and gives codec, duration and
 that start at keyframes. It reads headers and tables only; sample data are skipped over by
 their boxes' sizes and fetched from the ranges alone.
 
-Edge cases: a null or empty text becomes one unit of blanks; equal texts give equal bytes;
-a truncated or foreign file gives codec null and no ranges; an empty table gives an empty result.
+Edge cases: a null or empty text becomes one unit of blanks; equal texts give equal bytes, whatever
+their rows; very long texts become longer tables, a text at a time in memory; truncated, damaged or
+foreign files and fragmented ones, whose tables are elsewhere, give codec null and no ranges; of
+several tracks the first sound one counts; null ids and repeated rows are kept one by one; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentmill.llm._common import batch, strings, text_or_empty
+from talentmill.llm._common import batch, strings, text_or_empty, tidy
 
 UNIT, RATE, KEY_EVERY, UNITS_A_CHUNK = 192, 8000, 16, 64
 #: Boxes that hold boxes, and the bytes before the first of them.
@@ -85,13 +88,39 @@ def walk(data: bytes, begin: int = 0, end: int | None = None) -> Iterator[tuple[
         at += length
 
 
-def features(data: bytes) -> dict:
-    """codec, timescale, duration, sizes and offsets of samples, and keyframe byte ranges of the first track."""
-    out: dict = {"codec": None, "timescale": 0, "duration": 0, "samples": [], "ranges": []}
-    found: dict[bytes, tuple[int, int]] = {}
+NOTHING = {"codec": None, "timescale": 0, "duration": 0, "samples": [], "ranges": []}
+
+
+def tracks(data: bytes) -> list[dict[bytes, tuple[int, int]]]:
+    """Boxes (start of body, end) of each track."""
+    own: list[dict[bytes, tuple[int, int]]] = []
+    until = 0
     for kind, a, b in walk(data):
-        found.setdefault(kind, (a, b))
+        if kind == b"trak":
+            own.append({})
+            until = b
+        elif own and a < until:
+            own[-1].setdefault(kind, (a, b))
+    return own
+
+
+def features(data: bytes) -> dict:
+    """codec, timescale, duration, sizes and offsets of samples, and keyframe byte ranges of the first track whose
+    tables are sound. A track is not if its tables overrun their boxes, contradict each other or point beyond the file."""
+    for found in tracks(data):
+        try:
+            out = track_features(data, found)
+        except (struct.error, IndexError, ValueError):
+            continue
+        if out["codec"] and all(0 <= at and at + size <= len(data) for at, size in out["samples"]):
+            return out
+    return NOTHING
+
+
+def track_features(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
+    out = dict(NOTHING)
     u32 = lambda at, n=1: struct.unpack_from(f">{n}I", data, at)
+    room = {kind: (b - a) // 4 for kind, (a, b) in found.items()}  # longs that fit into the box
     if not {b"stsd", b"stsz", b"stsc", b"mdhd"} <= found.keys() or not found.keys() & {b"stco", b"co64"}:
         return out
     out["codec"] = data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16].decode("latin-1")
@@ -99,6 +128,8 @@ def features(data: bytes) -> dict:
     out["timescale"], out["duration"] = u32(at + 12, 2) if data[at] == 0 else struct.unpack_from(">IQ", data, at + 20)
     at = found[b"stsz"][0]
     fixed, n = u32(at + 4, 2)
+    if not fixed and n > room[b"stsz"] or fixed * n > len(data):
+        raise ValueError("sizes")
     sizes = [fixed] * n if fixed else u32(at + 12, n)
     at, wide = found.get(b"co64", found.get(b"stco"))[0], b"co64" in found
     chunks = struct.unpack_from(f">{u32(at + 4)[0]}{'Q' if wide else 'I'}", data, at + 8)
@@ -110,8 +141,12 @@ def features(data: bytes) -> dict:
         for chunk in chunks[first - 1 : until - 1]:
             own = sizes[len(samples) : len(samples) + count]
             samples += zip(accumulate(own[:-1], initial=chunk), own, strict=False)
+    if len(samples) != n or [*table[::3]] != sorted({*table[::3]}) or n and table[:1] != (1,):
+        raise ValueError("samples")
     out["samples"] = samples
     keys = u32(found[b"stss"][0] + 8, u32(found[b"stss"][0] + 4)[0]) if b"stss" in found else range(1, n + 1)
+    if any(not 1 <= k <= n for k in keys) or [*keys] != sorted({*keys}):
+        raise ValueError("keyframes")
     out["ranges"] = [(samples[k - 1][0], sum(size for _, size in samples[k - 1 : after - 1])) for k, after in zip(keys, [*keys[1:], n + 1], strict=True)]
     return out
 
@@ -139,7 +174,7 @@ def media_columns(docs: DataFrame, unit: int = UNIT) -> DataFrame:
                 read = [features(f) for f in files]
                 yield batch(schema, b.column(0), [n for n, _ in raw], files, [r["codec"] for r in read], [r["duration"] / max(1, r["timescale"]) for r in read], [[{"begin": x, "length": y} for x, y in r["ranges"]] for r in read], [read_samples(f, r["samples"]) for f, r in zip(files, read, strict=True)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(convert, "doc_id long, n_bytes long, media binary, codec string, seconds double, keyframes array<struct<begin:long,length:long>>, payload binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(tidy(convert), "doc_id long, n_bytes long, media binary, codec string, seconds double, keyframes array<struct<begin:long,length:long>>, payload binary")
 
 
 def media_digest(docs: DataFrame, unit: int = UNIT) -> DataFrame:
@@ -158,4 +193,4 @@ def media_digest(docs: DataFrame, unit: int = UNIT) -> DataFrame:
             rows = [row(n, mux(p, unit)) for n, p in (padded(t, unit) for t in strings(b.column(1)))]
             yield batch(schema, b.column(0), *(zip(*rows, strict=True) if rows else [[]] * 7))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(convert, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(tidy(convert), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

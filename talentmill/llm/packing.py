@@ -10,12 +10,14 @@ the best fill the window greedily; the document that overflows is cut and seeds
 What is left at a range's end is dealt into windows of powers of two, which need no padding.
 
 Edge cases: a null or empty text is its end id alone; a document longer than the window spans
-several; repeated rows are packed one by one; an empty table gives an empty result; other
-columns are ignored; null ids sort first.
+several, and one longer than a shard is a shard; equal scores go by place in the shard; repeated rows
+are packed one by one; an empty table gives an empty result; other columns are ignored; null ids sort
+first.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,24 +28,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentmill.llm._common import batch, materialise, strings, text_or_empty
+from talentmill.llm._common import batch, materialise, release, strings, text_or_empty, tidy, worker_cache
 
 #: Texts for which lower-casing and the pattern below do what the tokenizer would: no letters beyond Latin, no marks that combine, no odd digits.
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7f\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u012f\u0132-\u0148\u014a-\u017e\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
-#: Pre-tokens of such lower-cased texts.
+#: Pre-tokens of such lower-cased texts, by tokenizers of this normaliser and this pattern.
+_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 _PIECES = re.compile(r"[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9\xdf-\xf6\xf8-\u017e]+").findall
-_CACHES: dict[str, PieceIds] = {}
 K1, B = 1.2, 0.75
 
 
 class PieceIds(dict):
     """Pre-token -> its ids as bytes. Those not yet known are encoded many at a time; each ends with a token
-    that closes a word, which tells them apart again. The table starts anew at ``room`` entries."""
+    that closes a word, which tells them apart again. The table starts anew at ``room`` entries or as many bytes
+    of long ones. Other tokenizers than those that cut texts in this way get whole texts."""
 
-    def __init__(self, path: str, room: int = 1_000_000, closing: str = "</w>"):
+    def __init__(self, path: str, room: int = 500_000, closing: str = "</w>"):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.tokenizer, self.room, self.long = Tokenizer.from_file(path), room, 0
+        made = json.loads(self.tokenizer.to_str())
+        cut = made["pre_tokenizer"] or {}
+        first = [*cut.get("pretokenizers", []), {}][0]
+        self.in_pieces = made["normalizer"] == _NORMALISER and first.get("pattern") == _PATTERN and bool(first.get("invert")) and made["model"].get("end_of_word_suffix") == closing
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(closing)]] = True
@@ -55,6 +63,7 @@ class PieceIds(dict):
     def learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 2000):
             some = pieces[at : at + 2000]
+            self.long += sum(len(p) for p in some if len(p) > 40)
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids)):
@@ -65,9 +74,10 @@ class PieceIds(dict):
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Ids of each text and the end id; texts that are not plain go to the tokenizer whole."""
-        if len(self) > self.room:
+        if len(self) > self.room or self.long > self.room:
             self.clear()
-        plain = [_PLAIN(t) is not None and not any(x in t for x in self.special) for t in texts]
+            self.long = 0
+        plain = [self.in_pieces and _PLAIN(t) is not None and not any(x in t for x in self.special) for t in texts]
         pieces = [_PIECES(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
         self.learn([*set().union(*pieces).difference(self)])
         end = np.array([end_id], self.kind).tobytes()
@@ -75,9 +85,7 @@ class PieceIds(dict):
 
 
 def piece_ids(path: str) -> PieceIds:
-    if path not in _CACHES:
-        _CACHES[path] = PieceIds(path)
-    return _CACHES[path]
+    return worker_cache("packing", path, lambda: PieceIds(path))
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -94,7 +102,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 lows = [np.partition(np.append(np.unique(order[np.frombuffer(x, own.kind)]), [1 << 40] * 2), 1)[:2] for x in ids]
                 yield batch(schema, b.column(0), [len(x) // own.kind.itemsize for x in ids], ids, [int(x[0]) for x in lows], [int(x[1]) for x in lows])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(encode, "doc_id long, n long, ids binary, low long, next long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(tidy(encode), "doc_id long, n long, ids binary, low long, next long")
 
 
 def document_frequencies(tokens: DataFrame, kind: np.dtype) -> DataFrame:
@@ -113,7 +121,7 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype) -> DataFrame:
         at = np.flatnonzero(df)
         yield batch(schema, np.append(at, [-1, -2]), np.append(df[at], [docs, total]))
 
-    return tokens.select("ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return tokens.select("ids").mapInArrow(tidy(count), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 class Index:
@@ -245,6 +253,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
                     yield
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # of the pre-tokens that this worker has learnt
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         open_docs: list[tuple] = []  # (doc_id, ids) of the window not yet full
         names: list[int | None] = []  # documents read and not yet packed
@@ -299,4 +308,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
 
     shards = max(1, min(most_shards, -(-total // shard_tokens)))
     dealt = tokens.repartitionByRange(shards, "low", "next", "doc_id").sortWithinPartitions("low", "next", "doc_id", "n") if n_docs else tokens
-    return dealt.select("doc_id", "ids").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return dealt.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -12,9 +12,11 @@ constants. Texts are read twice and never moved.
 Positions are code points, ends exclusive: the text is split at the pattern's matches, and
 lengths of pieces and matches are added up.
 
-Edge cases: a null or empty text has no spans (``base_sha256`` of the empty string); repeated rows are
-judged alike; spans of different kinds may overlap; an empty table gives an empty result; other
-columns are kept by ``add_spans`` and ``redact``.
+Edge cases: a null or empty text has no spans (``base_sha256`` of the empty string); very long texts
+are searched whole, by patterns that do not backtrack; spans of different kinds may overlap, and of
+those that start together the kind listed first comes first; repeated rows are judged alike; null ids
+are kept; an empty table gives an empty result; other columns are kept by ``add_spans`` and
+``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talentmill.llm._common import free_name
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Same matches as the contract's patterns; possessive, so that long runs need no backtracking.
 BASE = {
@@ -37,10 +41,10 @@ BASE = {
 _NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 #: Candidates that labelers judge.
 WIDER = {
-    "email": r"[A-Za-z0-9._+-]{2,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{2,63} ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,10}",
+    "email": r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{2,}+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{2,63} ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,10}",
     "phone": r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,128}(?![A-Za-z0-9_/+-])",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+",
 }
 _WIDER_NEEDS = {"email": r"\bdot\b", "phone": r"[0-9][ .-][0-9]{3}[ .-][0-9]{4}", "account": r"[A-Z]{2}[0-9]{2}", "secret": r"[A-Za-z0-9_/+-]{20}"}
 _STRICT = {"email": r"(?i)^[a-z0-9._+-]+ ?(\[at\]|\(at\)) ?[a-z0-9-]+ ?(\[dot\]|\(dot\)) ?[a-z]{2,10}$", "phone": r"^\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}$", "account": r"^[A-Z]{2}[0-9]{2}( ?[0-9]{4}){3,}", "secret": r"^([0-9a-f]{32,}|[A-Za-z0-9_/+-]*[0-9][A-Za-z0-9_/+-]*[A-Z][A-Za-z0-9_/+-]*)$"}
@@ -183,14 +187,16 @@ def train(docs: DataFrame) -> Model:
     return Model(reliability, prior, weights)
 
 
-def add_spans(docs: DataFrame, model: Model | None = None, accept_at: float = 0.5) -> DataFrame:
-    """``docs`` with ``base`` and ``spans``, arrays of (start, ord, end, kind, value); added spans never overlap base ones."""
+def add_spans(docs: DataFrame, model: Model | None = None, accept_at: float = 0.5, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """``docs`` with two last columns, by default ``base`` and ``spans``: arrays of (start, ord, end, kind, value).
+    Added spans never overlap base ones. Names that ``docs`` has already get underscores."""
     model = model or train(docs)
+    base, spans = (free_name(name, docs.columns) for name in names)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumn("base", base_spans(text))
-    wider = F.filter(candidates(text), lambda c: (model.probability(c) >= accept_at) & ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    out = docs.withColumn(base, base_spans(text))
+    wider = F.filter(candidates(text), lambda c: (model.probability(c) >= accept_at) & ~F.exists(F.col(base), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     more = F.transform(wider, lambda c: F.struct(c["start"].alias("start"), c["ord"].alias("ord"), c["end"].alias("end"), c["kind"].alias("kind"), c["value"].alias("value")))
-    return out.withColumn("spans", F.array_sort(F.array_union("base", more)))
+    return out.withColumn(spans, F.array_sort(F.array_union(base, more)))
 
 
 def of_kind(kind: str):
@@ -211,13 +217,18 @@ def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with every span replaced by ``<kind>``; overlapping spans give one mark, of the first. Null texts stay null."""
     found = add_spans(docs, model)
+    *_, base, spans = found.columns
     text = F.col("text").cast("string")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
-        return F.struct(F.concat(acc["out"], F.array(piece)).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+        kept = F.struct(acc["at"].alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))
+        return F.struct(F.when(fresh, F.concat(acc["out"], F.array(kept))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    start = F.struct(F.array().cast("array<struct<at:int,start:int,kind:string>>").alias("out"), F.lit(0).alias("at"))
+
+    def mark(acc: Column) -> Column:
+        pieces = F.transform(acc["out"], lambda x: F.concat(F.substring(text, x["at"] + 1, x["start"] - x["at"]), F.lit("<"), x["kind"], F.lit(">")))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, acc["at"] + 1, F.length(text)))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    marked = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, marked).otherwise(text)).drop("base", "spans")
+    return found.withColumn("text", F.when(F.size(spans) > 0, F.aggregate(spans, start, step, mark)).otherwise(text)).drop(base, spans)

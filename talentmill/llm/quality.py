@@ -3,15 +3,18 @@
 Trusted positives are documents labelled good outside the held-out fold; unlabelled ones are any
 documents outside it, whatever their label. A linear model minimises the non-negative unbiased
 risk pi R+(P) + max(0, R-(U) - pi R-(P)) with logistic loss; the class prior pi is estimated from
-how much of the unlabelled mass scores like positives. At most ``sample`` positives and as many
-unlabelled rows, those of least hash, are fetched to fit it; every row is scored.
+how many of all unlabelled rows score like positives, by models that have not seen them. At most
+``sample`` positives and as many unlabelled rows, those of least hash, are fetched to fit the models;
+every row counts for the prior, and every row is scored.
 
 Features come from the text alone: shares of byte classes and hashed byte pairs, word and line
 repetition, mean lengths.
 
-Edge cases: null and empty texts are scored like an empty text; null labels are no positives;
-with no positives at all every row gets ``prior_without_labels``; repeated rows score alike; an
-empty table gives an empty result; other columns are kept by ``add_score``.
+Edge cases: null and empty texts are scored like an empty text; very long texts are described whole,
+one at a time; null labels and null ids are no positives; with no positives at all every row gets
+``prior_without_labels``; of an id that repeats with several texts, the one of least hash is learnt from;
+ties of hashes go by id; repeated rows score alike; an empty table gives an empty result; other columns
+are kept by ``add_score``, whose column ``name`` takes the place of one so called.
 """
 
 from __future__ import annotations
@@ -19,14 +22,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentmill.llm._common import text_or_empty
+from talentmill.llm._common import release, text_or_empty
 
 N_PAIRS, N_TALL = 256, 14
+N_THRESHOLDS = 30
 N_FEATURES = 128 + N_PAIRS + N_TALL
 
 
@@ -80,28 +84,47 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among unlabelled rows: least ratio of the two score tails, scores from a model that did not see the rows."""
-    ratios = []
+@dataclass(frozen=True)
+class Tail:
+    """A model fitted to one half of the sample, and what the positives of the other half score: thresholds and shares of them at or above each."""
+
+    weights: np.ndarray
+    thresholds: np.ndarray
+    shares: np.ndarray
+
+    def bins(self, x: np.ndarray) -> np.ndarray:
+        """Number of thresholds that each row reaches."""
+        return np.searchsorted(self.thresholds, x @ self.weights, side="right")
+
+    def least_ratio(self, counts: np.ndarray) -> float:
+        """Least ratio of the two tails; ``counts``: unlabelled rows by the number of thresholds reached."""
+        reached = np.cumsum(counts[::-1])[::-1][1:]
+        return float((reached / max(1, counts.sum()) / self.shares).min())
+
+
+def half_models(p: np.ndarray, u: np.ndarray) -> list[Tail]:
+    """For each half of positives and unlabelled rows (standardised), a model and its tail; none if a half is empty."""
+    out = []
     for k in (0, 1):
-        fit_p, fit_u, own_p, own_u = p[k::2], u[k::2], p[1 - k :: 2], u[1 - k :: 2]
-        if not min(map(len, (fit_p, fit_u, own_p, own_u))):
-            return 0.5
+        fit_p, fit_u, own_p = p[k::2], u[k::2], p[1 - k :: 2]
+        if not min(map(len, (fit_p, fit_u, own_p))):
+            return []
         x, y = np.vstack([fit_p, fit_u]), np.repeat([1.0, 0.0], [len(fit_p), len(fit_u)])
         share = np.where(y == 1, 0.5 / len(fit_p), 0.5 / len(fit_u))
         w = _descend(x, lambda w, x=x, y=y, share=share: x.T @ (share * (_sigmoid(x @ w) - y)), 150, 0.02, 1e-3)
-        sp, su = own_p @ w, own_u @ w
-        ratios.append(min(np.mean(su >= t) / np.mean(sp >= t) for t in np.quantile(sp, np.linspace(0.02, 0.6, 30))))
-    return float(np.clip(np.mean(ratios), 0.05, 0.98))
+        scores = own_p @ w
+        thresholds = np.quantile(scores, np.linspace(0.02, 0.6, N_THRESHOLDS))
+        out.append(Tail(w, thresholds, np.array([np.mean(scores >= t) for t in thresholds])))
+    return out
 
 
-def fit(p: np.ndarray, u: np.ndarray, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> Model:
-    """Non-negative risk estimator on positives p and unlabelled u (rows are feature vectors)."""
-    both = np.vstack([p, u]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    widen = lambda x: np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
-    p, u = widen(p), widen(u)
-    prior = estimate_prior(p, u)
+def estimate_prior(tails: list[Tail], counts: list[np.ndarray]) -> float:
+    """Share of positives among all unlabelled rows: mean over the halves of the least ratio of tails."""
+    return float(np.clip(np.mean([t.least_ratio(c) for t, c in zip(tails, counts, strict=True)]), 0.05, 0.98)) if tails else 0.5
+
+
+def fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> np.ndarray:
+    """Weights of the non-negative risk estimator on positives p and unlabelled u (standardised)."""
 
     def gradient(w: np.ndarray) -> np.ndarray:
         sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
@@ -110,7 +133,36 @@ def fit(p: np.ndarray, u: np.ndarray, steps: int = 400, rate: float = 0.02, deca
         down = (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
         return up + down if rest >= 0 else -down  # step back where the negative risk has become negative
 
-    return Model(mean, scale, _descend(p, gradient, steps, rate, decay), prior)
+    return _descend(p, gradient, steps, rate, decay)
+
+
+def standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
+
+
+def count_bins(docs: DataFrame, seen: dict[int, int], tails: list[Tail], mean: np.ndarray, scale: np.ndarray) -> list[np.ndarray]:
+    """For each half model, how many of ``docs`` reach how many of its thresholds. Rows that it was fitted to (``seen``: id -> half) don't count."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((tails, mean, scale))
+    known = F.broadcast(spark.createDataFrame([*seen.items()], "doc_id long, half int"))  # of bounded size
+
+    @F.arrow_udf("array<int>")
+    def bins(texts: pa.Array, halves: pa.Array) -> pa.Array:
+        own, mean, scale = shared.value
+        parts = [np.zeros((0, len(own)), np.int64)]
+        for at in range(0, len(texts), 1024):
+            x = standardised(np.array([describe(t.as_py()) for t in texts.slice(at, 1024)], np.float64), mean, scale)
+            parts.append(np.stack([t.bins(x) for t in own], 1))
+        found = np.concatenate(parts)
+        half = halves.fill_null(-1).to_numpy(zero_copy_only=False)
+        found[np.flatnonzero(half >= 0), half[half >= 0]] = -1
+        return pa.array(found.tolist(), pa.list_(pa.int32()))
+
+    rows = docs.join(known, "doc_id", "left").select(F.posexplode(bins("text", "half")).alias("k", "bin")).where("bin >= 0")
+    out = [np.zeros(N_THRESHOLDS + 1, np.int64) for _ in tails]
+    for r in rows.groupBy("k", "bin").count().collect():  # at most two rows a threshold and model
+        out[r.k][r.bin] = r["count"]
+    return out
 
 
 def fold(name: str = "doc_id", folds: int = 5):
@@ -125,14 +177,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, folds: int = 5
     ids = [*positive.collect(), *least(docs).withColumn("trusted", F.lit(False)).collect()]  # at most 2 * sample ids
     wanted = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, trusted boolean"))
 
-    @F.pandas_udf("binary")
-    def features(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: describe(t).tobytes())
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id").select("doc_id", "trusted", features("text").alias("x"), F.xxhash64("text").alias("h")).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.h))
-    x = {kind: np.frombuffer(b"".join(r.x for r in rows if r.trusted is kind), np.float32).reshape(-1, N_FEATURES) for kind in (True, False)}
-    return fit(x[True], x[False]) if len(x[True]) and len(x[False]) else None
+    @F.arrow_udf("binary")
+    def features(texts: pa.Array) -> pa.Array:
+        return pa.array([describe(t.as_py()).tobytes() for t in texts], pa.binary())
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id").select("doc_id", "trusted", features("text").alias("x"), F.xxhash64("text").alias("h"))
+    rows = found.groupBy("doc_id", "trusted").agg(F.min_by("x", "h").alias("x")).collect()  # one row an id, however often it repeats
+    rows.sort(key=lambda r: r.doc_id)
+    x = {kind: np.frombuffer(b"".join(r.x for r in rows if r.trusted is kind), np.float32).reshape(-1, N_FEATURES).astype(np.float64) for kind in (True, False)}
+    if not (len(x[True]) and len(x[False])):
+        return None
+    both = np.vstack([x[True], x[False]])
+    mean, scale = both.mean(0), both.std(0) + 1e-3
+    p, u = (standardised(x[kind], mean, scale) for kind in (True, False))
+    tails = half_models(p, u)
+    seen = {r.doc_id: i % 2 for i, r in enumerate(r for r in rows if not r.trusted)}
+    others = docs.where(known).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    prior = estimate_prior(tails, count_bins(others, seen, tails, mean, scale) if tails else [])
+    return Model(mean, scale, fit(p, u, prior), prior)
 
 
 def add_score(docs: DataFrame, model: Model | None, name: str = "score", prior_without_labels: float = 0.5) -> DataFrame:
@@ -141,10 +203,11 @@ def add_score(docs: DataFrame, model: Model | None, name: str = "score", prior_w
         return docs.withColumn(name, F.lit(prior_without_labels))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        parts = [shared.value.score(np.array([describe(t) for t in texts.iloc[at : at + 1024]], np.float64)) for at in range(0, len(texts), 1024)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        release()
+        parts = [shared.value.score(np.array([describe(t.as_py()) for t in texts.slice(at, 1024)], np.float64)) for at in range(0, len(texts), 1024)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(name, score(text_or_empty()))
 

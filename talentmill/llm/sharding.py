@@ -7,10 +7,17 @@ change: ``rebalance`` moves as few slots as it needs and raises the version.
 
 Placement needs no shuffle of texts: the map is a broadcast of ``n_slots`` rows. Positions in a
 shard come from counts per slot and a window inside each slot, so that no task sees a whole shard.
+Rows of one id and text fall into one slot; where they are more than a slot's share of all rows, a
+number of the row, written down before, deals them over all slots. Groups of equal texts are not kept
+together, which law ``bytes`` would forbid if one had more than a shard's share.
 
-Edge cases: a null text has size ``overhead`` and checksum 0; null ids hash like any value;
-repeated rows fall into one slot, which a salt made of the row's checksum spreads if ids repeat
-with different texts; an empty table gives an empty result; other columns are ignored.
+The map is stored as a table with a folder for each version, which is written once. A run without one
+stores version 1 and places by what it reads back; a run that finds one edits the newest version for the
+loads it measures and stores the next.
+
+Edge cases: a null text has size ``overhead`` and checksum 0; null ids hash like any value; very long
+texts count like others; equal rows have places of their own in any order, slots of equal weight go by
+number; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +25,11 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talentmill.llm._common import text_or_empty
+from talentmill.llm._common import materialise, scratch, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -42,6 +50,21 @@ class SlotMap:
         """(version, vslot, shard), the form in which the map is stored."""
         return spark.createDataFrame([(self.version, i, s) for i, s in enumerate(self.shards)], "version int, vslot int, shard int")
 
+    def store(self, spark: SparkSession, path: str) -> None:
+        """Add this version below ``path``; fails if it is there."""
+        self.table(spark).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={self.version}")
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str) -> SlotMap | None:
+        """The newest version below ``path``, if there is any."""
+        try:
+            found = spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return cls.read(found)
+
     @classmethod
     def read(cls, table: DataFrame, version: int | None = None) -> SlotMap:
         """The newest version, or the one asked for, of a stored map."""
@@ -106,17 +129,35 @@ def slot_weights(rows: DataFrame, n_slots: int) -> list[tuple[int, int]]:
     return out
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 24, n_slots: int = 4096, overhead: int = 8, slot_map: SlotMap | None = None) -> DataFrame:
+def spread_repeats(rows: DataFrame, weights: list[tuple[int, int]], n_slots: int, least: int = 1000) -> DataFrame | None:
+    """Rows with repeats of an id and text, if they fill a slot, dealt over all slots; None if there are none."""
+    share = sum(n for _, n in weights) // n_slots
+    full = [i for i, (_, n) in enumerate(weights) if n > max(least, 4 * share)]
+    if not full:
+        return None
+    key = ["doc_id", "text_crc32"]
+    many = rows.where(F.col("vslot").isin(full)).groupBy(*key).count().where(F.col("count") > max(least, share)).select(*(F.col(c).alias(f"_{c}") for c in key), F.lit(True).alias("many"))  # at most n_slots rows
+    own = materialise(rows.withColumn("number", F.monotonically_increasing_id()))
+    both = own.join(F.broadcast(many), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_crc32") == F.col("_text_crc32")), "left")
+    dealt = F.pmod(F.xxhash64(*key, "number"), F.lit(n_slots)).cast("int")
+    return both.withColumn("vslot", F.when(F.col("many"), dealt).otherwise(F.col("vslot"))).select(rows.columns)
+
+
+def assign_shards(docs: DataFrame, n_shards: int = 24, n_slots: int = 4096, overhead: int = 8, map_path: str | None = None, least: int = 1000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless in its shard from 0), grown_shard, vslot, map_version.
 
-    Sizes of shards are near equal (law ``bytes``). With ``slot_map`` given, that map is edited
-    for the loads measured; else a first one is made."""
-    spark = docs.sparkSession
+    Sizes of shards are near equal (law ``bytes``). ``map_path`` is where the map is kept; without it, it is a
+    fresh table in the shared folder."""
+    spark, path = docs.sparkSession, map_path or scratch(docs.sparkSession)
     rows = measured(docs, n_slots, overhead)
     weights = slot_weights(rows, n_slots)
-    in_bytes = [b for b, _ in weights]
-    used = rebalance(slot_map, in_bytes, n_shards) if slot_map else first_map(in_bytes, n_shards)
-    begin, placed = [0] * n_shards, []
+    split = spread_repeats(rows, weights, n_slots, least)
+    if split is not None:
+        rows, weights = split, slot_weights(split, n_slots)
+    in_bytes, old = [b for b, _ in weights], SlotMap.stored(spark, path)
+    (rebalance(old, in_bytes, n_shards) if old else first_map(in_bytes, n_shards)).store(spark, path)
+    used = SlotMap.stored(spark, path)
+    begin, placed = [0] * used.n_shards, []
     for vslot, shard in enumerate(used.shards):
         placed.append((vslot, shard, begin[shard]))
         begin[shard] += weights[vslot][1]

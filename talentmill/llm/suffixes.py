@@ -7,18 +7,28 @@ GRAM bytes in it, and equal windows have equal anchors at equal places, so suffi
 anchors stand for all windows. Anchors whose gram occurs in one text only drop out before any
 suffix is made. The others' suffixes, with the bytes to their left as a second part of the key, are
 sorted in each task, front-coded (length of the prefix shared with the suffix before, then the
-rest) and exchanged by ranges of grams. A loser tree merges a range's runs; each run's next suffix
-carries the length of the prefix it shares with the last one given out, and bytes within a known
-prefix are never compared again. Windows of suffixes that stand together are then compared by
-64-bit multilinear hashes of their bytes, and the least id of each class decides.
+rest) and exchanged by ranges. A loser tree merges a range's runs; each run's next suffix carries
+the length of the prefix it shares with the last one given out, and bytes within a known prefix are
+never compared again.
+
+The merged prefixes decide: suffixes between which none is shorter than a window's part from the
+anchor on are one run; among them, the parts before the anchor are told apart by their own order
+and its shared prefixes. So a class of equal windows is a pair of two runs, no bytes but those
+compared in sorting count, and the least id of each class stays.
+
+A range holds all suffixes of its grams; ranges are as many as the suffixes demand, dealt by the
+gram's hash. A gram with more than ``hot_anchors`` anchors is split by further bytes: windows that lie
+mostly right of their anchor go by the gram and the bytes after it, the others by the gram and the
+bytes before it, in suffixes that are sorted by these first.
 
 Equal texts are settled first: all but those of the least id go whole. A task sends at most one
 suffix of each distinct context, and one marker for each gram that it has in several texts, so
-that hot passages grow with the number of tasks, not of rows. Suffixes of one gram meet in one task.
+that hot passages grow with the number of tasks, not of rows.
 
-Edge cases: null texts are empty; texts under ``least`` bytes stay whole; rows with a null id
-neither remove nor lose anything; equal rows are treated alike; an empty table gives an empty
-result; other columns are ignored.
+Edge cases: null texts are empty; texts under ``least`` bytes stay whole; very long texts are cut into
+overlapping segments for their anchors and else taken whole, one at a time; rows with a null id
+neither remove nor lose anything; equal rows and equal ids are treated alike, as only a smaller id
+removes; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentmill.llm._common import batch, materialise, strings, text_or_empty
+from talentmill.llm._common import batch, materialise, strings, text_or_empty, tidy
 from talentmill.llm.jaccard import mixed
 
 U64 = np.uint64
@@ -102,11 +112,13 @@ def filtered(rows: DataFrame, bits: np.ndarray) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(held(shared.value, b.column(1).to_numpy())))
 
-    return rows.mapInArrow(keep, rows.schema)
+    return rows.mapInArrow(tidy(keep), rows.schema)
 
 
-def shared_anchors(rows: DataFrame, least: int, buckets: int, chunk: int = 500_000) -> DataFrame:
-    """(rid, pos) of the anchors whose gram occurs in two texts or more."""
+def shared_anchors(rows: DataFrame, bits: np.ndarray, least: int, buckets: int, hot_anchors: int, chunk: int = 500_000) -> DataFrame:
+    """(rid, pos) of the anchors, in rows whose rid may be in the table ``bits``, whose gram occurs in two texts or more;
+    for grams with more than ``hot_anchors`` of them a row (hash of the gram, minus their number)."""
+    wanted = rows.sparkSession.sparkContext.broadcast(bits)
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("rids", pa.binary()), ("pos", pa.binary())])
     kind = "bucket int, keys binary, rids binary, pos binary"
 
@@ -124,10 +136,11 @@ def shared_anchors(rows: DataFrame, least: int, buckets: int, chunk: int = 500_0
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
         keys, rids, pos = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order, first, known, several = groups(keys, rids, pos)
+        number = np.diff(np.append(first, len(order)))[several]
         shared, other, mark = np.sort(order[known]), np.sort(order[~known]), order[first[several]]  # in the texts' order, which packs well
         if len(shared):  # in several texts already: only a marker for each gram is sent
             yield pack(-1 - int(rids[shared[0]] % 1024), NONE, rids[shared], pos[shared])
-        keys, rids, pos = np.append(keys[other], keys[mark]), np.append(rids[other], rids[mark]), np.append(pos[other], np.full(len(mark), -1))
+        keys, rids, pos = np.append(keys[other], keys[mark]), np.append(rids[other], rids[mark]), np.append(pos[other], -number)
         bucket = (keys.astype(U64) % U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -138,6 +151,7 @@ def shared_anchors(rows: DataFrame, least: int, buckets: int, chunk: int = 500_0
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for b in batches:
+            b = b.filter(pa.array(held(wanted.value, b.column(1).to_numpy())))
             for rid, text in zip(b.column(1).to_numpy(), b.column(2), strict=True):
                 key, m, *_ = anchors(text.as_buffer().to_pybytes(), least)
                 if len(m):
@@ -157,9 +171,11 @@ def shared_anchors(rows: DataFrame, least: int, buckets: int, chunk: int = 500_0
         def done():
             if parts:
                 keys, rids, pos = (np.concatenate([p[i] for p in parts]) for i in range(3))
-                order, _, known, _ = groups(keys, rids, pos)
+                order, first, known, _ = groups(keys, rids, pos)
+                number = np.add.reduceat(np.where(pos < 0, -pos, 1)[order].astype(np.int64), first)
+                hot = number > hot_anchors
                 keep = np.sort(order[known & (pos[order] >= 0)])
-                yield batch(out_schema, rids[keep], pos[keep])
+                yield batch(out_schema, np.append(rids[keep], keys[order[first[hot]]]), np.append(pos[keep], -np.minimum(number[hot], 1 << 30)).astype(np.int32))
 
         for b in batches:
             for i in range(b.num_rows):
@@ -174,7 +190,7 @@ def shared_anchors(rows: DataFrame, least: int, buckets: int, chunk: int = 500_0
                 parts.append((keys, rids, pos))
         yield from done()
 
-    return rows.mapInArrow(find, kind).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "rid long, pos int")
+    return rows.mapInArrow(tidy(find), kind).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(settle), "rid long, pos int")
 
 
 class Suffixes:
@@ -194,6 +210,10 @@ class Suffixes:
         keys[((place >= self.right - lo[:, None]) & (place < self.right)) | (place >= self.right + hi[:, None])] = 0
         return keys
 
+    def turn(self, keys: np.ndarray) -> np.ndarray:
+        """Gram, left part, rest of the right part."""
+        return np.hstack([keys[:, :GRAM], keys[:, self.right :], keys[:, GRAM : self.right]])
+
     def front_code(self, keys: np.ndarray) -> tuple[np.ndarray, bytes]:
         """Of sorted keys: shared prefix with the key before, and the rests in one string."""
         lcp = np.zeros(len(keys), np.uint8)
@@ -257,29 +277,39 @@ def merge_runs(runs: list[tuple[bytes, list[int]]], width: int) -> Iterator[tupl
 RUN = pa.schema([("range", pa.int32()), ("lcp", pa.binary()), ("rests", pa.binary()), ("rid", pa.binary()), ("doc", pa.binary()), ("m", pa.binary()), ("lo", pa.binary()), ("hi", pa.binary())])
 RUN_KIND = "range int, lcp binary, rests binary, rid binary, doc binary, m binary, lo binary, hi binary"
 SPANS = pa.schema([("rid", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-#: Coefficients of the multilinear hash.
-COEFFICIENTS = np.random.default_rng(20).integers(1, 1 << 63, 4096, np.uint64) * U64(2) + U64(1)
-
-
-def window_classes(keys: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, cut: Suffixes) -> tuple[np.ndarray, np.ndarray]:
-    """(row, j) of the windows j bytes left of their anchor whose bytes also stand in a document of a smaller id."""
-    zero = np.zeros((len(keys), 1), U64)
-    right = np.hstack([zero, np.cumsum((keys[:, : cut.right].astype(U64) + U64(1)) * COEFFICIENTS[: cut.right], 1, dtype=U64)])
-    left = np.hstack([zero, np.cumsum((keys[:, cut.right :].astype(U64) + U64(1)) * COEFFICIENTS[cut.right : cut.width], 1, dtype=U64)])
-    rows, places, hashes = [], [], []
+#: Odd numbers that spread the bytes of keys over ranges.
+SPREAD = np.random.default_rng(20).integers(1, 1 << 63, 4096, np.uint64) * U64(2) + U64(1)
+
+
+def window_classes(keys: np.ndarray, prefix: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, cut: Suffixes, turned: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, j) of the windows j bytes left of their anchor whose bytes also stand in a document of a smaller id.
+
+    ``keys`` are sorted, with the prefix each shares with the one before. A window is a part of the key's first
+    ``cut.right`` bytes, told apart by these prefixes, and a part of its side, the bytes after, told apart by theirs."""
+    n, side = len(keys), np.ascontiguousarray(keys[:, cut.right :])
+    gram = np.cumsum(prefix < GRAM)
+    order = np.lexsort((side.view(f"S{cut.left}").ravel(), gram))
+    own = side[order]
+    differ = own[1:] != own[:-1]
+    shared = np.append(-1, np.where(gram[order][1:] != gram[order][:-1], -1, np.where(differ.any(1), differ.argmax(1), cut.left)))
+    prefix = np.append(-1, prefix[1:])
+    either = lambda same: same | np.append(same[1:], False)
+    rows, places, in_side, side_class = [], [], np.zeros(n, bool), np.zeros(n, np.int64)
     for j in range(cut.left + 1):
-        own = np.flatnonzero((lo <= j) & (j <= hi))
-        rows.append(own)
-        places.append(np.full(len(own), j))
-        hashes.append(mixed(right[own, cut.right - j] + left[own, j] + COEFFICIENTS[cut.width + j]))
-    row, place, h = np.concatenate(rows), np.concatenate(places), np.concatenate(hashes)
-    if not len(row):
-        return row, place
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-    least = np.repeat(np.minimum.reduceat(doc[row[order]], first), np.diff(np.append(first, len(order))))
-    gone = order[doc[row[order]] > least]
-    return row[gone], place[gone]
+        same, same_side = (prefix >= GRAM + j, shared >= cut.left - j) if turned else (prefix >= cut.right - j, shared >= j)
+        in_side[order] = either(same_side)
+        row = np.flatnonzero((lo <= j) & (j <= hi) & in_side & either(same))
+        if len(row) < 2:
+            continue
+        side_class[order] = np.cumsum(~same_side)
+        code = np.cumsum(~same)[row] * (n + 1) + side_class[row]
+        by = np.argsort(code, kind="stable")
+        row, code = row[by], code[by]
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        gone = row[doc[row] > np.repeat(np.minimum.reduceat(doc[row], first), np.diff(np.append(first, len(row))))]
+        rows.append(gone)
+        places.append(np.full(len(gone), j))
+    return (np.concatenate(rows), np.concatenate(places)) if rows else (NONE, NONE)
 
 
 def spans_of(rid: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -293,74 +323,74 @@ def spans_of(rid: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     return batch(SPANS, rid[first], start[first], start[np.append(first[1:] - 1, len(start) - 1)])
 
 
-def repeated_windows(texts: DataFrame, least: int, total: int, range_rows: int) -> DataFrame:
+def repeated_windows(texts: DataFrame, least: int, n_ranges: int, hot: np.ndarray) -> DataFrame:
     """(rid, lo, hi): window starts lo to hi of a text whose bytes also start in a document of a smaller id.
 
-    ``texts``: doc_id, rid, text (bytes), pos (sorted anchors)."""
+    ``texts``: doc_id, rid, text (bytes), pos (sorted anchors). ``hot``: hashes of the grams that are split."""
     cut = Suffixes(least)
+    half = cut.left // 2
+    shared_hot = texts.sparkSession.sparkContext.broadcast(np.sort(hot))  # of bounded length
 
     def suffixes(doc, rid, raw: bytes, pos: np.ndarray):
-        _, m, a, b = anchors(raw, least)
+        h, m, a, b = anchors(raw, least)
         own = np.isin(m, pos)
-        m, a, b = m[own], a[own], b[own]
-        return cut.cut(raw, m, m - b, m - a), np.full(len(m), rid), np.full(len(m), doc), m, m - b, m - a
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("gram", pa.binary())])
-        for b in batches:
-            for text, pos in zip(b.column(2), b.column(3), strict=True):
-                raw = text.as_py()
-                yield batch(schema, [raw[p : p + GRAM] for p in pos.as_py()[::7]])
-
-    n_ranges = max(1, -(-total // range_rows))
-    splitters: list[bytes] = []
-    if n_ranges > 1:  # bounds of ranges: from at most 20 grams a range, or 20,000
-        some = texts.where(F.pmod(F.xxhash64("rid"), F.lit(16)) == 0).select("doc_id", "rid", "text", "pos").mapInArrow(sample, "gram binary")
-        grams = sorted(bytes(r.gram) for r in some.orderBy(F.xxhash64("gram"), "gram").limit(min(20_000, 20 * n_ranges)).collect())
-        splitters = sorted({grams[len(grams) * i // n_ranges] for i in range(1, n_ranges)}) if grams else []
+        h, m, a, b = h[own], m[own], a[own], b[own]
+        return cut.cut(raw, m, m - b, m - a), np.full(len(m), rid), np.full(len(m), doc), m, m - b, m - a, h
+
+    def range_of(h: np.ndarray) -> np.ndarray:
+        return ((mixed(h.astype(U64) ^ U64(0x2545F4914F6CDD1D)) >> U64(32)) * U64(n_ranges) >> U64(32)).astype(np.int64)
+
+    def spread(keys: np.ndarray) -> np.ndarray:
+        return range_of(((keys.astype(U64) + U64(1)) * SPREAD[: keys.shape[1]]).sum(1, dtype=U64))
+
+    def dealt(keys, rid, doc, m, lo, hi, h) -> Iterator[tuple]:
+        """Suffixes with their ranges: those of hot grams twice, by the bytes after and by the bytes before the gram."""
+        at = shared_hot.value
+        found = at[np.minimum(np.searchsorted(at, h), len(at) - 1)] == h if len(at) else np.zeros(len(h), bool)
+        k, r, d, p, a, b, g = (x[~found] for x in (keys, rid, doc, m, lo, hi, h))
+        yield k, r, d, p, a, b, range_of(g)
+        k, r, d, p, a, b = (x[found & (lo <= half)] for x in (keys, rid, doc, m, lo, hi))
+        yield k, r, d, p, a, np.minimum(b, half), spread(k[:, : cut.right - half])
+        k, r, d, p, a, b = (x[found & (hi > half)] for x in (keys, rid, doc, m, lo, hi))
+        k = cut.turn(k)
+        yield k, r, d, p, np.maximum(a, half + 1), b, n_ranges + spread(k[:, : GRAM + half + 1])
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, rid, doc, m, lo, hi = (np.concatenate([p[i] for p in parts]) for i in range(6))
+            keys, rid, doc, m, lo, hi, h = (np.concatenate([p[i] for p in parts]) for i in range(7))
+            parts.clear()
             order = np.lexsort((doc, keys.view(f"S{cut.width}").ravel()))
-            keys, rid, doc, m, lo, hi = (x[order] for x in (keys, rid, doc, m, lo, hi))
+            keys, rid, doc, m, lo, hi, h = (x[order] for x in (keys, rid, doc, m, lo, hi, h))
             new = np.append(True, (keys[1:] != keys[:-1]).any(1))
             group = np.cumsum(new) - 1
             best = np.flatnonzero(new)  # least id of each context
             later = doc > doc[best][group]
             wide = (lo[best][group] <= lo) & (hi <= hi[best][group])  # its windows are the same: the shorter text's end may hide some
             row = np.flatnonzero(later & wide)
-            yield spans_of(np.repeat(rid[row], hi[row] - lo[row] + 1), np.concatenate([NONE, *(np.arange(m[i] - hi[i], m[i] - lo[i] + 1) for i in row)])) if len(row) else None
+            if len(row):  # settled here: passed on as a run of range -1
+                out = spans_of(np.repeat(rid[row], hi[row] - lo[row] + 1), np.concatenate([NONE, *(np.arange(m[i] - hi[i], m[i] - lo[i] + 1) for i in row)]))
+                yield batch(RUN, [-1], [b""], [b""], [out.column(0).to_numpy().tobytes()], [b""], [b""], [out.column(1).to_numpy().tobytes()], [out.column(2).to_numpy().tobytes()])
             keep = np.flatnonzero(~(later & wide))
-            keys, rid, doc, m, lo, hi = (x[keep] for x in (keys, rid, doc, m, lo, hi))
-            grams = keys[:, :GRAM].copy().view(f"V{GRAM}").ravel()
-            ends = [0, *(lower_bound(grams, s) for s in splitters), len(keys)]
-            for r, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
-                if j > i:
-                    lcp, rests = cut.front_code(keys[i:j])
-                    yield batch(RUN, [r], [lcp.tobytes()], [rests], [rid[i:j].tobytes()], [doc[i:j].tobytes()], [m[i:j].tobytes()], [lo[i:j].astype(np.uint8).tobytes()], [hi[i:j].astype(np.uint8).tobytes()])
-
-        def send() -> Iterator[pa.RecordBatch]:
-            for out in flush():
-                if out is None:
-                    continue
-                if out.schema == SPANS:  # settled here: passed on as a run of range -1
-                    yield batch(RUN, [-1], [b""], [b""], [out.column(0).to_numpy().tobytes()], [b""], [b""], [out.column(1).to_numpy().tobytes()], [out.column(2).to_numpy().tobytes()])
-                else:
-                    yield out
+            for k, r, d, p, a, b, to in dealt(*(x[keep] for x in (keys, rid, doc, m, lo, hi, h))):
+                order = np.lexsort((d, k.view(f"S{cut.width}").ravel(), to))
+                k, r, d, p, a, b, to = (x[order] for x in (k, r, d, p, a, b, to))
+                ends = np.flatnonzero(np.append(to[1:] != to[:-1], True)[: len(to)]) + 1
+                for i, j in zip(np.append(0, ends), ends, strict=False):
+                    lcp, rests = cut.front_code(k[i:j])
+                    yield batch(RUN, [to[i]], [lcp.tobytes()], [rests], [r[i:j].tobytes()], [d[i:j].tobytes()], [p[i:j].tobytes()], [a[i:j].astype(np.uint8).tobytes()], [b[i:j].astype(np.uint8).tobytes()])
 
         size = 0
         for b in batches:
             for doc, rid, text, pos in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 parts.append(suffixes(doc, rid, text.as_py(), pos.values.to_numpy()))
                 size += len(parts[-1][3])
-                if size >= 150_000:
-                    yield from send()
-                    parts, size = [], 0
+                if size >= 100_000:
+                    yield from flush()
+                    size = 0
         if size:
-            yield from send()
+            yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, runs = None, []
@@ -377,8 +407,10 @@ def repeated_windows(texts: DataFrame, least: int, total: int, range_rows: int)
         yield from settle(runs)
 
     def settle(runs: list) -> Iterator[pa.RecordBatch]:
+        """Merge the runs of a range and find the repeated windows."""
         if not runs:
             return
+        turned = runs[0][0] >= n_ranges
         lcps = [np.frombuffer(r[1], np.uint8) for r in runs]
         decoded = [cut.decode(lcp, r[2]) for lcp, r in zip(lcps, runs, strict=True)]
         base = np.cumsum([0, *map(len, lcps)])
@@ -396,44 +428,45 @@ def repeated_windows(texts: DataFrame, least: int, total: int, range_rows: int)
         while at < len(use):  # whole groups, about 50,000 suffixes at a time
             until = ends[min(np.searchsorted(ends, at + 50_000), len(ends) - 1)]
             own = use[at:until]
-            row, j = window_classes(keys[own], doc[own], lo[own], hi[own], cut)
+            row, j = window_classes(keys[own], prefix[own], doc[own], lo[own], hi[own], cut, turned)
             if len(row):
                 yield spans_of(rid[own][row], m[own][row] - j)
             at = until
 
-    dealt = texts.select("doc_id", "rid", "text", "pos").mapInArrow(sort_runs, RUN_KIND)
-    spread = F.when(F.col("range") < 0, F.pmod(F.xxhash64("rid"), F.lit(n_ranges))).otherwise(F.col("range"))
-    return dealt.withColumn("to", spread).repartition(n_ranges, "to").sortWithinPartitions("range").drop("to").mapInArrow(merge, "rid long, lo long, hi long")
+    runs = texts.select("doc_id", "rid", "text", "pos").mapInArrow(tidy(sort_runs), RUN_KIND)
+    to = F.pmod(F.when(F.col("range") < 0, F.xxhash64("rid")).otherwise(F.col("range")), F.lit(n_ranges))
+    return runs.withColumn("to", to).repartition(n_ranges, "to").sortWithinPartitions("range").drop("to").mapInArrow(tidy(merge), "rid long, lo long, hi long")
+
 
+def least_ids(facts: DataFrame, most_hot: int = 1000) -> DataFrame:
+    """``facts`` with ``least_id``, the least id of a row's sha. Where a sha has more than one of ``most_hot`` parts of all
+    rows, its rows stay where they are."""
+    found = materialise(facts.groupBy("sha").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")).where("copies > 1"))
+    bound = facts.count() // most_hot
+    hot = F.broadcast(found.where(F.col("copies") > bound).select("sha", F.col("least_id").alias("hot_id"), F.lit(True).alias("hot")))  # at most most_hot rows
+    split = facts.join(hot, "sha", "left")
+    rest = split.where("hot is null").select(facts.columns).join(found.select("sha", "least_id"), "sha", "left").withColumn("least_id", F.coalesce("least_id", "doc_id"))
+    return rest.unionByName(split.where("hot").withColumn("least_id", F.col("hot_id")).select(rest.columns))
 
-def lower_bound(grams: np.ndarray, splitter: bytes) -> int:
-    """First place in sorted grams that is not below the splitter."""
-    a, b = 0, len(grams)
-    while a < b:
-        mid = (a + b) // 2
-        if grams[mid].tobytes() < splitter:
-            a = mid + 1
-        else:
-            b = mid
-    return a
 
+def remove_repeats(docs: DataFrame, least: int = 50, bucket_anchors: int = 500_000, range_rows: int = 100_000, hot_anchors: int = 200_000, most_hot: int = 10_000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
-def remove_repeats(docs: DataFrame, least: int = 50, bucket_anchors: int = 500_000, range_rows: int = 100_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    ``most_hot`` bounds the grams that are split, the most frequent ones of those with over ``hot_anchors``."""
     rows = rows_of(docs)
     facts = materialise(rows.select("doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
-    least_id = facts.groupBy("sha").agg(F.min("doc_id").alias("least_id"))
-    marked = materialise(facts.join(least_id, "sha"))
+    marked = materialise(least_ids(facts))
     size = marked.where("doc_id = least_id").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     firsts = keep_bits(marked.where((F.col("doc_id") == F.col("least_id")) & (F.col("n_bytes") >= least)).select(F.col("rid").alias("k")).distinct())
     buckets = max(1, -(-size * 2 // ((least - GRAM + 2) * bucket_anchors)))
     whole = rows.where("doc_id is not null").withColumn("text", F.col("text").cast("binary"))
-    shared = materialise(shared_anchors(filtered(whole, firsts), least, buckets))
-    total = shared.count()
+    found = materialise(shared_anchors(whole, firsts, least, buckets, hot_anchors))
+    shared, hot = found.where("pos >= 0"), [r.rid for r in found.where("pos < 0").orderBy("pos", "rid").limit(most_hot).collect()]
+    n_ranges = max(1, -(-shared.count() // range_rows))
     places = shared.groupBy("rid").agg(F.collect_list("pos").alias("pos"))
     affected = filtered(whole, keep_bits(shared.select(F.col("rid").alias("k")).distinct()))
     texts = materialise(affected.dropDuplicates(["rid"]).join(places, "rid").select("doc_id", "rid", "text", "pos"))
-    spans = repeated_windows(texts, least, total, range_rows).groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    spans = repeated_windows(texts, least, n_ranges, np.array(hot, np.int64)).groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     schema = pa.schema([("rid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +482,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, bucket_anchors: int = 500_0
                 out.append((rid, int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()))
             yield batch(schema, *(zip(*out, strict=True) if out else [[]] * 4))
 
-    edits = texts.join(spans, "rid").select("rid", "text", "lo", "hi").mapInArrow(remove, "rid long, n_removed long, n_spans long, kept string")
+    edits = texts.join(spans, "rid").select("rid", "text", "lo", "hi").mapInArrow(tidy(remove), "rid long, n_removed long, n_spans long, kept string")
     copy = (F.col("doc_id") > F.col("least_id")) & (F.col("n_bytes") >= least)
     return marked.join(edits, "rid", "left").select(
         "doc_id",

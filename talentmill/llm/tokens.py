@@ -7,12 +7,15 @@ a fixed bound); tier two is a cache in each Python worker, filled by encoding th
 tier one lacks. No unit is shuffled for the counting itself: the frequent table comes from
 bounded summaries (``summary_size`` units a task) that cover all rows.
 
-Edge cases: a null or empty text has 0 bytes and 0 tokens; null ids are kept; repeated rows
-are counted one by one; an empty table gives an empty result; other columns are ignored.
+Edge cases: a null or empty text has 0 bytes and 0 tokens; very long texts are counted whole, and
+long units are encoded each time instead of being kept; ties for the last places of the table go to
+the least unit, and do not change a count; null ids are kept; repeated rows are counted one by one;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentmill.llm._common import batch, strings, text_or_empty
+from talentmill.llm._common import batch, strings, text_or_empty, tidy, worker_cache
 
 #: White space of the pre-tokeniser's pattern (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The pre-tokeniser whose pieces never cross white space but for one leading blank; others get whole texts.
+_CUT = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _ADJACENT = re.compile(f"[{SPACE}][{SPACE}]")
 _UNITS = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]")
-_ENCODERS: dict[str, UnitEncoder] = {}
 
 
 def units(text: str) -> list[str]:
@@ -39,22 +43,26 @@ def units(text: str) -> list[str]:
 
 
 class UnitEncoder(dict):
-    """unit -> number of tokens; misses are encoded and cached up to ``room`` entries."""
+    """unit -> number of tokens; misses are encoded, and those of at most ``longest`` characters cached up to ``room`` entries."""
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 600_000, longest: int = 64):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.tokenizer, self.room, self.longest = Tokenizer.from_file(path), room, longest
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        made = json.loads(self.tokenizer.to_str())
+        self.in_units = made["normalizer"] is None and made["pre_tokenizer"] == _CUT
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def __missing__(self, unit: str) -> int:
         n = len(self.tokenizer.encode(unit, add_special_tokens=False).ids)
-        if len(self) < self.room:
+        if len(self) < self.room and len(unit) <= self.longest:
             self[unit] = n
         return n
 
     def count(self, text: str, frequent: dict[str, int]) -> int:
+        if not self.in_units:
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         total, parts = 0, [text]
         if self.split and self.split.search(text):
             parts = self.split.split(text)
@@ -70,9 +78,7 @@ class UnitEncoder(dict):
 
 
 def encoder(path: str) -> UnitEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    return worker_cache("tokens", path, lambda: UnitEncoder(path))
 
 
 def frequent_units(docs: DataFrame, table_size: int, summary_size: int) -> list[str]:
@@ -89,7 +95,7 @@ def frequent_units(docs: DataFrame, table_size: int, summary_size: int) -> list[
         top = counts.most_common(summary_size)
         yield batch(schema, [u for u, _ in top], [n for _, n in top])
 
-    found = docs.select(text_or_empty()).mapInArrow(summarise, "unit string, n long")
+    found = docs.select(text_or_empty()).mapInArrow(tidy(summarise), "unit string, n long")
     top = found.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(table_size)
     return [r.unit for r in top.collect()]
 
@@ -107,4 +113,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, table_s
             yield batch(schema, b.column(0), b.column(1), [own.count(t, frequent) for t in strings(b.column(2))])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), text_or_empty().alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(tidy(count), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

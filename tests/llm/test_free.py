@@ -119,6 +119,25 @@ def test_shards(spark):
     assert sharding.assign_shards(empty(spark)).count() == 0
 
 
+def test_shards_balance_and_keep_their_map(spark, tmp_path):
+    from tests.llm.fixture import SCHEMA
+
+    rows = [(i, prose(i, 30 + i % 50), "en", "s", 0, "") for i in range(2000)] + [(7, "the same", "en", "hot", 0, "")] * 3000
+    frame, path = spark.createDataFrame(rows, SCHEMA), str(tmp_path / "map")
+    for version, n_shards in ((1, 8), (2, 9), (3, 9)):
+        got = sharding.assign_shards(frame, n_shards, 512, map_path=path, least=20).collect()
+        loads, places = Counter(), defaultdict(list)
+        for r in got:
+            loads[r.shard] += r.size
+            places[r.shard].append(r.slot)
+        assert len(got) == len(rows) and {r.map_version for r in got} == {version} and len(loads) == n_shards
+        assert max(loads.values()) <= 1.05 * sum(loads.values()) / n_shards
+        assert all(sorted(x) == [*range(len(x))] for x in places.values())
+        one_slot = Counter(r.vslot for r in got if r.doc_id == 7 and r.size == 16)
+        assert max(one_slot.values()) < 60  # repeats are dealt over the slots
+    assert sharding.SlotMap.stored(spark, path).version == 3 and sharding.SlotMap.stored(spark, str(tmp_path / "none")) is None
+
+
 def test_slot_map_edits(spark):
     weights = [10 + i % 7 for i in range(4096)]
     one = sharding.first_map(weights, 24)
@@ -144,6 +163,60 @@ def test_media(spark):
     assert media.features(b"")["codec"] is None and media.features(bytes(w.media)[:300])["codec"] is None
 
 
+def test_media_damage():
+    import random
+
+    whole = media.mux(bytes(range(256)) * 36, key_every=5)
+    head = whole.index(b"mdat")
+    sound = media.features(whole)
+    assert sound["codec"] == "raw " and len(sound["samples"]) == 48
+    r = random.Random(4)
+    for _ in range(3000):
+        bad = bytearray(whole[: r.choice((len(whole), r.randrange(len(whole))))])
+        for _ in range(r.randrange(1, 4)):
+            if bad:
+                bad[r.randrange(min(head, len(bad)))] = r.choice((0, 1, 255, r.randrange(256)))
+        got = media.features(bytes(bad))
+        assert got == media.NOTHING or all(0 <= at and at + n <= len(bad) for at, n in got["samples"])
+    at = whole.index(b"stsc") + 8  # a count of runs beyond the box
+    assert media.features(whole[:at] + b"\xff\xff\xff\xff" + whole[at + 4 :]) == media.NOTHING
+    trak = whole.index(b"trak") - 4
+    size = int.from_bytes(whole[trak : trak + 4])
+    empty_track, moov = media.box(b"trak"), whole.index(b"moov") - 4
+    two = whole[:moov] + (int.from_bytes(whole[moov : moov + 4]) + 8).to_bytes(4) + whole[moov + 4 : trak] + empty_track + whole[trak:]
+    assert media.features(two)["codec"] == "raw " and size > 0  # the first sound track
+
+
+def test_other_tokenizers_get_whole_texts():
+    t = Tokenizer.from_file(BYTE)
+    texts = ["Hello world, it's here", "", " a  b ", "don't", *(x or "" for _, x, *_ in rows()[:3])]
+    assert packing.PieceIds(BYTE).in_pieces is False and packing.PieceIds(WORD).in_pieces is True
+    own = packing.PieceIds(BYTE)
+    import numpy as np
+
+    for text, ids in zip(texts, own.encode(texts, 2), strict=True):
+        assert np.frombuffer(ids, own.kind).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+    word = Tokenizer.from_file(WORD)
+    assert [tokens.UnitEncoder(WORD).count(x, {}) for x in texts] == [len(word.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_texts_of_several_megabytes(spark):
+    from talentmill.llm import jaccard, pii, suffixes
+    from tests.llm.fixture import SCHEMA
+
+    long = " ".join(prose(i, 1000) for i in range(500))
+    frame = spark.createDataFrame([(1, long, "en", "s", 0, ""), (2, long + " tail", "en", "s", 0, ""), (3, "ab" * 1_500_000, "en", "s", 0, "")], SCHEMA)
+    t = Tokenizer.from_file(BYTE)
+    assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(frame.where("doc_id < 3"), BYTE).collect()} == {d: len(t.encode(x, add_special_tokens=False).ids) for d, x in ((1, long), (2, long + " tail"))}
+    assert {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(frame, 5, 4, 5).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert {r.doc_id: r.n_bytes - r.n_removed for r in suffixes.remove_repeats(frame).collect()}[2] < 60
+    assert {r.doc_id: r.payload_bytes for r in media.media_digest(frame).collect()}[3] == 3_000_000
+    assert sum(r.length for r in packing.pack(frame.where("doc_id < 3"), WORD).collect()) > 1_000_000
+    assert pii.report(frame).where("spans <> ''").count() <= 1
+    assert decontaminate.contaminated(frame, spark.createDataFrame([(1, long[10_000:10_300])], "item_id long, text string")).count() == 2
+    assert sharding.assign_shards(frame).count() == 3
+
+
 def least_distance(item: str, text: str) -> int:
     last = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
@@ -158,7 +231,7 @@ def test_decontamination(spark):
     items = [(1, prose(900, 20)), (2, prose(901, 30)), (3, "Too short."), (4, None), (5, ""), (2, prose(901, 30))]
     edited = prose(901, 30).replace("e", "3", 2)
     far = " ".join(w if i % 2 else "zz" for i, w in enumerate(prose(900, 20).split()))
-    docs = [(i, t, "en", "s", 0, "q") for i, t in enumerate([prose(1) + " " + prose(900, 20).upper() + "! " + prose(2), prose(3) + "\n" + edited, far, prose(900, 20), None, "", prose(5, 3000)])]
+    docs = [(i, t, "en", "s", 0, "q") for i, t in enumerate([prose(1) + " " + prose(900, 20).upper() + "! " + prose(2), prose(3) + "\n" + edited, far, prose(900, 20), None, "", prose(5, 3000), prose(6) + " it was Too, short! " + prose(7), "not too shorts, tooshort"])]
     from tests.llm.fixture import SCHEMA
 
     frame, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
@@ -170,8 +243,10 @@ def test_decontamination(spark):
                 x = least_distance(decontaminate.normalise(item), decontaminate.normalise(t))
                 if x <= len(decontaminate.normalise(item)) // 20:
                     want[(d, k)] = x
-        assert got == want and {(0, 1), (1, 2), (3, 1)} == set(want)
+        assert {(0, 1), (1, 2), (3, 1)} == set(want) and got == {**want, (7, 3): 0}  # short items match as whole words only
     flagged = decontaminate.flag_contaminated(frame, bench)
+    clash = decontaminate.flag_contaminated(frame.withColumnRenamed("score", "Contamination").withColumnRenamed("source", "text_"), bench)
+    assert clash.columns[-1] == "contamination_" and {r.Contamination for r in clash.collect()} == {"q"} and clash.where("size(contamination_) > 0").count() == 4
     assert flagged.columns == [*frame.columns, "contamination"] and flagged.drop("contamination").exceptAll(frame).count() == 0
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0

@@ -41,6 +41,10 @@ def test_pii(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in want) for k in PATTERNS]
         assert set(want) <= set(r.spans.split(",")) or not want
     assert pii.report(empty(spark)).count() == 0
+    own = docs.withColumnRenamed("score", "Base").withColumnRenamed("source", "spans")
+    kept = pii.redact(own)
+    assert kept.columns == own.columns and {(r.Base, r.spans) for r in kept.collect()} == {("q", "s")}
+    assert pii.add_spans(own).columns == [*own.columns, "base_", "spans_"]
     clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert clean[0].startswith("mail <email>, x@y. ") and clean[12] is None and clean[2].startswith("é🙂 call <phone> or +12 or <phone> x")
 
@@ -54,6 +58,41 @@ def test_pii_on_table(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(",".join(base(texts[r.doc_id])).encode()).hexdigest()
 
 
+def test_pii_added_spans_equal_brute_force(spark):
+    """Candidates by Python's patterns, labelers and the fitted classifier by hand."""
+    texts = [f"please mail name{i} [at] host{i} [dot] org or call 212 555 {1000 + i}" for i in range(30)] + [f"figure {i}: 999 111 {2000 + i}, at home dot plan{i}" for i in range(30)]
+    texts += [f"password {'aB3' * 9}{i} and IBAN DE{10 + i} 3704 0044 0532 0130 00" for i in range(30)]
+    docs = spark.createDataFrame([(i, t, None, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    model = pii.train(docs)
+    got = {r.doc_id: set(filter(None, r.spans.split(","))) - set(base(texts[r.doc_id])) for r in pii.report(docs, model).collect()}
+
+    def python(pattern):
+        return pattern.replace("}+", "}").replace("(?i)^", "(?i)^")
+
+    import math
+
+    for i, text in enumerate(texts):
+        own = [tuple(map(int, x.split(":")[1:])) for x in base(text)]
+        want = set()
+        for kind, pattern in pii.WIDER.items():
+            last = 0
+            if not re.search(pii._WIDER_NEEDS[kind], text):
+                continue
+            for m in re.finditer(python(pattern), text):
+                before, value = text[max(last, m.start() - 32) : m.start()], m[0]
+                last = m.end()
+                share = len(re.sub("[^0-9]", "", value)) / len(value)
+                digits = (-1 if share > 0.5 else 0) if kind == "email" else (1 if 0.15 <= share <= 0.9 else -1) if kind == "secret" else (1 if share >= 0.5 else -1)
+                votes = [1 if re.search(pii._STRICT[kind], value) else -1, int(bool(re.search(pii._GAZETTEER[kind], value))), 1 if re.search(pii._CONTEXT[kind], before) else -1 if re.search(pii._AGAINST, before) else 0, digits]
+                shape = (2 if len(value) > 24 else 0) + (1 if re.search(r"[ .()\[\]-]", value) else 0)
+                w = model.weights[kind]
+                z = sum(a * b for a, b in zip(w, votes)) + w[len(votes) + shape] + w[-1]
+                if 1 / (1 + math.exp(-z)) >= 0.5 and not any(a < m.end() and m.start() < b for a, b in own):
+                    want.add(f"{kind}:{m.start()}:{m.end()}")
+        assert got[i] == want, (text, got[i], want)
+    assert any("email" in x for s in got.values() for x in s) and any("secret" in x for s in got.values() for x in s)
+
+
 def test_em_finds_the_unreliable_labeler():
     counts = [((1, 1, 1, 1, 0), 50), ((-1, -1, -1, 1, 0), 50), ((1, 1, -1, -1, 0), 5), ((-1, -1, 1, 1, 0), 5)]
     reliability, prior, posterior = pii.expectation_maximisation(counts)
@@ -132,3 +171,95 @@ def test_url_tree_has_all_segments_and_pools_siblings(spark):
 @pytest.mark.parametrize("url,mask", [("http://h/2024-01/a.html", "/{d}/a.html"), ("http://h/12.html", "/{n}.html")])
 def test_masks(spark, url, mask):
     assert urlfilter.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).first().template == mask
+
+
+def tree_by_hand(urls, labels, least_children=8, variety=0.5, strength=4.0, z=2.0, span=0.5):
+    """Template and purity of every (host, masked path), by loops."""
+    mask = lambda s: re.sub(r"^[0-9]+(?=(\.[A-Za-z]{1,5})?$)", "{n}", s)  # noqa: E731  (the only identifiers of the test)
+    key = lambda u: (judged(u)[0], tuple(mask(s) for s in judged(u)[1].split("/") if s))
+    n, bad, known = {}, {}, {}
+    for u in urls:
+        n[key(u)] = n.get(key(u), 0) + 1
+    for u, b in labels:
+        n.setdefault(key(u), 0)
+        bad[key(u)], known[key(u)] = bad.get(key(u), 0) + b, known.get(key(u), 0) + 1
+    t, level = dict.fromkeys(n, ()), 0
+    while True:
+        rows = [k for k in n if len(k[1]) > level]
+        children = {}
+        for k in rows:
+            children.setdefault((k[0], t[k]), []).append(k)
+        if not any(len(x) >= least_children for x in children.values()):
+            t = {k: t[k] + k[1][level:] for k in n}
+            break
+        for ks in children.values():
+            each = {k[1][level] for k in ks}
+            wide = len(each) >= least_children and len(each) >= variety * sum(n[k] for k in ks)
+            for k in ks:
+                t[k] += ("*" if wide else k[1][level],)
+        level += 1
+    prior = (sum(b for _, b in labels) + 0.5) / (len(labels) + 1)
+    leaves = {}
+    for k in n:
+        leaf = leaves.setdefault((k[0], t[k]), {"bad": 0, "known": 0, "given": prior, "purity": None})
+        leaf["bad"] += bad.get(k, 0)
+        leaf["known"] += known.get(k, 0)
+    level = 0
+    while any(x["purity"] is None for x in leaves.values()):
+        nodes = {}
+        for (host, path), x in leaves.items():
+            if x["purity"] is None:
+                domain = host.split(".", 1)[1] if host.count(".") > 1 else host
+                cut = lambda i, host=host, path=path: host + "/" + "/".join(path[:i])
+                node, up = [(domain, ""), (host, domain), (cut(1), host)][level] if level < 3 else (cut(level - 1), cut(level - 2))
+                nodes.setdefault((up, node), []).append((host, path, x))
+        spans = lambda own, of: (lambda got, every: len(got) >= 2 and len(got) >= span * len(every))({of(o) for o in own if o[2]["known"]}, {of(o) for o in own})
+        first, at = lambda o: (o[1] or ("",))[0], lambda o: o[1][level - 1] if len(o[1]) > level - 1 else ""
+        sums = {k: (sum(o[2]["bad"] for o in own), sum(o[2]["known"] for o in own)) for k, own in nodes.items()}
+        pool = {}
+        for up in {u for u, _ in nodes}:
+            bins = {}
+            for (u, node), (b, k) in sums.items():
+                if u == up and k:
+                    bins.setdefault(int(16 * b / k), []).append((u, node))
+            groups, last = [], None
+            for i in sorted(bins):
+                b, k = (sum(sums[x][j] for x in bins[i]) for j in (0, 1))
+                if last:
+                    both = (b + last[0]) / (k + last[1])
+                    if abs(b / k - last[0] / last[1]) <= z * (max(both * (1 - both), 0.05) * (1 / last[1] + 1 / k)) ** 0.5:
+                        groups[-1] += bins[i]
+                        last = (b, k)
+                        continue
+                groups.append([*bins[i]])
+                last = (b, k)
+            for g in groups:
+                for x in g:
+                    pool[x] = tuple(sum(sums[y][j] for y in g) for j in (0, 1))
+        for k, own in nodes.items():
+            g = p = own[0][2]["given"]
+            if sums[k][1]:
+                b, m = pool[k]
+                if abs(b / m - g) > z * (max(g * (1 - g), 0.05) / max(m, 1)) ** 0.5:
+                    p = (b + strength * g) / (m + strength)
+            reaches = (spans(own, lambda o: o[0]) and spans(own, first)) if level == 0 else spans(own, first) if level == 1 else spans(own, at)
+            for *_, x in own:
+                x["given"] = p if reaches else g
+                if len(own) == 1:
+                    x["purity"] = p
+        level += 1
+    return {k: ("/" + "/".join(t[k]), round(leaves[k[0], t[k]]["purity"], 6)) for k in n}, key
+
+
+def test_url_tree_equals_brute_force(spark):
+    import random
+
+    r = random.Random(11)
+    hosts = ["a.x.test", "b.x.test", "x.test", "c.y.test", "lone.test"]
+    made = [f"http://{r.choice(hosts)}/" + "/".join(r.choice(("news", "spam", "p", str(r.randrange(50)), f"w{r.randrange(40)}", f"{r.randrange(9)}.html")) for _ in range(r.randrange(5))) for _ in range(900)]
+    labels = [(u, int(r.random() < (0.9 if "spam" in u else 0.1))) for u in r.sample(made, 300)]
+    want, key = tree_by_hand(made, labels)
+    got = urlfilter.judge(spark.createDataFrame([*enumerate(made)], "page_id long, url string"), rules=(), labelled=spark.createDataFrame(labels, "url string, bad int")).collect()
+    wrong = [(made[x.page_id], x.template, x.purity, want[key(made[x.page_id])]) for x in got if (x.template, x.purity) != want[key(made[x.page_id])]]
+    assert not wrong, wrong[:5]
+    assert {x.verdict for x in got} == {"allow", "block"} and all((x.verdict == "block") == (x.purity >= 0.5) for x in got) and len({x.purity for x in got}) > 10

@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -61,9 +62,11 @@ def test_stages_one_by_one(spark, sf_dir):
 
 
 def test_stages_take_awkward_rows(spark, sf_dir):
-    docs = corpus(spark).drop("score")
-    for _, stage in corpus_pipeline.STAGES:
+    docs = start = corpus(spark).withColumns({"contamination": F.lit("c"), "base": F.lit(1), "spans": F.lit("s"), "text_": F.lit("t"), "other_id": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
+        if name != "packing":
+            assert docs.columns == start.columns and docs.select("contamination", "base", "spans", "text_", "other_id").distinct().count() == 1
     assert docs.count()
     docs = corpus(spark).drop("score").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -36,7 +36,7 @@ def run(frame, **options):
     return sorted((tuple(r) for r in suffixes.remove_repeats(frame, **options).collect()), key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_anchors": 500, "range_rows": 300}])
+@pytest.mark.parametrize("options", [{}, {"bucket_anchors": 500, "range_rows": 300}, {"range_rows": 400, "hot_anchors": 30}, {"hot_anchors": 2, "most_hot": 40}])
 def test_against_brute_force(spark, options):
     r = random.Random(5)
     rows = [(d, t) for d, t in corpus(spark).select("doc_id", "text").collect()]
