@@ -129,13 +129,17 @@ class Index:
 
     def __init__(self, flat: np.ndarray, ends: np.ndarray, idf: np.ndarray, mean: float):
         n, terms = len(ends) - 1, len(idf)
-        key = np.repeat(np.arange(n, dtype=np.int64) * terms, np.diff(ends)) + flat
+        key = np.repeat(np.arange(n, dtype=np.int64) * terms, np.diff(ends))
+        key += flat  # in place, as are the next steps: a shard has millions of ids
         key.sort()
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         tf = np.diff(np.append(at, len(key))).astype(np.float32)
         key = key[at]
+        del at
         doc = (key // terms).astype(np.int32)
-        self.terms = term = (key % terms).astype(np.int32)
+        key %= terms
+        self.terms = term = key.astype(np.int32)
+        del key
         self.ends = np.searchsorted(doc, np.arange(n + 1))
         long = np.diff(ends).astype(np.float32) / np.float32(mean)
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * long[doc]))).astype(np.float32)
