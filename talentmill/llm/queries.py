@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentmill.llm import decontaminate, jaccard, media, packing, pii, quality, sharding, suffixes, tokens, urlfilter
+from talentmill.llm import codes, decontaminate, jaccard, media, packing, pii, quality, secrets, sharding, suffixes, tokens, urlfilter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_near_duplicates, op4_shards, op5_suffix_dedup, op6_pii, op7_quality, op8_url_filter, op9_media, op10_decontamination)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_near_duplicates, op4_shards, op5_suffix_dedup, op6_pii, op7_quality, op8_url_filter, op9_media, op10_decontamination, op11_vector_codes, op12_secrets, op13_whitening)}
 ORACLE_SQL: dict[str, str] = {}
