@@ -228,17 +228,39 @@ def suspicious_title(c: Column) -> Column:
     return is_missing(c) | (F.length(t) < 3) | t.rlike("|".join(V.SUSPICIOUS))
 
 
+def spellings(phrase: str) -> list[str]:
+    """A phrase with each of its hyphens as such or as a blank."""
+    first, *rest = phrase.lower().split("-")
+    out = [first]
+    for part in rest:
+        out = [f"{x}{sep}{part}" for x in out for sep in "- "]
+    return out
+
+
 def specialty(title: Column, phrases: list[str] = D.SPECIALTY_PHRASES, patterns: list[tuple[str, str]] = D.SPECIALTY_PATTERNS) -> Column:
-    """Longest phrase, word-bounded, that stands in the title (by its own spelling), else the first pattern's label."""
+    """Longest phrase, word-bounded, that stands in the title (by its own spelling), else the first pattern's label.
+
+    One zero-width scan a layer finds all phrases at once, and their ranks are looked up. Dictionaries of thousands of phrases
+    are joined instead (``operators.dictionary.specialties``)."""
     t = norm_query(title)
-    ranked = sorted(dict.fromkeys(phrases), key=len, reverse=True)
-    out = F.lit(None).cast("string")
-    for pattern, label in reversed(patterns):
-        out = F.when(t.rlike(pattern), label).otherwise(out)
-    for p in reversed(ranked):
-        body = re.escape(p.lower()).replace(r"\ ", r"\s+").replace(r"\-", r"(?:-|\s)")
-        out = F.when(t.rlike(rf"(?<![a-zа-яё0-9]){body}(?![a-zа-яё0-9])"), p).otherwise(out)
-    return F.when(is_missing(title), None).otherwise(out)
+    ordered = sorted(dict.fromkeys(phrases), key=len, reverse=True)
+    place = {s: i for i, p in reversed(list(enumerate(ordered))) for s in spellings(p)}
+    found = F.array().cast("array<string>")
+    for layer in layers(list(place)):
+        found = F.concat(found, F.regexp_extract_all(t, F.lit(rf"(?<![a-zа-яё0-9])(?=({'|'.join(re.escape(p) for p in layer)})(?![a-zа-яё0-9]))"), F.lit(1)))
+    if place:
+        rank = F.array_min(F.transform(found, lambda f: F.element_at(F.create_map(*(F.lit(x) for kv in place.items() for x in kv)), f)))
+        by_phrase = F.get(F.array(*map(F.lit, ordered)), rank)
+    else:
+        by_phrase = F.lit(None).cast("string")
+    return F.when(is_missing(title), None).otherwise(F.coalesce(by_phrase, first_pattern(t, patterns)))
+
+
+def first_pattern(t: Column, patterns: list[tuple[str, str]]) -> Column:
+    """Label of the first pattern, in order, that a text holds. Elements of an array are generated apart, where nested branches grow into one method."""
+    if not patterns:
+        return F.lit(None).cast("string")
+    return F.get(F.array_compact(F.array(*(F.when(t.rlike(p), label) for p, label in patterns))), F.lit(0))
 
 
 def analytics_role(title: Column, phrases: list[str] = D.SPECIALTY_PHRASES) -> Column:

@@ -5,33 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a rate table is broadcast; beyond, it is joined by pair and month.
-BROADCAST_ROWS = 200_000
+from talentmill.operators.skills import small
+
+#: Days of rates, over all pairs, up to which they are broadcast; beyond, facts and rates are sorted together.
+BROADCAST_ROWS = 2_000_000
+#: Facts of a currency and month that one task sorts.
+TASK_ROWS = 1_000_000
 
 
 def rate_intervals(rates: DataFrame) -> DataFrame:
-    """Each rate with the date from which the next one of its pair holds."""
-    pair = Window.partitionBy("base_currency", "target_currency").orderBy("rate_date")
+    """Each rate with the date from which the next one of its pair holds; of several of a day the greatest counts."""
+    pair = Window.partitionBy("base_currency", "target_currency").orderBy("rate_date", "rate")
     return rates.select("base_currency", "target_currency", "rate_date", "rate", F.lead("rate_date").over(pair).alias("until"))
 
 
+def rates_by_day(rates: DataFrame, target: str) -> DataFrame:
+    """(_from, _first, _days): for each currency its rates to ``target`` of every day from the first date to the last."""
+    own = rate_intervals(rates.where((F.col("target_currency") == target) & F.col("rate_date").isNotNull()))
+    held = F.struct("rate_date", F.coalesce(F.datediff("until", "rate_date"), F.lit(1)).alias("n"), "rate")
+    listed = own.groupBy("base_currency").agg(F.min("rate_date").alias("_first"), F.sort_array(F.collect_list(held)).alias("held"))  # as many as a currency has dates
+    return listed.select(F.col("base_currency").alias("_from"), "_first", F.flatten(F.transform("held", lambda h: F.array_repeat(h["rate"], h["n"]))).alias("_days"))
+
+
 def as_of_rate(facts: DataFrame, rates: DataFrame, target: str, currency: str = "currency", date: str = "date", name: str = "rate", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``facts`` with the latest rate to ``target`` on or before each row's date; 1 for the target itself, null where none is known.
 
-    A small rate table is broadcast (hash join on the currency, date range as residual). A larger one is
-    spread over the months each rate covers and joined on currency and month, so that no task gets all
-    dates of one pair."""
-    own = rate_intervals(rates.where(F.col("target_currency") == target)).select(F.col("base_currency").alias("_from"), "rate_date", "until", F.col("rate").alias("_rate"))
+    A rate table of a bounded number of days is broadcast as one array a currency, in which a row's date is a place: what
+    a row costs does not depend on how many dates there are. A larger one is sorted together with the facts (``as_of_by_sort``)."""
+    span = F.datediff(F.max("rate_date"), F.min("rate_date")) + 1
+    days = rates.where(F.col("target_currency") == target).groupBy("base_currency").agg(span.alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    if days > broadcast_rows:
+        return as_of_by_sort(facts, rates, target, currency, date, name)
     cur, day = F.upper(F.trim(F.col(currency))), F.col(date)
-    holds = (cur == F.col("_from")) & (day >= F.col("rate_date")) & (F.col("until").isNull() | (day < F.col("until")))
-    if rates.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        joined = facts.join(F.broadcast(own), holds, "left")
-    else:
-        last = F.coalesce(F.col("until"), F.greatest(F.col("rate_date"), F.lit("2100-01-01").cast("date")))
-        monthly = own.withColumn("_month", F.explode(F.sequence(F.trunc("rate_date", "month"), F.trunc(last, "month"), F.expr("interval 1 month"))))
-        joined = facts.join(monthly, holds & (F.trunc(day, "month") == F.col("_month")), "left").drop("_month")
-    rate = F.when(cur == target, F.lit(1).cast("decimal(18,6)")).otherwise(F.col("_rate"))
-    return joined.withColumn(name, rate).drop("_from", "rate_date", "until", "_rate")
+    joined = facts.join(F.broadcast(rates_by_day(rates, target)), cur == F.col("_from"), "left")
+    found = F.get("_days", F.least(F.datediff(day, F.col("_first")), F.size("_days") - 1))
+    return joined.withColumn(name, F.when(cur == target, F.lit(1).cast("decimal(18,6)")).otherwise(found)).drop("_from", "_first", "_days")
+
+
+def as_of_by_sort(facts: DataFrame, rates: DataFrame, target: str, currency: str = "currency", date: str = "date", name: str = "rate", task_rows: int = TASK_ROWS) -> DataFrame:
+    """The same by one sort: facts and rates of a currency and month go to a task together, in order of date, and each fact takes the last rate before it.
+
+    A month's first facts take the rate carried over from earlier months, which a pass over (currency, month) finds. Months with more facts
+    than ``task_rows`` are split by a hash of the row, each part with the month's rates, so that one currency with most of the
+    rows is spread. Facts of ``target`` itself, and those without currency or date, are not moved."""
+    cur = F.upper(F.trim(F.col(currency)))
+    bound = F.coalesce((cur != target) & F.col(date).isNotNull(), F.lit(False))
+    rest = facts.where(~bound).withColumn(name, F.when(cur == target, F.lit(1)).cast("decimal(18,6)"))
+    month = lambda c: F.trunc(F.col(c), "month")
+    own = rates.where((F.col("target_currency") == target) & F.col("rate_date").isNotNull()).select(F.col("base_currency").alias("_from"), month("rate_date").alias("_month"), F.col("rate_date").alias("_at"), F.col("rate").alias("_rate"))
+    asked = facts.where(bound).select(cur.alias("_from"), month(date).alias("_month"), F.struct(*(F.col(c) for c in facts.columns)).alias("_row"), F.xxhash64(*(c for c, t in facts.dtypes if "map<" not in t)).alias("_hash"))
+    counts = asked.groupBy("_from", "_month").agg(F.ceil(F.count("*") / task_rows).cast("int").alias("_parts"))
+    ends = own.groupBy("_from", "_month").agg(F.max_by("_rate", F.struct("_at", "_rate")).alias("_end"))
+    before = Window.partitionBy("_from").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as a currency has months
+    months = counts.join(ends, ["_from", "_month"], "full").select("_from", "_month", "_parts", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    wanted = small(months.where("_parts is not null"))
+    part = F.pmod("_hash", F.col("_parts")).cast("int")
+    left = asked.join(wanted, ["_from", "_month"]).select("_from", "_month", part.alias("_part"), F.col(f"_row.{date}").cast("date").alias("_at"), F.lit(1).alias("_late"), F.lit(None).cast(own.schema["_rate"].dataType).alias("_rate"), "_carried", "_row")
+    right = own.join(wanted, ["_from", "_month"]).select("_from", "_month", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("_at").cast("date").alias("_at"), F.lit(0).alias("_late"), "_rate", F.lit(None).cast(months.schema["_carried"].dataType).alias("_carried"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
+    upto = Window.partitionBy("_from", "_month", "_part").orderBy("_at", "_late", "_rate").rowsBetween(Window.unboundedPreceding, 0)
+    found = left.unionByName(right).withColumn("_found", F.last("_rate", ignorenulls=True).over(upto)).where("_late = 1")
+    return found.select("_row.*", F.coalesce("_found", "_carried").cast("decimal(18,6)").alias(name)).unionByName(rest)
 
 
 def convert(amount: Column, rate: Column) -> Column:

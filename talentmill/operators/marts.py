@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentmill.operators.fx import with_mid
+from talentmill.operators.quantiles import quantiles, quantiles_of_counts, with_quantiles
 
 SLICE = ["role", "country", "seniority", "is_remote"]
 
@@ -20,21 +21,17 @@ def base_v2(jobs: DataFrame, rates: DataFrame, target: str = "RUB") -> DataFrame
     return out.select("job_id", blank_to(F.col("role_family"), "other").alias("role"), blank_to(F.col("country"), "unknown").alias("country"), blank_to(F.col("seniority"), "unknown").alias("seniority"), F.coalesce("remote", F.lit(False)).alias("is_remote"), "salary_mid", *[c for c in ("years_min",) if c in out.columns])
 
 
-def quantiles(c: str, points: list[float], approximate: bool = False) -> Column:
-    """Exact interpolated percentiles; ``approximate`` bounds memory for very large groups."""
-    levels = F.array(*(F.lit(p) for p in points))
-    return F.percentile_approx(c, levels, 10_000) if approximate else F.percentile(F.col(c), levels)
-
-
 def salary_agg_v2(base: DataFrame, least: int = 10, approximate: bool = False) -> DataFrame:
-    q = base.where("salary_mid is not null").groupBy(*SLICE).agg(F.count("*").alias("sample_size"), quantiles("salary_mid", [0.25, 0.5, 0.75], approximate).alias("q"), F.avg("salary_mid").alias("a"))
-    return q.where(F.col("sample_size") >= least).select(*SLICE, "sample_size", F.round(F.col("q")[0], 2).alias("p25"), F.round(F.col("q")[1], 2).alias("p50"), F.round(F.col("q")[2], 2).alias("p75"), F.round("a", 1).alias("avg_salary"))
+    stats = base.where("salary_mid is not null").groupBy(*SLICE).agg(F.count("*").alias("sample_size"), F.avg("salary_mid").alias("a")).where(F.col("sample_size") >= least)
+    q = with_quantiles(stats, quantiles(base, SLICE, "salary_mid", [0.25, 0.5, 0.75], approximate=approximate), SLICE)
+    return q.select(*SLICE, "sample_size", F.round(F.col("q")[0], 2).alias("p25"), F.round(F.col("q")[1], 2).alias("p50"), F.round(F.col("q")[2], 2).alias("p75"), F.round("a", 1).alias("avg_salary"))
 
 
 def role_stats_v2(base: DataFrame, least: int = 20) -> DataFrame:
     years = F.nullif(F.col("years_min"), F.lit(0))
-    out = base.groupBy(*SLICE).agg(F.count("*").alias("jobs_count"), F.percentile("salary_mid", F.lit(0.5)).alias("m"), F.avg("salary_mid").alias("a"), F.avg(years).alias("y"))
-    return out.where(F.col("jobs_count") >= least).select(*SLICE, "jobs_count", F.round("m", 2).alias("median_salary"), F.round("a", 1).alias("avg_salary"), F.round(F.col("jobs_count") / F.greatest("y", F.lit(1.0)), 2).alias("competition_proxy"))
+    stats = base.groupBy(*SLICE).agg(F.count("*").alias("jobs_count"), F.avg("salary_mid").alias("a"), F.avg(years).alias("y")).where(F.col("jobs_count") >= least)
+    out = with_quantiles(stats, quantiles(base, SLICE, "salary_mid", [0.5]), SLICE)
+    return out.select(*SLICE, "jobs_count", F.round(F.col("q")[0], 2).alias("median_salary"), F.round("a", 1).alias("avg_salary"), F.round(F.col("jobs_count") / F.greatest("y", F.lit(1.0)), 2).alias("competition_proxy"))
 
 
 def skill_stats_v2(base: DataFrame, job_skills: DataFrame, least_slice: int = 20, least_skill: int = 3) -> DataFrame:
@@ -46,9 +43,10 @@ def skill_stats_v2(base: DataFrame, job_skills: DataFrame, least_slice: int = 20
     slices = base.groupBy(*SLICE).agg(F.count("*").alias("jobs_total"), F.count("salary_mid").alias("paid")).where(F.col("jobs_total") >= least_slice)
     having = base.join(job_skills.select("job_id", "skill_id").distinct(), "job_id").join(slices, SLICE)
     key = [*SLICE, "skill_id"]
-    with_skill = having.groupBy(*key).agg(F.count("*").alias("jobs_with_skill"), F.first("jobs_total").alias("jobs_total"), (F.first("paid") - F.count("salary_mid")).alias("others"), F.percentile("salary_mid", F.lit(0.5)).alias("w")).where(F.col("jobs_with_skill") >= least_skill)
+    with_skill = having.groupBy(*key).agg(F.count("*").alias("jobs_with_skill"), F.first("jobs_total").alias("jobs_total"), (F.first("paid") - F.count("salary_mid")).alias("others")).where(F.col("jobs_with_skill") >= least_skill)
     values = ranked_values(base.where("salary_mid is not null").groupBy(*SLICE, F.col("salary_mid").alias("v")).agg(F.count("*").alias("n")), SLICE)
     own = having.where("salary_mid is not null").groupBy(*key, F.col("salary_mid").alias("v")).agg(F.count("*").alias("n"))
+    with_skill = with_quantiles(with_skill, quantiles_of_counts(own, key, [0.5]), key).withColumn("w", F.col("q")[0]).drop("q")
     before = own.join(values.select(*SLICE, "v", "upto"), [*SLICE, "v"]).select(*key, "upto", F.sum("n").over(Window.partitionBy(*key).orderBy("v")).alias("r"))
     k = {"low": F.floor((F.col("others") + 1) / 2), "high": F.floor((F.col("others") + 2) / 2)}
     passed = with_skill.where("others > 0").select(*key, "others").join(before, key, "left")
@@ -88,7 +86,9 @@ def salary_agg_v1(jobs: DataFrame, mids: dict[str, str], least: int = 3) -> Data
     """By title, country and seniority in several currencies (currency -> column of midpoints), in one pass."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("currency"), F.col(c).cast("double").alias("mid")) for k, c in mids.items())))
     rows = jobs.select(F.col("title_normalized").alias("role"), blank_to(F.col("country"), "__ALL__").alias("country"), blank_to(F.col("seniority"), "unknown").alias("seniority"), each.alias("e")).where("role is not null and e.mid > 0").select("role", "country", "seniority", "e.currency", "e.mid")
-    q = rows.groupBy("role", "country", "seniority", "currency").agg(F.count("*").alias("n"), quantiles("mid", [0.1, 0.25, 0.5, 0.75, 0.9]).alias("q"), F.avg("mid").alias("a"), F.min("mid").alias("lo"), F.max("mid").alias("hi")).where(F.col("n") >= least)
+    keys = ["role", "country", "seniority", "currency"]
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("mid").alias("a"), F.min("mid").alias("lo"), F.max("mid").alias("hi")).where(F.col("n") >= least)
+    q = with_quantiles(stats, quantiles(rows, keys, "mid", [0.1, 0.25, 0.5, 0.75, 0.9]), keys)
     names = ["p10", "p25", "p50", "p75", "p90"]
     return q.select("role", "country", "seniority", "currency", F.col("n").alias("sample_size"), *(F.round(F.col("q")[i], 2).alias(p) for i, p in enumerate(names)), F.round("a", 1).alias("avg_salary"), F.round("lo", 2).alias("min_salary"), F.round("hi", 2).alias("max_salary"))
 

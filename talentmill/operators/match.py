@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentmill.operators.quantiles import quantiles, tenth_from_above, with_quantiles
 from talentmill.operators.skills import small
 
 
@@ -71,7 +72,8 @@ def matching_jobs(jobs: DataFrame, job_skills: DataFrame, dictionary: DataFrame,
 def matching_jobs_count(jobs: DataFrame, job_skills: DataFrame, dictionary: DataFrame, names: list[str], least: int = 1, **filters) -> DataFrame:
     """One row: jobs that match, mean coverage and fit, median pay."""
     out = market_filter(jobs, **filters).join(match_detail(job_skills, dictionary, names, least), "job_id")
-    return out.agg(F.count("*").alias("total_matching_jobs"), F.round(F.avg(100.0 * F.col("matched_count") / max(1, len(names))), 1).alias("avg_coverage_pct"), F.round(F.avg(100.0 * F.col("matched_count") / F.greatest("total_job_skills", F.lit(1))), 1).alias("avg_fit_pct"), F.round(F.percentile("salary_mid", F.lit(0.5)), 2).alias("median_salary"))
+    stats = out.agg(F.count("*").alias("total_matching_jobs"), F.round(F.avg(100.0 * F.col("matched_count") / max(1, len(names))), 1).alias("avg_coverage_pct"), F.round(F.avg(100.0 * F.col("matched_count") / F.greatest("total_job_skills", F.lit(1))), 1).alias("avg_fit_pct"))
+    return with_quantiles(stats, quantiles(out, [], "salary_mid", [0.5]), []).select(*stats.columns, F.round(F.col("q")[0], 2).alias("median_salary"))
 
 
 def weighted(value: str, weight: str, places: int = 0) -> Column:
@@ -80,28 +82,51 @@ def weighted(value: str, weight: str, places: int = 0) -> Column:
     return F.round(F.sum(F.when(known, F.col(value) * F.col(weight))) / F.nullif(F.sum(F.when(known, F.col(weight)).otherwise(0)), F.lit(0)), places)
 
 
-def top_skills_from_marts(role_stats: DataFrame, skill_stats: DataFrame, dictionary: DataFrame, n: int, **filters) -> DataFrame:
+def ranked_skills(counted: DataFrame, total: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Counted skills by name, with their share of one row's total."""
+    share = F.round(100.0 * F.col("jobs_with_skill") / F.nullif(F.col("jobs_total"), F.lit(0)), 1)
+    named = counted.join(dictionary, "skill_id").join(F.broadcast(total))  # one row
+    return named.select(F.col("canonical_name").alias("skill_name"), "category", "jobs_with_skill", "jobs_total", share.alias("share_pct"), "salary_median_with", F.col("salary_delta").cast("double").alias("salary_delta"))
+
+
+def best_skills(rows: DataFrame, n: int) -> DataFrame:
+    return rows.orderBy(F.desc("share_pct"), F.desc("jobs_with_skill"), "skill_name").limit(n)
+
+
+def market_skills(role_stats: DataFrame, skill_stats: DataFrame, dictionary: DataFrame, **filters) -> DataFrame:
     slices = market_filter(role_stats, **filters).select("role", "country", "seniority", "is_remote", "jobs_count")
     total = slices.agg(F.coalesce(F.sum("jobs_count"), F.lit(0)).alias("jobs_total"))
     out = skill_stats.drop("jobs_total").join(slices, ["role", "country", "seniority", "is_remote"]).groupBy("skill_id").agg(F.sum("jobs_with_skill").alias("jobs_with_skill"), weighted("median_with", "jobs_with_skill").alias("salary_median_with"), weighted("salary_delta", "jobs_with_skill").alias("salary_delta"))
-    named = out.join(small(dictionary), "skill_id").join(F.broadcast(total))  # one row
-    return named.select(F.col("canonical_name").alias("skill_name"), "category", "jobs_with_skill", "jobs_total", F.round(100.0 * F.col("jobs_with_skill") / F.nullif(F.col("jobs_total"), F.lit(0)), 1).alias("share_pct"), "salary_median_with", "salary_delta").orderBy(F.desc("share_pct"), F.desc("jobs_with_skill"), "skill_name").limit(n)
+    return ranked_skills(out, total, dictionary)
+
+
+def live_skills(base: DataFrame, job_skills: DataFrame, dictionary: DataFrame, **filters) -> DataFrame:
+    own = market_filter(base, **filters)
+    rows = own.join(job_skills.select("job_id", "skill_id").distinct(), "job_id")
+    counted = rows.groupBy("skill_id").agg(F.count("*").alias("jobs_with_skill"))
+    out = with_quantiles(counted, quantiles(rows, ["skill_id"], "salary_mid", [0.5]), ["skill_id"])
+    return ranked_skills(out.withColumns({"salary_median_with": F.round(F.col("q")[0], 2), "salary_delta": F.lit(None).cast("double")}), own.agg(F.count("*").alias("jobs_total")), dictionary)
+
+
+def top_skills_from_marts(role_stats: DataFrame, skill_stats: DataFrame, dictionary: DataFrame, n: int, **filters) -> DataFrame:
+    return best_skills(market_skills(role_stats, skill_stats, dictionary, **filters), n)
 
 
 def top_skills_live(base: DataFrame, job_skills: DataFrame, dictionary: DataFrame, n: int, **filters) -> DataFrame:
     """The same from jobs, where no mart slice fits; no pay difference."""
-    own = market_filter(base, **filters)
-    total = own.agg(F.count("*").alias("jobs_total"))
-    out = own.join(job_skills.select("job_id", "skill_id").distinct(), "job_id").groupBy("skill_id").agg(F.count("*").alias("jobs_with_skill"), F.round(F.percentile("salary_mid", F.lit(0.5)), 2).alias("salary_median_with"))
-    named = out.join(small(dictionary), "skill_id").join(F.broadcast(total))  # one row
-    return named.select(F.col("canonical_name").alias("skill_name"), "category", "jobs_with_skill", "jobs_total", F.round(100.0 * F.col("jobs_with_skill") / F.nullif(F.col("jobs_total"), F.lit(0)), 1).alias("share_pct"), "salary_median_with", F.lit(None).cast("double").alias("salary_delta")).orderBy(F.desc("share_pct"), F.desc("jobs_with_skill"), "skill_name").limit(n)
+    return best_skills(live_skills(base, job_skills, dictionary, **filters), n)
 
 
 def top_skills_for_market(role_stats: DataFrame, skill_stats: DataFrame, base: DataFrame, job_skills: DataFrame, dictionary: DataFrame, n: int = 20, slices: DataFrame | None = None, **filters) -> DataFrame:
-    """From marts if any slice fits, else live. Whether one fits is asked of ``slices``, the distinct slices of jobs, if given: cheaper than of marts that are not yet written."""
-    if market_filter(role_stats if slices is None else slices, **filters).isEmpty():
-        return top_skills_live(base, job_skills, dictionary, n, **filters)
-    return top_skills_from_marts(role_stats, skill_stats, dictionary, n, **filters)
+    """From marts if any slice fits, else live: both in one plan, of which one has no rows.
+
+    A relation of one row, there only if no slice fits, is joined to jobs and to their skills before anything of them is
+    moved; where it is empty, adaptive execution drops what stands above it. Whether a slice fits is asked of ``slices``, the distinct
+    slices of jobs, if given: cheaper than of marts that are not yet written. No job runs before the result's."""
+    fits = market_filter(role_stats if slices is None else slices, **filters).limit(1)
+    none = F.broadcast(fits.agg(F.count("*").alias("_n")).where("_n = 0").select(F.lit(True).alias("_live")))  # one row at most
+    live = live_skills(base.join(none).drop("_live"), job_skills.join(none).drop("_live"), dictionary, **filters)
+    return best_skills(market_skills(role_stats, skill_stats, dictionary, **filters).unionByName(live), n)
 
 
 def skill_gap(market: DataFrame, names: list[str], n: int = 15, least_share: float = 5.0) -> DataFrame:
@@ -121,8 +146,8 @@ def salary_benchmark(salary: DataFrame, **filters) -> DataFrame:
 
 def salary_benchmark_live(base: DataFrame, **filters) -> DataFrame:
     rows = market_filter(base, **filters).where("salary_mid is not null")
-    q = F.percentile("salary_mid", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.agg(F.count("*").alias("sample_size"), q.alias("q"), F.round(F.avg("salary_mid"), 0).alias("avg_salary")).select("sample_size", *(F.round(F.col("q")[i], 2).alias(c) for i, c in enumerate(("p25", "p50", "p75"))), "avg_salary")
+    stats = rows.agg(F.count("*").alias("sample_size"), F.round(F.avg("salary_mid"), 0).alias("avg_salary"))
+    return with_quantiles(stats, quantiles(rows, [], "salary_mid", [0.25, 0.5, 0.75]), []).select("sample_size", *(F.round(F.col("q")[i], 2).alias(c) for i, c in enumerate(("p25", "p50", "p75"))), "avg_salary")
 
 
 def top_k_names(rows: DataFrame, keys: list[str], order: list[Column], name: str, k: int, out: str) -> DataFrame:
@@ -146,15 +171,18 @@ def best_countries(base: DataFrame, job_skills: DataFrame, dictionary: DataFrame
     own = job_skills.select("job_id", "skill_id").distinct().where(F.col("skill_id").isin(ids))
     matched = own.groupBy("job_id").agg(F.count("*").alias("m")).where(F.col("m") >= least)
     rows = base.join(matched, "job_id")
-    out = rows.groupBy("country").agg(F.count("*").alias("matching_jobs"), F.round(F.avg(100.0 * F.col("m") / max(1, len(names))), 1).alias("avg_coverage_pct"), F.round(F.percentile("salary_mid", F.lit(0.5)), 2).alias("median_salary"))
+    stats = rows.groupBy("country").agg(F.count("*").alias("matching_jobs"), F.round(F.avg(100.0 * F.col("m") / max(1, len(names))), 1).alias("avg_coverage_pct"))
+    out = with_quantiles(stats, quantiles(rows, ["country"], "salary_mid", [0.5]), ["country"]).select(*stats.columns, F.round(F.col("q")[0], 2).alias("median_salary"))
     each = rows.select("job_id", "country").join(own, "job_id").groupBy("country", "skill_id").agg(F.count("*").alias("c")).join(small(dictionary.select("skill_id", "canonical_name")), "skill_id")
     top = top_k_names(each, ["country"], [F.desc("c"), F.col("canonical_name")], "canonical_name", k, "top_matched_skills")
     return out.join(top, "country", "left").orderBy(F.desc("matching_jobs"), "country").limit(n)
 
 
 def remote_comparison(base: DataFrame, **filters) -> DataFrame:
-    rows = market_filter(base, **filters)
-    return rows.groupBy(F.when(F.col("is_remote"), "remote").otherwise("on_site").alias("work_format")).agg(F.count("*").alias("jobs_count"), F.round(F.percentile("salary_mid", F.lit(0.5)), 2).alias("median_salary"), F.round(F.avg("salary_mid"), 1).alias("avg_salary"))
+    rows = market_filter(base, **filters).withColumn("work_format", F.when(F.col("is_remote"), "remote").otherwise("on_site"))
+    stats = rows.groupBy("work_format").agg(F.count("*").alias("jobs_count"), F.round(F.avg("salary_mid"), 1).alias("avg_salary"))
+    out = with_quantiles(stats, quantiles(rows, ["work_format"], "salary_mid", [0.5]), ["work_format"])
+    return out.select("work_format", "jobs_count", F.round(F.col("q")[0], 2).alias("median_salary"), "avg_salary")
 
 
 def missing_counts(result_skills: DataFrame, own: list[str], n: int) -> DataFrame:
@@ -170,13 +198,11 @@ def imputed_mid() -> Column:
 def market_context(results: DataFrame, mid: Column, by: list[str] = (), top: str = "max") -> DataFrame:
     """Median, top and range of pay of a result set; ``top``: the maximum, the 90th percentile, or the value a tenth down the list."""
     rows = results.withColumn("_m", mid).where("_m is not null")
-    best = {"max": F.max("_m"), "p90": F.percentile("_m", F.lit(0.9)), "tenth": F.expr("percentile_disc(0.100000000001) WITHIN GROUP (ORDER BY _m DESC)")}[top]
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.percentile("_m", F.lit(0.5)), 2).alias("median"), F.round(best, 2).alias("top"), F.round(F.min("_m"), 2).alias("low"), F.round(F.max("_m"), 2).alias("high"))
-
-
-def upper_median(column: str) -> Column:
-    """Median, of two middle values the greater."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
+    by, points = list(by), {"max": [], "p90": [0.9], "tenth": [tenth_from_above]}[top]
+    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_m").alias("low"), F.max("_m").alias("high"))
+    out = with_quantiles(stats, quantiles(rows, by, "_m", [0.5, *points]), by)
+    best = F.col("q")[1] if points else F.col("high")
+    return out.select(*by, "n", F.round(F.col("q")[0], 2).alias("median"), F.round(best, 2).alias("top"), F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
 
 
 def roadmap(result_skills: DataFrame, own: list[str], n: int = 5) -> DataFrame:

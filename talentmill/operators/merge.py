@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentmill.sources.shared import remove, stored
+
 
 def key_part(name: str) -> Column:
     """Trimmed text; blank for missing values and their usual spellings."""
@@ -26,9 +28,14 @@ def dedupe_key() -> Column:
     )
 
 
+def any_order(df: DataFrame) -> list[Column]:
+    """What orders rows that are equal in all else, the same in every run; rows that it leaves together are equal throughout."""
+    return [F.xxhash64(*(F.col(c) for c, t in df.dtypes if "map<" not in t and "variant" not in t))]
+
+
 def keep_one(df: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
-    """First row of each key by an explicit order."""
-    return df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_at = 1").drop("_at")
+    """First row of each key by an explicit order; ties go by a hash of the row, so that runs repeat."""
+    return df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *any_order(df)))).where("_at = 1").drop("_at")
 
 
 def keep_rank(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
@@ -51,14 +58,33 @@ upsert = merge_latest
 
 
 def dedupe_multi(df: DataFrame, order: str, keys: list[list[str]]) -> DataFrame:
-    """Keep-last on several unique keys, one after another. A row whose only rival was itself dropped by a
-    later key is not brought back, unlike a strictly greedy pass. Rows with a blank key part pass that key."""
-    out = df
-    for key in keys:
-        blank = reduce(lambda a, b: a | b, (key_part(k) == "" for k in key))
-        newest = F.row_number().over(Window.partitionBy(*(F.when(blank, F.monotonically_increasing_id()).otherwise(F.lit(0)) if i < 0 else F.col(k) for i, k in enumerate(key))).orderBy(F.desc(order)))
-        out = out.withColumn("_blank", blank).withColumn("_at", newest).where("_blank OR _at = 1").drop("_blank", "_at")
-    return out
+    """Keep-last on several unique keys at once: a row stays if no newer row that stays shares one of its keys.
+
+    This is the result of going through the rows from the newest to the oldest, reached in rounds of local decisions: a row that is the newest
+    of the undecided rows on each of its keys stays, its rivals go, and what is left is decided in the next round.
+    Rounds move row numbers and keys only, and what they decide is a stored table. A key of which a part is blank binds nothing; rows
+    without any key stay, and are not shuffled. Rows of equal order go by a hash of the row, equal rows by their number; a null order is the oldest."""
+    number = F.struct(F.col(order), *any_order(df), F.monotonically_increasing_id())
+    rows = stored(df.withColumn("_age", number), "rows")  # written, so that numbers last
+    bound = [F.when(reduce(lambda a, b: a & b, (key_part(k) != "" for k in key)), F.array(F.lit(str(i)), *(F.col(k).cast("string") for k in key))) for i, key in enumerate(keys)]
+    undecided = rows.select("_age", F.array_compact(F.array(*bound)).alias("_keys")).where(F.size("_keys") > 0)
+    stays, old = [], None
+    while True:
+        each = undecided.select("_age", F.size("_keys").alias("_n"), F.explode("_keys").alias("_key"))
+        newest = each.groupBy("_key").agg(F.max("_age").alias("_age"))  # one row a key: long groups are summed up in their tasks
+        kept = stored(newest.groupBy("_age").agg(F.collect_list("_key").alias("_won")).join(undecided, "_age").where(F.size("_won") == F.size("_keys")).select("_age", "_keys"), "kept")
+        stays.append(kept.select("_age"))
+        taken = kept.select(F.explode("_keys").alias("_key"))
+        gone = each.join(taken, "_key", "left_semi").select("_age").distinct()
+        left = stored(undecided.join(gone, "_age", "left_anti"), "undecided")
+        if old is not None:
+            remove(old)
+        undecided = old = left
+        if undecided.isEmpty():
+            break
+    free = rows.where(F.size(F.array_compact(F.array(*bound))) == 0)
+    decided = reduce(DataFrame.unionByName, stays)
+    return free.unionByName(rows.join(decided, "_age", "left_semi")).drop("_age")
 
 
 def url_key(url: Column) -> Column:
@@ -146,7 +172,8 @@ def merge_status(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """State with the higher fail count of either side."""
     both = a.unionByName(b)
     rest = [c for c in a.columns if c != key]
-    return both.groupBy(key).agg(F.max_by(F.struct(*rest), "fail_count").alias("s")).select(key, "s.*")
+    first = F.struct("fail_count", *any_order(both))  # ties go by a hash, so that runs repeat
+    return both.groupBy(key).agg(F.max_by(F.struct(*rest), first).alias("s")).select(key, "s.*")
 
 
 def source_health(log: DataFrame, limits: dict[str, int] | None = None, default: int = 3) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Vector search: exact cosine top-k for many queries, filters, reranking and an approximate index."""
+"""Vector search: exact cosine top-k for many queries, filters and reranking. The approximate index is in ``ivf``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentmill.functions.hashing import FORMATS_ALLOWED, GRADES_ALLOWED
+from talentmill.operators import blocks
 
 #: Queries joined at a time; more are taken in blocks.
 QUERY_BLOCK = 2_000
@@ -35,10 +37,10 @@ def search(items: DataFrame, queries: DataFrame, k: int, keep: Column | None = N
 
     ``queries`` (query_id, unit) is a stated set, sent to all items in blocks of bounded size; ``keep`` may
     compare columns of both sides and drops pairs before ranking; ``rerank`` changes the score that is ranked."""
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    number = -(-queries.count() // QUERY_BLOCK) or 1
     out = None
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+    for b in range(number):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(number)) == b)
         pairs = items.join(F.broadcast(block), keep if keep is not None else F.lit(True))
         score = F.round(dot(F.col("unit"), F.col("q_unit")), places)
         scored = pairs.withColumn("score", F.round(rerank(score), places) if rerank else score).select("query_id", "vec_id", "score", *with_columns)
@@ -47,6 +49,28 @@ def search(items: DataFrame, queries: DataFrame, k: int, keep: Column | None = N
     return out
 
 
+def query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """A stated set of queries (query_id, q_unit) in blocks of bounded size: ids, and vectors as rows. Queries without a vector are left out."""
+    asked = queries.where("q_unit is not null").select("query_id", F.col("q_unit").cast("array<double>").alias("q_unit"))
+    number = -(-asked.count() // QUERY_BLOCK)
+    for b in range(number):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(number)) == b).collect()
+        if rows:
+            yield [r["query_id"] for r in rows], np.array([r["q_unit"] for r in rows])
+
+
+def search_exact(items: DataFrame, queries: DataFrame, k: int, places: int = 4) -> DataFrame:
+    """query_id, vec_id, score, rank: what ``search`` gives without conditions, by products of blocks of vectors with blocks of queries.
+
+    A task keeps the best ``k`` of each query and hands on no other pair. ``vec_id`` is a long integer; rows without it or a vector are left out."""
+    kind, out = dict(queries.dtypes)["query_id"], None
+    rows = items.where("vec_id is not null and unit is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("unit").cast("array<double>").alias("unit"))
+    for names, block in query_blocks(queries):
+        one = top_k(blocks.nearest(rows, names, block, k, places, kind), k)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else items.sparkSession.createDataFrame([], f"query_id {kind}, vec_id long, score double, rank int")
+
+
 def rerank_skill(score: Column, matches: Column) -> Column:
     return score + 0.15 * matches
 
@@ -101,15 +125,3 @@ def retrieve(items: DataFrame, queries: DataFrame, k: int = 10, threshold: float
     good = lambda found: found.where(F.col("score") >= threshold)
     first = good(search(items, queries, k, keep))
     return with_fallback(first, good(search(items, queries, k))) if fallback else first
-
-
-def ann_join(items: DataFrame, queries: DataFrame, k: int, tables: int = 8, length: float = 1.2) -> DataFrame:
-    """Approximate neighbours by random-projection buckets on unit vectors: query_id, vec_id, score, rank."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(items.select(array_to_vector("unit").alias("v")).limit(10))
-    a, b = items.select("vec_id", "unit", array_to_vector("unit").alias("v")), queries.select("query_id", "q_unit", array_to_vector("q_unit").alias("v"))
-    flat = lambda df: model.transform(df).select("*", F.posexplode("h").alias("t", "hash")).withColumn("bucket", F.xxhash64("t", F.col("hash").cast("string"))).drop("v", "h", "hash", "t")
-    pairs = flat(a).join(flat(b), "bucket").select("query_id", "vec_id", F.round(dot(F.col("unit"), F.col("q_unit")), 4).alias("score")).dropDuplicates(["query_id", "vec_id"])
-    return top_k(pairs, k)

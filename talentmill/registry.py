@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentmill.functions import hashing as H
 from talentmill.functions import location as L
 from talentmill.functions import salary as S
 from talentmill.functions import text as X
-from talentmill.operators import fx, marts, match, merge, quality, skills, vector
+from talentmill.operators import fx, ivf, marts, match, merge, quality, skills, vector
+from talentmill.operators.quantiles import quantiles, with_quantiles
 from talentmill.plans import clean, views
 from talentmill.plans.views import table
 
@@ -216,7 +217,9 @@ def agg10_top_skills_country(spark, d):
 @query("SELECT country, currency, count(*) AS n, round(avg(salary_from), 1) AS avg_from, round(avg(salary_to), 1) AS avg_to, round(quantile_cont(coalesce((salary_from + salary_to) / 2.0, salary_from, salary_to), 0.5), 2) AS median_mid FROM v_jobs WHERE coalesce(salary_from, salary_to) IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3")
 def agg11_salary_overview(spark, d):
     rows = views.jobs(spark, d).where("coalesce(salary_from, salary_to) is not null").withColumn("m", fx.midpoint(F.col("salary_from"), F.col("salary_to")))
-    return rows.groupBy("country", "currency").agg(F.count("*").alias("n"), F.round(F.avg("salary_from"), 1).alias("avg_from"), F.round(F.avg("salary_to"), 1).alias("avg_to"), F.round(F.percentile("m", F.lit(0.5)), 2).alias("median_mid")).where("n >= 3")
+    stats = rows.groupBy("country", "currency").agg(F.count("*").alias("n"), F.round(F.avg("salary_from"), 1).alias("avg_from"), F.round(F.avg("salary_to"), 1).alias("avg_to")).where("n >= 3")
+    found = with_quantiles(stats, quantiles(rows, ["country", "currency"], "m", [0.5]), ["country", "currency"])
+    return found.select(*stats.columns, F.round(F.col("q")[0], 2).alias("median_mid"))
 
 
 @query(f"SELECT source, count(*) AS total, round(100.0 * count(*) FILTER (WHERE length(trim(text)) > 0) / count(*), 1) AS text_pct, round(100.0 * count(quality) / count(*), 1) AS label_pct FROM {DL} GROUP BY 1")
@@ -418,12 +421,36 @@ def ded02_merge_latest(spark, d):
     return merge.merge_latest(*snapshots(spark, d), ["job_id"])
 
 
-@query(", a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY k DESC) AS x FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_orderkey * 10 + l_linenumber AS k FROM lineitem)), b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY k DESC) AS y FROM a WHERE x = 1) SELECT k FROM b WHERE y = 1")
+#: One number a line: lines may share their order and number.
+LINE_SQL = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000"
+
+
+def line_number() -> Column:
+    return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey") % 1000
+
+
+def greedy(rows: str) -> str:
+    """Rounds over rows (k, a, b) with two keys, null where they bind nothing."""
+    return f"""WITH RECURSIVE r(k, a, b, state) AS (SELECT k, a, b, 'open' FROM ({rows}) UNION ALL
+SELECT k, a, b, CASE WHEN won THEN 'kept' ELSE 'open' END FROM (
+  SELECT *, a IS NOT NULL AND max(won::INT) OVER (PARTITION BY a) = 1 OR b IS NOT NULL AND max(won::INT) OVER (PARTITION BY b) = 1 AS lost FROM (
+    SELECT k, a, b, (a IS NULL OR k = max(k) OVER (PARTITION BY a)) AND (b IS NULL OR k = max(k) OVER (PARTITION BY b)) AS won FROM r WHERE state = 'open')) WHERE won OR NOT lost)
+SELECT k FROM r WHERE state = 'kept'"""
+
+
+@query(greedy(f"SELECT {LINE_SQL} AS k, l_orderkey || '/' || l_partkey AS a, l_orderkey || '/' || l_suppkey AS b FROM lineitem"))
 def ded03_dedupe_multi(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", line_number().alias("k"))
     return merge.dedupe_multi(rows, "k", [["l_orderkey", "l_partkey"], ["l_orderkey", "l_suppkey"]]).select("k")
 
 
+@query(greedy(f"SELECT {LINE_SQL} AS k, CASE WHEN l_returnflag <> 'N' THEN l_partkey || l_returnflag END AS a, CASE WHEN l_linenumber < 6 THEN l_suppkey || '/' || l_linenumber || l_linestatus END AS b FROM lineitem"))
+def ded03_chained_conflicts(spark, d):
+    """Keys of many rivals each, so that decisions depend on one another over rounds; a third of the rows has a blank part."""
+    rows = table(spark, d, "lineitem").select("l_partkey", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), "l_suppkey", "l_linestatus", F.when(F.col("l_linenumber") < 6, F.col("l_linenumber")).alias("line"), line_number().alias("k"))
+    return merge.dedupe_multi(rows, "k", [["l_partkey", "flag"], ["l_suppkey", "line", "l_linestatus"]]).select("k")
+
+
 @query("SELECT max(page_id) AS page_id, split_part(url, '?', 1) AS url FROM pages GROUP BY 2")
 def ded04_dedupe_url(spark, d):
     return merge.dedupe_url(table(spark, d, "pages").select("page_id", "url"), "page_id").select("page_id", merge.url_key(F.col("url")).alias("url"))
@@ -549,11 +576,12 @@ round(sum(s.median_with * s.jobs_with_skill) / sum(CASE WHEN s.median_with IS NO
 FROM skill2 s JOIN sel USING (role, country, seniority, is_remote) JOIN v_skills USING (skill_id) GROUP BY 1, 2 ORDER BY share_pct DESC, jobs_with_skill DESC, skill_name LIMIT 100)"""
 
 
-def market(spark, d, n=100, **filters):
-    b = base(spark, d)
+def market(spark, d, n=100, least=LEAST, **filters):
+    """Marts are built for the market only: filters name whole slices."""
+    b = match.market_filter(base(spark, d), **filters)
     own = views.job_skills(spark, d)
-    slices = b.groupBy(*marts.SLICE).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    return match.top_skills_for_market(marts.role_stats_v2(b, LEAST), marts.skill_stats_v2(b, own, LEAST), b, own, views.skills(spark, d), n, slices, **filters)
+    slices = b.groupBy(*marts.SLICE).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return match.top_skills_for_market(marts.role_stats_v2(b, least), marts.skill_stats_v2(b, own, least), b, own, views.skills(spark, d), n, slices, **filters)
 
 
 @query(TOP.replace("NATION_3", "{c}") + " SELECT skill_name, category, CAST(jobs_with_skill AS BIGINT) AS jobs_with_skill, CAST(jobs_total AS BIGINT) AS jobs_total, share_pct, salary_median_with, salary_delta FROM mk")
@@ -621,7 +649,7 @@ DOT = "round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS
 
 @query(f"SELECT query_id, vec_id, score FROM (SELECT q AS query_id, v AS vec_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, v) AS k FROM (SELECT a.vec_id AS q, b.vec_id AS v, {DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0)) WHERE k <= 10")
 def vec01_topk(spark, d):
-    return vector.search(*vec_sides(spark, d), 10).select("query_id", "vec_id", "score")
+    return vector.search_exact(*vec_sides(spark, d), 10).select("query_id", "vec_id", "score")
 
 
 @query(f"SELECT query_id, vec_id, score FROM (SELECT q AS query_id, v AS vec_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, v) AS k FROM (SELECT a.vec_id AS q, b.vec_id AS v, {DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.label = b.label AND a.vec_id <> b.vec_id)) WHERE k <= 5")
@@ -632,7 +660,13 @@ def vec03_similar_filtered(spark, d):
 
 @query()
 def vec08_ann_join(spark, d):
-    return vector.ann_join(*vec_sides(spark, d), 10).select("query_id", "vec_id", "score")
+    """Neighbours by the index, with the share of the true ten that were found and the shares of pairs scored exactly and by codes."""
+    items, asked = vec_sides(spark, d)
+    index = ivf.build(items)
+    found, spent = ivf.search(index, asked, 10).select("query_id", "vec_id", "score"), ivf.cost(index, asked, 10)
+    true = vector.search_exact(items, asked, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    recall = true.join(found, ["query_id", "vec_id"], "left").agg(F.round(F.count("score") / F.count("hit"), 4).alias("recall"))
+    return found.join(F.broadcast(recall)).withColumns({c: F.lit(round(spent[c], 4)) for c in ("scored_share", "coded_share")})  # one row
 
 
 # ---- text -----------------------------------------------------------------------------------

@@ -424,4 +424,4 @@ def same_as(name: str, of: str, text: str) -> None:
 same_as("udf02_matching_jobs_count", "mat01_matching_jobs_count", f"SELECT total_matching_jobs, avg_user_skill_coverage_pct AS avg_coverage_pct, avg_job_fit_pct AS avg_fit_pct, median_salary_mid AS median_salary FROM fn_matching_jobs_count({USER}, _remote_only => true)")
 same_as("udf02_top_skills", "mat03_top_skills", "SELECT * FROM fn_top_skills_for_market('NATION_3', _limit => 100)")
 same_as("udf02_skill_gap", "mat04_skill_gap", f"SELECT * FROM fn_skill_gap({USER}, 'NATION_3')")
-same_as("udf02_salary_benchmark", "mat05_salary_benchmark", "SELECT * FROM fn_salary_benchmark()")
+same_as("udf02_salary_benchmark", "mat05_salary_benchmark", "SELECT role, country, seniority, sample_size, p25, p50, p75, avg_salary FROM fn_salary_benchmark()")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from talentmill.operators.merge import merge_latest
+from talentmill.operators.merge import keep_one, merge_latest
 from talentmill.sources.tables import read_pointer, write_pointer
 
 
@@ -21,10 +21,11 @@ def read_landing(spark: SparkSession, path: str, schema: StructType, kind: str =
     return spark.readStream.schema(schema).format(kind).load(path)
 
 
-def stream_ingest(source: DataFrame, target: str, checkpoint: str, keys: list[str], clean: Callable[[DataFrame], DataFrame] = lambda df: df, parts: int = 64):
+def stream_ingest(source: DataFrame, target: str, checkpoint: str, keys: list[str], clean: Callable[[DataFrame], DataFrame] = lambda df: df, parts: int = 64, newest: str | None = None):
     """Clean each micro-batch and merge it into a table that is split by a hash of the keys: only parts that the batch touches
     are written anew, the others are pointed to where they are. A batch is known by its number and the checkpoint, so a repeated
-    one changes nothing; a new checkpoint goes on from the newest version, which ``read_ingested`` finds."""
+    one changes nothing; a new checkpoint goes on from the newest version, which ``read_ingested`` finds. Of a key's rows in a batch the one that is greatest in
+    ``newest`` stays, ties go by a hash of the row."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark, name = batch.sparkSession, f"{hashlib.sha1(checkpoint.encode()).hexdigest()[:8]}-{number:09d}"
@@ -34,7 +35,7 @@ def stream_ingest(source: DataFrame, target: str, checkpoint: str, keys: list[st
         new = clean(batch).withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).persist()
         touched = sorted(r[0] for r in new.select("_part").distinct().collect())  # at most ``parts``
         before = {p: known["parts"][str(p)] for p in touched if str(p) in known["parts"]}
-        fresh = new.dropDuplicates(keys)
+        fresh = keep_one(new, keys, [F.col(newest).desc_nulls_last()] if newest else [])
         merged = merge_latest(spark.read.schema(new.schema).parquet(*before.values()), fresh, keys) if before else fresh
         run = f"{target}/{name}-{uuid.uuid4().hex[:8]}"
         merged.withColumn("_folder", F.col("_part")).repartition("_folder").write.partitionBy("_folder").parquet(run)
