@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentmill.functions import text as X
-from talentmill.operators import dictionary, fx
+from talentmill.operators import dictionary, fx, history
 from talentmill.plans import sql, views
 from talentmill.plans.views import table
 from talentmill.registry import COUNTRY, DETAIL, market, query
 from talentmill.rule_queries import USER, registered, same_as
+from talentmill.sources.shared import scratch
 
 # ---- dictionaries ---------------------------------------------------------------------------
 
@@ -128,3 +129,22 @@ def udf02_salary_benchmark_in_usd(spark, d):
     """Pay from live jobs in a currency that the marts do not have."""
     registered(spark, d)
     return sql.call(spark, "SELECT role, country, seniority, currency, sample_size, round(p25, 2) AS p25, round(p50, 2) AS p50, round(p75, 2) AS p75, avg_salary FROM fn_salary_benchmark('BUILDING', _seniority => '1-URGENT', _target_currency => 'usd')")
+
+
+# ---- histories ------------------------------------------------------------------------------
+
+#: Days of January up to which a snapshot saw the events, in the order in which the snapshots come: some are late, one comes twice.
+SNAPSHOTS = [14, 7, 31, 21, 7, 28]
+
+
+@query(""", days AS (SELECT unnest([7, 14, 21, 28, 31]) AS day), o AS (SELECT user_id, day, arg_max(event_type, (ts, event_id)) AS event_type FROM events JOIN days ON ts < TIMESTAMP '2024-01-01' + to_days(CAST(day AS INT)) GROUP BY 1, 2),
+c AS (SELECT *, lag(event_type) OVER w AS b, row_number() OVER w AS k FROM o WINDOW w AS (PARTITION BY user_id ORDER BY day)), p AS (SELECT * FROM c WHERE k = 1 OR event_type <> b)
+SELECT user_id, day AS valid_from, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS valid_to, event_type FROM p""".replace(", days", "WITH days", 1))
+def his01_incremental(spark, d):
+    """Validity of each user's last event as successive snapshots saw it, merged in any order."""
+    e, root = table(spark, d, "events"), scratch(spark, "history")
+    for day in SNAPSHOTS:
+        upto = e.where(F.col("ts") < F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(day)))
+        seen = upto.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+        history.merge_snapshot(seen, root, "user_id", day, ["event_type"])
+    return history.intervals(spark, root, "user_id").select("user_id", "valid_from", "valid_to", "event_type")

@@ -83,7 +83,7 @@ def probes_for(sample: np.ndarray, centroids: np.ndarray, k: int, recall: float,
     return int(np.quantile(at.ravel(), recall, method="higher")) + 1
 
 
-def build(items: DataFrame, folder: str | None = None, lists: int | None = None, k: int = 10, recall: float = 0.95, rounds: int = 10, sample_bytes: int = SAMPLE_BYTES) -> Index:
+def build(items: DataFrame, folder: str | None = None, lists: int | None = None, k: int = 10, recall: float = 0.95, rounds: int = 10, sample_bytes: int = SAMPLE_BYTES, files: int | None = None) -> Index:
     """Train on a sample of ``items`` (vec_id, unit) of at most ``sample_bytes`` and index every row."""
     spark = items.sparkSession
     rows = items.where("vec_id is not null and unit is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("unit").cast("array<double>").alias("unit"))
@@ -102,7 +102,7 @@ def build(items: DataFrame, folder: str | None = None, lists: int | None = None,
     spark.createDataFrame([(i, c) for i, c in enumerate(centroids.tolist())], "list int, centroid array<double>").coalesce(1).write.parquet(f"{folder}/centroids")
     spark.createDataFrame([(json.dumps({"probes": probes, "step": step.tolist()}),)], "value string").coalesce(1).write.text(f"{folder}/settings")
     index = Index(folder, centroids, step, probes)
-    append(index, rows)
+    append(index, rows, files)
     return index
 
 
@@ -112,8 +112,8 @@ def load(spark: SparkSession, folder: str) -> Index:
     return Index(folder, np.array([r["centroid"] for r in rows]), np.array(settings["step"]), settings["probes"])
 
 
-def append(index: Index, items: DataFrame) -> None:
-    """Add rows (vec_id, unit) to the lists of their nearest centroids."""
+def append(index: Index, items: DataFrame, files: int | None = None) -> None:
+    """Add rows (vec_id, unit) to the lists of their nearest centroids; ``files`` asks for so many ranges of rows instead of as many as their size needs."""
     centroids, step = index.centroids, index.step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,9 @@ def append(index: Index, items: DataFrame) -> None:
 
     rows = items.where("vec_id is not null and unit is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("unit").cast("array<double>").alias("unit"))
     coded = rows.mapInArrow(run, "vec_id long, code binary, unit array<double>, list int")
-    coded.repartitionByRange("list", F.xxhash64("vec_id")).sortWithinPartitions("list").write.mode("append").partitionBy("list").parquet(f"{index.folder}/entries")
+    ranges = ["list", F.xxhash64("vec_id")]
+    dealt = coded.repartitionByRange(files, *ranges) if files else coded.repartitionByRange(*ranges)
+    dealt.sortWithinPartitions("list").write.mode("append").partitionBy("list").parquet(f"{index.folder}/entries")
 
 
 def probed(index: Index, queries: np.ndarray, probes: int) -> np.ndarray:

@@ -22,9 +22,8 @@ def base_v2(jobs: DataFrame, rates: DataFrame, target: str = "RUB") -> DataFrame
 
 
 def salary_agg_v2(base: DataFrame, least: int = 10, approximate: bool = False) -> DataFrame:
-    stats = base.where("salary_mid is not null").groupBy(*SLICE).agg(F.count("*").alias("sample_size"), F.avg("salary_mid").alias("a")).where(F.col("sample_size") >= least)
-    q = with_quantiles(stats, quantiles(base, SLICE, "salary_mid", [0.25, 0.5, 0.75], approximate=approximate), SLICE)
-    return q.select(*SLICE, "sample_size", F.round(F.col("q")[0], 2).alias("p25"), F.round(F.col("q")[1], 2).alias("p50"), F.round(F.col("q")[2], 2).alias("p75"), F.round("a", 1).alias("avg_salary"))
+    q = quantiles(base, SLICE, "salary_mid", [0.25, 0.5, 0.75], approximate=approximate).where(F.col("n") >= least)
+    return q.select(*SLICE, F.col("n").alias("sample_size"), F.round(F.col("q")[0], 2).alias("p25"), F.round(F.col("q")[1], 2).alias("p50"), F.round(F.col("q")[2], 2).alias("p75"), F.round("mean", 1).alias("avg_salary"))
 
 
 def role_stats_v2(base: DataFrame, least: int = 20) -> DataFrame:
@@ -86,11 +85,10 @@ def salary_agg_v1(jobs: DataFrame, mids: dict[str, str], least: int = 3) -> Data
     """By title, country and seniority in several currencies (currency -> column of midpoints), in one pass."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("currency"), F.col(c).cast("double").alias("mid")) for k, c in mids.items())))
     rows = jobs.select(F.col("title_normalized").alias("role"), blank_to(F.col("country"), "__ALL__").alias("country"), blank_to(F.col("seniority"), "unknown").alias("seniority"), each.alias("e")).where("role is not null and e.mid > 0").select("role", "country", "seniority", "e.currency", "e.mid")
-    keys = ["role", "country", "seniority", "currency"]
-    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("mid").alias("a"), F.min("mid").alias("lo"), F.max("mid").alias("hi")).where(F.col("n") >= least)
-    q = with_quantiles(stats, quantiles(rows, keys, "mid", [0.1, 0.25, 0.5, 0.75, 0.9]), keys)
-    names = ["p10", "p25", "p50", "p75", "p90"]
-    return q.select("role", "country", "seniority", "currency", F.col("n").alias("sample_size"), *(F.round(F.col("q")[i], 2).alias(p) for i, p in enumerate(names)), F.round("a", 1).alias("avg_salary"), F.round("lo", 2).alias("min_salary"), F.round("hi", 2).alias("max_salary"))
+    keys, names = ["role", "country", "seniority", "currency"], ["p10", "p25", "p50", "p75", "p90"]
+    q = quantiles(rows, keys, "mid", [0.1, 0.25, 0.5, 0.75, 0.9, 0.0, 1.0]).where(F.col("n") >= least)
+    each = [F.round(F.col("q")[i], 2).alias(p) for i, p in enumerate(names)]
+    return q.select(*keys, F.col("n").alias("sample_size"), *each, F.round("mean", 1).alias("avg_salary"), F.round(F.col("q")[5], 2).alias("min_salary"), F.round(F.col("q")[6], 2).alias("max_salary"))
 
 
 def role_stats_v1(jobs: DataFrame) -> DataFrame:

@@ -145,9 +145,8 @@ def salary_benchmark(salary: DataFrame, **filters) -> DataFrame:
 
 
 def salary_benchmark_live(base: DataFrame, **filters) -> DataFrame:
-    rows = market_filter(base, **filters).where("salary_mid is not null")
-    stats = rows.agg(F.count("*").alias("sample_size"), F.round(F.avg("salary_mid"), 0).alias("avg_salary"))
-    return with_quantiles(stats, quantiles(rows, [], "salary_mid", [0.25, 0.5, 0.75]), []).select("sample_size", *(F.round(F.col("q")[i], 2).alias(c) for i, c in enumerate(("p25", "p50", "p75"))), "avg_salary")
+    q = quantiles(market_filter(base, **filters), [], "salary_mid", [0.25, 0.5, 0.75])
+    return q.select(F.col("n").alias("sample_size"), *(F.round(F.col("q")[i], 2).alias(c) for i, c in enumerate(("p25", "p50", "p75"))), F.round("mean", 0).alias("avg_salary"))
 
 
 def top_k_names(rows: DataFrame, keys: list[str], order: list[Column], name: str, k: int, out: str) -> DataFrame:
@@ -198,11 +197,9 @@ def imputed_mid() -> Column:
 def market_context(results: DataFrame, mid: Column, by: list[str] = (), top: str = "max") -> DataFrame:
     """Median, top and range of pay of a result set; ``top``: the maximum, the 90th percentile, or the value a tenth down the list."""
     rows = results.withColumn("_m", mid).where("_m is not null")
-    by, points = list(by), {"max": [], "p90": [0.9], "tenth": [tenth_from_above]}[top]
-    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("_m").alias("low"), F.max("_m").alias("high"))
-    out = with_quantiles(stats, quantiles(rows, by, "_m", [0.5, *points]), by)
-    best = F.col("q")[1] if points else F.col("high")
-    return out.select(*by, "n", F.round(F.col("q")[0], 2).alias("median"), F.round(best, 2).alias("top"), F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
+    best = {"max": 1.0, "p90": 0.9, "tenth": tenth_from_above}[top]
+    out = quantiles(rows, list(by), "_m", [0.5, best, 0.0, 1.0])
+    return out.select(*by, "n", *(F.round(F.col("q")[i], 2).alias(c) for i, c in enumerate(("median", "top", "low", "high"))))
 
 
 def roadmap(result_skills: DataFrame, own: list[str], n: int = 5) -> DataFrame:

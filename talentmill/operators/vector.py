@@ -52,6 +52,11 @@ def search(items: DataFrame, queries: DataFrame, k: int, keep: Column | None = N
 def query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     """A stated set of queries (query_id, q_unit) in blocks of bounded size: ids, and vectors as rows. Queries without a vector are left out."""
     asked = queries.where("q_unit is not null").select("query_id", F.col("q_unit").cast("array<double>").alias("q_unit"))
+    first = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(first) <= QUERY_BLOCK:
+        if first:
+            yield [r["query_id"] for r in first], np.array([r["q_unit"] for r in first])
+        return
     number = -(-asked.count() // QUERY_BLOCK)
     for b in range(number):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(number)) == b).collect()

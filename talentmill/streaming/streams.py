@@ -68,26 +68,52 @@ def stream_daily(source: DataFrame, ts: str, lateness: str = "1 day") -> DataFra
 
 
 class HealthState(StatefulProcessor):
-    """Consecutive failures of a source since its last success."""
+    """Consecutive failures of a source since its last success, in the order of event time.
+
+    Rows wait in the state until the watermark has passed them, so that batches may deal them in any order within the
+    lateness; a timer at the latest of them lets go what no further batch would."""
 
     def __init__(self, limits: dict[str, int], default: int):
         self.limits, self.default = limits, default
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.fails = handle.getValueState("fails", "fails long, reason string")
+        self.waiting = handle.getListState("waiting", "ms long, us long, seq long, ok boolean, reason string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fresh = []
+        for pdf in rows:
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            reasons = pdf["reason"].astype(object).where(pdf["reason"].notna(), None)
+            fresh += [(int(u) // 1000, int(u), int(s), bool(o), r) for u, s, o, r in zip(us, pdf["seq"], pdf["ok"], reasons, strict=True)]
+        self.waiting.appendList(fresh)
+        self.handle.registerTimer(max(r[0] for r in fresh) + 1)
+        yield from self.let_go(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self.let_go(key, timerValues.getCurrentWatermarkInMs())
+
+    def let_go(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((r for r in held if r[0] < watermark), key=lambda r: (r[1], r[2]))
+        if not ready:
+            return
         fails, reason = self.fails.get() if self.fails.exists() else (0, None)
-        for part in sorted((r for pdf in rows for r in pdf[["ts", "seq", "ok", "reason"]].itertuples(index=False)), key=lambda r: (r.ts, r.seq)):
-            fails, reason = (0, reason) if part.ok else (fails + 1, part.reason)
+        for row in ready:
+            fails, reason = (0, reason) if row[3] else (fails + 1, row[4])
         self.fails.update((fails, reason))
+        left = [tuple(r) for r in held if r[0] >= watermark]
+        self.waiting.put(left) if left else self.waiting.clear()
         yield pd.DataFrame({"source": [key[0]], "fail_count": [fails], "last_reason": [reason], "is_active": [fails < self.limits.get(reason, self.default)]})
 
     def close(self) -> None:
         pass
 
 
-def stream_health(source: DataFrame, limits: dict[str, int] | None = None, default: int = 3) -> DataFrame:
-    """Health of each source after every batch (needs the RocksDB state store). ``source``: source, ts, seq, ok, reason."""
+def stream_health(source: DataFrame, limits: dict[str, int] | None = None, default: int = 3, lateness: str = "1 hour") -> DataFrame:
+    """Health of each source up to the watermark, whenever that has passed rows of it (needs the RocksDB state store). ``source``: source, ts,
+    seq, ok, reason; rows later than ``lateness`` behind the latest are dropped."""
     processor = HealthState(limits or {"permanent": 2, "temporary": 5}, default)
-    return source.groupBy("source").transformWithStateInPandas(processor, f"source {source.schema['source'].dataType.simpleString()}, fail_count long, last_reason string, is_active boolean", "Update", "None")
+    timed = source.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    return timed.groupBy("source").transformWithStateInPandas(processor, f"source {source.schema['source'].dataType.simpleString()}, fail_count long, last_reason string, is_active boolean", "Update", "EventTime")
