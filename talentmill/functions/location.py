@@ -8,8 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentmill.functions import dictionaries as D
-from talentmill.functions.salary import lookup
-from talentmill.functions.text import first_keyword, is_missing, parse_array
+from talentmill.functions.text import first_keyword, is_missing, let, lookup, parse_array, table_of
 
 def _words(words: list[str]) -> str:
     return r"(?iU)(?<!\w)(?:" + "|".join(re.escape(w) for w in words) + r")(?!\w)"
@@ -29,13 +28,17 @@ def strip_work_mode(c: Column) -> Column:
 
 def city_of(c: Column, cities: dict[str, str] = D.CITIES, hints: dict[str, str] = D.COUNTRY_HINTS) -> Column:
     """City by exact part, by a known name inside the text, else the first part that is no noise, country or state and has at most three words."""
-    text = strip_work_mode(c)
+    return F.when(~is_missing(c), let(strip_work_mode(c), lambda text: _city_in(text, cities, hints)))
+
+
+def _city_in(text: Column, cities: dict[str, str], hints: dict[str, str]) -> Column:
     parts = F.filter(F.transform(F.split(text, r"[,;|/]"), lambda p: F.regexp_replace(F.trim(p), r"^[ \-–—]+|[ \-–—]+$", "")), lambda p: p != "")
-    exact = F.get(F.filter(F.transform(parts, lambda p: lookup(cities, F.lower(p))), lambda x: x.isNotNull()), F.lit(0))
+    exact = lambda parts: F.get(F.filter(F.transform(parts, lambda p: lookup(cities, F.lower(p))), lambda x: x.isNotNull()), F.lit(0))
     inside = first_keyword(text, cities, None, bounded=True)
     never = {*D.NOISE, *D.REGIONS, *hints, *(v.lower() for v in D.COUNTRY_NAMES.values()), "usa", "uk", "us", "uae", *D.US_STATES, *(a.lower() for a in (*D.US_ABBR, *D.CA_ABBR)), *D.CA_PROVINCES}
-    other = F.get(F.filter(parts, lambda p: ~F.lower(p).isin(*sorted(never)) & (F.size(F.split(p, r"\s+")) <= 3)), F.lit(0))
-    return F.when(is_missing(c) | (text == ""), None).otherwise(F.coalesce(exact, inside, F.upper(other)))
+    known = table_of(dict.fromkeys(sorted(never), "x"))
+    other = lambda parts: F.get(F.filter(parts, lambda p: F.element_at(known, F.lower(p)).isNull() & (F.size(F.split(p, r"\s+")) <= 3)), F.lit(0))
+    return F.when(text != "", let(parts, lambda p: F.coalesce(exact(p), inside, F.upper(other(p)))))
 
 
 def infer_country(parsed: Column, given: Column, location: Column, description: Column, company: Column, aliases: dict[str, str] = D.COUNTRY_NAMES, companies: dict[str, str] = D.COMPANY_COUNTRIES) -> Column:
@@ -55,7 +58,7 @@ def normalize_country(c: Column, names: dict[str, str] = D.COUNTRY_NAMES) -> Col
 
 def spoken_languages(own: Column, country: Column, languages: dict[str, list[str]] = D.LANGUAGES) -> Column:
     """Array of languages: those given, else those of the country, else English."""
-    table = F.create_map(*(x for k, v in languages.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    table = table_of(languages)
     given = F.when(~is_missing(own) & ~F.trim(own).isin("{}", "[]"), parse_array(own))
     return F.coalesce(given, F.element_at(table, F.upper(F.trim(country))), F.array(F.lit("English")))
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentmill.functions import values as V
-from talentmill.functions.text import is_missing, parse_number
+from talentmill.functions.text import first_of, is_missing, let, lookup, parse_number
 
 # Number and currency tokens, and the pay patterns in order, as (pattern, groups of low, high and currencies).
 NUMBER = r"\d[\d\s,._]*(?:\.\d+)?(?:\s*[kKmM])?"
@@ -24,10 +23,6 @@ TIERS = [
 ]
 
 
-def lookup(table: dict, key: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
-
-
 def currency_code(c: Column) -> Column:
     t = F.upper(F.trim(c))
     return F.when(is_missing(c), None).otherwise(F.coalesce(lookup(V.CURRENCY_ALIASES, t), t))
@@ -41,13 +36,11 @@ def token_currency(token: Column) -> Column:
 
 def currency_in(c: Column) -> Column:
     """Currency named in a text: symbols, the longest first, then words."""
-    t, out = F.lower(c), F.lit(None).cast("string")
-    for word, code in reversed(V.CURRENCY_WORDS.items()):
-        out = F.when(t.rlike(rf"(?U)(?<!\w){word}(?!\w)"), code).otherwise(out)
-    for symbol, code in sorted(V.CURRENCY_SYMBOLS.items(), key=lambda x: len(x[0])):
-        label = F.when(t.rlike(r"\b(cny|rmb|yuan)\b"), "CNY").otherwise("JPY") if symbol == "¥" else F.lit(code)
-        out = F.when(F.contains(t, F.lit(symbol)), label).otherwise(out)
-    return out
+    t = F.lower(c)
+    yen = F.when(t.rlike(r"\b(cny|rmb|yuan)\b"), "CNY").otherwise("JPY")
+    symbols = [(F.contains(t, F.lit(x)), yen if x == "¥" else code) for x, code in sorted(reversed(V.CURRENCY_SYMBOLS.items()), key=lambda x: -len(x[0]))]
+    words = [(t.rlike(rf"(?U)(?<!\w){word}(?!\w)"), code) for word, code in V.CURRENCY_WORDS.items()]
+    return first_of([*symbols, *words], F.lit(None).cast("string"))
 
 
 def any_of(patterns: list[str], flags: str = "") -> str:
@@ -56,19 +49,25 @@ def any_of(patterns: list[str], flags: str = "") -> str:
 
 
 def period_hint(c: Column) -> Column:
-    return reduce(lambda rest, kv: F.when(c.rlike(any_of(kv[1], "(?iU)")), kv[0]).otherwise(rest), reversed(V.PERIOD_HINTS.items()), F.lit(None).cast("string"))
+    return first_of([(c.rlike(any_of(words, "(?iU)")), period) for period, words in V.PERIOD_HINTS.items()], F.lit(None).cast("string"))
 
 
-def _read(raw: Column, tier: tuple, *others: Column) -> Column:
-    """Struct of low, high, currency and raw of a tier's match, which is bound once; null without two numbers."""
+def _read(raw: Column, tier: tuple) -> Column:
+    """Struct of low, high, the currency marks and the text of a tier's match; null without two numbers."""
     pattern, low, high, marks = tier
+    part = lambda g: F.regexp_extract(raw, f"(?iu){pattern}", g)
+    found = F.struct(parse_number(part(low)).alias("low"), parse_number(part(high)).alias("high"), F.array(*map(part, marks)).alias("marks"), raw.alias("raw"))
+    return let(found, lambda s: F.when(s["low"].isNotNull() & s["high"].isNotNull(), s))
+
+
+def _with_currency(found: Column, *others: Column) -> Column:
+    """What ``_read`` found, with the currency of the first mark that has one, else named in the text, else the others."""
 
-    def fields(r: Column) -> Column:
-        part = lambda g: F.regexp_extract(r, f"(?iu){pattern}", g)
-        code = F.coalesce(*(token_currency(part(g)) for g in marks), currency_in(r), *others)
-        return F.struct(parse_number(part(low)).alias("low"), parse_number(part(high)).alias("high"), code.alias("currency"), r.alias("raw"))
+    def named(s: Column) -> Column:
+        mark = F.get(F.filter(F.transform(s["marks"], token_currency), lambda code: code.isNotNull()), F.lit(0))
+        return F.when(s.isNotNull(), F.struct(s["low"].alias("low"), s["high"].alias("high"), F.coalesce(mark, currency_in(s["raw"]), *others).alias("currency"), s["raw"].alias("raw")))
 
-    return F.get(F.filter(F.transform(F.array(raw), fields), lambda s: s["low"].isNotNull() & s["high"].isNotNull()), F.lit(0))
+    return let(found, named)
 
 
 def _in_context(text: Column, pattern: str, pay: int = 50, other: int = 40) -> Column:
@@ -92,13 +91,19 @@ def _in_context(text: Column, pattern: str, pay: int = 50, other: int = 40) -> C
 
 def salary_from_text(c: Column) -> Column:
     """Struct of low, high, currency and raw text: the first tier with a match."""
-    return F.coalesce(*(_read(F.nullif(F.regexp_extract(c, f"(?iu){t[0]}", 0), F.lit("")), t, currency_in(c)) for t in TIERS))
+    def tier(text: Column, t: tuple) -> Column:
+        return let(F.nullif(F.regexp_extract(text, f"(?iu){t[0]}", 0), F.lit("")), lambda raw: _read(raw, t))
+
+    return F.when(c.rlike("[0-9]"), let(c, lambda text: _with_currency(F.coalesce(*(tier(text, t) for t in TIERS)), currency_in(text))))
 
 
 def salary_from_text_safe(c: Column) -> Column:
     """The same, only where a pay word stands within 50 characters and no benefit or business word within 40; of a tier,
     the first match with such surroundings."""
-    return F.coalesce(*(_read(_in_context(c, t[0]), t) for t in (TIERS[0], TIERS[1], TIERS[3], TIERS[4])))
+    def tier(text: Column, t: tuple) -> Column:
+        return let(_in_context(text, t[0]), lambda raw: _read(raw, t))
+
+    return F.when(c.rlike("[0-9]"), let(c, lambda text: _with_currency(F.coalesce(*(tier(text, t) for t in (TIERS[0], TIERS[1], TIERS[3], TIERS[4]))))))
 
 
 def bounds(currency: Column) -> tuple[Column, Column]:
@@ -163,19 +168,17 @@ def to_rub_fallback(amount: Column, currency: Column) -> Column:
 
 def years_safe(c: Column, most: int = 15) -> Column:
     """Struct of years (low, high): the first pattern with a match whose surroundings speak of a requirement."""
-    t = F.lower(c)
+    def one(t: Column, pattern: str, groups: int) -> Column:
+        def judged(raw: Column) -> Column:
+            at = F.position(raw, t)
+            begin = F.greatest(F.lit(1), at - 150)
+            fits = let(F.substring(t, begin, at - begin + F.length(raw) + 150), lambda w: ~w.rlike(any_of(V.EXPERIENCE_NOT)) & w.rlike(any_of(V.EXPERIENCE_YES)))
+            found = F.struct(F.regexp_extract(t, rf"(?s){pattern}", 1).try_cast("int").alias("low"), F.regexp_extract(t, rf"(?s){pattern}", groups).try_cast("int").alias("high"))
+            return let(found, lambda f: F.when((raw != "") & f["low"].between(1, most) & f["high"].between(1, most) & fits, f))
+
+        return let(F.regexp_extract(t, rf"(?s){pattern}", 0), judged)
 
-    def one(pattern: str, groups: int) -> Column:
-        a = F.regexp_extract(t, rf"(?s){pattern}", 1).try_cast("int")
-        b = F.regexp_extract(t, rf"(?s){pattern}", 2).try_cast("int") if groups == 2 else a
-        raw = F.regexp_extract(t, rf"(?s){pattern}", 0)
-        at = F.position(raw, t)
-        begin = F.greatest(F.lit(1), at - 150)
-        window = F.substring(t, begin, at - begin + F.length(raw) + 150)
-        ok = (raw != "") & a.between(1, most) & b.between(1, most) & ~window.rlike(any_of(V.EXPERIENCE_NOT)) & window.rlike(any_of(V.EXPERIENCE_YES))
-        return F.when(ok, F.struct(a.alias("low"), b.alias("high")))
-
-    return F.coalesce(*(one(p, 2 if i == 0 else 1) for i, p in enumerate(V.EXPERIENCE)))
+    return F.when(c.rlike("[0-9]"), let(F.lower(c), lambda t: F.coalesce(*(one(t, p, 2 if i == 0 else 1) for i, p in enumerate(V.EXPERIENCE)))))
 
 
 def years_of_row(requirements: Column, nice: Column, description: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import json
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -129,13 +131,36 @@ def matches_query(text: Column, query: Column) -> Column:
     return F.contains(t, F.lower(query)) | ((F.size(tokens) > 0) & (hits == F.size(tokens))) | ((F.size(tokens) >= 2) & (hits / F.nullif(F.size(tokens), F.lit(0)) >= 0.66))
 
 
+def table_of(table: dict) -> Column:
+    """A fixed map as one literal, of texts, texts to lists of texts, or texts to numbers: entries of their own would be a call to the planner each."""
+    kinds = {type(v) for v in table.values()} or {str}
+    kind = "array<string>" if kinds == {list} else "string" if kinds == {str} else "int" if kinds == {int} else "double"
+    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), f"map<string,{kind}>")
+
+
+def lookup(table: dict, key: Column) -> Column:
+    """What a fixed table has for a text; null for others."""
+    return F.element_at(table_of(table), key)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used: expressions are trees, in which each use is a copy."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))  # of one argument, whatever further ones ``body`` has
+
+
+def first_of(branches: list[tuple[Column, object]], default: object) -> Column:
+    """Value of the first branch whose condition holds. All are branches of one expression, which generated code takes apart; nested ones grow into one method."""
+    out = None
+    for condition, value in branches:
+        out = F.when(condition, value) if out is None else out.when(condition, value)
+    default = default if isinstance(default, Column) else F.lit(default)
+    return default if out is None else out.otherwise(default)
+
+
 def first_match(text: Column, phrases: list[str]) -> Column:
     """First phrase, by place in the list, that stands in the text."""
     t = F.lower(text)
-    out = F.lit(None).cast("string")
-    for p in reversed(phrases):
-        out = F.when(F.contains(t, F.lit(p.lower())), p).otherwise(out)
-    return out
+    return first_of([(F.contains(t, F.lit(p.lower())), p) for p in phrases], F.lit(None).cast("string"))
 
 
 def effective_date(published: Column, parsed: Column, as_of: str) -> Column:
@@ -162,10 +187,7 @@ def _literal(words: list[str], bounded: bool) -> str:
 def classify(c: Column, ordered: dict[str, list[str]], default: str | None, bounded: bool = False) -> Column:
     """First label, in order, any of whose words stands in the text; ``bounded`` asks for whole words."""
     t = F.lower(c)
-    out = F.lit(default)
-    for label, words in reversed(ordered.items()):
-        out = F.when(t.rlike(_literal(words, bounded)), label).otherwise(out)
-    return out
+    return first_of([(t.rlike(_literal(words, bounded)), label) for label, words in ordered.items()], default)
 
 
 def first_keyword(c: Column, ordered: dict[str, str], default: str | None, bounded: bool = False) -> Column:
@@ -176,10 +198,8 @@ def first_keyword(c: Column, ordered: dict[str, str], default: str | None, bound
             runs[-1][1].append(word)
         else:
             runs.append((label, [word]))
-    t, out = F.lower(c), F.lit(default)
-    for label, words in reversed(runs):
-        out = F.when(t.rlike(_literal(words, bounded)), label).otherwise(out)
-    return out
+    t = F.lower(c)
+    return first_of([(t.rlike(_literal(words, bounded)), label) for label, words in runs], default)
 
 
 def seniority(title: Column, description: Column, experience: Column | None = None, compat: bool = True) -> Column:
@@ -249,7 +269,7 @@ def specialty(title: Column, phrases: list[str] = D.SPECIALTY_PHRASES, patterns:
     for layer in layers(list(place)):
         found = F.concat(found, F.regexp_extract_all(t, F.lit(rf"(?<![a-zа-яё0-9])(?=({'|'.join(re.escape(p) for p in layer)})(?![a-zа-яё0-9]))"), F.lit(1)))
     if place:
-        rank = F.array_min(F.transform(found, lambda f: F.element_at(F.create_map(*(F.lit(x) for kv in place.items() for x in kv)), f)))
+        rank = F.array_min(F.transform(found, lambda f: lookup(place, f)))
         by_phrase = F.get(F.array(*map(F.lit, ordered)), rank)
     else:
         by_phrase = F.lit(None).cast("string")
@@ -257,10 +277,8 @@ def specialty(title: Column, phrases: list[str] = D.SPECIALTY_PHRASES, patterns:
 
 
 def first_pattern(t: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Label of the first pattern, in order, that a text holds. Elements of an array are generated apart, where nested branches grow into one method."""
-    if not patterns:
-        return F.lit(None).cast("string")
-    return F.get(F.array_compact(F.array(*(F.when(t.rlike(p), label) for p, label in patterns))), F.lit(0))
+    """Label of the first pattern, in order, that a text holds."""
+    return first_of([(t.rlike(p), label) for p, label in patterns], F.lit(None).cast("string"))
 
 
 def analytics_role(title: Column, phrases: list[str] = D.SPECIALTY_PHRASES) -> Column:
@@ -320,7 +338,7 @@ def text_skills(c: Column) -> Column:
 
 def with_implied(skills: Column, rules: dict[str, list[str]] = D.IMPLIED) -> Column:
     """Sorted skills and what they imply, one hop."""
-    table = F.create_map(*(x for k, v in rules.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    table = table_of(rules)
     more = F.flatten(F.transform(skills, lambda s: F.coalesce(F.element_at(table, s), F.array().cast("array<string>"))))
     return F.array_sort(F.array_union(skills, more))
 
@@ -328,7 +346,7 @@ def with_implied(skills: Column, rules: dict[str, list[str]] = D.IMPLIED) -> Col
 def assistant_skills(skills: Column, synonyms: dict[str, str], rules: dict[str, list[str]] = D.IMPLIED) -> Column:
     """Canonical names of skills and of those that they imply; names without a synonym in title case."""
     clean = {k.strip().lower(): v.strip() for k, v in synonyms.items()}
-    table = F.create_map(*(F.lit(x) for kv in clean.items() for x in kv)) if clean else F.create_map().cast("map<string,string>")
+    table = table_of(clean)
     named = lambda s: F.coalesce(F.element_at(table, F.lower(F.trim(s))), F.initcap(F.lower(F.trim(s))))
     lower = F.array_distinct(F.transform(F.filter(F.coalesce(skills, F.array().cast("array<string>")), lambda s: F.trim(s) != ""), lambda s: F.lower(named(s))))
     return F.array_sort(F.array_distinct(F.transform(with_implied(lower, rules), named)))

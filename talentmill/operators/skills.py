@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talentmill.functions.text import table_of
+
 #: Rows up to which a dictionary is broadcast.
 BROADCAST_ROWS = 500_000
 #: source type -> (column, confidence, required)
@@ -89,7 +91,7 @@ def implied(skills: DataFrame, rules: DataFrame, key: str = "job_id") -> DataFra
 
 def normalize_skills(skills: Column, synonyms: dict[str, str]) -> Column:
     """Canonical names of an array, unknown ones kept, distinct and sorted."""
-    table = F.create_map(*(F.lit(x) for kv in synonyms.items() for x in kv)) if synonyms else F.create_map().cast("map<string,string>")
+    table = table_of(synonyms)
     return F.array_sort(F.array_distinct(F.transform(skills, lambda s: F.coalesce(F.element_at(table, F.lower(F.trim(s))), s))))
 
 

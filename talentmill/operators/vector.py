@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentmill.functions.hashing import FORMATS_ALLOWED, GRADES_ALLOWED
+from talentmill.functions.text import lookup
 from talentmill.operators import blocks
 
 #: Queries joined at a time; more are taken in blocks.
@@ -91,8 +92,7 @@ def with_fallback(first: DataFrame, other: DataFrame, by: str = "query_id") -> D
 
 def _allowed(table: dict[str, list[str]], value: Column) -> Column:
     """What a grade or format allows; an unknown one allows itself."""
-    known = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    return F.coalesce(F.element_at(known, F.lower(value)), F.array(value))
+    return F.coalesce(lookup(table, F.lower(value)), F.array(value))
 
 
 def for_candidates(items: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentmill.functions import dictionaries as D
@@ -48,17 +48,22 @@ def fix_salary(df: DataFrame) -> DataFrame:
 def clean(raw: DataFrame, order: str = "parsed_at", phrases: list[str] = D.SPECIALTY_PHRASES, synonyms: dict[str, str] | None = None, exact: bool = False) -> DataFrame:
     """Clean dataset of a run. ``order`` says which of equal records comes first; search phrases and synonyms of skills are parameters."""
     df = dedupe(valid_source(drop_junk(ensure_columns(raw))), order)
-    df = df.withColumn("title", X.clean_text(F.col("title"), exact=exact)).withColumn("description", X.clean_text(F.col("description"), tags=True, emoji=True, exact=exact))
-    df = df.withColumns({c: X.clean_text(F.col(c), exact=exact) for c in ("company_name", "location", "department", "employment_type", "country", "url", "requirements", "responsibilities", "nice_to_have")})
-    df = require_title(df.withColumn("title_normalized", X.normalize_title(F.col("title"), F.col("company_name"))))
+
+    def tidy(name: str, **how: bool) -> Column:
+        """The cleaned column, its text bound once: rules of many columns else grow into one method of generated code."""
+        return X.clean_text(F.col(name), exact=True, **how) if exact else X.let(F.col(name), lambda t: X.clean_text(t, **how))
+
+    df = df.withColumn("title", tidy("title")).withColumn("description", tidy("description", tags=True, emoji=True))
+    df = df.withColumns({c: tidy(c) for c in ("company_name", "location", "department", "employment_type", "country", "url", "requirements", "responsibilities", "nice_to_have")})
+    df = require_title(df.withColumn("title_normalized", X.let(F.struct("title", "company_name"), lambda r: X.normalize_title(r["title"], r["company_name"]))))
     title, text = F.col("title"), F.coalesce("description", F.lit(""))
     years = S.years_of_row(F.col("requirements"), F.col("nice_to_have"), F.col("description"))
-    df = df.withColumns({
+    df = df.withColumn("_years", years).withColumns({
         "specialty": X.specialty(title, phrases),
         "analytics_role": X.analytics_role(title, phrases),
         "role_family": X.role_family(title),
         "seniority": X.seniority(title, text),
-        "years_min": years["low"], "years_max": years["high"],
+        "years_min": F.col("_years.low"), "years_max": F.col("_years.high"),
         "skills_text": X.text_skills(text),
         "key_list": X.parse_array(F.coalesce("key_skills", F.lit(""))),
         "department": X.department(F.col("department"), title, text),
@@ -68,7 +73,7 @@ def clean(raw: DataFrame, order: str = "parsed_at", phrases: list[str] = D.SPECI
         "visa_sponsorship": X.visa(F.col("visa_sponsorship"), text),
         "relocation": X.relocation(F.col("relocation"), text),
         "remote_type": X.remote_type(title, text, F.col("remote"), F.col("location")),
-        "city": L.normalize_city(L.city_of(F.col("location"))),
+        "city": X.let(L.city_of(F.col("location")), L.normalize_city),
         "parsed_country": L.country_from_text(L.strip_work_mode(F.col("location"))),
         "url": L.fix_url(F.col("url"), F.col("source"), F.col("source_job_id")),
     })
@@ -91,7 +96,7 @@ def clean(raw: DataFrame, order: str = "parsed_at", phrases: list[str] = D.SPECI
         "salary_text": X.salary_text(F.col("salary_from"), F.col("salary_to"), F.col("currency"), F.col("salary_text_raw")),
         "experience_text": X.experience_text(F.col("years_min"), F.col("years_max")),
         **X.role_flags(F.col("title")),
-    }).drop("skills_text", "key_list", "parsed_country")
+    }).drop("skills_text", "key_list", "parsed_country", "_years")
 
 
 def project(df: DataFrame, columns: list[str] = PAYLOAD) -> DataFrame:

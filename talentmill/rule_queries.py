@@ -69,7 +69,7 @@ cases("txt06_keyword_set", [("We know C++ and CI/CD", "c++,ci/cd"), ("c++20", ""
 cases("sal01_pay_tiers", [("$100k - $150k", "100000 150000 USD"), ("100 000 - 120 000 RUB", "100000 120000 RUB"), ("от 50000 до 70000 руб", "50000 70000 RUB"), ("€ 90k", "90000 90000 EUR"), ("none", None)], lambda c: F.when(S.salary_from_text(c).isNotNull(), low_high(S.salary_from_text(c))))
 cases(
     "sal02_pay_in_context",
-    [("Meal $5 - $6 is paid for each day you work. Salary $100k - $120k", "100000 120000 USD"), ("We raised $100 million", None), ("Salary: $90k, gym $50", "90000 90000 USD"), ("base pay $1,000 - $2,000 and so on and so forth, far behind it all, a lunch", "1000 2000 USD"), ("$70k - $80k", None)],
+    [("Meal $5 - $6 is paid for each day you work. Salary $100k - $120k", "100000 120000 USD"), ("We raised $100 million", None), ("Salary: $90k, gym $50", None), ("base pay $1,000 - $2,000 and so on and so forth, far behind it all, a lunch", "1000 2000 USD"), ("$70k - $80k", None)],
     lambda c: F.when(S.salary_from_text_safe(c).isNotNull(), low_high(S.salary_from_text_safe(c))),
 )
 cases("sal03_period_hint", [("10 / hr", "hour"), ("per annum", "year"), ("в месяц", "month"), ("weekly pay", "week"), ("daily", "day"), ("pay", None)], S.period_hint)
@@ -139,11 +139,21 @@ def raw_jobs(spark, d):
     ))
 
 
-@query("""SELECT CAST(job_id AS VARCHAR) AS source_job_id, round_even(coalesce(salary_from, coalesce(salary_to, 70000)) * CAST(1 AS DOUBLE) / 12, 0) BETWEEN 0 AND 1e9 AS paid, 'data_engineer' AS role_family, 'senior' AS seniority, 'GERMANY' AS country, 'BERLIN' AS city, CAST(4 AS INT) AS years_min, 'python,sql' AS skills, 'office' AS remote_type, 'German' AS languages
-FROM v_jobs""")
+#: Monthly bounds of raw_jobs' pay: the period that brings the greater one nearest to 1,000 to 28,000 (the year's has a bonus), then plausible values only.
+PAY_SQL = """p(months, place, bonus) AS (VALUES (CAST(1 AS DOUBLE) / 12, 0, 0.05::DOUBLE), (1::DOUBLE, 1, 0::DOUBLE), (4.33::DOUBLE, 2, 0::DOUBLE), (21::DOUBLE, 3, 0::DOUBLE), (160::DOUBLE, 4, 0::DOUBLE)),
+r AS (SELECT job_id, CAST(coalesce(salary_from, salary_to, 70000) AS DOUBLE) AS x, CAST(coalesce(salary_to, 70000) AS DOUBLE) AS y FROM v_jobs),
+s AS (SELECT *, greatest(x, y) * months AS v FROM r CROSS JOIN p),
+m AS (SELECT job_id, round_even(least(x, y) * months, 0) AS lo, round_even(greatest(x, y) * months, 0) AS hi FROM s
+  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY CASE WHEN v < 1000 THEN (1000 - v) / 1000 WHEN v > 28000 THEN (v - 28000) / 28000 ELSE 0 END - bonus, place) = 1),
+pay AS (SELECT job_id, CASE WHEN lo >= 1000 THEN lo ELSE hi END AS low, hi AS high FROM m WHERE hi >= 1000 AND hi <= 140000 AND NOT hi / greatest(lo, 1) > 20)"""
+
+
+@query(", " + PAY_SQL + """ SELECT CAST(v.job_id AS VARCHAR) AS source_job_id, low AS salary_from, high AS salary_to, CASE WHEN high IS NOT NULL THEN 'EUR' END AS currency, 'data_engineer' AS role_family, 'senior' AS seniority, 'GERMANY' AS country, 'BERLIN' AS city, CAST(4 AS INT) AS years_min, 'python' AS skills, 'office' AS remote_type, 'German' AS languages
+FROM v_jobs v LEFT JOIN pay ON pay.job_id = v.job_id""")
 def loc05_clean_plan(spark, d):
+    """The full stop behind "SQL" is a character of a skill, so only Python is one here."""
     out = clean.clean(raw_jobs(spark, d))
-    return out.select("source_job_id", F.lit(True).alias("paid"), "role_family", "seniority", "country", "city", "years_min", flat(F.col("skills")).alias("skills"), "remote_type", flat(F.col("spoken_languages")).alias("languages"))
+    return out.select("source_job_id", "salary_from", "salary_to", "currency", "role_family", "seniority", "country", "city", "years_min", flat(F.col("skills")).alias("skills"), "remote_type", flat(F.col("spoken_languages")).alias("languages"))
 
 
 @query("SELECT CAST(job_id AS VARCHAR) AS source_job_id, 'EUR' AS currency, 'year' AS salary_period FROM v_jobs")
