@@ -24,8 +24,8 @@ def read_landing(spark: SparkSession, path: str, schema: StructType, kind: str =
 def stream_ingest(source: DataFrame, target: str, checkpoint: str, keys: list[str], clean: Callable[[DataFrame], DataFrame] = lambda df: df, parts: int = 64, newest: str | None = None):
     """Clean each micro-batch and merge it into a table that is split by a hash of the keys: only parts that the batch touches
     are written anew, the others are pointed to where they are. A batch is known by its number and the checkpoint, so a repeated
-    one changes nothing; a new checkpoint goes on from the newest version, which ``read_ingested`` finds. Of a key's rows in a batch the one that is greatest in
-    ``newest`` stays, ties go by a hash of the row."""
+    one changes nothing; a new checkpoint goes on from the newest version, which ``read_ingested`` finds. With ``newest`` the row that is greatest in it
+    stays, whatever batch it came in; without it the later batch wins, and a hash of the row within a batch."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark, name = batch.sparkSession, f"{hashlib.sha1(checkpoint.encode()).hexdigest()[:8]}-{number:09d}"
@@ -36,7 +36,11 @@ def stream_ingest(source: DataFrame, target: str, checkpoint: str, keys: list[st
         touched = sorted(r[0] for r in new.select("_part").distinct().collect())  # at most ``parts``
         before = {p: known["parts"][str(p)] for p in touched if str(p) in known["parts"]}
         fresh = keep_one(new, keys, [F.col(newest).desc_nulls_last()] if newest else [])
-        merged = merge_latest(spark.read.schema(new.schema).parquet(*before.values()), fresh, keys) if before else fresh
+        old = spark.read.schema(new.schema).parquet(*before.values()) if before else None
+        if old is None:
+            merged = fresh
+        else:
+            merged = keep_one(old.unionByName(fresh), keys, [F.col(newest).desc_nulls_last()]) if newest else merge_latest(old, fresh, keys)
         run = f"{target}/{name}-{uuid.uuid4().hex[:8]}"
         merged.withColumn("_folder", F.col("_part")).repartition("_folder").write.partitionBy("_folder").parquet(run)
         new.unpersist()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talentmill import registry
-from talentmill.operators import fx, marts, merge, quality, skills, vector
+from talentmill.operators import fx, ivf, marts, merge, quality, skills, vector
 from talentmill.plans import views
 from talentmill.plans.clean import clean, project
 from talentmill.sources import boards, rates, tables
@@ -111,7 +111,7 @@ def test_distribution_sums(spark, sf_dir):
 def test_vectors(spark, sf_dir):
     items, queries = registry.vec_sides(spark, sf_dir)
     exact = {(r.query_id, r.vec_id) for r in vector.search(items, queries, 10).collect()}
-    near = {(r.query_id, r.vec_id) for r in vector.ann_join(items, queries, 10).collect()}
+    near = {(r.query_id, r.vec_id) for r in ivf.search(ivf.build(items), queries, 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
     first = vector.search(items, queries, 1).collect()
     assert all(r.query_id == r.vec_id and r.score == 1.0 for r in first)
