@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentmill.functions import text as X
-from talentmill.operators import dictionary, fx, history
+from talentmill.operators import dictionary, fx, history, marts, match, merge, quality, vector
 from talentmill.plans import sql, views
 from talentmill.plans.views import table
-from talentmill.registry import COUNTRY, DETAIL, market, query
+from talentmill.registry import COUNTRY, DETAIL, DOT, LEAST, OLD_NEW, SAL_V2, USER_SQL, base, market, query, snapshots
+from talentmill.registry import USER as WANTED
 from talentmill.rule_queries import USER, registered, same_as
 from talentmill.sources.shared import scratch
 
@@ -148,3 +149,73 @@ def his01_incremental(spark, d):
         seen = upto.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
         history.merge_snapshot(seen, root, "user_id", day, ["event_type"])
     return history.intervals(spark, root, "user_id").select("user_id", "valid_from", "valid_to", "event_type")
+
+
+# ---- checks, counters, contexts -------------------------------------------------------------
+
+CURATED = """, c AS (SELECT job_id, 'src' || CAST(job_id % 3 AS VARCHAR) AS source, CASE WHEN job_id % 11 <> 0 THEN 'u' || CAST(job_id // 2 AS VARCHAR) ELSE ' ' END AS url, CASE WHEN job_id % 13 <> 0 THEN CAST(job_id % 4001 AS VARCHAR) END AS source_job_id,
+salary_to AS salary_from, salary_from AS salary_to, years_min, CAST(job_id % 7 AS INT) AS years_max, CASE job_id % 5 WHEN 0 THEN 'senior' WHEN 1 THEN 'boss' WHEN 2 THEN NULL ELSE 'unknown' END AS seniority, CASE job_id % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'done' END AS embedding_status FROM v_jobs)"""
+
+
+def curated(spark: SparkSession, d: str) -> DataFrame:
+    """Curated rows in which every constraint is broken by some."""
+    j, key = views.jobs(spark, d), F.col("job_id")
+    word = lambda n, *values: F.element_at(F.array(*(F.lit(v) for v in values)), (key % n + 1).cast("int"))
+    return j.select(
+        "job_id", F.concat(F.lit("src"), (key % 3).cast("string")).alias("source"), F.when(key % 11 != 0, F.concat(F.lit("u"), F.floor(key / 2).cast("string"))).otherwise(" ").alias("url"), F.when(key % 13 != 0, (key % 4001).cast("string")).alias("source_job_id"),
+        F.col("salary_to").alias("salary_from"), F.col("salary_from").alias("salary_to"), "years_min", (key % 7).cast("int").alias("years_max"), word(5, "senior", "boss", None, "unknown", "unknown").alias("seniority"), word(3, "created", "done", None).alias("embedding_status"), "title",
+    )
+
+
+@query(CURATED + """ SELECT job_id, unnest(list_filter([CASE WHEN salary_from > salary_to THEN 'salary_range' END, CASE WHEN years_min > years_max THEN 'years_range' END, CASE WHEN seniority = 'boss' THEN 'seniority' END, CASE WHEN embedding_status = 'done' THEN 'embedding_status' END], lambda x: x IS NOT NULL)) AS rule FROM c
+UNION ALL SELECT job_id, 'source_url' FROM (SELECT job_id, count(*) OVER (PARTITION BY source, url) AS n FROM c WHERE trim(url) <> '') WHERE n > 1
+UNION ALL SELECT job_id, 'source_job' FROM (SELECT job_id, count(*) OVER (PARTITION BY source, source_job_id) AS n FROM c WHERE trim(source_job_id) <> '') WHERE n > 1""")
+def dq01_constraints(spark, d):
+    return quality.constraint_violations(curated(spark, d)).select("job_id", "rule")
+
+
+@query(SAL_V2.format(n=LEAST) + " SELECT country, count(*) AS groups_count FROM sal2 GROUP BY 1")
+def dq04_groups_per_country(spark, d):
+    return quality.mart_groups(marts.salary_agg_v2(base(spark, d), LEAST))
+
+
+@query(CURATED + " SELECT job_id, least(salary_from, salary_to) AS salary_from, greatest(salary_from, salary_to) AS salary_to, least(years_min, years_max) AS years_min, greatest(years_min, years_max) AS years_max, coalesce(seniority, 'unknown') AS seniority, CASE WHEN embedding_status = 'created' THEN 'created' ELSE 'pending' END AS embedding_status, FALSE AS relocation FROM c WHERE salary_from IS NOT NULL AND salary_to IS NOT NULL")
+def mrg08_years_and_defaults(spark, d):
+    good, _ = merge.normalize_record(curated(spark, d))
+    return good.where("salary_from is not null and salary_to is not null").select("job_id", "salary_from", "salary_to", "years_min", "years_max", "seniority", "embedding_status", "relocation")
+
+
+@query(OLD_NEW + """, n2 AS (SELECT * FROM new WHERE job_id % 11 <> 0), a AS (SELECT CASE WHEN o.job_id IS NULL THEN 'inserted' WHEN n.salary_from IS NOT DISTINCT FROM o.salary_from AND n.salary_to IS NOT DISTINCT FROM o.salary_to THEN 'unchanged' ELSE 'updated' END AS action FROM n2 n LEFT JOIN old o ON o.job_id = n.job_id)
+SELECT count(*) FILTER (WHERE action = 'inserted') AS inserted, count(*) FILTER (WHERE action = 'updated') AS updated, count(*) FILTER (WHERE action = 'unchanged') AS unchanged, (SELECT count(*) FROM new WHERE job_id % 11 = 0) AS failed, (SELECT count(*) FROM old WHERE job_id NOT IN (SELECT job_id FROM n2)) AS archived FROM a""")
+def agg29_load_counters(spark, d):
+    """Rows without a title fail; jobs of a source that took part and were not seen are archived."""
+    old, new = snapshots(spark, d)
+    good, rejected = merge.normalize_record(new.withColumn("title", F.when(F.col("job_id") % 11 != 0, "x")))
+    hashed = [x.withColumn("content_hash", merge.content_hash(["salary_from", "salary_to"])) for x in (old, good)]
+    before = old.select("job_id", "source", F.lit("r1").alias("first_seen_run_id"), F.lit("r1").alias("last_seen_run_id"), F.lit(True).alias("is_active"))
+    after = merge.deactivate_missing(merge.merge_registry(before, good, "r2"), "r2")
+    return quality.load_counters(merge.classify_changes(*hashed), rejected, before, after)
+
+
+@query(f""", l AS (SELECT job_id, list(DISTINCT canonical_name) AS skills FROM v_job_skills JOIN v_skills USING (skill_id) GROUP BY 1),
+r AS (SELECT role_family, job_id, skills, 100.0 * len(list_filter(skills, lambda x: lower(x) IN {USER_SQL})) / len(skills) AS score FROM v_jobs JOIN l USING (job_id)),
+b AS (SELECT role_family, round(avg(round(score, 1)), 1) AS match_score FROM (SELECT *, row_number() OVER (PARTITION BY role_family ORDER BY score DESC, job_id) AS k FROM r) WHERE k <= 3 GROUP BY 1),
+g AS (SELECT role_family, skill, row_number() OVER (PARTITION BY role_family ORDER BY count(*) DESC, skill) AS k FROM (SELECT role_family, unnest(skills) AS skill FROM r) WHERE lower(skill) NOT IN {USER_SQL} GROUP BY 1, 2)
+SELECT role_family, match_score, (SELECT string_agg(skill, ',' ORDER BY k) FROM g WHERE g.role_family = b.role_family AND k <= 10) AS skill_gaps FROM b""")
+def agg24_best_and_gaps(spark, d):
+    listed = views.job_skills(spark, d).join(views.skills(spark, d), "skill_id").groupBy("job_id").agg(F.collect_set("canonical_name").alias("skills"))
+    score = 100.0 * F.size(F.filter("skills", lambda s: F.lower(s).isin([u.lower() for u in WANTED]))) / F.size("skills")
+    results = views.jobs(spark, d).select("job_id", "role_family").join(listed, "job_id").withColumn("score", score)
+    return match.best_and_gaps(results, WANTED, ["role_family"]).withColumn("skill_gaps", F.array_join("skill_gaps", ","))
+
+
+@query(f"""WITH q AS (SELECT vec_id AS q, CASE WHEN vec_id % 200 = 0 THEN vec_id ELSE vec_id + 1 END AS v, CASE WHEN vec_id % 200 = 0 THEN label ELSE 3 END AS company FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q AS query_id, b.vec_id, {DOT} AS score FROM q JOIN embeddings a ON a.vec_id = v JOIN embeddings b ON b.label <> company)
+SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s) WHERE k <= 5""")
+def vec03_other_companies(spark, d):
+    """Jobs like an indexed one, or like a text; its own company, the label, is left out."""
+    items = vector.normalised(table(spark, d, "embeddings")).withColumn("company", F.col("label"))
+    key = F.col("vec_id")
+    jobs = items.where("vec_id % 200 = 0").select(key.alias("query_id"), key.alias("job_id"), F.lit(None).cast("int").alias("q_company"), F.lit(None).cast("array<double>").alias("q_text_unit"))
+    texts = items.where("vec_id % 200 = 101").select((key - 1).alias("query_id"), (-key).alias("job_id"), F.lit(3).alias("q_company"), F.col("unit").alias("q_text_unit"))
+    return vector.similar_to_jobs(items, jobs.unionByName(texts), 5).select("query_id", "vec_id", "score")

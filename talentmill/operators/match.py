@@ -202,6 +202,16 @@ def market_context(results: DataFrame, mid: Column, by: list[str] = (), top: str
     return out.select(*by, "n", *(F.round(F.col("q")[i], 2).alias(c) for i, c in enumerate(("median", "top", "low", "high"))))
 
 
+def best_and_gaps(results: DataFrame, own: list[str], by: list[str], best: int = 3, gaps: int = 10) -> DataFrame:
+    """(by, match_score, skill_gaps): mean of the best scores of each group's results, and the skills that most of its results ask for and the candidate lacks.
+
+    ``results``: by, job_id, score (per cent), skills (array). Scores are ranked in their tasks first; skills are counted partly there."""
+    ranked = results.select(*by, "job_id", "score").withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "job_id"))).where(F.col("_at") <= best)
+    mean = ranked.groupBy(*by).agg(F.round(F.avg(F.round("score", 1)), 1).alias("match_score"))
+    lacking = results.select(*by, F.explode(F.array_distinct("skills")).alias("skill")).where(~F.lower("skill").isin([s.lower() for s in own])).groupBy(*by, "skill").agg(F.count("*").alias("_n"))
+    return mean.join(top_k_names(lacking, by, [F.desc("_n"), F.col("skill")], "skill", gaps, "skill_gaps"), by, "left")
+
+
 def roadmap(result_skills: DataFrame, own: list[str], n: int = 5) -> DataFrame:
     """Missing skills with demand, pay, priority and weeks to learn; the gain of the best two is 8 % each."""
     rows = result_skills.where(~F.lower("skill").isin([s.lower() for s in own])).groupBy("skill").agg(F.countDistinct("job_id").alias("demand"), F.avg("salary_mid").alias("a"))

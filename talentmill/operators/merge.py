@@ -160,10 +160,25 @@ def evict_queue(jobs: DataFrame, registry: DataFrame) -> DataFrame:
     return jobs.where("embedding_status = 'embedded'").join(registry.where("NOT is_active"), "job_id", "left_semi")
 
 
+# Defaults of a curated record, and statuses that count.
+RECORD_DEFAULTS = {"seniority": "unknown", "role_family": "other", "embedding_status": "pending", "relocation": False}
+EMBEDDING_STATUSES = ["pending", "created", "failed", "skipped"]
+
+
 def normalize_record(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, rejected): reversed bounds swapped, defaults for enums, rows without required keys rejected."""
-    swapped = df.withColumns({"salary_from": F.when(F.col("salary_from") > F.col("salary_to"), F.col("salary_to")).otherwise(F.col("salary_from")), "salary_to": F.when(F.col("salary_from") > F.col("salary_to"), F.col("salary_from")).otherwise(F.col("salary_to"))})
-    filled = swapped.withColumn("seniority", F.coalesce("seniority", F.lit("unknown"))).withColumn("relocation", F.coalesce("relocation", F.lit(False)) if "relocation" in df.columns else F.lit(False))
+    """(good, rejected): reversed bounds of pay and years swapped, defaults for enums and flags, rows without required keys rejected."""
+    changes: dict[str, Column] = {}
+    for low, high in (("salary_from", "salary_to"), ("years_min", "years_max")):
+        if low in df.columns and high in df.columns:
+            swap = F.col(low) > F.col(high)
+            changes |= {low: F.when(swap, F.col(high)).otherwise(F.col(low)), high: F.when(swap, F.col(low)).otherwise(F.col(high))}
+    for name, default in RECORD_DEFAULTS.items():
+        if name in df.columns:
+            given = F.nullif(F.trim(name), F.lit("")) if isinstance(default, str) else F.col(name)
+            changes[name] = F.coalesce(F.when(given.isin(EMBEDDING_STATUSES), given) if name == "embedding_status" else given, F.lit(default))
+    filled = df.withColumns(changes)
+    if "relocation" not in df.columns:
+        filled = filled.withColumn("relocation", F.lit(RECORD_DEFAULTS["relocation"]))
     ok = (key_part("job_id") != "") & (key_part("source") != "") & (key_part("title") != "")
     return filled.where(ok), filled.where(~ok)
 

@@ -18,6 +18,50 @@ def salary_rules() -> dict[str, Column]:
     return {"salary_range": F.col("salary_from") <= F.col("salary_to"), "salary_positive": F.coalesce("salary_from", "salary_to") > 0, "seniority_known": F.col("seniority").isNotNull()}
 
 
+# What a seniority and an embedding status may be.
+SENIORITIES = ["intern", "junior", "middle", "senior", "lead", "principal", "manager", "director", "unknown"]
+EMBEDDING_STATUSES = ["pending", "created", "failed", "skipped"]
+
+
+def job_rules() -> dict[str, Column]:
+    """Constraints of a curated row; null values break none."""
+    return {
+        "salary_range": F.col("salary_from") <= F.col("salary_to"), "years_range": F.col("years_min") <= F.col("years_max"),
+        "seniority": F.col("seniority").isin(SENIORITIES), "embedding_status": F.col("embedding_status").isin(EMBEDDING_STATUSES),
+    }
+
+
+def key_violations(df: DataFrame, keys: dict[str, list[str]]) -> DataFrame:
+    """``df`` with ``rule`` for every row that shares a key (rule -> columns) with another; the last column of a key must not be blank.
+
+    Rows are counted by key, partly in their tasks, and only keys of several rows are joined back."""
+    out = None
+    for rule, columns in keys.items():
+        bound = df.where(F.trim(F.col(columns[-1]).cast("string")) != "")
+        twice = bound.groupBy(*columns).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        one = bound.join(twice, columns, "left_semi").withColumn("rule", F.lit(rule))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def constraint_violations(df: DataFrame) -> DataFrame:
+    """A row per constraint that a curated row breaks: ranges, enums and unique keys of its source."""
+    keys = {"source_url": ["source", "url"], "source_job": ["source", "source_job_id"]}
+    return violations(df, job_rules()).unionByName(key_violations(df, keys))
+
+
+def mart_groups(salary: DataFrame, by: list[str] = ("country",)) -> DataFrame:
+    """Number of groups of a mart."""
+    return salary.groupBy(*by).agg(F.count("*").alias("groups_count"))
+
+
+def load_counters(audit: DataFrame, rejected: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row of a load's counters. ``audit`` has the action of each row; ``before`` and ``after`` are registries with ``is_active``."""
+    actions = audit.agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "updated", "unchanged")))
+    closed = after.where("NOT is_active").join(before.where("is_active").select("job_id"), "job_id", "left_semi").agg(F.count("*").alias("archived"))
+    return actions.join(F.broadcast(rejected.agg(F.count("*").alias("failed")))).join(F.broadcast(closed))  # one row each
+
+
 def counts_where(df: DataFrame, tests: dict[str, Column], by: list[str] = ()) -> DataFrame:
     """Rows and conditional counts, global or by group."""
     return df.groupBy(*by).agg(F.count("*").alias("total"), *(F.count_if(c).alias(n) for n, c in tests.items()))

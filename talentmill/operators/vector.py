@@ -112,6 +112,18 @@ def for_candidates(items: DataFrame, candidates: DataFrame, k: int = 20) -> Data
     return out.withColumn("rank", rank)
 
 
+def similar_to_jobs(items: DataFrame, asked: DataFrame, k: int = 20, exclude_same_company: bool = True) -> DataFrame:
+    """query_id, vec_id, score, rank: items like a job, none of its own company.
+
+    ``items``: vec_id, unit, company. ``asked``: query_id, job_id, q_company, q_text_unit. A job that is indexed gives its vector and
+    company; for others the vector of their text is taken and the company that was given. Those with neither get nothing."""
+    known = items.select(F.col("vec_id").alias("_id"), F.col("unit").alias("_unit"), F.col("company").alias("_company"))
+    own = asked.join(known, F.col("job_id") == F.col("_id"), "left")
+    queries = own.select("query_id", F.coalesce("_unit", "q_text_unit").alias("q_unit"), F.coalesce("_company", "q_company").alias("q_company")).where("q_unit is not null")
+    other = F.col("q_company").isNull() | F.col("company").isNull() | (F.col("company") != F.col("q_company"))
+    return search(items, queries, k, other if exclude_same_company else None)
+
+
 def search_city(items: DataFrame, queries: DataFrame, k: int = 5, times: int = 5, boost: float = 0.15) -> DataFrame:
     """Nearest ``k`` of ``times`` as many: other cities drop out for those who do not relocate, the own city gains ``boost``;
     where nothing is left, all count as they are. ``items`` has city, ``queries`` q_city and q_relocation."""
