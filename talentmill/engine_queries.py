@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talentmill.functions import salary as S
 from talentmill.functions import text as X
 from talentmill.operators import dictionary, fx, history, marts, match, merge, quality, vector
-from talentmill.plans import sql, views
+from talentmill.plans import clean, sql, views
 from talentmill.plans.views import table
 from talentmill.registry import COUNTRY, DETAIL, DOT, LEAST, OLD_NEW, SAL_V2, USER_SQL, base, market, query, snapshots
 from talentmill.registry import USER as WANTED
-from talentmill.rule_queries import USER, registered, same_as
+from talentmill.rule_queries import USER, raw_jobs, registered, same_as
 from talentmill.sources.shared import scratch
 
 # ---- dictionaries ---------------------------------------------------------------------------
@@ -219,3 +220,35 @@ def vec03_other_companies(spark, d):
     jobs = items.where("vec_id % 200 = 0").select(key.alias("query_id"), key.alias("job_id"), F.lit(None).cast("int").alias("q_company"), F.lit(None).cast("array<double>").alias("q_text_unit"))
     texts = items.where("vec_id % 200 = 101").select((key - 1).alias("query_id"), (-key).alias("job_id"), F.lit(3).alias("q_company"), F.col("unit").alias("q_text_unit"))
     return vector.similar_to_jobs(items, jobs.unionByName(texts), 5).select("query_id", "vec_id", "score")
+
+
+# ---- query sets, plain years, the clean dataset ---------------------------------------------
+
+
+@query(""", caps AS (SELECT DISTINCT currency AS source, CASE currency WHEN 'USD' THEN 3 WHEN 'EUR' THEN 50 WHEN 'RUB' THEN 7 END AS cap FROM v_jobs WHERE currency <> 'PLN'),
+f AS (SELECT currency AS source, lower(role_family || ' ' || country) AS l, min(job_id) AS first FROM v_jobs WHERE seniority IN ('1-URGENT', '5-LOW') GROUP BY 1, 2),
+n AS (SELECT source, l, CAST(row_number() OVER (PARTITION BY source ORDER BY first) AS INT) AS place FROM f)
+SELECT n.source, upper(l) AS q, place FROM n LEFT JOIN caps USING (source) WHERE cap IS NULL OR place <= cap""")
+def flt09_categories_and_caps(spark, d):
+    """Queries of two categories, with a cap for some sources; case does not make a query another."""
+    j = views.jobs(spark, d)
+    text = F.concat_ws(" ", "role_family", "country")
+    queries = j.select(F.col("currency").alias("source"), F.col("seniority").alias("category"), F.when(F.col("job_id") % 2 == 0, F.lower(text)).otherwise(text).alias("q"), F.col("job_id").alias("at"))
+    caps = j.select(F.col("currency").alias("source")).where("source <> 'PLN'").distinct().withColumn("cap", F.when(F.col("source") == "USD", 3).when(F.col("source") == "EUR", 50).when(F.col("source") == "RUB", 7))
+    return match.queries_for(queries, caps, ["1-URGENT", "5-LOW"]).withColumn("q", F.upper("q"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 5 THEN NULL ELSE CAST(o_orderkey % 40 AS INT) END AS low, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey % 40 + 2 AS INT) WHEN 5 THEN NULL ELSE CAST(o_orderkey % 40 AS INT) END AS high FROM orders""")
+def exp03_years_plain(spark, d):
+    """Years without context or bounds: ranges, lower and upper bounds, and single numbers, in two languages."""
+    key = F.col("o_orderkey")
+    n = (key % 40).cast("string")
+    shapes = [F.concat(n, F.lit(" - "), (key % 40 + 2).cast("string"), F.lit(" Years, from 1 years")), F.concat(F.lit("опыт от "), n, F.lit(" лет, 1 год")), F.concat(F.lit("UP TO "), n, F.lit(" years")), F.concat(n, F.lit("+ лет")), F.concat(F.lit("about "), n, F.lit(" year")), F.concat(n, F.lit(" months"))]
+    text = F.element_at(F.array(*shapes), (key % 6 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", S.years_plain(text).alias("y")).select("o_orderkey", "y.low", "y.high")
+
+
+@query("SELECT CAST(job_id AS VARCHAR) AS source_job_id, 'adzuna.com' AS source, 'GERMANY' AS country, 'senior' AS seniority_normalized, CAST(4 AS INT) AS years_experience_min, TRUE AS is_data_role, CAST(NULL AS VARCHAR) AS tools, CAST(41 AS INT) AS n_columns FROM v_jobs")
+def prj03_clean_dataset(spark, d):
+    out = clean.clean_dataset(clean.clean(raw_jobs(spark, d)))
+    return out.select("source_job_id", "source", "country", "seniority_normalized", "years_experience_min", "is_data_role", "tools", F.lit(len(out.columns)).alias("n_columns"))

@@ -197,3 +197,20 @@ def years_loose(c: Column, most: int = 25) -> Column:
         return F.when(a.between(0, most) & b.between(0, most), F.struct(a.alias("low"), b.alias("high")))
 
     return F.coalesce(*(one(p, g) for p, g in patterns))
+
+
+# Plain ways to write years, in order, as (pattern, group of the upper bound).
+PLAIN_YEARS = [
+    (r"(\d+)\s*[-–—]\s*(\d+)\s*лет", 2), (r"(\d+)\s*[-–—]\s*(\d+)\s*years", 2), (r"от\s*(\d+)\s*лет", 1), (r"from\s*(\d+)\s*years", 1),
+    (r"до\s*(\d+)\s*лет", 1), (r"up to\s*(\d+)\s*years", 1), (r"(\d+)\+\s*лет", 1), (r"(\d+)\+\s*years", 1), (r"(\d+)\s*год", 1), (r"(\d+)\s*year", 1),
+]
+
+
+def years_plain(c: Column) -> Column:
+    """Struct of whole years (low, high) by the first plain pattern that a text holds, without bounds or context."""
+
+    def one(t: Column, pattern: str, high: int) -> Column:
+        low = F.regexp_extract(t, pattern, 1).try_cast("int")
+        return F.when(low.isNotNull(), F.struct(low.alias("low"), F.regexp_extract(t, pattern, high).try_cast("int").alias("high")))
+
+    return F.when(c.rlike("[0-9]"), let(F.lower(c), lambda t: F.coalesce(*(one(t, p, g) for p, g in PLAIN_YEARS))))

@@ -44,6 +44,16 @@ def capped_queries(queries: DataFrame, cap: int) -> DataFrame:
     return first.withColumn("place", place).where(F.col("place") <= cap).select("source", "q", "place")
 
 
+def queries_for(queries: DataFrame, caps: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """source, q, place: queries (source, category, q, at) of the chosen categories, all if none are named, distinct whatever their case,
+    in order of first use and up to the cap of their source (source, cap); sources without a cap keep all."""
+    some = queries.where(F.col("category").isin(categories)) if categories is not None else queries
+    first = some.groupBy("source", F.lower(F.trim("q")).alias("_l")).agg(F.min_by("q", F.struct("at", "q")).alias("q"), F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("at", "_l"))
+    limited = first.withColumn("place", place).join(small(caps), "source", "left")
+    return limited.where(F.col("cap").isNull() | (F.col("place") <= F.col("cap"))).select("source", "q", "place")
+
+
 def skill_ids(dictionary: DataFrame, names: list[str]) -> DataFrame:
     return dictionary.where(F.lower("canonical_name").isin([n.lower() for n in names])).select("skill_id", "canonical_name")
 

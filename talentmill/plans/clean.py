@@ -19,6 +19,16 @@ SOURCE_PERIOD = {"adzuna.com": "year", "usajobs.gov": "year", "himalayas.app": "
 #: Column sets of projections.
 PAYLOAD = ["job_id", "source", "url", "title", "title_normalized", "company_name", "seniority", "role_family", "specialty", "skills", "country", "city", "remote_type", "employment_type", "years_min", "years_max", "salary_from", "salary_to", "currency", "salary_from_rub", "salary_to_rub", "posting_language", "visa_sponsorship", "relocation", "description"]
 
+# Columns of the clean dataset.
+CLEAN_COLUMNS = [
+    "job_id", "source_job_id", "source", "url", "title", "title_normalized", "description", "company_name", "department", "country", "city", "location", "remote", "remote_type", "employment_type",
+    "seniority_normalized", "years_experience_min", "years_experience_max", "analytics_role", "analytics_row_ok", "salary_from", "salary_to", "salary_mid_monthly", "currency", "salary_from_rub", "salary_to_rub",
+    "key_skills", "skills_extracted", "skills_normalized", "tech_stack_tags", "tools", "methodologies", "spoken_languages", "is_data_role", "is_ml_role", "is_python_role", "is_analyst_role",
+    "visa_sponsorship", "relocation", "published_at", "parsed_at",
+]
+#: Names that ``clean`` uses for columns of the clean dataset.
+OWN_NAMES = {"seniority_normalized": "seniority", "years_experience_min": "years_min", "years_experience_max": "years_max"}
+
 
 def valid_source(df: DataFrame, sources: list[str] = SOURCES) -> DataFrame:
     return df.where(F.lower(F.trim("source")).isin(sources))
@@ -101,3 +111,9 @@ def clean(raw: DataFrame, order: str = "parsed_at", phrases: list[str] = D.SPECI
 
 def project(df: DataFrame, columns: list[str] = PAYLOAD) -> DataFrame:
     return df.select(*(c for c in columns if c in df.columns))
+
+
+def clean_dataset(df: DataFrame) -> DataFrame:
+    """The columns of the clean dataset, in order, of what ``clean`` gives; those it lacks are null."""
+    at = {c: OWN_NAMES.get(c, c) for c in CLEAN_COLUMNS}
+    return df.select(*((F.col(own) if own in df.columns else F.lit(None).cast("string")).alias(c) for c, own in at.items()))
