@@ -173,7 +173,27 @@ def test_masks(spark, url, mask):
     assert urlfilter.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).first().template == mask
 
 
-def tree_by_hand(urls, labels, least_children=8, variety=0.5, strength=4.0, z=2.0, span=0.5):
+def elsewhere_by_hand(leaves, prior, strength=4.0, units=1.0):
+    """Where a leaf starts to which its tree hands nothing: hosts count in their ending, endings in all, each by its labels."""
+    near = lambda x: int(1000 * x + 0.5) / 1000
+    ending = lambda host: host.rsplit(".", 1)[-1]
+    by_ending, by_all, far, start = {}, {}, {}, {}
+    for (host, t), x in leaves.items():
+        if x["known"]:
+            w = x["known"] / (x["known"] + strength)
+            by_ending.setdefault((ending(host), t), []).append((near(w), near(w * x["bad"] / x["known"])))
+    sums = {k: tuple(sum(p[i] for p in v) for i in (0, 1)) for k, v in by_ending.items()}
+    for (_, t), (w, wb) in sums.items():
+        by_all.setdefault(t, []).append((near(w / (w + units)), near(wb / (w + units))))
+    for t, v in by_all.items():
+        far[t] = (sum(eb for _, eb in v) + units * prior) / (sum(e for e, _ in v) + units)
+    for host, t in leaves:
+        w, wb = sums.get((ending(host), t), (0, 0))
+        start[host, t] = (wb + units * far[t]) / (w + units) if w else far.get(t, prior)
+    return start
+
+
+def tree_by_hand(urls, labels, least_children=8, variety=0.5, strength=4.0, z=2.0, span=0.5, prior=None):
     """Template and purity of every (host, masked path), by loops."""
     mask = lambda s: re.sub(r"^[0-9]+(?=(\.[A-Za-z]{1,5})?$)", "{n}", s)  # noqa: E731  (the only identifiers of the test)
     key = lambda u: (judged(u)[0], tuple(mask(s) for s in judged(u)[1].split("/") if s))
@@ -198,12 +218,13 @@ def tree_by_hand(urls, labels, least_children=8, variety=0.5, strength=4.0, z=2.
             for k in ks:
                 t[k] += ("*" if wide else k[1][level],)
         level += 1
-    prior = (sum(b for _, b in labels) + 0.5) / (len(labels) + 1)
+    prior = (sum(b for _, b in labels) + 0.5) / (len(labels) + 1) if prior is None else prior
     leaves = {}
     for k in n:
-        leaf = leaves.setdefault((k[0], t[k]), {"bad": 0, "known": 0, "given": prior, "purity": None})
+        leaf = leaves.setdefault((k[0], t[k]), {"bad": 0, "known": 0, "given": None, "purity": None})
         leaf["bad"] += bad.get(k, 0)
         leaf["known"] += known.get(k, 0)
+    start = elsewhere_by_hand(leaves, prior, strength)
     level = 0
     while any(x["purity"] is None for x in leaves.values()):
         nodes = {}
@@ -237,14 +258,15 @@ def tree_by_hand(urls, labels, least_children=8, variety=0.5, strength=4.0, z=2.
                 for x in g:
                     pool[x] = tuple(sum(sums[y][j] for y in g) for j in (0, 1))
         for k, own in nodes.items():
-            g = p = own[0][2]["given"]
+            handed = own[0][2]["given"]
+            g = p = handed if handed is not None else start[own[0][:2]] if len(own) == 1 else prior
             if sums[k][1]:
                 b, m = pool[k]
                 if abs(b / m - g) > z * (max(g * (1 - g), 0.05) / max(m, 1)) ** 0.5:
                     p = (b + strength * g) / (m + strength)
             reaches = (spans(own, lambda o: o[0]) and spans(own, first)) if level == 0 else spans(own, first) if level == 1 else spans(own, at)
             for *_, x in own:
-                x["given"] = p if reaches else g
+                x["given"] = p if reaches else handed
                 if len(own) == 1:
                     x["purity"] = p
         level += 1
@@ -263,3 +285,47 @@ def test_url_tree_equals_brute_force(spark):
     wrong = [(made[x.page_id], x.template, x.purity, want[key(made[x.page_id])]) for x in got if (x.template, x.purity) != want[key(made[x.page_id])]]
     assert not wrong, wrong[:5]
     assert {x.verdict for x in got} == {"allow", "block"} and all((x.verdict == "block") == (x.purity >= 0.5) for x in got) and len({x.purity for x in got}) > 10
+
+
+def test_url_rules_as_labels_equal_brute_force(spark, sf_dir):
+    pages = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "pages").select("page_id", "url")
+    urls = {r.page_id: r.url for r in pages.collect()}
+    ruled = [(u, int(judged(u)[3] == "block")) for u in urls.values() if judged(u)[2]]
+    want, key = tree_by_hand(urls.values(), ruled, prior=0.25)
+    got = urlfilter.judge(pages).collect()
+    assert {(r.page_id, r.template, r.purity) for r in got} == {(i, *want[key(u)]) for i, u in urls.items()}
+    open_ones = [r for r in got if r.rule is None]
+    assert len({r.purity for r in open_ones}) > 3 and {r.verdict for r in open_ones} == {"allow", "block"}
+
+
+def test_url_templates_of_other_hosts_decide(spark):
+    """Rules on other hosts say what a template is; a template that no rule reaches, on the same hosts too, is left alone."""
+    rules = [(f"{kind}{i}.{end}", f"/{kind}/", "block" if kind == "spam" else "allow") for kind in ("spam", "docs") for i in range(3) for end in ("com", "org")]
+    hosts = {f"{kind}{i}.{end}" for kind in ("spam", "docs") for i in range(4) for end in ("com", "org", "net")}
+    pages = [f"http://{h}/{part}/{i}" for h in sorted(hosts) for part in ("spam", "docs", "own") for i in range(6)]
+    right = seen = 0
+    for hidden in [r for r in rules if "0" in r[0]]:
+        got = urlfilter.judge(spark.createDataFrame([*enumerate(pages)], "page_id long, url string"), rules=[r for r in rules if r != hidden]).collect()
+        held = [r for r in got if r.host == hidden[0] and r.path.startswith(hidden[1])]
+        assert all(r.rule is None for r in held)
+        right, seen = right + sum(r.verdict == hidden[2] for r in held), seen + len(held)
+        assert {r.verdict for r in got if r.path.startswith("/own/")} == {"allow"} and {r.purity for r in got if r.path.startswith("/own/")} == {0.25}
+    assert seen == right == 24  # a constant is right on half of them
+
+
+def test_url_hidden_rules_of_the_given_pages(spark, sf_dir):
+    """Pages of a rule, judged by the other rules alone, over the rules whose pages no other rule decides."""
+    pages = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "pages").select("page_id", "url")
+    right = constant = seen = 0
+    for hidden in urlfilter.RULES:
+        its = {r.page_id for r in urlfilter.judge(pages).where(urlfilter.F.col("rule") == hidden[0] + hidden[1]).collect()}
+        got = [r for r in urlfilter.judge(pages, rules=[x for x in urlfilter.RULES if x != hidden]).collect() if r.page_id in its and r.rule is None]
+        print(hidden, len(got), sum(r.verdict == hidden[2] for r in got), sum("allow" == hidden[2] for r in got))
+        right, constant, seen = right + sum(r.verdict == hidden[2] for r in got), constant + sum(hidden[2] == "allow" for r in got), seen + len(got)
+    assert right > constant and seen > 0, (right, constant, seen)
+
+
+def test_url_long_path(spark):
+    deep = "http://d.example.org/" + "/".join(f"s{i % 7}" for i in range(3000))
+    got = urlfilter.judge(spark.createDataFrame([(1, deep), (2, deep + "/9"), (3, "http://d.example.org/s0")], "page_id long, url string")).collect()
+    assert sorted(r.page_id for r in got) == [1, 2, 3] and {r.verdict for r in got} == {"allow"}
