@@ -4,8 +4,10 @@ Trusted positives are documents labelled good outside the held-out fold; unlabel
 documents outside it, whatever their label. A linear model minimises the non-negative unbiased
 risk pi R+(P) + max(0, R-(U) - pi R-(P)) with logistic loss; the class prior pi is estimated from
 how many of all unlabelled rows score like positives, by models that have not seen them. At most
-``sample`` positives and as many unlabelled rows, those of least hash, are fetched to fit the models;
-every row counts for the prior, and every row is scored.
+``sample`` labelled positives, those of least hash, are learnt from. R-(U) is over all unlabelled rows:
+as many of them are fetched to give it its curve, and ``rounds`` times its value and slope over all rows,
+one sum a coordinate, take the place of theirs at the weights found so far; the weights of least risk over all rows stay. Every row also counts for the
+prior, and every row is scored. Sums are of whole numbers, so that they don't depend on how rows are dealt.
 
 Features come from the text alone: shares of byte classes and hashed byte pairs, word and line
 repetition, mean lengths.
@@ -19,6 +21,7 @@ are kept by ``add_score``, whose column ``name`` takes the place of one so calle
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentmill.llm._common import release, text_or_empty
+from talentmill.llm._common import release, text_or_empty, tidy
 
 N_PAIRS, N_TALL = 256, 14
 N_THRESHOLDS = 30
@@ -123,19 +126,55 @@ def estimate_prior(tails: list[Tail], counts: list[np.ndarray]) -> float:
     return float(np.clip(np.mean([t.least_ratio(c) for t, c in zip(tails, counts, strict=True)]), 0.05, 0.98)) if tails else 0.5
 
 
-def fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> np.ndarray:
-    """Weights of the non-negative risk estimator on positives p and unlabelled u (standardised)."""
+@dataclass(frozen=True)
+class Whole:
+    """Risk of all unlabelled rows as negatives, and its slope, at some weights."""
+
+    at: np.ndarray
+    value: float
+    slope: np.ndarray
+
+
+def negative_risk(u: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean logistic loss of rows taken as negatives, and its slope."""
+    s = _sigmoid(u @ w)
+    return float(-np.log1p(-np.minimum(s, 1 - 1e-9)).mean()), u.T @ s / len(u)
+
+
+def fit(p: np.ndarray, u: np.ndarray, prior: float, whole: Whole | None = None, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> np.ndarray:
+    """Weights of the non-negative risk estimator on positives p and unlabelled rows (standardised). The latter's risk is
+    that of u, moved and tilted so that it has the value and slope of ``whole`` at its weights."""
+    shift, tilt = 0.0, np.zeros(u.shape[1])
+    if whole:
+        value, slope = negative_risk(u, whole.at)
+        tilt = whole.slope - slope
+        shift = whole.value - value - tilt @ whole.at
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-        rest = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
-        up = -prior * (p.T @ (1 - sp)) / len(p)
-        down = (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
+        value, slope = negative_risk(u, w)
+        own, down = negative_risk(p, w)
+        rest, down = value + shift + tilt @ w - prior * own, slope + tilt - prior * down
+        up = -prior * (p.T @ (1 - _sigmoid(p @ w))) / len(p)
         return up + down if rest >= 0 else -down  # step back where the negative risk has become negative
 
     return _descend(p, gradient, steps, rate, decay)
 
 
+def refine(p: np.ndarray, u: np.ndarray, prior: float, whole: Callable[[np.ndarray], Whole | None], rounds: int) -> np.ndarray:
+    """Weights fitted to u, then ``rounds`` times with what ``whole`` says of all unlabelled rows; those whose risk over all rows is least."""
+    weights, best = fit(p, u, prior), None
+    for at in range(rounds + 1 if rounds else 0):
+        found = whole(weights)
+        if found is None:
+            break
+        risk = prior * float(-np.log(np.maximum(_sigmoid(p @ weights), 1e-9)).mean()) + max(0.0, found.value - prior * negative_risk(p, weights)[0])
+        if best is None or risk < best[0]:
+            best = risk, weights
+        if at < rounds:
+            weights = fit(p, u, prior, found)
+    return best[1] if best else weights
+
+
 def standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
 
@@ -165,12 +204,34 @@ def count_bins(docs: DataFrame, seen: dict[int, int], tails: list[Tail], mean: n
     return out
 
 
+def whole_risk(docs: DataFrame, w: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> Whole | None:
+    """``negative_risk`` of all ``docs`` at w; None without rows. A task gives one row a coordinate."""
+    shared, unit = docs.sparkSession.sparkContext.broadcast((w, mean, scale)), 1 << 16
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, mean, scale = shared.value
+        total = np.zeros(len(w) + 2, np.int64)  # slope, value and rows, in parts of 1 / unit
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                x = standardised(np.array([describe(t.as_py()) for t in b.column(0).slice(at, 1024)], np.float64), mean, scale)
+                s = _sigmoid(x @ w)
+                total[: len(w)] += np.rint(unit * x * s[:, None]).astype(np.int64).sum(0)
+                total[len(w)] += np.rint(-unit * np.log1p(-np.minimum(s, 1 - 1e-9))).astype(np.int64).sum()
+                total[len(w) + 1] += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["k", "part"])
+
+    sums = {r.k: int(r.total) for r in docs.select("text").mapInArrow(tidy(partial), "k int, part long").groupBy("k").agg(F.sum("part").alias("total")).collect()}
+    n = sums.get(len(w) + 1, 0)
+    return Whole(w, sums[len(w)] / unit / n, np.array([sums[k] for k in range(len(w))]) / unit / n) if n else None
+
+
 def fold(name: str = "doc_id", folds: int = 5):
     return F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(folds))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, folds: int = 5) -> Model | None:
-    """Model from rows outside fold 0; None without positives. ``sample`` bounds the rows of either kind."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, folds: int = 5, rounds: int = 2) -> Model | None:
+    """Model from rows outside fold 0; None without positives. ``sample`` bounds the labelled rows learnt from, and the
+    unlabelled ones that are fetched; the others count by ``rounds`` + 1 passes over all."""
     known = F.col("doc_id").isNotNull() & (fold(folds=folds) != 0)
     least = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id")).where(known).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     positive = least(labels.where("quality = 1")).withColumn("trusted", F.lit(True))
@@ -194,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, folds: int = 5
     seen = {r.doc_id: i % 2 for i, r in enumerate(r for r in rows if not r.trusted)}
     others = docs.where(known).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     prior = estimate_prior(tails, count_bins(others, seen, tails, mean, scale) if tails else [])
-    return Model(mean, scale, fit(p, u, prior), prior)
+    return Model(mean, scale, refine(p, u, prior, lambda w: whole_risk(others, w, mean, scale), rounds), prior)
 
 
 def add_score(docs: DataFrame, model: Model | None, name: str = "score", prior_without_labels: float = 0.5) -> DataFrame:

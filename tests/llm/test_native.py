@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from talentmill.llm import pii, quality, urlfilter
@@ -117,6 +118,36 @@ def test_quality_edges(spark):
     assert quality.quality(empty(spark), labels).count() == 0
 
 
+def test_quality_risk_is_of_all_rows(spark, sf_dir):
+    """The gradient against differences of the risk, sums over rows against numpy, and a small sample's model against one of all rows."""
+    r = np.random.default_rng(5)
+    p, u = (np.hstack([r.normal(m, 1, (n, 4)), np.ones((n, 1))]) for m, n in ((0.7, 40), (0.0, 90)))
+    loss = lambda x, w, y: np.logaddexp(0, -y * (x @ w)).mean()
+    w = r.normal(0, 0.3, 5)
+    value, slope = quality.negative_risk(u, w)
+    steps = np.eye(5) * 1e-5
+    assert abs(value - loss(u, w, -1)) < 1e-9 and np.allclose(slope, [(loss(u, w + h, -1) - loss(u, w - h, -1)) / 2e-5 for h in steps], atol=1e-7)
+    left = gone = 0.0
+    for seed in (5, 6, 7):
+        r = np.random.default_rng(seed)
+        p, u = (np.hstack([r.normal(m, 1, (n, 4)), np.ones((n, 1))]) for m, n in ((0.7, 40), (0.0, 900)))
+        for prior in (0.1, 0.2, 0.4):
+            risk = lambda w, p=p, u=u, prior=prior: prior * loss(p, w, 1) + max(0.0, loss(u, w, -1) - prior * loss(p, w, -1))
+            best, few = quality.fit(p, u, prior), quality.fit(p, u[:75], prior)  # 15 rows a weight, as in production
+            part = quality.refine(p, u[:75], prior, lambda w, u=u: quality.Whole(w, *quality.negative_risk(u, w)), 2)
+            assert risk(part) <= risk(few) + 1e-9 and all(risk(best) <= risk(best + h) + 5e-3 for h in 0.2 * np.vstack([np.eye(5), -np.eye(5)]))
+            left, gone = left + risk(part) - risk(best), gone + risk(few) - risk(best)
+    assert left < 0.2 * gone
+
+    docs = table(spark, sf_dir, "documents").select("text")
+    x = np.array([quality.describe(r.text) for r in docs.collect()], np.float64)
+    mean, scale, w = x.mean(0), x.std(0) + 1e-3, r.normal(0, 0.1, quality.N_FEATURES + 1)
+    got, (value, slope) = quality.whole_risk(docs.repartition(7), w, mean, scale), quality.negative_risk(quality.standardised(x, mean, scale), w)
+    assert abs(got.value - value) < 1e-4 and np.abs(got.slope - slope).max() < 1e-4
+    assert np.array_equal(got.slope, quality.whole_risk(docs.repartition(3), w, mean, scale).slope)
+    assert quality.whole_risk(docs.limit(0), w, mean, scale) is None
+
+
 def judged(url):
     host = path = ""
     if url and "://" in url:
