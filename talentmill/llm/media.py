@@ -178,19 +178,20 @@ def media_columns(docs: DataFrame, unit: int = UNIT) -> DataFrame:
 
 
 def media_digest(docs: DataFrame, unit: int = UNIT) -> DataFrame:
-    """The operator's columns as digests, made in the task that holds the container, so that no container is moved."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    """The operator's columns as digests, made in the task that holds the container, so that no container is moved;
+    codec, seconds and keyframes (begin:length of each, comma-joined) whole."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("seconds", pa.float64()), ("keyframes", pa.string())])
 
     def row(n_bytes: int, data: bytes) -> tuple:
         got = features(data)
         payload = read_samples(data, got["samples"])
         ranges = ",".join(f"{a}:{n}" for a, n in got["ranges"])
         feature = f"codec={got['codec']};seconds={got['duration'] / max(1, got['timescale']):.3f};units={len(got['samples'])};keyframes={len(got['ranges'])};ranges={hashlib.sha256(ranges.encode()).hexdigest()[:16]}"
-        return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature
+        return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, got["codec"], got["duration"] / max(1, got["timescale"]), ranges
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [row(n, mux(p, unit)) for n, p in (padded(t, unit) for t in strings(b.column(1)))]
-            yield batch(schema, b.column(0), *(zip(*rows, strict=True) if rows else [[]] * 7))
+            yield batch(schema, b.column(0), *(zip(*rows, strict=True) if rows else [[]] * 10))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(tidy(convert), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(tidy(convert), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, seconds double, keyframes string")

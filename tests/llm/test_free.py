@@ -158,6 +158,7 @@ def test_media(spark):
         r, w = got[d], whole[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert bytes(w.payload) == payload and r.media_sha256 == hashlib.sha256(w.media).hexdigest() and r.media_bytes == len(w.media)
+        assert (r.codec, r.seconds) == (w.codec, w.seconds) and r.keyframes == ",".join(f"{k.begin}:{k.length}" for k in w.keyframes)
         assert b"".join(bytes(w.media)[k.begin : k.begin + k.length] for k in w.keyframes) == payload
     assert media.media_digest(empty(spark)).count() == 0
     assert media.features(b"")["codec"] is None and media.features(bytes(w.media)[:300])["codec"] is None
