@@ -12,7 +12,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): root is the least node of its component.
 
     Each round takes the least label among neighbours, then the label of that label, and is
-    written to the shared folder, so that plans stay flat and lost executors cost one round at most."""
+    written to the shared folder, so that plans stay flat and lost executors cost one round at most.
+
+    Edges with a null end and self-loops count for nothing, so a node that has no others is not in the result; repeated
+    and reversed edges count once; an empty table gives an empty result; other columns are ignored."""
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:

@@ -75,3 +75,12 @@ def test_on_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = [(d, t) for d, t in docs.select("doc_id", "text").collect()]
     assert run(docs, 3, 9, 10) == brute(rows, 3, 9, 10)
+
+
+def test_components_edges(spark):
+    from talentmill.llm.components import components
+
+    edges = spark.createDataFrame([(5, 4, "x"), (4, 5, "x"), (5, 4, "y"), (9, 5, "x"), (7, 7, "x"), (None, 8, "x"), (8, None, "x"), (None, None, "x"), (20, 21, "x")] + [(100 + i, 101 + i, "z") for i in range(40)], "a long, b long, root string")
+    got = {tuple(r) for r in components(edges).collect()}
+    assert got == {(4, 4), (5, 4), (9, 4), (20, 20), (21, 20)} | {(100 + i, 100) for i in range(41)}
+    assert components(edges.limit(0)).count() == 0
