@@ -152,9 +152,11 @@ def rarity(docs: DataFrame, k: int, width: int) -> np.ndarray:
 
 def list_length(sketch: np.ndarray) -> float:
     """Length of the list that an element drawn from a document meets, less chance collisions of buckets."""
-    v = sketch.astype(np.float64)
-    total = v.sum()
-    return max(1.0, (v * v).sum() / total - total / len(v)) if total else 1.0
+    total, squares = float(sketch.sum(dtype=np.float64)), 0.0
+    for part in np.array_split(sketch, -(-len(sketch) // (1 << 16))):  # the driver holds no second copy
+        v = part.astype(np.float64)
+        squares += float(v @ v)
+    return max(1.0, squares / total - total / len(sketch)) if total else 1.0
 
 
 def signatures(docs: DataFrame, k: int, bounds: Bounds, sketch: np.ndarray, light: int) -> DataFrame:
@@ -312,8 +314,9 @@ def prune(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
 
 
 def if_few(table: DataFrame, most: int = 500_000) -> DataFrame:
-    """Broadcast hint for a table of at most ``most`` rows, which are counted; so rows of a hot key stay where they are."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+    """``table``, written once, with a broadcast hint if it has at most ``most`` rows; so rows of a hot key stay where they are."""
+    table = materialise(table)
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
@@ -450,7 +453,10 @@ def whole_sets(needed: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> D
 def verify(pairs: DataFrame, whole: DataFrame, bounds: Bounds) -> DataFrame:
     """Pairs whose whole sets are similar enough, with overlap and union size. Only sets of pairs are moved."""
     pairs = materialise(pairs)
-    x, y = (whole.select(F.col("sid").alias(c), F.col("h").alias(h)).join(if_few(pairs.select(c).distinct()), c, "left_semi") for c, h in (("a", "x"), ("b", "y")))
+    n, ends = pairs.count(), {c: pairs.select(c).distinct() for c in ("a", "b")}
+    if not n:
+        return pairs.select("a", "b", F.lit(0).cast("long").alias("overlap"), F.lit(0).cast("long").alias("total"))
+    x, y = (whole.select(F.col("sid").alias(c), F.col("h").alias(h)).join(F.broadcast(ends[c]) if n <= 500_000 else ends[c], c, "left_semi") for c, h in (("a", "x"), ("b", "y")))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     link = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64()), ("total", pa.int64())])
 
@@ -490,16 +496,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, wid
     discard(scanned)
     needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(long.select("sid")).distinct())
     whole = whole_sets(needed, docs, sets, k)
-    links = verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), whole, bounds)  # a pair for each set first
-    roots = components(links)
+    roots = components(verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), whole, bounds))  # a pair for each set first
 
     def take(found: DataFrame) -> None:
         """Verify pairs and join the classes of those that hold."""
-        nonlocal links, roots
+        nonlocal roots
         more = verify(found, whole, bounds)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
 
     take(apart(pairs, roots))
     for turn in range(turns):

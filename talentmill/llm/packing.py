@@ -222,11 +222,14 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
 
     ``block_docs``, if given, bounds a shard's documents too."""
     spark = docs.sparkSession
-    kind = piece_ids(tokenizer_path).kind
+    own = piece_ids(tokenizer_path)
+    kind, terms = own.kind, own.tokenizer.get_vocab_size()
+    del own
+    release()  # the driver needs no more of the tokenizer
     tokens = materialise(tokenised(docs, tokenizer_path, end_id))
     stats = {r.term: r.df for r in document_frequencies(tokens, kind).collect()}  # at most one row a vocabulary id
     n_docs, total = stats.pop(-1, 0), stats.pop(-2, 0)
-    idf = np.zeros(piece_ids(tokenizer_path).tokenizer.get_vocab_size(), np.float32)
+    idf = np.zeros(terms, np.float32)
     for t, n in stats.items():
         idf[t] = np.log1p((n_docs - n + 0.5) / (n + 0.5))
     shared = spark.sparkContext.broadcast(idf)

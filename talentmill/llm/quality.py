@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentmill.llm._common import release, text_or_empty, tidy
+from talentmill.llm._common import release, text_or_empty, tidy, trim
 
 N_PAIRS, N_TALL = 256, 14
 N_THRESHOLDS = 30
@@ -245,17 +245,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, folds: int = 5
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(wanted, "doc_id").select("doc_id", "trusted", features("text").alias("x"), F.xxhash64("text").alias("h"))
     rows = found.groupBy("doc_id", "trusted").agg(F.min_by("x", "h").alias("x")).collect()  # one row an id, however often it repeats
     rows.sort(key=lambda r: r.doc_id)
-    x = {kind: np.frombuffer(b"".join(r.x for r in rows if r.trusted is kind), np.float32).reshape(-1, N_FEATURES).astype(np.float64) for kind in (True, False)}
-    if not (len(x[True]) and len(x[False])):
+    rows.sort(key=lambda r: not r.trusted)  # the trusted ones first
+    n_trusted = sum(r.trusted for r in rows)
+    if n_trusted in (0, len(rows)):
         return None
-    both = np.vstack([x[True], x[False]])
+    seen = {r.doc_id: i % 2 for i, r in enumerate(rows[n_trusted:])}
+    both = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+    del rows  # the driver holds little more than one form of them at a time
     mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (standardised(x[kind], mean, scale) for kind in (True, False))
+    p, u = (standardised(x, mean, scale) for x in (both[:n_trusted], both[n_trusted:]))
+    del both
     tails = half_models(p, u)
-    seen = {r.doc_id: i % 2 for i, r in enumerate(r for r in rows if not r.trusted)}
+    trim()
     others = docs.where(known).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     prior = estimate_prior(tails, count_bins(others, seen, tails, mean, scale) if tails else [])
-    return Model(mean, scale, refine(p, u, prior, lambda w: whole_risk(others, w, mean, scale), rounds), prior)
+    weights = refine(p, u, prior, lambda w: whole_risk(others, w, mean, scale), rounds)
+    del p, u
+    trim()
+    return Model(mean, scale, weights, prior)
 
 
 def add_score(docs: DataFrame, model: Model | None, name: str = "score", prior_without_labels: float = 0.5) -> DataFrame:

@@ -251,3 +251,12 @@ def test_decontamination(spark):
     assert flagged.columns == [*frame.columns, "contamination"] and flagged.drop("contamination").exceptAll(frame).count() == 0
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0
+
+
+def test_packing_leaves_no_tokenizer_in_the_driver(spark):
+    from talentmill.llm import _common, packing
+    from talentmill.llm.queries import tokenizer_path
+
+    docs = spark.createDataFrame([(1, "some words"), (2, "some other words")], "doc_id long, text string")
+    packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    assert not _common._WORKER

@@ -84,3 +84,15 @@ def test_components_edges(spark):
     got = {tuple(r) for r in components(edges).collect()}
     assert got == {(4, 4), (5, 4), (9, 4), (20, 20), (21, 20)} | {(100 + i, 100) for i in range(41)}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    """Tasks replace their edges by stars, so that the driver plans few rounds; small chunks give the same."""
+    from talentmill.llm import components as module
+
+    written = []
+    monkeypatch.setattr(module, "materialise", lambda df, f=module.materialise: written.append(1) or f(df))
+    edges = spark.createDataFrame([((7 * i) % 401, (7 * i + 7) % 401) for i in range(400)], "a long, b long").coalesce(1)
+    assert {tuple(r) for r in module.components(edges).collect()} == {(i, 0) for i in range(401)}
+    assert len(written) <= 3
+    assert {tuple(r) for r in module.components(edges, chunk=7).collect()} == {(i, 0) for i in range(401)}
