@@ -99,8 +99,10 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 ids = own.encode(strings(b.column(1)), end_id)
-                lows = [np.partition(np.append(np.unique(order[np.frombuffer(x, own.kind)]), [1 << 40] * 2), 1)[:2] for x in ids]
-                yield batch(schema, b.column(0), [len(x) // own.kind.itemsize for x in ids], ids, [int(x[0]) for x in lows], [int(x[1]) for x in lows])
+                places = [order[np.frombuffer(x, own.kind)] for x in ids]
+                lows = [x.min(initial=1 << 40) for x in places]
+                nexts = [x.min(initial=1 << 40, where=x != low) for x, low in zip(places, lows, strict=True)]
+                yield batch(schema, b.column(0), [len(x) // own.kind.itemsize for x in ids], ids, lows, nexts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(tidy(encode), "doc_id long, n long, ids binary, low long, next long")
 
@@ -113,11 +115,11 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype) -> DataFrame:
         df, docs, total = np.zeros(1 << 16, np.int64), 0, 0
         for b in batches:
             for x in b.column(0):
-                ids = np.unique(np.frombuffer(x.as_py(), kind)).astype(np.int64)
-                if len(ids) and ids[-1] >= len(df):
-                    df = np.append(df, np.zeros(ids[-1] + 1 - len(df), np.int64))
-                df[ids] += 1
-                docs, total = docs + 1, total + len(x.as_py()) // kind.itemsize
+                ids = np.frombuffer(x.as_py(), kind)
+                if (most := int(ids.max(initial=0))) >= len(df):
+                    df = np.append(df, np.zeros(most + 1 - len(df), np.int64))
+                df[ids] += 1  # once for an id, however often it is there
+                docs, total = docs + 1, total + len(ids)
         at = np.flatnonzero(df)
         yield batch(schema, np.append(at, [-1, -2]), np.append(df[at], [docs, total]))
 
@@ -143,7 +145,7 @@ class Index:
         self.ends = np.searchsorted(doc, np.arange(n + 1))
         long = np.diff(ends).astype(np.float32) / np.float32(mean)
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * long[doc]))).astype(np.float32)
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term * np.int64(max(1, n)) + doc)  # no two are equal
         self.doc, self.weight = doc[order], weight[order]
         self.begins = np.append(0, np.cumsum(np.bincount(term, minlength=terms)))
         self.place = np.arange(n)  # documents still held, in order
