@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,77 +34,120 @@ from talentmill.llm._common import batch, materialise, release, strings, text_or
 
 #: Texts for which lower-casing and the pattern below do what the tokenizer would: no letters beyond Latin, no marks that combine, no odd digits.
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7f\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u012f\u0132-\u0148\u014a-\u017e\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
-#: Pre-tokens of such lower-cased texts, by tokenizers of this normaliser and this pattern.
+#: The normaliser and the pattern of tokenizers whose pre-tokens are found word by word.
 _NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PATTERN = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
-_PIECES = re.compile(r"[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9\xdf-\xf6\xf8-\u017e]+").findall
+#: All pre-tokens of a word but its runs of letters; a no-break space is no pre-token, but parts them.
+_NO_LETTERS = r"('(?:s|t|re|ve|m|ll|d)|[0-9]|\x{a0}|[^a-z0-9\x{a0}\x{b5}\x{df}-\x{f6}\x{f8}-\x{17e}]+)"
+#: What such tokenizers do to a pre-token before their model sees it.
+_SPELLED = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+SPACE = "\u0120"  # a blank, as the byte level spells it
 K1, B = 1.2, 0.75
 
 
+def binary(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary())
+
+
+def ends_of(lists: pa.Array) -> np.ndarray:
+    """Where each list ends in the lists' values."""
+    return np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
+def joined(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Each run of ``values`` (binary, without nulls) up to the next of ``ends`` as one value."""
+    at = np.frombuffer(values.buffers()[1], np.int32)[np.append(0, ends) + values.offset]
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), values.buffers()[2]])
+
+
 class PieceIds(dict):
-    """Pre-token -> its ids as bytes. Those not yet known are encoded many at a time; each ends with a token
-    that closes a word, which tells them apart again. The table starts anew at ``room`` entries or as many bytes
-    of long ones. Other tokenizers than those that cut texts in this way get whole texts."""
+    """Pre-token -> its ids as bytes, by the tokenizer's model. A batch of texts is cut at white space, which no pre-token
+    crosses, and each distinct word of it is cut and looked up once. The table starts anew with the last batch's pre-tokens at
+    ``room`` entries or as many characters of long ones. Other tokenizers than those that cut texts in this way get whole texts."""
 
     def __init__(self, path: str, room: int = 500_000, closing: str = "</w>"):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.room, self.long = Tokenizer.from_file(path), room, 0
         made = json.loads(self.tokenizer.to_str())
-        cut = made["pre_tokenizer"] or {}
-        first = [*cut.get("pretokenizers", []), {}][0]
-        self.in_pieces = made["normalizer"] == _NORMALISER and first.get("pattern") == _PATTERN and bool(first.get("invert")) and made["model"].get("end_of_word_suffix") == closing
+        first, *rest = [*(made["pre_tokenizer"] or {}).get("pretokenizers", []), {}]
+        self.in_pieces = made["normalizer"] == _NORMALISER and first.get("pattern") == _PATTERN and bool(first.get("invert")) and rest == [_SPELLED, {}] and made["model"].get("end_of_word_suffix") == closing
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(closing)]] = True
+        self.model, self.byte_level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            self.long += sum(len(p) for p in some if len(p) > 40)
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids)):
-                raw, size = ids.tobytes(), self.kind.itemsize
-                self.update(zip(some, (raw[i * size : j * size] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
-            else:
-                self.update((p, self.whole(p)) for p in some)
+        tokenize, code = self.model.tokenize, self.kind.char
+        odd = [p for p in pieces if not p.isascii() or "\x7f" in p]
+        spelled = dict(zip(odd, self.byte_level.pre_tokenize_str(" ".join(odd))[0][0].split(SPACE), strict=True)) if odd else {}
+        for p in pieces:
+            ids = [t.id for t in tokenize(spelled.get(p, p))]
+            self[p] = struct.pack(f"<{len(ids)}{code}", *ids)
+        self.long += sum(len(p) for p in pieces if len(p) > 40)
+
+    def forget(self, but: list[str]) -> None:
+        """Start anew with the pre-tokens of ``but`` that are not long."""
+        kept = [(p, self[p]) for p in but if len(p) <= 40 and p in self]
+        self.clear()
+        self.long = 0
+        if 2 * len(kept) <= self.room:
+            self.update(kept)
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.string()), end_id).to_pylist()
+
+    def encode_column(self, column: pa.Array, end_id: int) -> pa.Array:
         """Ids of each text and the end id; texts that are not plain go to the tokenizer whole."""
+        end, texts = np.array([end_id], self.kind).tobytes(), strings(column)
+        plain = np.array([self.in_pieces and _PLAIN(t) is not None and not any(x in t for x in self.special) for t in texts], bool)
+        if not plain.all() or column.null_count:
+            column = pa.array([t if p else "" for t, p in zip(texts, plain.tolist(), strict=True)], pa.string())
+        lists = pc.ascii_split_whitespace(column)
+        words = lists.flatten().dictionary_encode()
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.dictionary), _NO_LETTERS, r" \1 "))
+        pieces = cut.flatten().dictionary_encode()
+        names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces.dictionary)], pa.int32()), pieces.dictionary), "\n")[0].as_py().split("\n")
         if len(self) > self.room or self.long > self.room:
-            self.clear()
-            self.long = 0
-        plain = [self.in_pieces and _PLAIN(t) is not None and not any(x in t for x in self.special) for t in texts]
-        pieces = [_PIECES(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        self.learn([*set().union(*pieces).difference(self)])
-        end = np.array([end_id], self.kind).tobytes()
-        return [(b"".join(map(self.__getitem__, x)) if p else self.whole(t)) + end for t, p, x in zip(texts, plain, pieces, strict=True)]
+            self.forget(names)
+        self.update({"": b"", "\xa0": b""})
+        self.learn([p for p in names if p not in self])
+        known = joined(binary([*map(self.__getitem__, names)]).take(pieces.indices), ends_of(cut))
+        # after the distinct words: the end id, then texts that went whole
+        entries = pa.concat_arrays([known, binary([end, *(self.whole(t) + end for t, p in zip(texts, plain.tolist(), strict=True) if not p)])])
+        last = np.where(plain, len(known), len(known) + np.cumsum(~plain))
+        ends = ends_of(lists)
+        chosen = np.insert(words.indices.to_numpy().astype(np.int64), ends, last)
+        return joined(entries.take(pa.array(chosen)), ends + np.arange(1, len(ends) + 1))
 
 
 def piece_ids(path: str) -> PieceIds:
     return worker_cache("packing", path, lambda: PieceIds(path))
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, batch_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, n, ids (little-endian, 2 or 4 bytes each), low and next: the two least hashes of its distinct ids."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("low", pa.int64()), ("next", pa.int64())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = piece_ids(tokenizer_path)
-        order = np.random.default_rng(7).permutation(own.tokenizer.get_vocab_size()).astype(np.int64)
+        none = own.tokenizer.get_vocab_size()
+        order = np.random.default_rng(7).permutation(none).astype(np.int32)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                ids = own.encode(strings(b.column(1)), end_id)
-                places = [order[np.frombuffer(x, own.kind)] for x in ids]
-                lows = [x.min(initial=1 << 40) for x in places]
-                nexts = [x.min(initial=1 << 40, where=x != low) for x, low in zip(places, lows, strict=True)]
-                yield batch(schema, b.column(0), [len(x) // own.kind.itemsize for x in ids], ids, lows, nexts)
+            reach = np.cumsum(pc.binary_length(whole.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < whole.num_rows:
+                to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + batch_bytes, "right")))
+                b = whole.slice(at, to - at)
+                ids = own.encode_column(b.column(1), end_id)
+                ends = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1] // own.kind.itemsize
+                places = order[np.frombuffer(ids.buffers()[2], own.kind, ends[-1])]
+                low = np.minimum.reduceat(places, ends[:-1])  # each has an id at least
+                places[places == np.repeat(low, np.diff(ends))] = none
+                yield batch(schema, b.column(0), np.diff(ends).astype(np.int64), ids, low.astype(np.int64), np.minimum.reduceat(places, ends[:-1]).astype(np.int64))
+                at = to
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(tidy(encode), "doc_id long, n long, ids binary, low long, next long")
 
@@ -164,18 +209,22 @@ class Index:
         for t, row in self.rows.items():
             self.rows[t] = row[alive]
 
-    def neighbours(self, seed: int, unused: np.ndarray, most: int) -> np.ndarray:
-        """The best ``most`` unused documents that share words with the seed, best first; ties by place in the shard."""
-        scores = np.zeros(len(self.place), np.float32)
-        for t in self.terms[self.ends[seed] : self.ends[seed + 1]].tolist():
+    def scores(self, seed: int) -> np.ndarray:
+        """Of the documents held, by all of the seed's terms."""
+        scores, lists = np.zeros(len(self.place), np.float32), []
+        own = self.terms[self.ends[seed] : self.ends[seed + 1]]
+        for t, i, j in zip(own.tolist(), self.begins[own].tolist(), self.begins[own + 1].tolist(), strict=True):
             row = self.rows.get(t)
             if row is not None:
                 scores += row
-                continue
-            i, j = self.begins[t], self.begins[t + 1]
-            if j > i:
-                scores[self.doc[i:j]] += self.weight[i:j]
-        near = np.flatnonzero((scores > 0) & unused[self.place])
+            elif j > i:
+                lists.append(slice(i, j))
+        if lists:
+            scores += np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), len(scores))
+        return scores
+
+    def best(self, scores: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+        """The ``most`` of ``near`` with the best scores, best first; ties by place in the shard."""
         if len(near) > most:
             own = scores[near]
             least = np.partition(own, len(near) - most)[len(near) - most]
@@ -183,6 +232,18 @@ class Index:
             near = np.sort(np.append(above, near[own == least][: most - len(above)]))
         return self.place[near[np.argsort(-scores[near], kind="stable")]]
 
+    def neighbours(self, seed: int, unused: np.ndarray, most: int) -> np.ndarray:
+        """The best ``most`` unused documents that share words with the seed, best first; ties by place in the shard."""
+        scores = self.scores(seed)
+        return self.best(scores, np.flatnonzero((scores > 0) & unused[self.place]), most)
+
+    def nearest(self, seed: int, unused: np.ndarray, most: int, first: int = 64) -> Iterator[int]:
+        """The same one by one; few fill a window, so those after the ``first`` are put in order only when asked for."""
+        scores = self.scores(seed)
+        near = np.flatnonzero((scores > 0) & unused[self.place])
+        yield from self.best(scores, near, min(first, most)).tolist()
+        yield from self.best(scores, near, most)[first:].tolist()
+
 
 class Packer:
     """Windows of one shard. Rows out: doc, start, length, window, offset."""
@@ -219,8 +280,8 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, shard_tokens: int = 4_000_000, block_docs: int | None = None, most_shards: int = 100_000) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, 4 bytes each).
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, shard_tokens: int = 4_000_000, block_docs: int | None = None, most_shards: int = 100_000, with_ids: bool = True) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, 4 bytes each; unless not ``with_ids``).
 
     ``block_docs``, if given, bounds a shard's documents too."""
     spark = docs.sparkSession
@@ -236,7 +297,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         idf[t] = np.log1p((n_docs - n + 0.5) / (n + 0.5))
     shared = spark.sparkContext.broadcast(idf)
     mean = max(1.0, total / max(1, n_docs))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), *[("ids", pa.binary())] * with_ids])
 
     def fill(packer: Packer, flat: np.ndarray, ends: np.ndarray, base: int) -> Iterator[None]:
         """Pack a shard, whose documents count from ``base``; stops now and then for full windows to be taken."""
@@ -257,7 +318,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
             if packer.sequence != before or fresh:  # a new window, or no neighbours left: this document is the seed
                 if 2 * n_unused < len(index.place):
                     index.drop_used(unused)
-                nearest = iter(index.neighbours(doc, unused, window).tolist())  # a window has no room for more: each has an id at least
+                nearest = index.nearest(doc, unused, window)  # a window has no room for more: each has an id at least
                 if len(packer.rows) >= 4096:
                     yield
 
@@ -271,7 +332,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         def taken(rows: list[tuple], known) -> pa.RecordBatch:
             found = [known(r[0]) for r in rows]
             parts = [ids[s : s + n].astype("<u4").tobytes() for (_, ids), (_, s, n, *_) in zip(found, rows, strict=True)]
-            return batch(schema, [x[0] for x in found], [r[1] for r in rows], [r[2] for r in rows], [zlib.crc32(x) for x in parts], [len(x[1]) for x in found], [r[3] for r in rows], [r[4] for r in rows], parts)
+            return batch(schema, [x[0] for x in found], [r[1] for r in rows], [r[2] for r in rows], [zlib.crc32(x) for x in parts], [len(x[1]) for x in found], [r[3] for r in rows], [r[4] for r in rows], *[parts] * with_ids)
 
         def flush(n: int, last: bool) -> Iterator[pa.RecordBatch]:
             """Pack the first ``n`` documents read."""
@@ -317,4 +378,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
 
     shards = max(1, min(most_shards, -(-total // shard_tokens)))
     dealt = tokens.repartitionByRange(shards, "low", "next", "doc_id").sortWithinPartitions("low", "next", "doc_id", "n") if n_docs else tokens
-    return dealt.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return dealt.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)

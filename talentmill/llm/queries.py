@@ -18,7 +18,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

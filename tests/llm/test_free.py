@@ -59,6 +59,41 @@ def test_packing(spark):
     assert packing.pack(empty(spark), WORD).count() == 0
 
 
+def test_packing_takes_the_tokenizers_ids():
+    import numpy as np
+
+    t, own = Tokenizer.from_file(WORD), packing.PieceIds(WORD, room=50)
+    plain = [chr(c) for c in range(0x2100) if packing._PLAIN(chr(c))]
+    texts = ["5 \xb5m, a\xb5B", "caf\xe9\x7f \xc9t\xe9's", "x\xa0y\x0bz\x0c 'street ''ll \"'s 123", "it\u2019s \u01c4 <|endoftext|> a\x1cb", "", " ", "a" * 3000]
+    texts += [x for c in plain for x in (c, f"Aa{c}bB", f"{c}'s{c}1")]
+    for some in (texts[:8], texts, texts[::-1]):
+        for x, ids in zip(some, own.encode(some, 2), strict=True):
+            assert np.frombuffer(ids, own.kind).tolist() == [*t.encode(x, add_special_tokens=False).ids, 2], x
+
+
+def test_packing_looks_each_distinct_word_up_once():
+    class Counted(packing.PieceIds):
+        asked = 0
+
+        def __getitem__(self, piece):
+            self.asked += 1
+            return super().__getitem__(piece)
+
+    own = Counted(WORD)
+    assert len(set(own.encode(["The word, the other word."] * 500, 2))) == 1 and own.asked < 20
+
+
+def test_packing_orders_neighbours_on_demand():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 300, rng.integers(1, 40)) for _ in range(200)] + [np.arange(9)] * 5
+    index = packing.Index(np.concatenate(docs), np.append(0, np.cumsum([len(d) for d in docs])), rng.random(300).astype(np.float32), 20.0)
+    unused = rng.random(205) < 0.8
+    for most in (3, 64, 150, 1000):
+        assert [*index.nearest(7, unused, most, first=10)] == index.neighbours(7, unused, most).tolist()
+
+
 def test_packing_puts_like_with_like(spark):
     from tests.llm.fixture import SCHEMA
 
