@@ -65,7 +65,7 @@ class PieceIds(dict):
     crosses, and each distinct word of it is cut and looked up once. The table starts anew with the last batch's pre-tokens at
     ``room`` entries or as many characters of long ones. Other tokenizers than those that cut texts in this way get whole texts."""
 
-    def __init__(self, path: str, room: int = 500_000, closing: str = "</w>"):
+    def __init__(self, path: str, room: int = 300_000, closing: str = "</w>"):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.room, self.long = Tokenizer.from_file(path), room, 0
@@ -157,6 +157,7 @@ def document_frequencies(tokens: DataFrame, kind: np.dtype) -> DataFrame:
     schema = pa.schema([("term", pa.int64()), ("df", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # of the pre-tokens that this worker has learnt
         df, docs, total = np.zeros(1 << 16, np.int64), 0, 0
         for b in batches:
             for x in b.column(0):
@@ -176,8 +177,9 @@ class Index:
 
     def __init__(self, flat: np.ndarray, ends: np.ndarray, idf: np.ndarray, mean: float):
         n, terms = len(ends) - 1, len(idf)
-        key = np.repeat(np.arange(n, dtype=np.int64) * terms, np.diff(ends))
-        key += flat  # in place, as are the next steps: a shard has millions of ids
+        wide = np.uint32 if n * terms < 1 << 32 else np.int64
+        key = np.repeat(np.arange(n, dtype=wide) * wide(terms), np.diff(ends))
+        key += flat.astype(wide, copy=False)  # in place, as are the next steps: a shard has millions of ids
         key.sort()
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         tf = np.diff(np.append(at, len(key))).astype(np.float32)
