@@ -4,12 +4,12 @@ A byte goes if a string of ``least`` bytes over it also starts in a document wit
 
 Not every suffix is sorted. Each window of ``least`` bytes has an anchor, the least-hashed gram of
 GRAM bytes in it, and equal windows have equal anchors at equal places, so suffixes that start at
-anchors stand for all windows. Anchors whose gram occurs in one text only drop out before any
+anchors stand for all windows. Texts are looked at side by side, SEGMENT bytes at a time. Anchors whose gram occurs in one text only drop out before any
 suffix is made. The others' suffixes, with the bytes to their left as a second part of the key, are
 sorted in each task, front-coded (length of the prefix shared with the suffix before, then the
-rest) and exchanged by ranges. A loser tree merges a range's runs; each run's next suffix carries
-the length of the prefix it shares with the last one given out, and bytes within a known prefix are
-never compared again.
+rest) and exchanged by ranges, all ranges of a task's 100,000 suffixes in one batch. A range's runs are
+decoded and merged at once by a sort that starts from the runs, so that neither more runs nor more
+ranges cost steps of Python for each suffix; neighbours then tell the prefixes they share.
 
 The merged prefixes decide: suffixes between which none is shorter than a window's part from the
 anchor on are one run; among them, the parts before the anchor are told apart by their own order
@@ -41,41 +41,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentmill.llm._common import batch, materialise, strings, text_or_empty, tidy
+from talentmill.llm._common import batch, discard, materialise, text_or_empty, tidy
 from talentmill.llm.jaccard import mixed
 
 U64 = np.uint64
 GRAM = 16
-SEGMENT = 1 << 20
+#: Bytes that are looked at together for their anchors; arrays of so many longs are not yet mapped anew for each step.
+SEGMENT = 1 << 14
 NONE = np.zeros(0, np.int64)
 
 
+def anchors_of(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of less than SEGMENT bytes together: the text's number, hash and place of each anchor, and the first and last
+    window start that it stands for. Short texts are looked at side by side, as each step over an array has a cost of its own."""
+    size = np.array([len(x) for x in texts], np.int64)
+    begin, windows = np.cumsum(size) - size, np.maximum(size - least + 1, 0)
+    if not windows.any():
+        return (NONE,) * 5
+    raw = b"".join(texts)
+    eight = np.empty(len(raw) - 7, U64)
+    for k in range(8):
+        eight[k::8] = np.frombuffer(raw, "<u8", max(0, len(eight) - k + 7) // 8, k)
+    h = mixed(eight[:-8] * U64(0x9E3779B97F4A7C15) ^ mixed(eight[8:]))
+    low = h & ~U64(SEGMENT - 1)
+    low |= np.arange(len(h), dtype=U64)  # ties: the leftmost
+    span, step = least - GRAM + 1, 1
+    while step * 2 <= span:
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    if step < span:
+        low = np.minimum(low[: len(low) - (span - step)], low[span - step :])
+    text = np.repeat(np.arange(len(texts)), windows)
+    start = np.arange(len(text)) + np.repeat(begin - (np.cumsum(windows) - windows), windows)  # windows within one text
+    place = (low[start] & U64(SEGMENT - 1)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    last = np.append(first[1:] - 1, len(place) - 1)
+    m, own = place[first], text[first]
+    return own, h[m].astype(np.int64), m - begin[own], start[first] - begin[own], start[last] - begin[own]
+
+
 def anchors(raw: bytes, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and place of each anchor of a text, and the first and last window start that it stands for."""
     parts = []
     for at in range(0, max(0, len(raw) - least + 1), SEGMENT - least):
-        piece = np.frombuffer(raw, np.uint8, min(len(raw) - at, SEGMENT - 1), at).astype(U64)
-        if len(piece) < least:
-            break
-        two = piece[:-1] | piece[1:] << U64(8)
-        four = two[:-2] | two[2:] << U64(16)
-        eight = four[:-4] | four[4:] << U64(32)
-        h = mixed(eight[:-8] * U64(0x9E3779B97F4A7C15) ^ mixed(eight[8:]))
-        low = (h & ~U64(SEGMENT - 1)) | np.arange(len(h), dtype=U64)  # ties: the leftmost
-        span, size = least - GRAM + 1, 1
-        while size * 2 <= span:
-            low = np.minimum(low[:-size], low[size:])
-            size *= 2
-        if size < span:
-            low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
-        place = (low & U64(SEGMENT - 1)).astype(np.int64)
-        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        last = np.append(first[1:] - 1, len(place) - 1)
-        m = place[first]
-        parts.append((h[m].astype(np.int64), m + at, first + at, last + at))
+        _, h, *places = anchors_of([raw[at : at + SEGMENT - 1]], least)
+        parts.append((h, *(x + at for x in places)))
     return tuple(np.concatenate([p[i] for p in parts]) if parts else NONE for i in range(4))
 
 
+def anchored(texts: pa.Array, least: int) -> Iterator[tuple[int, list[bytes], tuple[np.ndarray, ...]]]:
+    """A column of texts in stretches of up to SEGMENT bytes or one text: the first one's place, the texts, and what ``anchors_of`` gives."""
+    held, size, at = [], 0, 0
+
+    def found() -> tuple[np.ndarray, ...]:
+        if size < SEGMENT:
+            return anchors_of(held, least)
+        whole = anchors(held[0], least)  # a long text is alone
+        return np.zeros(len(whole[0]), np.int64), *whole
+
+    for i, x in enumerate(texts):
+        raw = x.as_buffer()
+        if held and size + len(raw) >= SEGMENT:
+            yield at, held, found()
+            held, size, at = [], 0, i
+        held.append(raw.to_pybytes())
+        size += len(raw)
+    if held:
+        yield at, held, found()
+
+
 def keep_bits(keys: DataFrame, most_bits: int = 1 << 28) -> np.ndarray:
     """Bit table over the longs ``k``, of 16 bits a key up to ``most_bits``; when full it lets more through, never less."""
     n = keys.count()
@@ -152,10 +186,10 @@ def shared_anchors(rows: DataFrame, bits: np.ndarray, least: int, buckets: int,
         parts, size = [], 0
         for b in batches:
             b = b.filter(pa.array(held(wanted.value, b.column(1).to_numpy())))
-            for rid, text in zip(b.column(1).to_numpy(), b.column(2), strict=True):
-                key, m, *_ = anchors(text.as_buffer().to_pybytes(), least)
+            rids = b.column(1).to_numpy()
+            for at, _, (own, key, m, *_) in anchored(b.column(2), least):
                 if len(m):
-                    parts.append((key, np.full(len(m), rid), m))
+                    parts.append((key, rids[at + own], m))
                     size += len(m)
                 if size >= chunk:
                     yield from flush(parts)
@@ -204,9 +238,10 @@ class Suffixes:
         """Keys of suffixes at m whose windows start lo to hi bytes before it; bytes outside all of these are blank."""
         pad = np.zeros(len(raw) + self.width, np.uint8)
         pad[self.left : self.left + len(raw)] = np.frombuffer(raw, np.uint8)
-        at = m[:, None] + self.left
-        keys = np.hstack([pad[at + np.arange(self.right)], pad[at - 1 - np.arange(self.left)]])
-        place = np.arange(self.width)
+        keys = np.empty((len(m), self.width), np.uint8)
+        keys[:, : self.right] = np.lib.stride_tricks.sliding_window_view(pad, self.right)[m + self.left]
+        keys[:, self.right :] = np.lib.stride_tricks.sliding_window_view(pad, self.left)[m][:, ::-1]
+        place, lo, hi = (x.astype(np.int16) for x in (np.arange(self.width), lo, hi))  # under the window's length
         keys[((place >= self.right - lo[:, None]) & (place < self.right)) | (place >= self.right + hi[:, None])] = 0
         return keys
 
@@ -214,64 +249,47 @@ class Suffixes:
         """Gram, left part, rest of the right part."""
         return np.hstack([keys[:, :GRAM], keys[:, self.right :], keys[:, GRAM : self.right]])
 
-    def front_code(self, keys: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """Of sorted keys: shared prefix with the key before, and the rests in one string."""
+    @staticmethod
+    def shared_of(keys: np.ndarray) -> np.ndarray:
+        """Of sorted keys: the prefix each shares with the one before."""
         lcp = np.zeros(len(keys), np.uint8)
         if len(keys) > 1:
             differ = keys[1:] != keys[:-1]
-            lcp[1:] = np.where(differ.any(1), differ.argmax(1), self.width)
-        return lcp, keys[np.arange(self.width) >= lcp[:, None]].tobytes()
+            at = differ.argmax(1)
+            lcp[1:] = np.where(differ[np.arange(len(at)), at], at, keys.shape[1])
+        return lcp
+
+    def front_code(self, keys: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, bytes]:
+        """Of sorted keys: shared prefix with the key before, and the rests in one string. ``first``: where runs begin, if there are several."""
+        lcp = self.shared_of(keys)
+        if first is not None:
+            lcp[first] = 0
+        return lcp, keys[np.arange(self.width, dtype=np.uint8) >= lcp[:, None]].tobytes()
 
     def decode(self, lcp: np.ndarray, rests: bytes) -> np.ndarray:
+        """Keys of what ``front_code`` gives, also of several runs one behind another."""
         keys = np.zeros((len(lcp), self.width), np.uint8)
-        keys[np.arange(self.width) >= lcp[:, None]] = np.frombuffer(rests, np.uint8)
-        rows = np.arange(len(lcp))
-        for c in range(self.width):
+        keys[np.arange(self.width, dtype=np.uint8) >= lcp[:, None]] = np.frombuffer(rests, np.uint8)
+        rows = np.arange(len(lcp), dtype=np.int32)
+        for c in range(int(lcp.max(initial=0))):
             keys[:, c] = keys[np.maximum.accumulate(np.where(lcp <= c, rows, 0)), c]
         return keys
 
 
-def merge_runs(runs: list[tuple[bytes, list[int]]], width: int) -> Iterator[tuple[int, int, int]]:
-    """Loser tree over sorted runs (keys in one string, shared prefixes): (run, index, prefix shared with the one before)."""
-    n = 1 << max(0, (len(runs) - 1).bit_length())
-    heads = [0] * n
-    sizes = [len(lcp) for _, lcp in runs] + [0] * (n - len(runs))
-    loser, shared = [-1] * n, [0] * n  # by inner node: the run that lost there and its prefix shared with the last winner
-
-    def play(a: int, la: int, b: int, lb: int) -> tuple[int, int, int, int]:
-        """(winner, its prefix, loser, its prefix)."""
-        if heads[b] >= sizes[b]:
-            return a, la, b, lb
-        if heads[a] >= sizes[a] or lb > la:
-            return b, lb, a, la
-        if la > lb:
-            return a, la, b, lb
-        i, j = heads[a] * width, heads[b] * width
-        x, y = runs[a][0][i + la : i + width], runs[b][0][j + la : j + width]
-        if x == y:
-            return (a, la, b, width) if a < b else (b, la, a, width)
-        p, q = int.from_bytes(x), int.from_bytes(y)
-        common = la + (8 * len(x) - (p ^ q).bit_length()) // 8
-        return (a, la, b, common) if p < q else (b, lb, a, common)
-
-    def build(node: int) -> tuple[int, int]:
-        if node >= n:
-            return node - n, 0
-        a, la = build(2 * node)
-        b, lb = build(2 * node + 1)
-        w, lw, loser[node], shared[node] = play(a, la, b, lb)
-        return w, lw
-
-    run, prefix = build(1)
-    while heads[run] < sizes[run]:
-        at = heads[run]
-        yield run, at, prefix
-        heads[run] = at + 1
-        prefix = runs[run][1][at + 1] if at + 1 < sizes[run] else 0
-        node = (run + n) >> 1
-        while node:
-            run, prefix, loser[node], shared[node] = play(run, prefix, loser[node], shared[node])
-            node >>= 1
+def merge_runs(runs: list[tuple[bytes, list[int]]], width: int) -> np.ndarray:
+    """Sorted runs (keys in one string, shared prefixes) as one: rows of run, index and the prefix shared with the row before."""
+    size = np.array([len(lcp) for _, lcp in runs], np.int64)
+    order, prefix = merged(np.frombuffer(b"".join(k for k, _ in runs), np.uint8).reshape(-1, width))
+    run = np.repeat(np.arange(len(runs)), size)[order]
+    return np.stack([run, order - (np.cumsum(size) - size)[run], prefix], 1)
+
+
+def merged(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys, given as sorted runs one behind another, and the prefix that each shares with the one before in that order.
+
+    numpy's stable sort of strings finds the runs and merges them, without a step of Python for each key."""
+    order = np.argsort(np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel(), kind="stable")
+    return order, Suffixes.shared_of(keys[order]).astype(np.int64)
 
 
 RUN = pa.schema([("range", pa.int32()), ("lcp", pa.binary()), ("rests", pa.binary()), ("rid", pa.binary()), ("doc", pa.binary()), ("m", pa.binary()), ("lo", pa.binary()), ("hi", pa.binary())])
@@ -331,11 +349,18 @@ def repeated_windows(texts: DataFrame, least: int, n_ranges: int, hot: np.ndarra
     half = cut.left // 2
     shared_hot = texts.sparkSession.sparkContext.broadcast(np.sort(hot))  # of bounded length
 
-    def suffixes(doc, rid, raw: bytes, pos: np.ndarray):
-        h, m, a, b = anchors(raw, least)
-        own = np.isin(m, pos)
-        h, m, a, b = h[own], m[own], a[own], b[own]
-        return cut.cut(raw, m, m - b, m - a), np.full(len(m), rid), np.full(len(m), doc), m, m - b, m - a, h
+    def suffixes(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        """Keys, rid, doc, place, lo, hi and hash of the anchors asked for, for stretches of texts."""
+        doc, rid, pos = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
+        ends = np.cumsum(np.append(0, pos.value_lengths().to_numpy()))
+        pos = pos.flatten().to_numpy().astype(np.int64)
+        for at, texts, (own, h, m, first, last) in anchored(b.column(2), least):
+            size = ends[at + 1 : at + len(texts) + 1] - ends[at : at + len(texts)]
+            asked = np.repeat(np.arange(len(texts)) << 32, size) | pos[ends[at] : ends[at + len(texts)]]
+            kept = np.isin(own << 32 | m, asked)
+            own, h, m, first, last = (x[kept] for x in (own, h, m, first, last))
+            begin = np.cumsum([0, *map(len, texts)])[own]
+            yield cut.cut(b"".join(texts), m + begin, m - last, m - first), rid[at + own], doc[at + own], m, m - last, m - first, h
 
     def range_of(h: np.ndarray) -> np.ndarray:
         return ((mixed(h.astype(U64) ^ U64(0x2545F4914F6CDD1D)) >> U64(32)) * U64(n_ranges) >> U64(32)).astype(np.int64)
@@ -344,16 +369,29 @@ def repeated_windows(texts: DataFrame, least: int, n_ranges: int, hot: np.ndarra
         return range_of(((keys.astype(U64) + U64(1)) * SPREAD[: keys.shape[1]]).sum(1, dtype=U64))
 
     def dealt(keys, rid, doc, m, lo, hi, h) -> Iterator[tuple]:
-        """Suffixes with their ranges: those of hot grams twice, by the bytes after and by the bytes before the gram."""
+        """Sorted suffixes by range, in order: those of hot grams twice, by the bytes after and by the bytes before the gram."""
         at = shared_hot.value
         found = at[np.minimum(np.searchsorted(at, h), len(at) - 1)] == h if len(at) else np.zeros(len(h), bool)
-        k, r, d, p, a, b, g = (x[~found] for x in (keys, rid, doc, m, lo, hi, h))
-        yield k, r, d, p, a, b, range_of(g)
+
+        def by_range(to, *columns) -> tuple:
+            order = np.argsort(to, kind="stable")
+            return to[order], *(x[order] for x in columns)
+
+        k, r, d, p, a, b, g = (x[~found] for x in (keys, rid, doc, m, lo, hi, h)) if found.any() else (keys, rid, doc, m, lo, hi, h)
+        yield by_range(range_of(g), k, r, d, p, a, b)
+        if not found.any():
+            return
         k, r, d, p, a, b = (x[found & (lo <= half)] for x in (keys, rid, doc, m, lo, hi))
-        yield k, r, d, p, a, np.minimum(b, half), spread(k[:, : cut.right - half])
+        yield by_range(spread(k[:, : cut.right - half]), k, r, d, p, a, np.minimum(b, half))
         k, r, d, p, a, b = (x[found & (hi > half)] for x in (keys, rid, doc, m, lo, hi))
-        k = cut.turn(k)
-        yield k, r, d, p, np.maximum(a, half + 1), b, n_ranges + spread(k[:, : GRAM + half + 1])
+        k = np.ascontiguousarray(cut.turn(k))
+        order = np.lexsort((d, k.view(f"S{cut.width}").ravel()))
+        k, r, d, p, a, b = (x[order] for x in (k, r, d, p, a, b))
+        yield by_range(n_ranges + spread(k[:, : GRAM + half + 1]), k, r, d, p, np.maximum(a, half + 1), b)
+
+    def cells(data: bytes, ends: np.ndarray) -> pa.Array:
+        """``data`` cut at these places."""
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -370,22 +408,24 @@ def repeated_windows(texts: DataFrame, least: int, n_ranges: int, hot: np.ndarra
             wide = (lo[best][group] <= lo) & (hi <= hi[best][group])  # its windows are the same: the shorter text's end may hide some
             row = np.flatnonzero(later & wide)
             if len(row):  # settled here: passed on as a run of range -1
-                out = spans_of(np.repeat(rid[row], hi[row] - lo[row] + 1), np.concatenate([NONE, *(np.arange(m[i] - hi[i], m[i] - lo[i] + 1) for i in row)]))
+                size = hi[row] - lo[row] + 1
+                start = np.repeat(m[row] - hi[row] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                out = spans_of(np.repeat(rid[row], size), start)
                 yield batch(RUN, [-1], [b""], [b""], [out.column(0).to_numpy().tobytes()], [b""], [b""], [out.column(1).to_numpy().tobytes()], [out.column(2).to_numpy().tobytes()])
             keep = np.flatnonzero(~(later & wide))
-            for k, r, d, p, a, b, to in dealt(*(x[keep] for x in (keys, rid, doc, m, lo, hi, h))):
-                order = np.lexsort((d, k.view(f"S{cut.width}").ravel(), to))
-                k, r, d, p, a, b, to = (x[order] for x in (k, r, d, p, a, b, to))
-                ends = np.flatnonzero(np.append(to[1:] != to[:-1], True)[: len(to)]) + 1
-                for i, j in zip(np.append(0, ends), ends, strict=False):
-                    lcp, rests = cut.front_code(k[i:j])
-                    yield batch(RUN, [to[i]], [lcp.tobytes()], [rests], [r[i:j].tobytes()], [d[i:j].tobytes()], [p[i:j].tobytes()], [a[i:j].astype(np.uint8).tobytes()], [b[i:j].astype(np.uint8).tobytes()])
+            for to, k, r, d, p, a, b in dealt(*(x[keep] for x in (keys, rid, doc, m, lo, hi, h))):
+                if len(to):  # a row for each range, all in one batch
+                    first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                    ends = np.append(first, len(to))
+                    lcp, rests = cut.front_code(k, first)
+                    long = np.append(0, np.cumsum(cut.width - lcp.astype(np.int64)))[ends]
+                    yield batch(RUN, to[first], cells(lcp.tobytes(), ends), cells(rests, long), *(cells(x.tobytes(), ends * 8) for x in (r, d, p)), *(cells(x.astype(np.uint8).tobytes(), ends) for x in (a, b)))
 
         size = 0
         for b in batches:
-            for doc, rid, text, pos in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                parts.append(suffixes(doc, rid, text.as_py(), pos.values.to_numpy()))
-                size += len(parts[-1][3])
+            for some in suffixes(b):
+                parts.append(some)
+                size += len(some[3])
                 if size >= 100_000:
                     yield from flush()
                     size = 0
@@ -411,12 +451,9 @@ def repeated_windows(texts: DataFrame, least: int, n_ranges: int, hot: np.ndarra
         if not runs:
             return
         turned = runs[0][0] >= n_ranges
-        lcps = [np.frombuffer(r[1], np.uint8) for r in runs]
-        decoded = [cut.decode(lcp, r[2]) for lcp, r in zip(lcps, runs, strict=True)]
-        base = np.cumsum([0, *map(len, lcps)])
-        merged = np.array([(base[r] + i, p) for r, i, p in merge_runs([(d.tobytes(), lcp.tolist()) for d, lcp in zip(decoded, lcps, strict=True)], cut.width)], np.int64)
-        order, prefix = merged[:, 0], merged[:, 1]
-        keys = np.concatenate(decoded)[order]
+        keys = cut.decode(np.concatenate([np.frombuffer(r[1], np.uint8) for r in runs]), b"".join(r[2] for r in runs))
+        order, prefix = merged(keys)
+        keys = keys[order]
         rid, doc, m = (np.concatenate([np.frombuffer(r[c], np.int64) for r in runs])[order] for c in (3, 4, 5))
         lo, hi = (np.concatenate([np.frombuffer(r[c], np.uint8) for r in runs])[order].astype(np.int64) for c in (6, 7))
         first = np.flatnonzero(prefix < GRAM)  # suffixes from here on share their gram
@@ -456,6 +493,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, bucket_anchors: int = 500_0
     rows = rows_of(docs)
     facts = materialise(rows.select("doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
     marked = materialise(least_ids(facts))
+    discard(facts)
     size = marked.where("doc_id = least_id").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     firsts = keep_bits(marked.where((F.col("doc_id") == F.col("least_id")) & (F.col("n_bytes") >= least)).select(F.col("rid").alias("k")).distinct())
     buckets = max(1, -(-size * 2 // ((least - GRAM + 2) * bucket_anchors)))
@@ -466,6 +504,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, bucket_anchors: int = 500_0
     places = shared.groupBy("rid").agg(F.collect_list("pos").alias("pos"))
     affected = filtered(whole, keep_bits(shared.select(F.col("rid").alias("k")).distinct()))
     texts = materialise(affected.dropDuplicates(["rid"]).join(places, "rid").select("doc_id", "rid", "text", "pos"))
+    discard(found)
     spans = repeated_windows(texts, least, n_ranges, np.array(hot, np.int64)).groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     schema = pa.schema([("rid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())])
 

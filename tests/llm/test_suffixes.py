@@ -79,3 +79,39 @@ def test_loser_tree_and_front_coding():
     assert [k for k, _ in merged] == sorted(x.tobytes() for x in keys)
     for (a, _), (b, p) in zip(merged, merged[1:]):
         assert a[:p] == b[:p] and (p == cut.width or a[p] < b[p])
+
+
+def calls(f, name):
+    """What ``f`` returns, and how often Python functions with this in their names are called."""
+    import sys
+
+    n = 0
+
+    def count(frame, event, _):
+        nonlocal n
+        n += event == "call" and name in frame.f_code.co_name
+
+    sys.setprofile(count)
+    try:
+        return f(), n
+    finally:
+        sys.setprofile(None)
+
+
+def test_many_runs_and_short_texts_cost_no_python_for_each():
+    """Time at size: neither the merge of a range's runs nor the anchors of short texts take steps of Python for each suffix or text."""
+    import pyarrow as pa
+
+    cut = suffixes.Suffixes(50)
+    keys = np.random.default_rng(2).integers(97, 122, (6000, cut.width)).astype(np.uint8)
+    runs = []
+    for part in np.array_split(keys, 300):
+        part = np.ascontiguousarray(part[np.lexsort(part.T[::-1])])
+        runs.append((part.tobytes(), cut.front_code(part)[0].tolist()))
+    merged, n = calls(lambda: [*suffixes.merge_runs(runs, cut.width)], "")
+    assert len(merged) == 6000 and n < 6000
+    texts = [prose(i, 12).encode() for i in range(400)] + [b"", b"x" * 49, b"\0" * 70, prose(9, 5000).encode(), prose(8, 20).encode()]
+    found, n = calls(lambda: [*suffixes.anchored(pa.array(texts, pa.binary()), 50)], "mixed")
+    assert n < 40
+    got = {(at + o, *x) for at, _, (own, *rest) in found for o, *x in zip(own.tolist(), *(c.tolist() for c in rest))}
+    assert got == {(i, *x) for i, t in enumerate(texts) for x in zip(*(c.tolist() for c in suffixes.anchors(t, 50)))}
