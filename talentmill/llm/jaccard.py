@@ -345,7 +345,8 @@ def scan_blocks(own: DataFrame, sets: DataFrame, bounds: Bounds, light: int, for
     placed = banded.join(if_few(bands), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     name = lambda k, block: F.struct((F.col("band") + k).alias("band"), block.alias("block"))
     numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
-    others = F.concat(*(F.transform(numbers(F.col(c)), lambda i, k=k: name(k, i)) for c, k in (("blocks", 0), ("below", -1), ("above", 1))))
+    blocks_of = lambda c, k: F.transform(numbers(F.col(c)), lambda i: name(k, i))  # noqa: E731  (a second parameter of the inner one would be the place in the array)
+    others = F.concat(blocks_of("blocks", 0), blocks_of("below", -1), blocks_of("above", 1))
     dealt = placed.withColumn("mine", name(0, F.col("block"))).withColumn("other", F.explode(others)).join(sets.select("sid", "odd"), "sid")
     meet = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)

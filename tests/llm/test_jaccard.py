@@ -56,6 +56,23 @@ def test_against_brute_force(spark, k, num, den, near):
     assert run(frame, k, num, den, near=near, width=1 << 14) == brute(rows, k, num, den)
 
 
+@pytest.mark.parametrize("block", [12, 1024])
+def test_long_lists_over_blocks_and_sizes(spark, monkeypatch, block):
+    """Groups of near copies whose lists take several blocks and sizes: all blocks of like sizes meet, so no link between classes is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r, rows = random.Random(4), []
+    for g, (words, most) in enumerate([(90, 4), (30, 2), (160, 7)]):
+        base = prose(70 + g, words).split()
+        for _ in range(130):
+            t = [*base]
+            for _ in range(r.randrange(most + 1)):
+                at = r.randrange(len(t))
+                t[at : at + r.randrange(2)] = [f"x{r.randrange(10**6)}"] * r.randrange(2)
+            rows.append((len(rows), " ".join(t)))
+    frame = spark.createDataFrame([(d, t, None, None, None, None) for d, t in rows], SCHEMA).repartition(3)
+    assert run(frame, 3, 9, 10, turns=0) == brute(rows, 3, 9, 10)
+
+
 def test_boundary_by_cost():
     bounds = jaccard.Bounds(9, 10)
     assert bounds.light(1.0) < bounds.light(20.0) < bounds.light(1000.0)
