@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentmill.functions.hashing import FORMATS_ALLOWED, GRADES_ALLOWED
-from talentmill.functions.text import lookup
+from talentmill.functions.text import let, lookup
 from talentmill.operators import blocks
+from talentmill.operators.blocks import Pairs
 
-#: Queries joined at a time; more are taken in blocks.
-QUERY_BLOCK = 2_000
+#: Queries taken at a time; more are taken in blocks. Where conditions are asked, as many as have so many bytes of vectors.
+QUERY_BLOCK, QUERY_BYTES = 2_000, 16 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,7 +25,8 @@ def dot(a: Column, b: Column) -> Column:
 def normalised(df: DataFrame, vector: str = "embedding", name: str = "unit") -> DataFrame:
     """``df`` with the vector scaled to length 1, as doubles; zero vectors stay zero."""
     norm = F.sqrt(dot(F.col(vector), F.col(vector)))
-    return df.withColumn("_n", norm).withColumn(name, F.transform(F.col(vector), lambda x: F.when(F.col("_n") > 0, x.cast("double") / F.col("_n")).otherwise(F.lit(0.0)))).drop("_n")
+    scaled = lambda n: F.transform(F.col(vector), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return df.withColumn(name, F.when(F.col(vector).isNotNull(), let(norm, scaled)))  # bound once: a column of its own would be put in for each element
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", key: str = "vec_id") -> DataFrame:
@@ -33,21 +36,33 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(items: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, places: int = 4, with_columns: tuple[str, ...] = (), rerank: Callable[[Column], Column] | None = None) -> DataFrame:
+def query_tables(queries: DataFrame, width: int) -> Iterator[pa.Table]:
+    """A stated set of queries as Arrow tables of bounded size."""
+    at_most = max(QUERY_BLOCK, QUERY_BYTES // (8 * max(1, width)))
+    number = -(-queries.count() // at_most)
+    for b in range(number):
+        some = (queries if number == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(number)) == b)).toArrow()
+        if some.num_rows:
+            yield some
+
+
+def search(items: DataFrame, queries: DataFrame, k: int, keep: Callable[[Pairs], np.ndarray] | None = None, places: int = 4, with_columns: tuple[str, ...] = (), rerank: Callable[[np.ndarray, Pairs], np.ndarray] | None = None, on: tuple[str, ...] = ()) -> DataFrame:
     """query_id, vec_id, score, rank: nearest items of each query by cosine, with further columns of either side.
 
-    ``queries`` (query_id, unit) is a stated set, sent to all items in blocks of bounded size; ``keep`` may
-    compare columns of both sides and drops pairs before ranking; ``rerank`` changes the score that is ranked."""
-    number = -(-queries.count() // QUERY_BLOCK) or 1
-    out = None
-    for b in range(number):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(number)) == b)
-        pairs = items.join(F.broadcast(block), keep if keep is not None else F.lit(True))
-        score = F.round(dot(F.col("unit"), F.col("q_unit")), places)
-        scored = pairs.withColumn("score", F.round(rerank(score), places) if rerank else score).select("query_id", "vec_id", "score", *with_columns)
-        one = top_k(scored, k)
+    ``queries`` (query_id, q_unit) is a stated set, sent to all items in blocks of bounded size, which meet blocks of items by matrix
+    products; a task hands on the best ``k`` of each query alone. ``keep`` may compare columns ``on`` both sides and drops pairs
+    before ranking; ``rerank`` changes the score that is ranked. ``vec_id`` is an integer; rows without it or a vector are left out."""
+    types, own = dict(queries.dtypes) | dict(items.dtypes), dict.fromkeys((*on, *with_columns))
+    rows = items.where("vec_id is not null and unit is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("unit").cast("array<double>").alias("unit"), *(c for c in own if c in items.columns and c != "vec_id"), *([F.col("vec_id").alias("vec_id_")] if "vec_id" in own else []))
+    asked = queries.where("q_unit is not null").select("query_id", F.col("q_unit").cast("array<double>").alias("q_unit"), *(c for c in own if c in queries.columns and c not in items.columns and c != "query_id"))
+    kinds = {"query_id": dict(queries.dtypes)["query_id"]} | {c: types[c] for c in with_columns}
+    first, out = asked.select(F.size("q_unit").alias("n")).first(), None
+    for block in query_tables(asked, first["n"]) if first else ():
+        one = top_k(blocks.best_pairs(rows, block, k, places, kinds, keep, rerank), k)
         out = one if out is None else out.unionByName(one)
-    return out
+    if out is None:
+        out = items.sparkSession.createDataFrame([], ", ".join(f"{c} {t}" for c, t in ({"query_id": kinds["query_id"], "vec_id": "long", "score": "double"} | kinds | {"rank": "int"}).items()))
+    return out.withColumn("vec_id", F.col("vec_id").cast(dict(items.dtypes)["vec_id"]))
 
 
 def query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
@@ -77,11 +92,11 @@ def search_exact(items: DataFrame, queries: DataFrame, k: int, places: int = 4)
     return out if out is not None else items.sparkSession.createDataFrame([], f"query_id {kind}, vec_id long, score double, rank int")
 
 
-def rerank_skill(score: Column, matches: Column) -> Column:
+def rerank_skill(score: Column | np.ndarray, matches: Column | np.ndarray) -> Column | np.ndarray:
     return score + 0.15 * matches
 
 
-def rerank_mix(score: Column, overlap: Column, n: Column) -> Column:
+def rerank_mix(score: Column | np.ndarray, overlap: Column | np.ndarray, n: Column | int) -> Column | np.ndarray:
     return 0.6 * score + 0.4 * overlap / (n + 1)
 
 
@@ -101,11 +116,14 @@ def for_candidates(items: DataFrame, candidates: DataFrame, k: int = 20) -> Data
     ``items``: vec_id, unit, grade, work_format, country, skills. ``candidates``: query_id, q_unit, q_grade, q_formats, q_country, q_skills;
     null asks for nothing. Skills are compared without case."""
     formats = F.flatten(F.transform("q_formats", lambda f: _allowed(FORMATS_ALLOWED, f)))
-    keep = F.col("q_grade").isNull() | F.array_contains(_allowed(GRADES_ALLOWED, F.col("q_grade")), F.col("grade"))
-    keep = keep & (F.coalesce(F.size("q_formats"), F.lit(0)).isin(0, -1) | F.array_contains(formats, F.col("work_format")))
-    keep = keep & (F.col("q_country").isNull() | (F.col("country") == F.upper("q_country")))
+    allowed = {"_grades": _allowed(GRADES_ALLOWED, F.col("q_grade")), "_formats": formats, "_country": F.upper("q_country")}
+
+    def keep(p: Pairs) -> np.ndarray:
+        return (p.unset("q_grade") | p.among("grade", "_grades")) & (p.unset("q_formats") | p.among("work_format", "_formats")) & (p.unset("_country") | p.same("country", "_country"))
+
     low = lambda c: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.lower))
-    found = search(items.withColumn("skills", low("skills")), candidates.withColumn("q_skills", low("q_skills")), k, keep, with_columns=("skills", "q_skills")).drop("rank")
+    sides = items.withColumn("skills", low("skills")), candidates.withColumn("q_skills", low("q_skills")).withColumns(allowed)
+    found = search(*sides, k, keep, with_columns=("skills", "q_skills"), on=("grade", "work_format", "country", "q_grade", "q_formats", *allowed)).drop("rank")
     matched, missing = F.array_sort(F.array_intersect("q_skills", "skills")), F.array_sort(F.array_except("q_skills", "skills"))
     out = found.select("query_id", "vec_id", "score", F.size(matched).alias("skill_match_count"), F.round(100.0 * F.size(matched) / F.greatest(F.size("q_skills"), F.lit(1)), 1).alias("skill_match_pct"), matched.alias("matched_skills"), missing.alias("missing_skills"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("skill_match_count"), "vec_id"))
@@ -120,8 +138,7 @@ def similar_to_jobs(items: DataFrame, asked: DataFrame, k: int = 20, exclude_sam
     known = items.select(F.col("vec_id").alias("_id"), F.col("unit").alias("_unit"), F.col("company").alias("_company"))
     own = asked.join(known, F.col("job_id") == F.col("_id"), "left")
     queries = own.select("query_id", F.coalesce("_unit", "q_text_unit").alias("q_unit"), F.coalesce("_company", "q_company").alias("q_company")).where("q_unit is not null")
-    other = F.col("q_company").isNull() | F.col("company").isNull() | (F.col("company") != F.col("q_company"))
-    return search(items, queries, k, other if exclude_same_company else None)
+    return search(items, queries, k, (lambda p: ~p.same("company", "q_company")) if exclude_same_company else None, on=("company", "q_company"))
 
 
 def search_city(items: DataFrame, queries: DataFrame, k: int = 5, times: int = 5, boost: float = 0.15) -> DataFrame:
@@ -137,8 +154,11 @@ def search_city(items: DataFrame, queries: DataFrame, k: int = 5, times: int = 5
 def retrieve(items: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.5, or_remote: bool = False, fallback: bool = False) -> DataFrame:
     """Nearest ``k`` of a score of at least ``threshold`` in the query's city (``or_remote``: or anywhere without office) and with the
     least pay it asks for; with ``fallback``, queries without a result get those of all items."""
-    place = F.col("q_city").isNull() | (F.col("city") == F.col("q_city"))
-    keep = (place | F.col("remote") if or_remote else place) & (F.col("q_salary_min").isNull() | (F.col("salary_from") >= F.col("q_salary_min")))
+
+    def keep(p: Pairs) -> np.ndarray:
+        place = p.unset("q_city") | p.same("city", "q_city")
+        return (place | p.item("remote") if or_remote else place) & (p.unset("q_salary_min") | (p.item("salary_from") >= p.query("q_salary_min")))
+
     good = lambda found: found.where(F.col("score") >= threshold)
-    first = good(search(items, queries, k, keep))
+    first = good(search(items, queries, k, keep, on=("city", "salary_from", "q_city", "q_salary_min", *(("remote",) if or_remote else ()))))
     return with_fallback(first, good(search(items, queries, k))) if fallback else first

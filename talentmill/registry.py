@@ -654,8 +654,8 @@ def vec01_topk(spark, d):
 
 @query(f"SELECT query_id, vec_id, score FROM (SELECT q AS query_id, v AS vec_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, v) AS k FROM (SELECT a.vec_id AS q, b.vec_id AS v, {DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.label = b.label AND a.vec_id <> b.vec_id)) WHERE k <= 5")
 def vec03_similar_filtered(spark, d):
-    keep = (F.col("label") == F.col("q_label")) & (F.col("vec_id") != F.col("query_id"))
-    return vector.search(*vec_sides(spark, d), 5, keep).select("query_id", "vec_id", "score")
+    keep = lambda p: p.same("label", "q_label") & ~p.same("vec_id_", "query_id")
+    return vector.search(*vec_sides(spark, d), 5, keep, on=("label", "q_label", "vec_id")).select("query_id", "vec_id", "score")
 
 
 @query()
@@ -952,8 +952,8 @@ def dat01_effective_date(spark, d):
 
 @query(f"SELECT query_id, vec_id, total FROM (SELECT query_id, vec_id, total, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, vec_id) AS k FROM (SELECT q AS query_id, v AS vec_id, round(score + 0.15 * CASE WHEN same THEN 1 ELSE 0 END, 4) AS total FROM (SELECT a.vec_id AS q, b.vec_id AS v, a.label = b.label AS same, {DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0))) WHERE k <= 3")
 def vec04_rerank_skill(spark, d):
-    by_label = lambda score: vector.rerank_skill(score, (F.col("label") == F.col("q_label")).cast("int"))
-    return vector.search(*vec_sides(spark, d), 3, rerank=by_label).select("query_id", "vec_id", F.col("score").alias("total"))
+    by_label = lambda score, p: vector.rerank_skill(score, p.same("label", "q_label"))
+    return vector.search(*vec_sides(spark, d), 3, rerank=by_label, on=("label", "q_label")).select("query_id", "vec_id", F.col("score").alias("total"))
 
 
 #: Country of the market questions.

@@ -377,8 +377,8 @@ def vec02_candidates(spark, d):
 
 @query(f"SELECT query_id, vec_id, round(0.6 * score + 0.4 * CASE WHEN label = q_label THEN 1 ELSE 0 END / 2, 4) AS total FROM (SELECT a.vec_id AS query_id, b.vec_id, a.label AS q_label, b.label, {DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY total DESC, vec_id) <= 3")
 def vec05_rerank_mix(spark, d):
-    mix = lambda score: vector.rerank_mix(score, (F.col("label") == F.col("q_label")).cast("int"), F.lit(1))
-    return vector.search(*vec_sides(spark, d), 3, rerank=mix).select("query_id", "vec_id", F.col("score").alias("total"))
+    mix = lambda score, p: vector.rerank_mix(score, p.same("label", "q_label"), 1)
+    return vector.search(*vec_sides(spark, d), 3, rerank=mix, on=("label", "q_label")).select("query_id", "vec_id", F.col("score").alias("total"))
 
 
 @query(f""", f AS (SELECT query_id, vec_id, h, city, score FROM ({PAIRS}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 15),

@@ -211,3 +211,43 @@ def test_coverage_counts_all_skills_and_active_jobs(spark, sf_dir):
         want = db.execute(sql)
         assert got.columns == [c[0] for c in want.description]
         assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()), name
+
+
+def test_conditional_search_in_blocks(spark, monkeypatch):
+    """Search with conditions and changed scores: by blocks of queries and items, with nulls on either side, as one by one; no plan joins all pairs."""
+    import numpy as np
+
+    from talentmill.operators import blocks, vector
+
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=6).tolist() if i % 50 else None if i % 100 else [0.0] * 6, [None, "a", "b", "C"][i % 4], None if i % 9 == 0 else i % 7) for i in range(400)]
+    items = vector.normalised(spark.createDataFrame(rows, "vec_id int, embedding array<double>, city string, n int"))
+    asked = items.where("vec_id % 10 = 3 or vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("unit").alias("q_unit"), F.when(F.col("vec_id") % 20 != 3, "a").alias("q_city"), F.col("n").alias("q_n"))
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vector, "QUERY_BYTES", 0)
+    monkeypatch.setattr(blocks, "BLOCK", 300)
+    keep = lambda p: (p.unset("q_city") | p.same("city", "q_city")) & (p.unset("q_n") | (p.item("n") >= p.query("q_n")))
+    on = ("city", "n", "q_city", "q_n")
+    unit = {x.vec_id: x.unit for x in items.collect()}
+    for change, same in ((None, 0), (lambda s, p: s + 0.25 * p.same("city", "q_city"), 0.25)):
+        found = vector.search(items, asked, 3, keep, with_columns=("city", "q_n"), rerank=change, on=on)
+        assert not {"CartesianProduct", "BroadcastNestedLoopJoin"} & {*found._jdf.queryExecution().optimizedPlan().toString().replace("(", " ").split()} and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        want = set()
+        for q in asked.collect():
+            all_of = []
+            for i, _, city, n in rows:
+                if unit[i] is not None and (q.q_city is None or city == q.q_city) and (q.q_n is None or (n is not None and n >= q.q_n)):
+                    score = round(float(np.dot(unit[i], q.q_unit)), 4) + (same if city is not None and city == q.q_city else 0)
+                    all_of.append((-round(score, 4), i, city))
+            want |= {(q.query_id, i, -s + 0.0, k + 1, city, q.q_n) for k, (s, i, city) in enumerate(sorted(all_of)[:3])}
+        assert {(x.query_id, x.vec_id, x.score, x["rank"], x.city, x.q_n) for x in found.collect()} == want and want
+    assert vector.search(items, asked.limit(0), 3, keep, on=on).collect() == [] and dict(found.dtypes)["vec_id"] == "int"
+
+
+def test_vectors_are_scaled_by_a_norm_computed_once(spark):
+    """The norm is not put in the place of its name for every element, which made scaling quadratic in the dimension."""
+    from talentmill.operators import vector
+
+    plan = vector.normalised(spark.createDataFrame([([3.0, 4.0],)], "embedding array<double>"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("aggregate(") <= 1 and plan.first()["unit"] == [0.6, 0.8]
