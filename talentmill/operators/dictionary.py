@@ -10,11 +10,19 @@ Nulls and empty texts have no hits; entries that are null or blank are left out;
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentmill.operators.skills import small
 
+#: Entries, and characters of all of them, up to which a dictionary is sent to the tasks.
+SENT_ROWS, SENT_CHARACTERS = 100_000, 4 << 20
+
 #: Word characters of skills, and of titles.
 SKILL_WORD, TITLE_WORD = r"A-Za-z0-9_+#.\-", "a-zа-яё0-9"
 
@@ -43,11 +51,13 @@ def with_hyphens(dictionary: DataFrame) -> DataFrame:
 def hits(df: DataFrame, key: str, text: Column, dictionary: DataFrame, word: str = SKILL_WORD) -> DataFrame:
     """(key, phrase, label, rank): entries that stand in ``text``, once a row and entry.
 
-    ``dictionary``: what ``entries`` gives. Its shapes (length in pieces, and which ends are open), some tens at most, are asked before;
+    ``dictionary``: what ``entries`` gives. Within SENT_ROWS and SENT_CHARACTERS it is sent to the tasks, which cut a text into pieces once and go on
+    only where a piece begins an entry. For a larger one its shapes (length in pieces, and which ends are open), some tens at most, are asked before;
     each is one scan of a text, whose distinct runs of pieces meet the entries."""
+    size = dictionary.limit(SENT_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.length("phrase")), F.lit(0))).first()
+    if size[0] <= SENT_ROWS and size[1] <= SENT_CHARACTERS:
+        return sent_hits(df, key, text, dictionary, word)
     shapes = dictionary.select("n", "open_start", "open_end").distinct().orderBy("n", "open_start", "open_end").collect()
-    if not shapes:
-        return df.select(key).limit(0).join(dictionary.select("phrase", "label", "rank"))  # no entries: no rows
     inside, outside = f"[{word}]", f"[^{word}]"
 
     def runs(n: int, open_start: bool, open_end: bool) -> Column:
@@ -61,6 +71,46 @@ def hits(df: DataFrame, key: str, text: Column, dictionary: DataFrame, word: str
     return each.join(small(dictionary), F.col("_gram") == F.col("phrase")).select(key, "phrase", "label", "rank")
 
 
+def sent_hits(df: DataFrame, key: str, text: Column, dictionary: DataFrame, word: str) -> DataFrame:
+    """What ``hits`` gives, for a dictionary of bounded size that is sent to the tasks."""
+    rows = dictionary.select("phrase", "label", "rank").collect()  # at most SENT_ROWS
+    types = {c: t.simpleString() for c, t in ((f.name, f.dataType) for f in dictionary.schema) if c in ("phrase", "label", "rank")}
+    cut = re.compile(f"[{word}]+|[^{word}]", re.S)
+    tree, entry = {}, {}  # pieces in order, None where a phrase ends; phrase: its rows
+    for i, r in enumerate(rows):
+        node = tree
+        for piece in cut.findall(r["phrase"]):
+            node = node.setdefault(piece, {})
+        node[None] = r["phrase"]
+        entry.setdefault(r["phrase"], []).append(i)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_word = lru_cache(1 << 16)(lambda piece: re.match(f"[{word}]", piece) is not None)
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+            place, what = [], []
+            for row, t in enumerate(b.column(1)):
+                got, parts = set(), cut.findall(t.as_py())
+                total = len(parts)
+                for i, p in enumerate(parts):
+                    node = tree.get(p)
+                    if node is None or i and is_word(parts[i - 1]) and not is_word(p):
+                        continue
+                    j = i + 1
+                    while node is not None:
+                        if None in node and (j == total or is_word(parts[j - 1]) or not is_word(parts[j])):
+                            got.add(node[None])
+                        node = node.get(parts[j]) if j < total else None
+                        j += 1
+                for phrase in got:
+                    place += [row] * len(entry[phrase])
+                    what += entry[phrase]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place, pa.int64())), pa.array(what, pa.int32())], names=[key, "_at"])
+
+    at = df.select(key, F.coalesce(text, F.lit("")).alias("_text")).mapInArrow(find, f"`{key}` {dict(df.dtypes)[key]}, _at int")
+    table = df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_at int, " + ", ".join(f"{c} {types[c]}" for c in ("phrase", "label", "rank")))
+    return at.join(F.broadcast(table), "_at").select(key, "phrase", "label", "rank")
+
+
 def substring_hits(df: DataFrame, key: str, text: Column, dictionary: DataFrame) -> DataFrame:
     """(key, phrase, label, rank): entries that stand anywhere in ``text``, also inside words, once a row and entry.
 

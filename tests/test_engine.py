@@ -313,3 +313,20 @@ def test_tolerant_read(spark, tmp_path):
 
 def test_queries_of_this_module_are_registered():
     assert {"txt01_dictionary_join", "jon04_asof_sorted", "his01_incremental", "udf03_top_skills_live"} <= set(registry.ORACLE_SQL) and engine_queries.SNAPSHOTS
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_sent_and_joined_dictionaries_give_the_same(spark, monkeypatch, sent):
+    """Entries of one and many pieces, with open and closed ends, beside the text's ends and each other; equal phrases of several labels; keys of any name."""
+    import re
+
+    monkeypatch.setattr(dictionary, "SENT_ROWS", sent)
+    words = ["ab", "ab cd", "(ab", "ab)", "é", "éa", "aé", "é é", " ab", "ab ", "c++", "-", ".", "x.y z", "😀", "😀ab", "ab\n"]
+    texts = ["ab cd", "(ab)", "éaé é é", "zab abz ab", " ab  ab ", "c++ c+++ c++é", "x.y z. x.y z", "😀ab 😀", "ab\nab", "", None, "-. - .", "é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "`my id` int, t string")
+    table = spark.createDataFrame([(w, f"{w}{i}", i) for w in words for i in (2, 1)], "phrase string, label string, rank int")
+    found = dictionary.hits(df, "my id", F.col("t"), dictionary.entries(table, dictionary.SKILL_WORD))
+    assert ("MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()) == (sent > 0)  # one look at a text, whatever the entries' lengths
+    b = f"[{dictionary.SKILL_WORD}]"
+    want = sorted((i, w, f"{w}{n}", n) for i, t in enumerate(texts) for w in words for n in (1, 2) if w.strip() and re.search(f"(?<!{b}){re.escape(w)}(?!{b})", t or ""))
+    assert sorted(tuple(r) for r in found.collect()) == want and dict(found.dtypes)["my id"] == "int"
