@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentmill.operators.rivals import key_hash, may_have_rivals
 from talentmill.sources.shared import remove, stored
 
 
@@ -62,11 +63,17 @@ def dedupe_multi(df: DataFrame, order: str, keys: list[list[str]]) -> DataFrame:
 
     This is the result of going through the rows from the newest to the oldest, reached in rounds of local decisions: a row that is the newest
     of the undecided rows on each of its keys stays, its rivals go, and what is left is decided in the next round.
-    Rounds move row numbers and keys only, and what they decide is a stored table. A key of which a part is blank binds nothing; rows
-    without any key stay, and are not shuffled. Rows of equal order go by a hash of the row, equal rows by their number; a null order is the oldest."""
+    Rows that share no key with another stay at once: they are told by hashes of their keys and are neither stored nor shuffled, nor are rows
+    without any key; a key of which a part is blank binds nothing. Of the others, rounds move row numbers and keys only, and what they decide is a stored table.
+    Rows of equal order go by a hash of the row, equal rows by their number; a null order is the oldest. ``df`` is read more than once;
+    one that may change in between is written first."""
+    if not df._jdf.queryExecution().analyzed().deterministic():
+        df = stored(df, "rows")
+    whole = lambda key: reduce(lambda a, b: a & b, (key_part(k) != "" for k in key))
+    doubt = may_have_rivals(df, [F.when(whole(key), key_hash(F.lit(i), *(F.col(k).cast("string") for k in key))) for i, key in enumerate(keys)])
     number = F.struct(F.col(order), *any_order(df), F.monotonically_increasing_id())
-    rows = stored(df.withColumn("_age", number), "rows")  # written, so that numbers last
-    bound = [F.when(reduce(lambda a, b: a & b, (key_part(k) != "" for k in key)), F.array(F.lit(str(i)), *(F.col(k).cast("string") for k in key))) for i, key in enumerate(keys)]
+    rows = stored(df.where(doubt).withColumn("_age", number), "rows")  # written, so that numbers last
+    bound = [F.when(whole(key), F.array(F.lit(str(i)), *(F.col(k).cast("string") for k in key))) for i, key in enumerate(keys)]
     undecided = rows.select("_age", F.array_compact(F.array(*bound)).alias("_keys")).where(F.size("_keys") > 0)
     stays, old = [], None
     while True:
@@ -82,9 +89,8 @@ def dedupe_multi(df: DataFrame, order: str, keys: list[list[str]]) -> DataFrame:
         undecided = old = left
         if undecided.isEmpty():
             break
-    free = rows.where(F.size(F.array_compact(F.array(*bound))) == 0)
     decided = reduce(DataFrame.unionByName, stays)
-    return free.unionByName(rows.join(decided, "_age", "left_semi")).drop("_age")
+    return df.where(~doubt).unionByName(rows.join(decided, "_age", "left_semi").drop("_age"))
 
 
 def url_key(url: Column) -> Column:

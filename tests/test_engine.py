@@ -330,3 +330,19 @@ def test_sent_and_joined_dictionaries_give_the_same(spark, monkeypatch, sent):
     b = f"[{dictionary.SKILL_WORD}]"
     want = sorted((i, w, f"{w}{n}", n) for i, t in enumerate(texts) for w in words for n in (1, 2) if w.strip() and re.search(f"(?<!{b}){re.escape(w)}(?!{b})", t or ""))
     assert sorted(tuple(r) for r in found.collect()) == want and dict(found.dtypes)["my id"] == "int"
+
+
+def test_rows_without_rivals_are_neither_stored_nor_shuffled(spark, monkeypatch):
+    """Of 3,000 rows few share a key; only these go into the rounds, also in many small buckets and chunks, and the result is that of a loop."""
+    from talentmill.operators import rivals
+
+    written = []
+    monkeypatch.setattr(merge, "stored", lambda df, name, f=merge.stored: written.append((name, f(df, name))) or written[-1][1])
+    monkeypatch.setattr(rivals, "BUCKET", 200)
+    monkeypatch.setattr(rivals, "CHUNK", 70)
+    records = [{"n": i, "a": f"a{i % 2900}", "b": None if i % 5 == 0 else f"b{i if i % 40 else 7}"} for i in range(3000)]
+    df = spark.createDataFrame([(x["n"], x["a"], x["b"]) for x in records], "n long, a string, b string").repartition(5)
+    got = merge.dedupe_multi(df, "n", [["a"], ["b"]])
+    assert sorted(x.n for x in got.collect()) == greedy(records, [["a"], ["b"]])
+    assert dict(written)["rows"].count() < 600
+    assert got.columns == df.columns
