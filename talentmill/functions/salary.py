@@ -13,12 +13,14 @@ from talentmill.functions.text import first_of, is_missing, let, lookup, parse_n
 # Number and currency tokens, and the pay patterns in order, as (pattern, groups of low, high and currencies).
 NUMBER = r"\d[\d\s,._]*(?:\.\d+)?(?:\s*[kKmM])?"
 TOKEN = r"(?:c\$|a\$|s\$|hk\$|us\$|£|€|\$|₽|₹|zł|₴|₸|¥|₩|₪|₺|USD|EUR|GBP|CAD|AUD|SGD|HKD|INR|RUB|RUR|PLN|UAH|KZT|JPY|KRW|CNY|RMB|BRL|MXN|ILS|NIS|TRY|AED|CHF|SEK|NOK|DKK|NZD|CZK|RON|HUF|BGN|ZAR)"
+#: What every token before a number is: looked at first, as trying all tokens at each place of a text takes most of the time.
+BEFORE = r"(?=\D{1,3}\s*\d)"
 DASH = r"\s*(?:-|–|—|to)\s*"
 TIERS = [
-    (rf"({TOKEN})\s*({NUMBER}){DASH}({TOKEN})?\s*({NUMBER})", 2, 4, (1, 3)),
+    (rf"{BEFORE}({TOKEN})\s*({NUMBER}){DASH}({TOKEN})?\s*({NUMBER})", 2, 4, (1, 3)),
     (rf"({NUMBER}){DASH}({NUMBER})\s*({TOKEN})", 1, 2, (3,)),
     (rf"(?:from|от)\s*({NUMBER})\s*(?:to|до)\s*({NUMBER})\s*({TOKEN})?", 1, 2, (3,)),
-    (rf"({TOKEN})\s*({NUMBER})", 2, 2, (1,)),
+    (rf"{BEFORE}({TOKEN})\s*({NUMBER})", 2, 2, (1,)),
     (rf"({NUMBER})\s*({TOKEN})", 1, 1, (2,)),
 ]
 
@@ -103,7 +105,11 @@ def salary_from_text_safe(c: Column) -> Column:
     def tier(text: Column, t: tuple) -> Column:
         return let(_in_context(text, t[0]), lambda raw: _read(raw, t))
 
-    return F.when(c.rlike("[0-9]"), let(c, lambda text: _with_currency(F.coalesce(*(tier(text, t) for t in (TIERS[0], TIERS[1], TIERS[3], TIERS[4]))))))
+    def found(text: Column) -> Column:
+        ranges = F.when(text.rlike(f"(?iu){NUMBER}{DASH}"), F.coalesce(tier(text, TIERS[0]), tier(text, TIERS[1])))  # either has a number and a dash
+        return _with_currency(F.coalesce(ranges, tier(text, TIERS[3]), tier(text, TIERS[4])))
+
+    return F.when(c.rlike("[0-9]"), let(c, found))
 
 
 def bounds(currency: Column) -> tuple[Column, Column]:
@@ -174,7 +180,7 @@ def years_safe(c: Column, most: int = 15) -> Column:
             begin = F.greatest(F.lit(1), at - 150)
             fits = let(F.substring(t, begin, at - begin + F.length(raw) + 150), lambda w: ~w.rlike(any_of(V.EXPERIENCE_NOT)) & w.rlike(any_of(V.EXPERIENCE_YES)))
             found = F.struct(F.regexp_extract(t, rf"(?s){pattern}", 1).try_cast("int").alias("low"), F.regexp_extract(t, rf"(?s){pattern}", groups).try_cast("int").alias("high"))
-            return let(found, lambda f: F.when((raw != "") & f["low"].between(1, most) & f["high"].between(1, most) & fits, f))
+            return F.when(raw != "", let(found, lambda f: F.when(f["low"].between(1, most) & f["high"].between(1, most) & fits, f)))  # no groups or numbers of no match
 
         return let(F.regexp_extract(t, rf"(?s){pattern}", 0), judged)
 
